@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Rows in an Arrow batch handed to Python. Texts are a few KB on average, so a batch is a few MB.
 ARROW_ROWS = 1000
 #: Bytes of text that the vectorised kernels work on at once (a single longer text is one slice).
@@ -26,7 +28,8 @@ _MASK = 0xFFFFFFFFFFFFFFFF
 
 
 def tune(spark: SparkSession) -> None:
-    """Small Arrow batches keep the Python workers' memory bounded when texts are long."""
+    """Ship the package to the workers; small Arrow batches keep their memory bounded when texts are long."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 

@@ -1 +1,411 @@
-def remove_repeats(docs): raise NotImplementedError
+"""Repeated-string removal with suffix sorting over a difference cover, one bucket at a time.
+
+A 50-byte string is anchored at the least of its 35 hashed 16-byte substrings, so equal strings have
+equal anchors at equal offsets, and only anchors (one byte in about 18) cross the network.
+
+1. Each text is cut into anchors with their contexts (the bytes of the strings that they anchor).
+   Equal contexts collapse: the one in the smallest document stands for all, and the strings of the
+   others are repeats.
+2. Anchors with different contexts may share strings. Their contexts are dealt out by 33 bytes (the
+   anchor and what stands beside it), which every string of a context holds on one of its sides.
+3. Within a bucket, the contexts' suffixes are sorted: a sample over the difference cover {0, 1, 3}
+   modulo 7 is ranked by doubling, suffixes are sorted by their first 7 bytes one bucket of first
+   bytes at a time, and ties are resolved by the sample's ranks. Neighbours with 50 equal bytes form
+   runs, and whatever in a run isn't in its smallest document is a repeat.
+"""
+
+from __future__ import annotations
+
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import fmix, materialize, prefix_hash, raw_text, slices, span_hash, tune
+
+LENGTH, ANCHOR = 50, 16
+#: Offsets that an anchor can have in its string.
+SPAN = LENGTH - ANCHOR + 1
+#: Bytes beside an anchor that join it in the key of its contexts.
+BESIDE = (LENGTH - ANCHOR) // 2
+PERIOD, COVER = 7, (0, 1, 3)
+#: Anchors that a task holds before it writes them out.
+FLUSH = 1 << 20
+#: Bytes of anchors in a bucket; the number of buckets follows from the data.
+BUCKET_BYTES = 16 << 20
+#: Bytes of contexts sorted at once, and suffixes in one bucket of first bytes.
+PIECE, SUFFIXES = 1 << 20, 1 << 18
+#: Room for rows that share an id, where there are any.
+SHIFT = 20
+
+_LOW = np.uint64(0xFFFFFFFF)
+_DELTA = [[next(d for d in range(PERIOD) if (a + d) % PERIOD in COVER and (b + d) % PERIOD in COVER) for b in range(PERIOD)] for a in range(PERIOD)]
+_FLAGS = pa.schema([("doc", pa.int64()), ("lo", pa.binary()), ("hi", pa.binary()), ("at", pa.binary())])
+
+
+# --------------------------------------------------------------------------- suffix sorting
+
+
+def words8(x: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position on as a big-endian number; zeros follow the end."""
+    pad = np.zeros(len(x) + 8, np.uint8)
+    pad[: len(x)] = x
+    view = np.lib.stride_tricks.as_strided(pad, (len(x), 8), (1, 1))
+    return np.ascontiguousarray(view).view(">u8").ravel().astype(np.uint64)
+
+
+def cover_ranks(w8: np.ndarray, depth: int = LENGTH) -> np.ndarray:
+    """For each position of the difference cover its rank by at least ``depth`` bytes (ties share a
+    rank); -1 elsewhere and after the end."""
+    n = len(w8)
+    at = np.flatnonzero(np.isin(np.arange(n) % PERIOD, COVER))
+    rank = np.full(n + 8 * PERIOD * 8, -1, np.int64)
+    rank[at] = np.unique(w8[at] >> np.uint64(8), return_inverse=True)[1]
+    step = PERIOD
+    while step < depth:
+        pair = rank[at] * (n + 2) + rank[at + step] + 1
+        rank[at] = np.unique(pair, return_inverse=True)[1]
+        step *= 2
+    return rank
+
+
+def sort_suffixes(x: np.ndarray, starts: np.ndarray, most: int = SUFFIXES):
+    """The given suffixes in the order of their first ``LENGTH`` bytes, one bucket of first bytes at a time."""
+    w8 = words8(x)
+    rank = cover_ranks(w8)
+    head = w8[starts] >> np.uint64(8)
+    order = np.argsort(head, kind="stable")
+    starts, head = starts[order], head[order]
+    at = 0
+    while at < len(starts):
+        end = min(at + most, len(starts))
+        while end < len(starts) and head[end] == head[end - 1]:
+            end = int(np.searchsorted(head, head[end], side="right"))
+        yield w8, resolve(starts[at:end], head[at:end], rank)
+        at = end
+
+
+def resolve(starts: np.ndarray, head: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Sort one bucket: by the first bytes, then by the cover's ranks. Suffixes of two residues are
+    compared at the offset that moves both into the cover."""
+    group = np.zeros(len(starts), np.int64)
+    np.cumsum(head[1:] != head[:-1], out=group[1:])
+    group <<= 32
+    residue = starts % PERIOD
+    classes = [np.flatnonzero(residue == r) for r in range(PERIOD)]
+    place = np.zeros(len(starts), np.int64)
+    for a, mine in enumerate(classes):
+        for b, other in enumerate(classes):
+            if len(mine) and len(other):
+                d = _DELTA[a][b]
+                there = np.sort(group[other] + rank[starts[other] + d] + 1)
+                place[mine] += np.searchsorted(there, group[mine] + rank[starts[mine] + d] + 1)
+    return starts[np.argsort(place, kind="stable")]
+
+
+def repeats(x: np.ndarray, starts: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """The starts whose string also starts in a smaller document; docs has the document of each byte of x."""
+    out = []
+    for w8, order in sort_suffixes(x, starts):
+        same = np.ones(max(len(order) - 1, 0), bool)
+        for o in (*range(0, LENGTH - 7, 8), LENGTH - 8):
+            same &= w8[order[1:] + o] == w8[order[:-1] + o]
+        runs = np.flatnonzero(np.concatenate([[True], ~same]))
+        low = np.repeat(np.minimum.reduceat(docs[order], runs), np.diff(np.append(runs, len(order))))
+        out.append(order[docs[order] > low])
+    return np.concatenate(out) if out else np.empty(0, np.int64)
+
+
+# --------------------------------------------------------------------------- anchors
+
+
+def anchors(data: np.ndarray, offs: np.ndarray):
+    """(anchor, first string, last string, anchor hash, context hash) of all anchors in a slice."""
+    n = len(data)
+    empty = np.empty(0, np.int64)
+    if n < LENGTH:
+        return empty, empty, empty, empty.view(np.uint64), empty.view(np.uint32)
+    c = prefix_hash(data)
+    at = np.arange(n - ANCHOR + 1)
+    h = span_hash(c, at, at + ANCHOR)
+    low = (h & ~_LOW) | at.astype(np.uint64)
+    for size in (1, 2, 4, 8, 16):
+        low = np.minimum(low[:-size], low[size:])
+    low = np.minimum(low[: n - LENGTH + 1], low[SPAN - 32 : SPAN - 32 + n - LENGTH + 1])
+    past = np.zeros(n + 1, np.int32)
+    np.add.at(past, np.maximum(offs[:-1], offs[1:] - LENGTH + 1), 1)
+    np.add.at(past, offs[1:], -1)
+    s = np.flatnonzero(np.cumsum(past[: n - LENGTH + 1]) == 0)
+    if not len(s):
+        return empty, empty, empty, empty.view(np.uint64), empty.view(np.uint32)
+    a = (low[s] & _LOW).astype(np.int64)
+    cut = np.flatnonzero(np.diff(a)) + 1
+    first, last = s[np.append(0, cut)], s[np.append(cut - 1, len(s) - 1)]
+    a = a[np.append(0, cut)]
+    context = fmix(span_hash(c, first, last + LENGTH) + (a - first).astype(np.uint64))
+    return a, first, last, h[a], (context >> np.uint64(32)).astype(np.uint32)
+
+
+def _by_doc(doc: np.ndarray, *arrays: np.ndarray):
+    """(document, part of each array) of each document."""
+    order = np.argsort(doc, kind="stable")
+    doc, arrays = doc[order], [a[order] for a in arrays]
+    cut = np.flatnonzero(np.diff(doc)) + 1
+    for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(doc)], strict=True):
+        if hi > lo:
+            yield (int(doc[lo]), *(a[lo:hi] for a in arrays))
+
+
+def _covered(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+    """(document, starts, ends) with overlapping spans of a document joined."""
+    for d, a, b in _by_doc(doc, lo, hi):
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], np.maximum.accumulate(b[order])
+        new = np.append(True, a[1:] > b[:-1])
+        ends = b[np.append(np.flatnonzero(new)[1:] - 1, len(b) - 1)]
+        yield d, a[new].astype(np.uint32), ends.astype(np.uint32)
+
+
+class _Held:
+    """Anchor records of a task until they are written: key, context, document and place (the
+    anchor's position and the distances back to its first and last string)."""
+
+    kinds = (np.uint64, np.uint32, np.int64, np.uint64)
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.n = 0
+
+    def add(self, *arrays: np.ndarray) -> None:
+        self.parts.append(arrays)
+        self.n += len(arrays[0])
+
+    def take(self) -> list[np.ndarray]:
+        out = [np.concatenate([p[k] for p in self.parts]) if self.parts else np.empty(0, kind) for k, kind in enumerate(self.kinds)]
+        self.parts, self.n = [], 0
+        return out
+
+
+def collapse(key, context, doc, place, shift: int):
+    """Sort the records by key, context and document; which of them lie in a larger document than
+    an equal context does."""
+    order = np.lexsort((doc, context, key))
+    key, context, doc, place = key[order], context[order], doc[order], place[order]
+    first = np.ones(len(key), bool)
+    first[1:] = (key[1:] != key[:-1]) | (context[1:] != context[:-1])
+    starts = np.flatnonzero(first)
+    low = np.repeat(doc[starts] >> shift, np.diff(np.append(starts, len(key)))) if len(key) else doc
+    return key, context, doc, place, doc >> shift > low
+
+
+def _spans(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first string, last string) of packed places."""
+    at = (place >> np.uint64(12)).astype(np.int64)
+    return at, at - (place >> np.uint64(6) & np.uint64(63)).astype(np.int64), at - (place & np.uint64(63)).astype(np.int64)
+
+
+def _emit(batches, buckets: int, shift: int):
+    schema = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("key", pa.binary()), ("context", pa.binary()), ("docs", pa.binary()), ("place", pa.binary()), ("lo", pa.binary()), ("hi", pa.binary())])
+    held = _Held()
+
+    def flush():
+        key, context, doc, place, again = collapse(*held.take(), shift)
+        rows = []
+        if again.any():
+            _, first, last = _spans(place[again])
+            for d, lo, hi in _covered(doc[again], first, last + LENGTH):
+                rows.append((d % buckets, d, None, None, None, None, lo.tobytes(), hi.tobytes()))
+        keep = ~again
+        key, context, doc, place = key[keep], context[keep], doc[keep], place[keep]
+        bucket = (fmix(key) % np.uint64(buckets)).astype(np.int64)
+        for b, *parts in _by_doc(bucket, key, context, doc, place):
+            rows.append((b, None, *(p.tobytes() for p in parts), None, None))
+        for i in range(0, len(rows), 256):
+            part = rows[i : i + 256]
+            yield pa.record_batch([pa.array([r[k] for r in part], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    for b in batches:
+        ids = b.column(0).to_numpy()
+        data, offs = raw_text(b.column(1))
+        for i, j in slices(offs):
+            part = offs[i : j + 1] - offs[i]
+            a, first, last, key, context = anchors(data[offs[i] : offs[j]], part)
+            if len(a):
+                row = np.searchsorted(part, a, side="right") - 1
+                at = (a - part[row]).astype(np.uint64)
+                place = at << np.uint64(12) | (a - first).astype(np.uint64) << np.uint64(6) | (a - last).astype(np.uint64)
+                held.add(key, context, ids[i:j][row], place)
+        if held.n > FLUSH:
+            yield from flush()
+    if held.n:
+        yield from flush()
+
+
+def _join(table: pa.Table, name: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(x for x in table.column(name).to_pylist() if x), kind)
+
+
+def _collapse_bucket(table: pa.Table, shift: int) -> pa.Table:
+    """Repeats by equal contexts, and the anchors that share their key with other contexts."""
+    rows = [(d, lo, hi, None) for d, lo, hi in zip(*(table.column(c).to_pylist() for c in ("doc", "lo", "hi")), strict=True) if d is not None]
+    key, context, doc, place, again = collapse(*(_join(table, c, k) for c, k in zip(("key", "context", "docs", "place"), _Held.kinds, strict=True)), shift)
+    if again.any():
+        _, first, last = _spans(place[again])
+        rows += [(d, lo.tobytes(), hi.tobytes(), None) for d, lo, hi in _covered(doc[again], first, last + LENGTH)]
+    keep = ~again
+    key, context, doc, place = key[keep], context[keep], doc[keep], place[keep]
+    if len(key):
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        lens = np.diff(np.append(starts, len(key)))
+        order = doc >> shift
+        mixed = (np.minimum.reduceat(order, starts) != np.maximum.reduceat(order, starts)) & (np.minimum.reduceat(context, starts) != np.maximum.reduceat(context, starts))
+        mixed = np.repeat(mixed, lens)
+        rows += [(d, None, None, p.tobytes()) for d, p in _by_doc(doc[mixed], place[mixed])]
+    return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_FLAGS)], schema=_FLAGS)
+
+
+# --------------------------------------------------------------------------- contexts
+
+
+def _contexts(batches, buckets: int):
+    """Both sides of each anchor's context, as blobs by bucket of their 33-byte keys."""
+    schema = pa.schema([("bucket", pa.int32()), ("key", pa.binary()), ("docs", pa.binary()), ("at", pa.binary()), ("n", pa.binary()), ("text", pa.binary())])
+    held: list[tuple[np.ndarray, ...]] = []
+    texts: list[bytes] = []
+    size = 0
+
+    def flush():
+        key, doc, at, n = (np.concatenate([h[k] for h in held]) for k in range(4))
+        bucket = (fmix(key) % np.uint64(buckets)).astype(np.int64)
+        rows = []
+        for b, k, d, a, m, i in _by_doc(bucket, key, doc, at, n, np.arange(len(key))):
+            rows.append((b, k.tobytes(), d.tobytes(), a.tobytes(), m.tobytes(), b"".join(texts[x] for x in i.tolist())))
+        for i in range(0, len(rows), 256):
+            part = rows[i : i + 256]
+            yield pa.record_batch([pa.array([r[k] for r in part], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    for b in batches:
+        data, offs = raw_text(b.column(1))
+        raw = data.tobytes()
+        for i, (doc, places) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
+            at, first, last = _spans(np.frombuffer(b"".join(places), np.uint64))
+            mine = data[offs[i] : offs[i + 1]]
+            c = prefix_hash(mine)
+            for left in (False, True):
+                lo = first if left else np.maximum(first, at - BESIDE)
+                hi = np.minimum(last, at - BESIDE - 1) if left else last
+                ok = hi >= lo
+                lo, hi, a = lo[ok], hi[ok], at[ok]
+                if not len(lo):
+                    continue
+                key = span_hash(c, a - BESIDE, a + ANCHOR) if left else ~span_hash(c, a, a + ANCHOR + BESIDE)
+                held.append((key, np.full(len(lo), doc, np.int64), lo.astype(np.uint32), (hi - lo + 1).astype(np.uint8)))
+                base = int(offs[i])
+                texts += [raw[base + x : base + y + LENGTH] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
+                size += int((hi - lo + 1 + LENGTH).sum())
+        if size > 16 << 20:
+            yield from flush()
+            held, texts, size = [], [], 0
+    if held:
+        yield from flush()
+
+
+def _sort_bucket(table: pa.Table, shift: int) -> pa.Table:
+    key, doc, at, n = (_join(table, c, k) for c, k in (("key", np.uint64), ("docs", np.int64), ("at", np.uint32), ("n", np.uint8)))
+    x = _join(table, "text", np.uint8)
+    size = n.astype(np.int64) + LENGTH - 1
+    offs = np.zeros(len(key) + 1, np.int64)
+    np.cumsum(size, out=offs[1:])
+    order = np.lexsort((doc, key))
+    rows: list[tuple] = []
+    if len(order):
+        k, o = key[order], doc[order] >> shift
+        starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        lens = np.diff(np.append(starts, len(k)))
+        mixed = np.minimum.reduceat(o, starts) != np.maximum.reduceat(o, starts)
+        group = np.repeat(np.arange(len(starts)), lens)[np.repeat(mixed, lens)]
+        order = order[np.repeat(mixed, lens)]
+        # Whole groups, about PIECE bytes at a time.
+        total = np.cumsum(size[order])
+        i = 0
+        while i < len(order):
+            j = int(np.searchsorted(total, (total[i - 1] if i else 0) + PIECE, side="right"))
+            j = int(np.searchsorted(group, group[min(max(j, i + 1), len(group)) - 1], side="right"))
+            of = order[i:j]
+            rows += _sort_piece(x, offs, of, doc, at, n, size, shift)
+            i = j
+    return pa.table([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(_FLAGS)], schema=_FLAGS)
+
+
+def _sort_piece(x, offs, of, doc, at, n, size, shift: int):
+    text = np.concatenate([x[offs[i] : offs[i + 1]] for i in of.tolist()])
+    start = np.zeros(len(of), np.int64)
+    np.cumsum(size[of][:-1], out=start[1:])
+    windows = np.arange(int(n[of].sum())) + np.repeat(start - (np.cumsum(n[of].astype(np.int64)) - n[of]), n[of])
+    found = repeats(text, windows, np.repeat(doc[of] >> shift, size[of]))
+    row = np.searchsorted(start, found, side="right") - 1
+    lo = at[of][row].astype(np.int64) + found - start[row]
+    return [(d, a.tobytes(), b.tobytes(), None) for d, a, b in _covered(doc[of][row], lo, lo + LENGTH)]
+
+
+# --------------------------------------------------------------------------- the operator
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row; ``kept`` is the text
+    that is left, as binary.
+
+    Texts are UTF-8 bytes (null: empty) and matches never cross rows. Every byte covered by a
+    50-byte string that also starts in a row with a smaller id is removed; strings are judged on the
+    input. Texts under 50 bytes are left alone. Rows with the same id don't remove from each other;
+    a null id is larger than all others. An empty table gives an empty table; other columns are
+    ignored. Ids must lie within +-2**42 where some are null or repeated."""
+    spark = docs.sparkSession
+    tune(spark)
+    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    stats = docs.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d"), F.sum(F.octet_length("t")).alias("b")).first()
+    shift = 0 if stats["n"] == stats["d"] else SHIFT
+    if shift:
+        nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("t"), "t")) - 1
+        docs = materialize(docs.withColumn("doc", F.coalesce("doc_id", F.lit(1 << 42)) * F.lit(1 << SHIFT) + nth), "keyed")
+    else:
+        docs = docs.withColumn("doc", F.col("doc_id"))
+    size = int(stats["b"] or 0)
+    buckets = max(128, -(-(size * 28 // 18) // BUCKET_BYTES))
+
+    sent = docs.select("doc", "t").mapInArrow(lambda b: _emit(b, buckets, shift), "bucket int, doc bigint, key binary, context binary, docs binary, place binary, lo binary, hi binary")
+    flags = "doc bigint, lo binary, hi binary, at binary"
+    found = materialize(sent.groupBy("bucket").applyInArrow(lambda t: _collapse_bucket(t, shift), flags), "collapsed")
+    wanted = found.where("at is not null").groupBy("doc").agg(F.collect_list("at").alias("at"))
+    sides = docs.select("doc", "t").join(wanted, "doc").select("doc", "t", "at").mapInArrow(lambda b: _contexts(b, buckets), "bucket int, key binary, docs binary, at binary, n binary, text binary")
+    more = materialize(sides.groupBy("bucket").applyInArrow(lambda t: _sort_bucket(t, shift), flags), "sorted")
+    spans = found.where("lo is not null").unionByName(more).groupBy("doc").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+
+    def cut(batches):
+        for b in batches:
+            data, offs = raw_text(b.column(1))
+            n, gone, parts, kept = [], [], [], []
+            for i, (lo, hi) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                text = data[offs[i] : offs[i + 1]]
+                n.append(len(text))
+                if not lo:
+                    gone.append(0)
+                    parts.append(0)
+                    kept.append(text.tobytes())
+                    continue
+                edge = np.zeros(len(text) + 1, np.int32)
+                np.add.at(edge, np.frombuffer(b"".join(lo), np.uint32), 1)
+                np.add.at(edge, np.frombuffer(b"".join(hi), np.uint32), -1)
+                out = np.cumsum(edge[:-1]) > 0
+                gone.append(int(out.sum()))
+                parts.append(int(out[0]) + int((out[1:] & ~out[:-1]).sum()))
+                kept.append(text[~out].tobytes())
+            yield pa.record_batch(
+                [b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(parts, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array(kept, pa.binary())],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+            )
+
+    rows = docs.join(spans, "doc", "left").select("doc_id", "t", "lo", "hi")
+    return rows.mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
