@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, k: int = 5,
     large = members.groupBy("tile").count().where(F.col("count") > TILE).select("tile", F.ceil(F.col("count") / TILE).cast("int").alias("parts"))
     pieces = _pieces(members.join(large, "tile", "left"), "tile", members)
     pieces = pieces.join(classes.select("uid", "n", "map"), "uid")
-    groups = max(128, int(math.sqrt(max(total, 1)) // 8))
+    groups = max(128, total >> 20)
     plain = pieces.withColumn("g", F.pmod("piece", F.lit(groups)).cast("int"))
     edges = plain.select("g", "piece", "uid", "n", "map").groupBy("g").applyInArrow(lambda t: _trees(t, num, den), "a bigint, b bigint")
     roots = materialize(connected_components(edges, tag="plausible"), "plausible")
