@@ -52,9 +52,10 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    del df  # the finished plan holds its shuffle files; callers pass it without keeping it
     release(spark)
-    return back
+    return spark.read.schema(schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
