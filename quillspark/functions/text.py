@@ -89,7 +89,7 @@ def normalize_quote(c: Column) -> Column:
 def contains_words(text: Column, quote: Column) -> Column:
     """The quote occurs in the text and is not cut out of a longer word or number."""
     literal = F.concat(F.lit("\\Q"), F.replace(quote, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    return text.rlike(F.concat(F.lit(rf"(?<![{W}])"), literal, F.lit(rf"(?![{W}])")))
+    return F.rlike(text, F.concat(F.lit(rf"(?<![{W}])"), literal, F.lit(rf"(?![{W}])")))
 
 
 def cells(line: Column) -> Column:

@@ -51,8 +51,9 @@ def l2_vector_search(spark, d):
 
 def _hashed(spark, d):
     chunks = _chunks(spark, d)
-    vectors = chunks.select("chunk_id", ops.hashed_vector(F.col("text")).alias("vector"))
-    questions = t.questions(spark, d).select("question_id", "question", ops.hashed_vector(F.col("question")).alias("vector"))
+    vectors = ops.hashed_vectors(chunks, "chunk_id", "text")
+    asked = t.questions(spark, d)
+    questions = asked.join(ops.hashed_vectors(asked, "question_id", "question"), "question_id")
     return questions, chunks, vectors
 
 
@@ -87,7 +88,7 @@ def l7_vector_health(spark, d):
 
 
 def a16_hashed_vectors(spark, d):
-    v = _chunks(spark, d).select("chunk_id", ops.hashed_vector(F.col("text")).alias("v"))
+    v = ops.hashed_vectors(_chunks(spark, d), "chunk_id", "text").withColumnRenamed("vector", "v")
     return v.select("chunk_id", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.array_max("v"), 6).alias("largest"))
 
 
@@ -129,11 +130,14 @@ BM = f"""{t.QUESTIONS_SQL}, {TOK}, stats AS (SELECT count(*) AS n, coalesce(null
     df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
     kw AS (SELECT question_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / a))), 6) AS bm25_score
            FROM qt JOIN post USING (term) JOIN df USING (term), stats GROUP BY question_id, chunk_id)"""
-HASH = """list_transform(range(64), lambda i: CAST(len(list_filter({0}, lambda w: list_sum(list_transform(list_filter(string_split(w, ''), lambda c: c <> ''), lambda c: ord(c))) % 64 = i)) AS DOUBLE))"""
-UNIT = "list_transform({0}, lambda x: CASE WHEN list_sum(list_transform({0}, lambda y: y * y)) > 0 THEN x / sqrt(list_sum(list_transform({0}, lambda y: y * y))) ELSE 0 END)"
-HYBRID = f"""WITH {BM}, dc AS (SELECT chunk_id, {HASH.format('t')} AS h FROM tok), dv AS (SELECT chunk_id, {UNIT.format('h')} AS v FROM dc),
-    qc AS (SELECT question_id, {HASH.format(TOKENS.format('question'))} AS h FROM questions WHERE trim(question) <> ''), qv AS (SELECT question_id, {UNIT.format('h')} AS v FROM qc),
-    s AS (SELECT question_id, chunk_id, round({DOT.format('qv.v', 'dv.v')}, 6) AS similarity FROM qv, dv),
+def _slots(name: str, key: str, rows: str) -> str:
+    """Unit vectors of (key, t array of tokens) rows as sparse (key, slot, v)."""
+    return f"""{name}_c AS (SELECT {key}, slot, count(*) AS c FROM (SELECT {key}, list_sum(list_transform(string_split(w, ''), lambda x: ord(x))) % 64 AS slot FROM (SELECT {key}, unnest(t) AS w FROM {rows})) GROUP BY ALL),
+    {name} AS (SELECT {key}, slot, c / sqrt(sum(c * c) OVER (PARTITION BY {key})) AS v FROM {name}_c)"""
+
+
+HYBRID = f"""WITH {BM}, qtok AS (SELECT question_id, {TOKENS.format('question')} AS t FROM questions WHERE trim(question) <> ''), {_slots('dv', 'chunk_id', 'tok')}, {_slots('qv', 'question_id', 'qtok')},
+    s AS (SELECT q.question_id, k.chunk_id, round(coalesce(sum(qv.v * dv.v), 0), 6) AS similarity FROM qtok q CROSS JOIN tok k LEFT JOIN qv ON qv.question_id = q.question_id LEFT JOIN dv ON dv.chunk_id = k.chunk_id AND dv.slot = qv.slot GROUP BY ALL),
     j AS (SELECT s.*, coalesce(bm25_score, 0) AS bm25_score FROM s LEFT JOIN kw USING (question_id, chunk_id)),
     r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY similarity DESC, chunk_id) AS vector_rank,
           CASE WHEN bm25_score > 0 THEN row_number() OVER (PARTITION BY question_id ORDER BY bm25_score DESC, chunk_id) END AS bm25_rank FROM j)"""
@@ -158,7 +162,7 @@ ORACLES = {
     "l4_stale_vectors": "SELECT doc_id AS chunk_id FROM documents WHERE doc_id % 4 = 0 OR doc_id % 5 = 0",
     "l7_vector_health": f"""WITH v AS (SELECT vec_id AS chunk_id, CASE WHEN vec_id % 9 = 0 THEN list_transform(embedding, lambda x: x * 2) ELSE embedding END AS v FROM embeddings)
         SELECT chunk_id, round(sqrt({DOT.format('v', 'v')}), 4) AS norm, CASE WHEN chunk_id % 9 = 0 THEN 'norm' ELSE '' END AS problems FROM v""",
-    "a16_hashed_vectors": f"WITH {TOK}, dc AS (SELECT chunk_id, {HASH.format('t')} AS h FROM tok), dv AS (SELECT chunk_id, {UNIT.format('h')} AS v FROM dc) SELECT chunk_id, round(v[1], 6) AS first, round(list_max(v), 6) AS largest FROM dv",
+    "a16_hashed_vectors": f"WITH {TOK}, {_slots('dv', 'chunk_id', 'tok')} SELECT tok.chunk_id, round(coalesce(max(v) FILTER (slot = 0), 0), 6) AS first, round(coalesce(max(v), 0), 6) AS largest FROM tok LEFT JOIN dv USING (chunk_id) GROUP BY tok.chunk_id",
     "a17_tfidf": r"""WITH w AS (SELECT item_id AS chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM benchmark),
         x AS (SELECT chunk_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM w),
         c AS (SELECT chunk_id, term, count(*) AS tf FROM x GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM c GROUP BY term), n AS (SELECT count(*) AS n FROM benchmark),

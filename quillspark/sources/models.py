@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.retrieval import hashed_vector
+from ..operators.retrieval import hashed_vectors
 from ..session import ship
 
 
@@ -21,7 +21,7 @@ class Encoder(Protocol):
     dims: int
 
     def encode(self, rows: DataFrame, text_col: str) -> DataFrame:
-        """The rows with ``vector``."""
+        """The rows, identified by their first column, with ``vector``."""
 
 
 class HashedEncoder:
@@ -33,7 +33,8 @@ class HashedEncoder:
         self.dims = dims
 
     def encode(self, rows: DataFrame, text_col: str = "text") -> DataFrame:
-        return rows.withColumn("vector", hashed_vector(F.col(text_col), self.dims))
+        key = rows.columns[0]
+        return rows.join(hashed_vectors(rows, key, text_col, self.dims), key)
 
 
 class FunctionEncoder:
