@@ -24,8 +24,10 @@ FEATURES = 4000
 SIGNIFICANT = 4.0
 #: Bytes of the word beginnings that serve as features beside the whole words.
 PREFIXES = (4, 5, 6)
-#: Rows at or above this probability of a grade over 0 are rejected.
-REJECT = 0.5
+#: A feature occurs in so many labelled rows at least.
+LEAST_ROWS = 5
+#: Penalty of the squared weights against the mean log likelihood.
+L2 = 5e-4
 
 _ASCII = bytes(c if chr(c).isalpha() or c > 127 else 32 for c in range(256))
 _WORDS = 400_000
@@ -43,8 +45,12 @@ def features(word: bytes) -> list[bytes]:
 
 @dataclass
 class Model:
+    """Weights of features, ordered thresholds, and the probability of a grade over 0 at and above
+    which a row counts as toxic."""
+
     weights: dict[bytes, float]
     thresholds: list[float]
+    cut: float = 0.5
 
     def score(self, x: float) -> tuple[float, int, float]:
         """(expected severity, most probable grade, probability of a grade over 0)."""
@@ -53,7 +59,7 @@ class Model:
         return float(sum(over)), int(np.argmax(p)), float(over[0]) if over else 0.0
 
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_cols: int, weight: np.ndarray | None = None, l2: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_cols: int, weight: np.ndarray | None = None, l2: float = 1e-5, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds for binary features given as (row, column) entries.
 
     Full-batch Adam on the penalised likelihood; thresholds are a first value and positive
@@ -82,7 +88,7 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_cols:
         gx = dhi - dlo  # derivative of the negative log likelihood by x
         gt = np.bincount(low, dlo * (grades > 0), k) - np.bincount(up, dhi * (grades < k), k)
         g = np.empty_like(p)
-        g[:n_cols] = np.bincount(cols, gx[rows], n_cols) + l2 * p[:n_cols] / max(n_cols, 1)
+        g[:n_cols] = np.bincount(cols, gx[rows], n_cols) + l2 * p[:n_cols]
         tail = np.cumsum(gt[::-1])[::-1]
         g[n_cols] = tail[0]
         g[n_cols + 1 :] = tail[1:] * steps_up
@@ -102,7 +108,7 @@ def select(found: list[list[bytes]], toxic: np.ndarray, most: int = FEATURES, le
     z = {}
     for f, n in a.items():
         m = b.get(f, 0)
-        if n + m >= 3:
+        if n + m >= LEAST_ROWS:
             parts = (n + 0.5, na - n + 0.5, m + 0.5, nb - m + 0.5)
             s = (np.log(parts[0] / parts[1]) - np.log(parts[2] / parts[3])) / np.sqrt(sum(1 / x for x in parts))
             if abs(s) >= least:
@@ -120,8 +126,24 @@ def fit(texts: list[list[bytes]], grades: np.ndarray, weight: np.ndarray | None
         hit = [index[f] for f in x if f in index]
         rows += [r] * len(hit)
         cols += hit
-    w, theta = fit_ordinal(np.array(rows, np.int64), np.array(cols, np.int64), grades, len(index), weight)
-    return Model({f: float(w[i]) for f, i in index.items()}, [float(t) for t in theta])
+    w, theta = fit_ordinal(np.array(rows, np.int64), np.array(cols, np.int64), grades, len(index), weight, L2)
+    model = Model({f: float(w[i]) for f, i in index.items()}, [float(t) for t in theta])
+    x = np.bincount(np.array(rows, np.int64), w[np.array(cols, np.int64)], len(grades)) if rows else np.zeros(len(grades))
+    model.cut = best_cut(np.array([model.score(float(v))[2] for v in x]), grades > 0)
+    return model
+
+
+def best_cut(p: np.ndarray, toxic: np.ndarray) -> float:
+    """The probability that best divides the labelled rows (most of the toxic less of the others); the
+    penalty keeps probabilities low, so a half would miss rows with a single toxic word."""
+    if not 0 < toxic.sum() < len(toxic):
+        return 0.5
+    order = np.argsort(-p, kind="stable")
+    gain = np.cumsum(toxic[order]) / toxic.sum() - np.cumsum(~toxic[order]) / (~toxic).sum()
+    ends = np.append(np.flatnonzero(np.diff(p[order])), len(p) - 1)
+    best = ends[int(np.argmax(gain[ends]))]
+    below = p[order][best + 1] if best + 1 < len(p) else 0.0
+    return float(max(np.sqrt(p[order][best] * below), below + 1e-9))
 
 
 def severity_grades(texts: list[list[bytes]], toxic: np.ndarray) -> np.ndarray:
@@ -187,7 +209,7 @@ class Scorer:
 
 def grade(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, severity, grade, p_toxic, toxic) of every row: expected severity, most probable
-    grade, probability of a grade over 0, and whether that reaches ``REJECT``.
+    grade, probability of a grade over 0, and whether that reaches the model's cut.
 
     Null and empty texts have no features and get the score of the thresholds alone; null and
     repeated ids are carried through; other columns are ignored; an empty table gives an empty
@@ -200,14 +222,14 @@ def grade(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         scorer = Scorer(held.value)
         for b in batches:
             out = [scorer.score(t) for t in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.float64()), pa.array([x[2] >= REJECT for x in out], pa.bool_())], names=["doc_id", "severity", "grade", "p_toxic", "toxic"])
+            yield pa.record_batch([b.column(0), pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.float64()), pa.array([x[2] >= held.value.cut for x in out], pa.bool_())], names=["doc_id", "severity", "grade", "p_toxic", "toxic"])
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, severity double, grade int, p_toxic double, toxic boolean")
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose probability of a grade over 0 is below ``REJECT``."""
+    """The rows, with all their columns, whose probability of a grade over 0 is below the model's cut."""
     tune(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
@@ -215,6 +237,6 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     def run(batches):
         scorer = Scorer(held.value)
         for b in batches:
-            yield b.filter(pa.array([scorer.score(t)[2] < REJECT for t in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([scorer.score(t)[2] < held.value.cut for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
