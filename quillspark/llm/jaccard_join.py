@@ -35,7 +35,7 @@ BUCKET_ENTRIES = 1 << 19
 #: Estimated sets with a token above which its tile is dealt to several buckets.
 HOT_TOKEN = 1 << 18
 #: Sets of a tile compared in one piece; a larger tile is compared in pairs of pieces.
-TILE = 256
+TILE = 1024
 #: The same for super-tiles: from the first number of sets, grown up to the second with the tile.
 BLOCK_MIN, BLOCK_MAX, BLOCK_SHARE = 64, 1024, 32
 
