@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -45,22 +46,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, large: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at replicated files, so a
-    lost executor costs a re-read and not a recomputation. Shuffle files of the finished part are
-    released."""
+    lost executor costs a re-read and not a recomputation. After a ``large`` step, shuffle files that
+    no live plan refers to are released; callers pass ``df`` without keeping it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     schema = df.schema
-    del df  # the finished plan holds its shuffle files; callers pass it without keeping it
-    release(spark)
+    del df
+    if large:
+        release(spark)
     return spark.read.schema(schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files and broadcasts that no live plan refers to."""
+    """Let Spark's cleaner drop the shuffle files and broadcasts that no live plan refers to. The
+    gateway tells the JVM of dropped Python references about once a second."""
     gc.collect()
+    time.sleep(1.2)
     spark.sparkContext._jvm.System.gc()
 
 

@@ -176,7 +176,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             found = [hashlib.sha256(normalise(t)).digest() for t in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(found, pa.binary())], names=["doc_id", "sha"])
 
-    classes = materialize(exact_classes(docs, id_col, text_col, budget), "exact")
+    classes = materialize(exact_classes(docs, id_col, text_col, budget), "exact", large=True)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(digests, "doc_id bigint, sha binary")
     joined = rows.join(classes, "sha").withColumn("low", F.col("doc_id").eqNullSafe(F.col("keep_id")))
     if classes.where("ties > 1").isEmpty():

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, fmix, materialize, shingle_sets, tune
+from .common import connected_components, fmix, materialize, release, shingle_sets, tune
 
 #: Buckets of the frequency estimate, and groups in which it is added up. Broadcast size: 2**20 bytes.
 FREQ_BITS, FREQ_GROUPS = 20, 64
@@ -168,9 +168,11 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, k: int = 5,
 
     # ------------------------------------------------ tiles
     buckets = max(128, -(-total // (4 * BUCKET_ENTRIES)))
-    entries = docs.mapInArrow(lambda b: _prefixes(b, k, salt, num, den, levels.value, buckets), "bucket int, token binary, uid binary, n binary")
-    members = entries.groupBy("bucket").applyInArrow(lambda t: _tiles(t, num, den, levels.value), "uid bigint, tiles array<bigint>")
-    members = materialize(members.select("uid", F.explode("tiles").alias("tile")).distinct(), "tiles")
+    entry = "bucket int, token binary, uid binary, n binary"
+    members = docs.mapInArrow(lambda b: _prefixes(b, k, salt, num, den, levels.value, buckets), entry).groupBy("bucket").applyInArrow(lambda t: _tiles(t, num, den, levels.value), "uid bigint, tiles array<bigint>")
+    tiles = materialize(members.select("uid", F.explode("tiles").alias("tile")).distinct(), "tiles")
+    members = tiles  # the plan that made them is dropped, and its shuffle files with it
+    release(spark)
 
     # ------------------------------------------------ bitmaps: plausible pairs hold super-tiles together
     large = members.groupBy("tile").count().where(F.col("count") > TILE).select("tile", F.ceil(F.col("count") / TILE).cast("int").alias("parts"))
@@ -189,8 +191,10 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, k: int = 5,
         named = docs.where("doc_id is null")
         keyed = named.mapInArrow(lambda b: _keys(b, k, salt), "key binary, t string").dropDuplicates(["key"])
         texts = texts.select("t", "node", "root", "copies", "key").unionByName(keyed.join(orphans, "key").select("t", "node", "root", "copies", "key"))
-    arrays = texts.select("t", "node", "root", "copies", "key").mapInArrow(lambda b: _arrays(b, k, salt), "uid bigint, root bigint, copies bigint, arr binary").dropDuplicates(["uid"])
-    arrays = materialize(arrays, "arrays")
+    texts = texts.select("t", "node", "root", "copies", "key").mapInArrow(lambda b: _arrays(b, k, salt), "uid bigint, root bigint, copies bigint, arr binary")
+    arrays = materialize(texts.dropDuplicates(["uid"]), "arrays")
+    del texts
+    release(spark)
     tall = arrays.groupBy("root").count().where(F.col("count") > BLOCK_MIN)
     size = F.least(F.greatest(F.ceil(F.col("count") / BLOCK_SHARE), F.lit(BLOCK_MIN)), F.lit(BLOCK_MAX))
     tall = tall.select("root", F.ceil(F.col("count") / size).cast("int").alias("parts"))

@@ -379,10 +379,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # files of one step are gone when the next one's are made.
     sent = "bucket int, doc bigint, key binary, context binary, docs binary, place binary, lo binary, hi binary"
     flags = "doc bigint, lo binary, hi binary, at binary"
-    found = materialize(docs.select("doc", "t").mapInArrow(lambda b: _emit(b, buckets, shift), sent).groupBy("bucket").applyInArrow(lambda t: _collapse_bucket(t, shift), flags), "collapsed")
+    found = materialize(docs.select("doc", "t").mapInArrow(lambda b: _emit(b, buckets, shift), sent).groupBy("bucket").applyInArrow(lambda t: _collapse_bucket(t, shift), flags), "collapsed", large=True)
     wanted = found.where("at is not null").groupBy("doc").agg(F.collect_list("at").alias("at"))
     sides = "bucket int, key binary, docs binary, at binary, n binary, text binary"
-    more = materialize(docs.select("doc", "t").join(wanted, "doc").select("doc", "t", "at").mapInArrow(lambda b: _contexts(b, buckets), sides).groupBy("bucket").applyInArrow(lambda t: _sort_bucket(t, shift), flags), "sorted")
+    more = materialize(docs.select("doc", "t").join(wanted, "doc").select("doc", "t", "at").mapInArrow(lambda b: _contexts(b, buckets), sides).groupBy("bucket").applyInArrow(lambda t: _sort_bucket(t, shift), flags), "sorted", large=True)
     spans = found.where("lo is not null").unionByName(more).groupBy("doc").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
 
     def cut(batches):
