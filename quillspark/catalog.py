@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import layouts, plans, registry, retrieval, texts
+from .queries import answers, layouts, plans, registry, retrieval, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _part in (registry, texts, layouts, retrieval, plans):
+for _part in (registry, texts, layouts, retrieval, answers, plans):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
