@@ -53,15 +53,14 @@ def p2_answer_status(spark, d):
 
 
 def h26_prompts(spark, d):
-    """Items 0 to 3 as the sources of each question."""
-    b = t.table(spark, d, "benchmark")
-    s = b.where("item_id < 4").select((F.col("item_id") + 1).alias("rank"), F.lit("bench").alias("document_name"), F.col("item_id").alias("page_number"), F.lit("text").alias("content_type"), "text")
-    q = t.questions(spark, d)
-    return citations.render_sources(s.crossJoin(F.broadcast(q)))
+    """An item and the one after it as the sources of each question."""
+    b = t.table(spark, d, "benchmark").select("item_id", "text", F.explode(F.array(F.lit(1), F.lit(2))).alias("rank"))
+    s = b.select((F.col("item_id") - F.col("rank") + 1).alias("question_id"), "rank", F.lit("bench").alias("document_name"), F.col("item_id").alias("page_number"), F.lit("text").alias("content_type"), "text")
+    return citations.render_sources(s.join(t.questions(spark, d), "question_id"))
 
 
 def l6_category_hits(spark, d):
-    """Vector hits of the ten probes by label as category: rank of the first other row of that label."""
+    """Vector hits of the probes by label as category: rank of the first other row of that label."""
     q, v = _probes(spark, d), _vectors(spark, d)
     s = retrieval.similarities(q, v)
     ranked = retrieval.fuse(s, s.select("question_id", "chunk_id", F.lit(0.0).alias("bm25_score")), 1 << 30, "vector").where("chunk_id <> question_id")
@@ -96,15 +95,16 @@ JUDGED = """c AS (SELECT item_id AS id, text, string_split(text, ' ') AS w FROM
     judged AS (SELECT c.id AS case_id, CASE WHEN status IS NULL THEN 'no result' WHEN c.id % 5 = 0 AND status <> 'not_found' THEN 'answered without evidence'
         WHEN c.id % 5 <> 0 AND status <> 'answered' THEN status WHEN c.id % 5 <> 0 AND g.id IS NULL THEN 'wrong chunk' END AS why FROM c LEFT JOIN r ON r.id = c.id LEFT JOIN g ON g.id = c.id)"""
 SIM = """v AS (SELECT vec_id AS id, embedding AS e, label FROM embeddings),
-    s AS (SELECT q.id AS question_id, q.label AS ql, v.id AS chunk_id, v.label, round(list_sum(list_transform(list_zip(q.e, v.e), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))), 6) AS similarity FROM v q, v WHERE q.id < 10)"""
+    s AS (SELECT q.id AS question_id, q.label AS ql, v.id AS chunk_id, v.label, round(list_sum(list_transform(list_zip(q.e, v.e), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))), 6) AS similarity FROM v q, v WHERE q.id % 50 = 0)"""
 ORACLES = {
     "l8_judge": f"WITH {JUDGED} SELECT case_id, why IS NULL AS passed, why FROM judged",
     "d18_qa_counts": f"WITH {JUDGED} SELECT count(*) FILTER (why IS NULL) AS passed, count(*) FILTER (why IS NOT NULL) AS failed, string_agg(CAST(case_id AS VARCHAR), ',' ORDER BY case_id) FILTER (why IS NOT NULL) AS redo FROM judged",
     "g5_missing_cases": "SELECT item_id AS case_id FROM benchmark WHERE item_id % 7 = 0",
     "p2_answer_status": """SELECT item_id AS question_id, CASE WHEN item_id % 6 = 0 THEN 'not_found' WHEN item_id % 4 = 0 THEN 'answered' ELSE 'unsupported' END AS status,
         CASE WHEN item_id % 6 = 0 THEN '' ELSE 'answer ' || item_id END AS answer FROM benchmark""",
-    "h26_prompts": f"""WITH {t.QUESTIONS_SQL}, s AS (SELECT string_agg('[' || (item_id + 1) || '] bench, page ' || item_id || ' (text)' || chr(10) || trim(text), chr(10) || chr(10) ORDER BY item_id) AS x FROM benchmark WHERE item_id < 4)
-        SELECT question_id, 'Sources:' || chr(10) || chr(10) || x || chr(10) || chr(10) || 'Question: ' || question AS prompt FROM questions, s""",
+    "h26_prompts": f"""WITH {t.QUESTIONS_SQL}, s AS (SELECT item_id - k + 1 AS question_id, k, item_id, text FROM benchmark, (VALUES (1), (2)) r(k))
+        SELECT question_id, 'Sources:' || chr(10) || chr(10) || string_agg('[' || k || '] bench, page ' || item_id || ' (text)' || chr(10) || trim(text), chr(10) || chr(10) ORDER BY k) || chr(10) || chr(10) || 'Question: ' || question AS prompt
+        FROM s JOIN questions USING (question_id) GROUP BY question_id, question""",
     "l6_category_hits": f"""WITH {SIM}, r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY similarity DESC, chunk_id) AS rank FROM s),
         f AS (SELECT question_id, ql, min(rank) AS first FROM r WHERE label = ql AND chunk_id <> question_id GROUP BY ALL)
         SELECT ql AS category, count(*) FILTER (first <= 4) AS hit_3, count(*) AS questions FROM f GROUP BY ql""",

@@ -108,9 +108,9 @@ def e11_pieces(spark, d):
 
 
 def j10_ocr_layout(spark, d):
-    """Lines as OCR segments, cut in two where they hold a bar."""
+    """Lines as OCR segments of one page each."""
     b = t.blocks(spark, d)
-    part = b.select("document_id", "page_number", "x0", "y0", "x1", F.col("y0").alias("top"), "text").select("document_id", "page_number", "x0", "y0", (F.col("x0") + 200.0).alias("x1"), (F.col("y0") + 12.0).alias("y1"), F.substring("text", 1, 80).alias("text"), F.lit(0.9).alias("confidence"))
+    part = b.select("document_id", "page_number", "x0", "y0", "x1", (F.col("y0") + 12.0).alias("y1"), "text", F.lit(0.9).alias("confidence"))
     return ocr_layout.ocr_layout(part).select("document_id", "page_number", "item_number", "kind", "text", "confidence")
 
 

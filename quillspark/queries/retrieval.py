@@ -20,8 +20,8 @@ def _vectors(spark, d):
 
 
 def _probes(spark, d):
-    """Vectors 0 to 9 as questions."""
-    return _vectors(spark, d).where("chunk_id < 10").select(F.col("chunk_id").alias("question_id"), "vector", F.col("label").alias("q_label"))
+    """Every vector whose id is divisible by 50 as a question."""
+    return _vectors(spark, d).where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("question_id"), "vector", F.col("label").alias("q_label"))
 
 
 def d6_postings(spark, d):
@@ -68,7 +68,7 @@ def l2_bm25_search(spark, d):
 
 
 def l5_evaluation(spark, d):
-    """Vector ranking of all rows for ten probes; rows with the probe's label are relevant."""
+    """Vector ranking of all rows for each probe; rows with the probe's label are relevant."""
     q, v = _probes(spark, d), _vectors(spark, d)
     s = ops.similarities(q, v)
     ranked = ops.fuse(s, s.select("question_id", "chunk_id", F.lit(0.0).alias("bm25_score")), 1 << 30, "vector").where("chunk_id <> question_id")
@@ -98,11 +98,11 @@ def a17_tfidf(spark, d):
 
 
 def _cache(spark, d):
-    """Vectors as stored queries (parameters by id), and the first twenty, slightly turned, as queries."""
+    """Vectors as stored queries (parameters by id), and every one whose id is divisible by 50 as a query."""
     e = t.table(spark, d, "embeddings")
     loc = F.array(F.concat(F.lit("city"), (F.col("label") % 3).cast("string")))
     stored = e.select(F.col("vec_id").alias("cache_id"), F.col("embedding").alias("vector"), F.when(F.col("vec_id") % 2 == 0, "2021").otherwise("latest").alias("timeframe"), loc.alias("locations"), F.array(F.lit("gdp"), F.lit("cpi")).alias("indicators"), (F.col("vec_id") % 2 == 0).alias("is_historical"), (F.col("vec_id") * 1000.0).alias("created_at"))
-    asked = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.when(F.col("vec_id") % 3 == 0, "2021").alias("q_timeframe"), loc.alias("q_locations"), F.array(F.lit("gdp")).alias("q_indicators"))
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.when(F.col("vec_id") % 3 == 0, "2021").alias("q_timeframe"), loc.alias("q_locations"), F.array(F.lit("gdp")).alias("q_indicators"))
     return stored, asked
 
 
@@ -141,10 +141,10 @@ HYBRID = f"""WITH {BM}, qtok AS (SELECT question_id, {TOKENS.format('question')}
     j AS (SELECT s.*, coalesce(bm25_score, 0) AS bm25_score FROM s LEFT JOIN kw USING (question_id, chunk_id)),
     r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY similarity DESC, chunk_id) AS vector_rank,
           CASE WHEN bm25_score > 0 THEN row_number() OVER (PARTITION BY question_id ORDER BY bm25_score DESC, chunk_id) END AS bm25_rank FROM j)"""
-PROBE = f"""v AS (SELECT vec_id AS chunk_id, embedding AS e, label FROM embeddings), q AS (SELECT chunk_id AS question_id, e AS qe, label AS ql FROM v WHERE chunk_id < 10),
+PROBE = f"""v AS (SELECT vec_id AS chunk_id, embedding AS e, label FROM embeddings), q AS (SELECT chunk_id AS question_id, e AS qe, label AS ql FROM v WHERE chunk_id % 50 = 0),
     s AS (SELECT question_id, chunk_id, label, ql, round({DOT.format('qe', 'e')}, 6) AS similarity FROM v, q)"""
 CACHE = f"""e AS (SELECT vec_id AS id, embedding AS v, 'city' || CAST(label % 3 AS VARCHAR) AS loc, CASE WHEN vec_id % 2 = 0 THEN '2021' ELSE 'latest' END AS tf FROM embeddings),
-    p AS (SELECT q.id AS query_id, c.id AS cache_id, c.loc AS cloc, q.loc AS qloc, c.tf AS ctf, q.tf AS qdef, round({DOT.format('q.v', 'c.v')}, 6) AS score FROM e q, e c WHERE q.id < 20)"""
+    p AS (SELECT q.id AS query_id, c.id AS cache_id, c.loc AS cloc, q.loc AS qloc, c.tf AS ctf, q.tf AS qdef, round({DOT.format('q.v', 'c.v')}, 6) AS score FROM e q, e c WHERE q.id % 50 = 0)"""
 ORACLES = {
     "d6_postings": f"WITH {TOK} SELECT term, count(*) AS df, sum(tf) AS tf FROM post GROUP BY term",
     "d8_corpus_stats": f"WITH {TOK} SELECT count(*) AS n, round(coalesce(nullif(avg(len(t)), 0), 1), 6) AS avg_length FROM tok",

@@ -62,7 +62,7 @@ def h15_currency(spark, d):
 
 
 def h16_quotes(spark, d):
-    q = F.concat(F.lit("“ "), F.substring("text", 1, 60), F.lit("’s\n  end...”"))
+    q = F.concat(F.lit("“ "), F.col("text"), F.lit("’s\n  end...”"))
     return t.table(spark, d, "benchmark").select("item_id", text.normalize_quote(q).alias("quote"))
 
 
@@ -139,7 +139,7 @@ def a20_offline_search(spark, d):
 QUERIES = {f.__name__: f for f in (h1_tokenize, h2_token_counts, h4_furniture_keys, h5_line_kinds, h10_table_headers, h15_currency, h16_quotes, h17_contains_words, h20_relevance, h21_checksums, h25_truncate, h30_metadata, h33_review_reasons, h35_site_queries, p1_check_citations, e15_history, p4_rewrites, a21_scrape, a20_offline_search)}
 
 STRIPPED = STRIP.format("text")
-HALF = "substring(text, 1, 60) || '''s end'"
+QUOTED = "text || '''s end'"
 ORACLES = {
     "h1_tokenize": f"SELECT doc_id, array_to_string({TOKENS.format('text')}, ' ') AS tokens FROM documents",
     "h2_token_counts": rf"SELECT doc_id, CAST(ceil(1.3 * len(regexp_extract_all(text, '[{W}]+|[^{W}{S}]')) + 2) AS INTEGER) AS tokens FROM documents",
@@ -152,7 +152,7 @@ ORACLES = {
     "h10_table_headers": """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END AS consumed,
         CASE WHEN p_partkey % 2 = 0 THEN 'Key: ' || p_partkey || ' | Name: ' || p_name || ' | 2024: ' || p_size ELSE p_partkey || ' | ' || p_name || ' | ' || p_size END AS line FROM part""",
     "h15_currency": "SELECT o_orderkey, CASE WHEN o_totalprice >= 1000 THEN '$' ELSE 'S' END || format('{:,.2f}', o_totalprice) || ' in S3, $' || CAST(o_orderkey % 9 AS VARCHAR) || 'M' AS fixed FROM orders",
-    "h16_quotes": f"SELECT item_id, {COLLAPSE.format(HALF)} AS quote FROM benchmark",
+    "h16_quotes": f"SELECT item_id, {COLLAPSE.format(QUOTED)} AS quote FROM benchmark",
     "h17_contains_words": rf"""WITH q AS (SELECT item_id, text, array_to_string(string_split(text, ' ')[1:4], ' ') AS w FROM benchmark)
         SELECT item_id, regexp_matches(text, '(^|[^{W}])' || regexp_escape(w) || '($|[^{W}])') AS whole,
                regexp_matches(text, '(^|[^{W}])' || regexp_escape(left(w, length(w) - 1)) || '($|[^{W}])') AS cut FROM q""",
