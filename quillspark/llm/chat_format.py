@@ -85,20 +85,42 @@ def topological_levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) of calls (conv_id, call_id, depends_on array<string>): 0 without
     known dependencies, else one more than the highest among them; null on or behind a cycle.
 
-    Kahn's rounds, one per level, over the edges that are still open. Dependencies on calls that
-    do not exist are ignored."""
-    nodes = calls.select("conv_id", "call_id").where("conv_id is not null and call_id is not null").distinct()
-    edges = calls.select("conv_id", "call_id", F.explode("depends_on").alias("dep")).distinct()
+    Calls with one dependency form chains, which pointer doubling shortens to their heads in a number
+    of rounds that grows with the logarithm of the longest; Kahn's rounds are left for calls with
+    several dependencies, one per level of those. Dependencies on calls that do not exist are
+    ignored."""
+    key = ["conv_id", "call_id"]
+    nodes = calls.select(*key).where("conv_id is not null and call_id is not null").distinct()
+    edges = calls.select(*key, F.explode("depends_on").alias("dep")).distinct()
     edges = materialize(edges.join(nodes.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_semi"), "topo")
-    found = materialize(nodes.join(edges, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "topo")
-    new, level = found, 0
-    while not edges.isEmpty() and not new.isEmpty():
-        level += 1
-        left = materialize(edges.join(new.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_anti"), "topo")
-        freed = edges.select("conv_id", "call_id").distinct().join(left, ["conv_id", "call_id"], "left_anti")
-        new = materialize(freed.withColumn("level", F.lit(level)), "topo")
-        found, edges = found.unionByName(new), left
-    return found.unionByName(edges.select("conv_id", "call_id").distinct().withColumn("level", F.lit(None).cast("int")))
+    counts = edges.groupBy(*key).agg(F.count("*").alias("n"), F.min("dep").alias("up"))
+    chain = materialize(counts.where("n = 1").select(*key, "up", F.lit(1).alias("dist"), F.lit(True).alias("moved")), "topo")
+    longest = chain.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(longest.bit_length() + 1):  # what moves after that goes round in a cycle
+        if chain.where("moved").isEmpty():
+            break
+        head = chain.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("up2"), F.col("dist").alias("dist2"))
+        step = chain.join(head, ["conv_id", "up"], "left")
+        chain = materialize(step.select(*key, F.coalesce("up2", "up").alias("up"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"), F.col("up2").isNotNull().alias("moved")), "topo")
+
+    heads = nodes.join(edges.select(*key).distinct(), key, "left_anti").withColumn("level", F.lit(0))
+    several = edges.join(counts.where("n > 1").select(*key), key)
+    via = chain.select("conv_id", F.col("call_id").alias("dep"), "up", "dist", "moved")
+    several = several.join(via, ["conv_id", "dep"], "left").select(*key, F.coalesce("up", "dep").alias("up"), F.coalesce("dist", F.lit(0)).alias("dist"))
+    several = materialize(several, "topo")
+    found = materialize(heads, "topo")
+    while not several.isEmpty():
+        known = several.join(found.select("conv_id", F.col("call_id").alias("up"), "level"), ["conv_id", "up"], "left")
+        ready = known.groupBy(*key).agg(F.max(F.col("level") + F.col("dist") + 1).alias("level"), F.count_if(F.col("level").isNull()).alias("open"))
+        new = materialize(ready.where("open = 0").select(*key, F.col("level").cast("int")), "topo")
+        if new.isEmpty():
+            break
+        found = materialize(found.unionByName(new), "topo")
+        several = materialize(several.join(new.select(*key), key, "left_anti"), "topo")
+    tails = chain.join(found.select("conv_id", F.col("call_id").alias("up"), F.col("level").alias("base")), ["conv_id", "up"], "left")
+    tails = tails.select(*key, F.when(~F.col("moved"), F.col("base") + F.col("dist")).cast("int").alias("level"))
+    stuck = several.select(*key).distinct().withColumn("level", F.lit(None).cast("int"))
+    return found.unionByName(tails).unionByName(stuck)
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:

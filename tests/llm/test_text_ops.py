@@ -183,6 +183,27 @@ def test_chat_links(spark):
     assert [x["valid"] for x in chat_format.link_tool_calls(calls2, results2, tools).collect()] == [True]
 
 
+def test_levels_equal_a_plain_walk(spark):
+    rng = random.Random(4)
+    rows = []
+    for conv in range(6):
+        for i in range(60):
+            deps = [str(i - 1)] if i and rng.random() < 0.8 else [str(x) for x in rng.sample(range(i), min(i, rng.randrange(4)))]
+            rows.append((conv, str(i), deps))
+    rows += [(9, "a", ["c"]), (9, "b", ["a"]), (9, "c", ["b"]), (9, "d", ["c", "e"]), (9, "e", []), (9, "f", ["d"]), (9, "g", ["g"]), (9, "h", ["nowhere"]), (9, "i", None)]
+    deps = {(c, k): [x for x in d or [] if any((c, x) == (a, b) for a, b, _ in rows)] for c, k, d in rows}
+
+    def level(n, seen=()):
+        if n in seen:
+            return None
+        below = [level((n[0], d), (*seen, n)) for d in deps[n]]
+        return None if None in below else 1 + max(below, default=-1)
+
+    df = spark.createDataFrame(rows, "conv_id bigint, call_id string, depends_on array<string>")
+    got = chat_format.topological_levels(df).collect()
+    assert {(r["conv_id"], r["call_id"]): r["level"] for r in got} == {n: level(n) for n in deps} and len(got) == len(deps)
+
+
 def test_canonical_json():
     assert chat_format.canonical({"b": [1.0, 1.5, True], "a": {"é": None}}) == '{"a":{"é":null},"b":[1,1.5,true]}'
     with pytest.raises(ValueError):
