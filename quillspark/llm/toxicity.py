@@ -129,7 +129,9 @@ def fit(texts: list[list[bytes]], grades: np.ndarray, weight: np.ndarray | None
     w, theta = fit_ordinal(np.array(rows, np.int64), np.array(cols, np.int64), grades, len(index), weight, L2)
     model = Model({f: float(w[i]) for f, i in index.items()}, [float(t) for t in theta])
     x = np.bincount(np.array(rows, np.int64), w[np.array(cols, np.int64)], len(grades)) if rows else np.zeros(len(grades))
-    model.cut = best_cut(np.array([model.score(float(v))[2] for v in x]), grades > 0)
+    # A row without any feature is never toxic, however little the labelled rows say.
+    bare = model.score(0.0)[2]
+    model.cut = max(best_cut(np.array([model.score(float(v))[2] for v in x]), grades > 0), bare + (1 - bare) * 1e-3)
     return model
 
 
@@ -142,6 +144,8 @@ def best_cut(p: np.ndarray, toxic: np.ndarray) -> float:
     gain = np.cumsum(toxic[order]) / toxic.sum() - np.cumsum(~toxic[order]) / (~toxic).sum()
     ends = np.append(np.flatnonzero(np.diff(p[order])), len(p) - 1)
     best = ends[int(np.argmax(gain[ends]))]
+    if gain[best] <= 0:
+        return 1.0
     below = p[order][best + 1] if best + 1 < len(p) else 0.0
     return float(max(np.sqrt(p[order][best] * below), below + 1e-9))
 

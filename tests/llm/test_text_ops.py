@@ -100,6 +100,8 @@ def test_toxicity_query_cases(spark):
     got = {r["doc_id"]: r for r in toxicity.grade(d, model).collect()}
     assert all(got[i]["toxic"] == (i % 5 == 0) for i in range(300, 400)) and len(model.thresholds) == 2
     assert toxicity.drop_toxic(d, model).columns == d.columns
+    few = toxicity.train(d, labels.where("doc_id < 6"))  # too few rows for any feature
+    assert not few.weights and not any(r["toxic"] for r in toxicity.grade(d, few).collect())
     none = toxicity.train(d, labels.limit(0))
     assert not any(r["toxic"] for r in toxicity.grade(docs(spark, ODD), none).collect())
     assert toxicity.grade(docs(spark, []), model).count() == 0
