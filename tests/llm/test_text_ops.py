@@ -115,6 +115,8 @@ def brute_leaks(texts, items, least=0.75):
         a = grams(words(t))
         for j, u in items:
             b = grams(words(u))
+            if not set(a) & set(b):
+                continue  # similarity 0
             best = 0.0
             for s in range(max(len(a) - len(b), 0) + 1):
                 win = a[s : s + len(b)]
