@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fmix, materialize, prefix_hash, raw_text, slices, span_hash, tune
+from .common import fmix, materialize, powers, prefix_hash, raw_text, slices, span_hash, tune
 
 LENGTH, ANCHOR = 50, 16
 #: Offsets that an anchor can have in its string.
@@ -126,7 +126,7 @@ def anchors(data: np.ndarray, offs: np.ndarray):
     n = len(data)
     empty = np.empty(0, np.int64)
     if n < LENGTH:
-        return empty, empty, empty, empty.view(np.uint64), empty.view(np.uint32)
+        return empty, empty, empty, empty.view(np.uint64), empty.view(np.uint64)
     c = prefix_hash(data)
     at = np.arange(n - ANCHOR + 1)
     h = span_hash(c, at, at + ANCHOR)
@@ -139,13 +139,21 @@ def anchors(data: np.ndarray, offs: np.ndarray):
     np.add.at(past, offs[1:], -1)
     s = np.flatnonzero(np.cumsum(past[: n - LENGTH + 1]) == 0)
     if not len(s):
-        return empty, empty, empty, empty.view(np.uint64), empty.view(np.uint32)
+        return empty, empty, empty, empty.view(np.uint64), empty.view(np.uint64)
     a = (low[s] & _LOW).astype(np.int64)
     cut = np.flatnonzero(np.diff(a)) + 1
     first, last = s[np.append(0, cut)], s[np.append(cut - 1, len(s) - 1)]
     a = a[np.append(0, cut)]
-    context = fmix(span_hash(c, first, last + LENGTH) + (a - first).astype(np.uint64))
-    return a, first, last, h[a], (context >> np.uint64(32)).astype(np.uint32)
+    return a, first, last, h[a], fmix(context_hash(data, first, last + LENGTH) + (a - first).astype(np.uint64))
+
+
+def context_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of 8 bytes or more and of their lengths, over mixed 8-byte words, so that
+    they do not depend on the anchors' hashes: contexts that share an anchor differ in these bits alone."""
+    p, q = powers(len(data) + 1)
+    c = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(fmix(words8(data)) * p[: len(data)], out=c[1:])
+    return fmix((c[ends - 7] - c[starts]) * q[starts] + (ends - starts).astype(np.uint64))
 
 
 def _by_doc(doc: np.ndarray, *arrays: np.ndarray):
@@ -172,7 +180,7 @@ class _Held:
     """Anchor records of a task until they are written: key, context, document and place (the
     anchor's position and the distances back to its first and last string)."""
 
-    kinds = (np.uint64, np.uint32, np.int64, np.uint64)
+    kinds = (np.uint64, np.uint64, np.int64, np.uint64)
 
     def __init__(self) -> None:
         self.parts: list[tuple[np.ndarray, ...]] = []
@@ -373,7 +381,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     else:
         docs = docs.withColumn("doc", F.col("doc_id"))
     size = int(stats["b"] or 0)
-    buckets = max(128, -(-(size * 28 // 18) // BUCKET_BYTES))
+    buckets = max(128, -(-(size * 32 // 18) // BUCKET_BYTES))
 
     # Each step is written before the next begins, and no finished plan is kept, so that the shuffle
     # files of one step are gone when the next one's are made.

@@ -141,6 +141,18 @@ def test_repeats_equal_brute_force(spark, repeated):
     assert suffix_dedup.remove_repeats(table(spark, [])).count() == 0
 
 
+def test_contexts_of_one_anchor_are_not_mistaken(spark):
+    line = "All rights reserved by the owners of this small site."
+    # The contexts of the line with these ends agree in 32 bits of the hash that was used before.
+    rows = [(1, line + "pgobgffebasayeccexovdrvmeqmivnfbmsihczcujpodaktjpbtwwjyrfwzr"), (2, line + "uicdkrjlgwlxvejdsabrxaavlwncsgsbmpgttvdwyrujktjzfclfhmxciojd")]
+    got = suffix_dedup.remove_repeats(table(spark, rows)).collect()
+    assert {r["doc_id"]: bytes(r["kept"]).decode() for r in got} == {1: rows[0][1], 2: rows[1][1][len(line) :]}
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.broadcast_to(np.frombuffer(line.encode(), np.uint8), (200000, 53)), rng.integers(97, 123, (200000, 10)).astype(np.uint8)], 1)
+    at = np.arange(len(x)) * 63
+    assert len(np.unique(suffix_dedup.context_hash(x.ravel(), at, at + 63))) == len(np.unique(x, axis=0))
+
+
 def test_difference_cover_sort():
     rng = np.random.default_rng(2)
     for k in (2, 3, 20):
