@@ -1,7 +1,8 @@
 """Main-text extraction by line-block distribution.
 
 Markup is stripped into lines, one per block element. Each line's length counts its text outside
-links and outside page furniture; lengths are summed over a sliding window of lines. The text
+links and outside page furniture: elements such as nav and footer, and those whose class or id says
+so, unless they wrap the page's main text. Lengths are summed over a sliding window of lines. The text
 surges where a window rises from nothing and dives where it falls back; what stands between the
 surge and the dive of the heaviest stretch is the main text.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +37,17 @@ MARKS = set(
     "nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar aside header masthead footer related recommended share sharing social "
     "comment comments respond reply replies disqus newsletter subscribe subscription signup login register widget toolbar pagination pager skip hidden".split()
 )
+#: Marks that hold for article and main too. Such an element is furniture even where it is longer than the text.
+BESIDE = set("comment comments related recommended promo sponsored ad advert advertisement".split())
+#: What a name with a mark is when it ends so: a part of what is marked.
+PARTS = set(
+    "wrap wrapper container box area section block list item items inner outer bar links link button buttons post posts icon icons form text body content message messages panel group row col unit slot "
+    "left right top bottom primary secondary".split()
+)
+#: First words of names that tell what a page has.
+STATES = set("has have no not with without is hide show toggle open".split())
+#: Shares of the page's text from which a marked element is a wrapper: names of which a part is a mark, and names of marks only.
+WRAPS = {1: 0.5, 2: 0.75, 3: 1.0}
 #: Elements that enclose whole pages: their classes describe a layout and exclude nothing.
 SHELL = set("html body article main".split())
 _token = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(/?)(?:>|(?=<)|$)", re.S)
@@ -43,53 +56,119 @@ _space = re.compile(r"[\s]+")
 _word = re.compile(r"[A-Za-z]+")
 
 
+@dataclass
+class Element:
+    name: str
+    parent: int
+    sure: bool  # furniture by its name, role or state, or inside such
+    mark: int  # how sure its class or id marks furniture: a key of WRAPS, or 0
+    plain: bool = True  # without attributes
+    weight: int = 0
+    core: int = 0  # of it outside of BESIDE
+    furniture: bool = False
+    main: int = 0  # the innermost article or main
+
+
 @dataclass
 class Line:
     text: str
     weight: int
-    furniture: bool
-    main: bool
+    own: int  # the element that holds it
+    furniture: bool = False
+    main: int = 0
+
 
+def mark_of(name: str) -> int:
+    """2 for a class or id of marks only (``sidebar``, ``cookie-notice``), 1 where the marked word is
+    what the name is (``site-header``, ``share-buttons``), 0 where it says of what kind something
+    else is or what a page has (``share-price``, ``nav-closed``, ``has-sidebar``)."""
+    words = _word.findall(name)
+    if not MARKS.intersection(words):
+        return 0
+    if MARKS.issuperset(words):
+        return 2
+    if words[0] in STATES:
+        return 0
+    while words and words[-1] in PARTS:
+        words.pop()
+    return int(bool(words) and words[-1] in MARKS)
 
-def is_furniture(name: str, attrs: str) -> bool:
+
+@lru_cache(4096)
+def is_furniture(name: str, attrs: str) -> tuple[bool, int]:
+    """(surely, mark): whether the element is furniture by its name, role or state, and else how sure
+    its class or id says so."""
     if name in FURNITURE or name in RAW:
-        return True
+        return True, 0
     if name in SHELL and name not in MAIN or not attrs.strip():
-        return False
+        return False, 0
+    mark = 0
     for m in _attr.finditer(attrs):
         key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
+            return True, 0
         if key == "role" and value in ROLES:
-            return True
+            return True, 0
         if key in ("class", "id"):
-            marks = set(_word.findall(value))
-            if name in MAIN:
-                marks &= {"comment", "comments", "related", "recommended", "promo", "sponsored", "ad", "advert", "advertisement"}
-            if marks & MARKS:
-                return True
-    return False
+            for token in value.split():
+                beside = bool(BESIDE.intersection(_word.findall(token)))
+                if (beside or name not in MAIN) and (found := mark_of(token)):
+                    mark = max(mark, 3 if beside and found == 2 else found)
+    return False, mark
+
+
+def judge(elements: list[Element], lines: list[Line]) -> None:
+    """Decide which marked elements are furniture. One that holds most of the page's text (comments
+    and their like apart), or the heaviest article or main where little unmarked text stands
+    outside, is a wrapper."""
+    free = 0  # weight outside of marked elements
+    marked = [False] * len(elements)
+    beside = [False] * len(elements)
+    for i, e in enumerate(elements[1:], 1):
+        marked[i] = marked[e.parent] or e.mark > 0
+        beside[i] = beside[e.parent] or e.mark == 3
+    for x in lines:
+        if not elements[x.own].sure:
+            elements[x.own].weight += x.weight
+            elements[x.own].core += 0 if beside[x.own] else x.weight
+            free += 0 if marked[x.own] else x.weight
+    for e in reversed(elements[1:]):
+        elements[e.parent].weight += e.weight
+        elements[e.parent].core += e.core
+    page = elements[0]
+    best = max((i for i, e in enumerate(elements) if e.name in MAIN and not (e.sure or e.mark or beside[i])), key=lambda i: elements[i].weight, default=0)
+    holders = set()
+    if best and elements[best].weight and elements[best].weight >= SHARE * free:
+        while best:
+            holders.add(best)
+            best = elements[best].parent
+    for i, e in enumerate(elements[1:], 1):
+        held, whole = (e.weight, page.weight) if e.mark == 3 else (e.core, page.core)
+        wrapper = e.mark and held and (held >= WRAPS[e.mark] * whole or e.mark < 3 and i in holders)
+        e.furniture = elements[e.parent].furniture or e.sure or e.mark > 0 and not wrapper
+        e.main = i if e.name in MAIN else elements[e.parent].main
+    for x in lines:
+        x.furniture, x.main = elements[x.own].furniture, elements[x.own].main
+        if x.furniture:
+            x.text, x.weight = "", 0
 
 
-def lines_of(page: str) -> list[Line]:
-    """One line per block, in page order; furniture gives lines of weight 0."""
+def lines_of(page: str) -> tuple[list[Line], list[Element]]:
+    """One line per block, in page order, and all elements; furniture gives lines of weight 0."""
     out: list[Line] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, inside furniture, inside a main element
+    elements = [Element("", 0, False, 0)]
+    stack: list[tuple[str, int]] = []  # open elements: name, number
     parts: list[str] = []
-    weight, links, at, bad, main = 0, 0, 0, False, False
+    weight, links, at = 0, 0, 0
 
     def flush() -> None:
         nonlocal weight
         text = _space.sub(" ", html.unescape("".join(parts))).strip()
         if text:
-            out.append(Line("" if bad else text, 0 if bad else weight, bad, main))
+            out.append(Line(text, weight, stack[-1][1] if stack else 0))
         parts.clear()
         weight = 0
 
-    def state() -> None:
-        nonlocal bad, main
-        bad, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-
     def text(s: str) -> None:
         nonlocal weight
         if s:
@@ -99,11 +178,10 @@ def lines_of(page: str) -> list[Line]:
 
     def close(to: int) -> None:
         nonlocal links
-        if any(x[0] not in INLINE or x[1] for x in stack[to:]):
+        if any(x[0] not in INLINE or elements[x[1]].sure or elements[x[1]].mark for x in stack[to:]):
             flush()
         links -= sum(x[0] == "a" for x in stack[to:])
         del stack[to:]
-        state()
 
     size = len(page)
     while at < size:
@@ -160,17 +238,19 @@ def lines_of(page: str) -> list[Line]:
                     break
                 if stack[k][0] not in INLINE:
                     break
-        mine = is_furniture(name, attrs)
-        if name not in INLINE or mine and not bad:
+        sure, mark = is_furniture(name, attrs)
+        if name not in INLINE or sure or mark:
             flush()
         if name == "a":
             links += 1
-        stack.append((name, bad or mine, (main or name in MAIN) and not mine))
-        state()
+        up = stack[-1][1] if stack else 0
+        stack.append((name, len(elements)))
+        elements.append(Element(name, up, sure or elements[up].sure, mark, not attrs.strip()))
         if m[4]:  # self-closing
             close(len(stack) - 1)
     flush()
-    return out
+    judge(elements, out)
+    return out, elements
 
 
 def stretches(weights: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
@@ -191,7 +271,7 @@ def stretches(weights: list[int], window: int = WINDOW) -> list[tuple[int, int]]
 
 def main_text(page: str | None) -> str:
     """The blocks between surge and dive, one per line."""
-    lines = lines_of(page or "")
+    lines, _ = lines_of(page or "")
     inside = any(x.main and x.weight for x in lines)
     weights = [x.weight if not inside or x.main else 0 for x in lines]
     found = stretches(weights)

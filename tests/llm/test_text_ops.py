@@ -75,6 +75,22 @@ def test_pages(spark):
     assert html_extract.stretches([0, 5, 0, 3, 0, 0, 0, 9]) == [(1, 4), (7, 8)]
 
 
+@pytest.mark.parametrize("wrapper", ['class="content-sidebar-wrap"', 'class="layout has-sidebar"', 'id="page" class="nav-closed"', 'class="site overlay"', 'class="widget"'])
+def test_marked_wrappers_keep_the_text(wrapper):
+    text = "One long paragraph of the article that the page is about."
+    side = '<div class="sidebar"><p>side</p></div><div id="comments"><p>' + "A comment longer than the article. " * 9 + "</p></div>"
+    for name in ("article", 'div id="content"'):
+        page = f"<body><div {wrapper}><{name}><p>{text}</p><p>{text}</p></{name.split()[0]}></div>{side}</body>"
+        want = f"{text}\n{text}"
+        assert html_extract.main_text(page) == html_extract.main_text(page.replace(side, "")) == want
+
+
+@pytest.mark.parametrize("kind", ["social-science", "share-price", "register-entry"])
+def test_content_classes_are_no_furniture(kind):
+    page = f'<article><p>First words of the text.</p><p class="{kind}">Second.</p><p>Third.</p><p class="share-buttons">Share</p><p class="site-footer">Foot</p></article>'
+    assert html_extract.main_text(page) == "First words of the text.\nSecond.\nThird."
+
+
 def test_ordinal_regression_on_held_out_rows():
     rng = np.random.default_rng(7)
     n, k = 4000, 40
