@@ -4,7 +4,7 @@ Markup is stripped into lines, one per block element. Each line's length counts
 links and outside page furniture: elements such as nav and footer, and those whose class or id says
 so, unless they wrap the page's main text. Lengths are summed over a sliding window of lines. The text
 surges where a window rises from nothing and dives where it falls back; what stands between the
-surge and the dive of the heaviest stretch is the main text.
+first surge and the last dive of the heaviest stretch's region is the main text.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from .common import tune
 
 #: Lines in a sliding window.
 WINDOW = 3
-#: A further stretch is kept when it weighs at least this share of the heaviest.
+#: A stretch of another region is kept when it weighs at least this share of the heaviest.
 SHARE = 0.5
 
 # Element names of HTML.
@@ -50,6 +50,8 @@ STATES = set("has have no not with without is hide show toggle open".split())
 WRAPS = {1: 0.5, 2: 0.75, 3: 1.0}
 #: Elements that enclose whole pages: their classes describe a layout and exclude nothing.
 SHELL = set("html body article main".split())
+#: Elements that text blocks stand in.
+CONTAINERS = set("html body article main div section td center".split())
 _token = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(/?)(?:>|(?=<)|$)", re.S)
 _attr = re.compile(r"([^\s=\"'/<>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _space = re.compile(r"[\s]+")
@@ -269,18 +271,73 @@ def stretches(weights: list[int], window: int = WINDOW) -> list[tuple[int, int]]
     return out
 
 
+def region(elements: list[Element], owns: list[int]) -> int:
+    """The element that the lines of a stretch have in common: a container, and one with attributes
+    where there is one below body."""
+    at = owns[0]
+    for i in owns[1:]:
+        while at != i:  # parents have smaller numbers
+            at, i = (elements[at].parent, i) if at > i else (at, elements[i].parent)
+    while at and elements[at].name not in CONTAINERS:
+        at = elements[at].parent
+    while elements[at].plain and elements[at].name not in SHELL and at and elements[elements[at].parent].name not in ("", "html", "body"):
+        at = elements[at].parent
+    return at
+
+
+def inside(elements: list[Element], at: int, top: int) -> bool:
+    while at > top:
+        at = elements[at].parent
+    return at == top
+
+
 def main_text(page: str | None) -> str:
-    """The blocks between surge and dive, one per line."""
-    lines, _ = lines_of(page or "")
-    inside = any(x.main and x.weight for x in lines)
-    weights = [x.weight if not inside or x.main else 0 for x in lines]
-    found = stretches(weights)
+    """The blocks of the main region, one per line.
+
+    The heaviest stretch leads, in article or main and elsewhere. With it stay stretches of at least
+    ``SHARE`` of its weight and those of the same region: all in article or main where it lies in
+    such, else those in its container. Between the first surge and the last dive every block that is
+    no furniture stays, link-only blocks and light stretches too. So do the link-only blocks at the
+    edges of a kept article, and link-only headings and paragraphs right before and after."""
+    lines, elements = lines_of(page or "")
+    found = stretches([x.weight for x in lines])
     if not found:
         return ""
-    total = [sum(weights[a:b]) for a, b in found]
-    most = max(total)
-    kept = [r for r, n in zip(found, total, strict=True) if inside or n >= SHARE * most]
-    return "\n".join(x.text for a, b in kept for x in lines[a:b] if not x.furniture and x.text and (not inside or x.main))
+
+    def weigh(r: tuple[int, int]) -> int:
+        return sum(x.weight for x in lines[r[0] : r[1]])
+
+    parts = []  # stretches, divided where an article or main begins or ends
+    for a, b in found:
+        heavy = [i for i in range(a, b) if lines[i].weight]
+        cuts = [a, *(j for i, j in zip(heavy, heavy[1:], strict=False) if bool(lines[i].main) != bool(lines[j].main)), b]
+        parts += zip(cuts, cuts[1:], strict=False)
+    marked = bool(lines[max(parts, key=weigh)[0]].main)
+    if not marked:
+        parts = found
+    lead = max(parts, key=weigh)
+    top = 0 if marked else region(elements, [x.own for x in lines[lead[0] : lead[1]] if x.weight])
+
+    def stays(r: tuple[int, int]) -> bool:
+        if weigh(r) >= SHARE * weigh(lead):
+            return True
+        return bool(lines[r[0]].main) if marked else any(x.weight and inside(elements, x.own, top) for x in lines[r[0] : r[1]])
+
+    kept = [r for r in parts if stays(r)]
+    start, end = kept[0][0], kept[-1][1]
+
+    def beside(i: int) -> bool:
+        at = lines[i].own
+        while at and elements[at].name in INLINE:
+            at = elements[at].parent
+        return not lines[i].furniture and not lines[i].weight and bool(lines[i].main) == marked and elements[at].name in ("h1", "h2", "h3", "h4", "h5", "h6", "p") and inside(elements, at, top)
+
+    while start and beside(start - 1):
+        start -= 1
+    while end < len(lines) and beside(end):
+        end += 1
+    own = {x.main for r in kept if marked for x in lines[r[0] : r[1]] if x.weight and x.main}
+    return "\n".join(x.text for i, x in enumerate(lines) if x.text and not x.furniture and (start <= i < end or x.main in own))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -91,6 +91,23 @@ def test_content_classes_are_no_furniture(kind):
     assert html_extract.main_text(page) == "First words of the text.\nSecond.\nThird."
 
 
+def test_nothing_but_furniture_is_dropped_from_the_main_region():
+    p, q = "A long paragraph that carries the text of the page. " * 5, "A short ending."
+    links = "".join(f"<li><a>Link {i}</a></li>" for i in range(4))
+    shown = "\n".join(f"Link {i}" for i in range(4))
+    p = p.strip()
+    got = html_extract.main_text
+    teaser = f'<div id="content"><p>{p}</p><p>{p}</p></div><ul>{links}</ul><article><p>Teaser.</p></article>'
+    assert got(teaser) == f"{p}\n{p}"
+    assert got(f"<article><p>Lead.</p></article><div id=content><p>{p}</p></div>") == f"Lead.\n{p}"
+    assert got(f'<div id="content"><p>{p}</p><ul>{links}</ul><p>{q}</p></div>') == f"{p}\n{shown}\n{q}"
+    advert = '<div class="ad"><p>Buy.</p><p>Now.</p><p>Here.</p></div>'
+    assert got(f'<div id="content"><p>{p}</p>{advert}<p>{q}</p></div><ul>{links}</ul><p>Made by us</p>') == f"{p}\n{q}"
+    assert got(f"<article><h1><a>Title</a></h1><p>{p}</p><ul>{links}</ul><p>{q}</p><p><a>More</a></p></article><p>Made by us</p>") == f"Title\n{p}\n{shown}\n{q}\nMore"
+    assert got(f'<ul>{links}</ul><div id="content"><h1><a>Title</a></h1><p>{p}</p><p><a>More</a></p></div>') == f"Title\n{p}\nMore"
+    assert got(f"<article><p>{p}</p></article><div><p>{p}</p></div>") == f"{p}\n{p}"
+
+
 def test_ordinal_regression_on_held_out_rows():
     rng = np.random.default_rng(7)
     n, k = 4000, 40
