@@ -22,16 +22,30 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_toxic(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def by_row(docs: DataFrame) -> DataFrame:
+    """``docs`` with the column quill_row, which is unique, not null and in the order of doc_id (null
+    last): doc_id itself where it can be, else numbers that are written with the rows."""
+    ids = docs.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d")).first()
+    if ids["n"] == ids["d"]:
+        return docs.withColumn("quill_row", F.col("doc_id"))
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "text")
+    return materialize(ordered.withColumn("quill_row", F.monotonically_increasing_id()), "rows", large=True)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: of equal texts the document with the smallest id stays."""
-    kept = exact_dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Operator 7: of equal texts the document with the smallest id stays. Null
+    ids come last; of rows that share the smallest id one stays."""
+    rows = by_row(docs)
+    kept = exact_dedup(rows, "quill_row").where("kept").select(F.col("doc_id").alias("quill_row"))
+    return rows.join(kept, "quill_row", "left_semi").select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: of each group of near copies the document with the smallest id stays."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Operator 4: of each group of near copies the document with the smallest id stays, and
+    every document without words. Null ids come last; of rows that share the smallest id one stays."""
+    rows = by_row(docs)
+    kept = near_duplicates(rows, id_col="quill_row").where("doc_id = component_id").select(F.col("doc_id").alias("quill_row"))
+    return rows.join(kept, "quill_row", "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

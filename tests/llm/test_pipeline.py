@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from quillspark.llm import queries
 
@@ -37,5 +39,30 @@ def test_stages_keep_their_promises(spark):
     assert sorted(r["doc_id"] for r in mix) == sorted(r["doc_id"] for r in left.collect())
 
 
+def test_null_and_repeated_ids(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    item = max((r["text"] for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()), key=len)
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a), (5, a), (5, b), (None, a), (None, c), (None, c), (None, d + " end"), (7, d), (7, d + " more"), (None, None), (None, ""), (8, item), (8, "clean words"), (None, item)]
+
+    def run(stage):
+        df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+        lost = [x for x in docs.columns if x not in df.columns]
+        df = df.select(*(F.col(x) if x not in lost else F.lit(None).cast(docs.schema[x].dataType).alias(x) for x in docs.columns))
+        return sorted(((r["doc_id"], r["text"] if "text" in r else None) for r in stage(spark, df, DIR).collect()), key=repr)
+
+    stages = dict(corpus_pipeline.STAGES)
+    least = [(1, a), (5, b), (None, c), (8, item), (8, "clean words")]
+    got = run(stages["exact_dedup"])
+    assert len([x for x in got if not x[1]]) == 1  # null counts as empty
+    assert [x for x in got if x[1]] == sorted([*least, (None, d + " end"), (7, d), (7, d + " more")], key=repr)
+    got = run(stages["near_dedup"])
+    assert len([x for x in got if x[0] == 7]) == 1  # either
+    assert [x for x in got if x[0] != 7] == sorted([*least, (None, None), (None, "")], key=repr)
+    assert run(stages["toxicity"]) == sorted(rows, key=repr)  # no document has a label's id and enough words to learn from
+    assert run(stages["decontamination"]) == sorted((x for x in rows if x[1] != item), key=repr)
+    assert [x[0] for x in run(stages["mixing"])] == sorted((x[0] for x in rows), key=repr)
+
+
 def test_registered_queries():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11)) and corpus_pipeline.ORACLE_SQL is None
