@@ -11,13 +11,15 @@ import json
 import math
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, tune
 
 #: Most bytes of tool schemas; they are held on the driver and sent to the executors.
 MAX_SCHEMA_BYTES = 4 << 20
+#: Turns of a conversation that are put in order together.
+PIECE = 256
 
 _types = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
@@ -208,14 +210,79 @@ def parse_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
+def is_tool_message(messages: DataFrame):
+    """Whether a message is tool-call JSON of a role other than user and system: whether parse_messages finds something in it."""
+    m = F.from_json("text", "tool_calls array<struct<id string>>, tool_call_id string")
+    return F.coalesce(~F.col("role").isin("user", "system") & ((F.size(m["tool_calls"]) > 0) | m["tool_call_id"].isNotNull()), F.lit(False))
+
+
+def _turns_before(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turn, user, reply): the last user turn and the last assistant turn before each turn.
+    Pieces of a conversation are handled apart and joined by their last turns, so that a long one
+    makes no large task."""
+    is_user, is_reply = F.col("role") == "user", F.col("role") == "assistant"
+    turns = conversations.where((is_user | is_reply) & F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
+    turns = turns.groupBy("conv_id", "turn").agg(F.max(F.when(is_user, F.col("turn"))).alias("u"), F.max(F.when(is_reply, F.col("turn"))).alias("r"))
+    turns = turns.withColumn("piece", F.floor(F.col("turn") / PIECE))
+    ends = turns.groupBy("conv_id", "piece").agg(F.max("u").alias("u"), F.max("r").alias("r"))
+    past = Window.partitionBy("conv_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("conv_id", "piece", F.max("u").over(past).alias("u0"), F.max("r").over(past).alias("r0"))
+    past = Window.partitionBy("conv_id", "piece").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    turns = turns.select("conv_id", "piece", "turn", F.max("u").over(past).alias("u"), F.max("r").over(past).alias("r"))
+    return turns.join(ends, ["conv_id", "piece"]).select("conv_id", "turn", F.coalesce("u", "u0").alias("user"), F.coalesce("r", "r0").alias("reply"))
+
+
 def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Plain dialogues in the same form: each user turn calls the tool ``respond``, depending on the
-    user turn before it, and the assistant turn that follows is its result."""
+    last user turn before it, and the first assistant turn after it is its result, whatever turns of
+    other roles stand between. Further assistant turns, and those before any user turn, are results
+    without a call. Turns of other roles are left to other_messages."""
 
-    def ident(shift: int):
-        return F.concat(F.lit("call_"), F.col("conv_id").cast("string"), F.lit("_"), (F.col("turn") + shift).cast("string"))
+    def ident(turn):
+        return F.concat(F.lit("call_"), F.col("conv_id").cast("string"), F.lit("_"), turn.cast("string"))
 
-    user = conversations.where("role = 'user'")
-    calls = user.select("conv_id", ident(0).alias("call_id"), "turn", F.lit("respond").alias("name"), F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("prompt"), "turn")).alias("arguments"), F.when(F.col("turn") >= 2, F.array(ident(-2))).otherwise(F.array().cast("array<string>")).alias("depends_on"))
-    results = conversations.where("role = 'assistant'").select("conv_id", ident(-1).alias("call_id"), "turn", F.col("text").alias("content"))
+    # Only turns that don't alternate are looked up: few as a rule, so no text is moved for them.
+    turn, linked = F.col("turn"), F.coalesce(F.col("reply") < F.col("user"), F.col("user").isNotNull())
+    odd = _turns_before(conversations).select("conv_id", "turn", "user", F.when(linked, F.col("user")).alias("call"))
+    usual = F.col("user").eqNullSafe(F.when(turn >= 2, turn - 2))
+    asked = F.col("call").eqNullSafe(turn - 1)
+    odd = materialize(odd.select("conv_id", "turn", "user", "call", usual.alias("usual"), asked.alias("asked")).where("not (usual and asked)"), "turns")
+    user = conversations.where("role = 'user'").join(odd.where("not usual").select("conv_id", "turn", "user", F.lit(True).alias("odd")), ["conv_id", "turn"], "left")
+    before = F.when(F.col("odd"), F.col("user")).when(turn >= 2, turn - 2)
+    depends = F.when(before.isNotNull(), F.array(ident(before))).otherwise(F.array().cast("array<string>"))
+    calls = user.select("conv_id", ident(turn).alias("call_id"), "turn", F.lit("respond").alias("name"), F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("prompt"), "turn")).alias("arguments"), depends.alias("depends_on"))
+    reply = conversations.where("role = 'assistant'").join(odd.where("not asked").select("conv_id", "turn", "call"), ["conv_id", "turn"], "left")
+    results = reply.select("conv_id", ident(F.coalesce("call", turn - 1)).alias("call_id"), "turn", F.col("text").alias("content"))
     return calls, results
+
+
+def other_messages(conversations: DataFrame) -> DataFrame:
+    """The rows of turns whose role is neither user nor assistant (system, tool, none), in the columns of
+    link_tool_calls: the role as the name, level 0, no result, the message in ``json``."""
+    role = F.col("role")
+    rest = conversations.where(role.isNull() | ~role.isin("user", "assistant"))
+    ident = F.concat(F.lit("message_"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string"))
+    rest = rest.select("conv_id", ident.alias("call_id"), "turn", F.lit(0).alias("level"), role.alias("name"), "text")
+
+    def run(batches):
+        for b in batches:
+            found = [canonical({"conversation": conv, "id": i, "turn": turn, "message": {"role": name, "content": t}}) for conv, i, turn, _, name, t in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True)]
+            yield pa.record_batch([*(b.column(k) for k in range(5)), pa.array(found, pa.string())], names=["conv_id", "call_id", "turn", "level", "name", "json"])
+
+    kinds = dict(rest.dtypes)
+    rows = rest.mapInArrow(run, f"conv_id {kinds['conv_id']}, call_id string, turn {kinds['turn']}, level int, name string, json string")
+    ok = F.col("call_id").isNotNull()
+    errors = F.when(ok, F.array().cast("array<string>")).otherwise(F.array(F.lit("identifier missing")))
+    return rows.select("conv_id", "call_id", "turn", "level", "name", F.lit(None).cast(kinds["turn"]).alias("result_turn"), F.lit(None).cast("bigint").alias("n_results"), ok.alias("valid"), errors.alias("errors"), "json")
+
+
+def format_conversations(conversations: DataFrame, tools: DataFrame) -> DataFrame:
+    """link_tool_calls over whole conversations (conv_id, turn, role, text): tool-call JSON goes through
+    parse_messages, other user and assistant turns through turns_as_calls, and each turn of another
+    role has a row of its own."""
+    tune(conversations.sparkSession)
+    conversations = conversations.select("conv_id", "turn", "role", "text")
+    made = is_tool_message(conversations)
+    plain = conversations.where(~made)
+    calls, results = (a.unionByName(b) for a, b in zip(turns_as_calls(plain), parse_messages(conversations.where(made)), strict=True))
+    return link_tool_calls(calls, results, tools).unionByName(other_messages(plain))

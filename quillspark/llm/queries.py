@@ -19,9 +19,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = chat_format.turns_as_calls(_table(spark, sf_dir, "conversations"))
     tools = spark.createDataFrame([("respond", json.dumps(RESPOND))], "name string, schema string")
-    return chat_format.link_tool_calls(calls, results, tools)
+    return chat_format.format_conversations(_table(spark, sf_dir, "conversations"), tools)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

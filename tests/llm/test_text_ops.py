@@ -220,6 +220,28 @@ def test_chat_links(spark):
     assert [x["valid"] for x in chat_format.link_tool_calls(calls2, results2, tools).collect()] == [True]
 
 
+def test_every_turn_of_a_conversation_has_its_place(spark, tmp_path, monkeypatch):
+    from quillspark.llm import queries
+
+    monkeypatch.setattr(chat_format, "PIECE", 2)
+    call = json.dumps({"tool_calls": [{"id": "x", "name": "find", "arguments": '{"q":"hi"}'}]})
+    roles = "system user assistant user system user assistant assistant user tool assistant tool assistant".split()
+    rows = [(1, i, r, call if i == 10 else json.dumps({"tool_call_id": "x", "content": "ok"}) if i == 11 else f"text {i}") for i, r in enumerate(roles)]
+    rows += [(2, 0, "user", call), (2, 1, "assistant", "a"), (2, 2, "user", "b"), (3, 5, None, "no role"), (None, 0, "system", "no conversation")]
+    spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.op1_chat_format(spark, str(tmp_path)).collect()
+    by = {(r["conv_id"], r["call_id"]): r for r in got}
+    assert len(by) == len(got)
+    users = [(r["turn"], r["level"], r["result_turn"]) for r in got if r["conv_id"] == 1 and r["name"] == "respond"]
+    assert sorted(users, key=repr) == [(1, 0, 2), (3, 1, None), (5, 2, 6), (8, 3, 12)]
+    assert by[1, "call_1_6"]["errors"] == ["result without call"] and '"text 7"' in by[1, "call_1_6"]["json"]
+    assert (by[1, "x"]["name"], by[1, "x"]["turn"], by[1, "x"]["result_turn"], by[1, "x"]["errors"]) == ("find", 10, 11, ["unknown tool"])
+    others = {(r["conv_id"], r["turn"], r["name"]) for r in got if (r["call_id"] or "message").startswith("message")}
+    assert others == {(1, 0, "system"), (1, 4, "system"), (1, 9, "tool"), (3, 5, None), (None, 0, "system")}
+    assert by[1, "message_1_4"]["json"] == '{"conversation":1,"id":"message_1_4","message":{"content":"text 4","role":"system"},"turn":4}'
+    assert by[2, "call_2_2"]["level"] == 1 and by[2, "call_2_0"]["result_turn"] == 1 and len(got) == 4 + 1 + 1 + 2 + 5
+
+
 def test_levels_equal_a_plain_walk(spark):
     rng = random.Random(4)
     rows = []
