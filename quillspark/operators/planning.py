@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
+#: Waves after which those found so far become one table.
+JOINED = 16
+
 
 def plan_errors(tasks: DataFrame) -> DataFrame:
     """(plan_id, error): dependencies on unknown tasks (C8) and repeated task ids."""
@@ -23,24 +26,35 @@ def plan_errors(tasks: DataFrame) -> DataFrame:
     return unknown.unionByName(twice)
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage: in the shared checkpoint folder, or on the executors where none is set."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
 def waves(tasks: DataFrame) -> DataFrame:
     """(plan_id, task_id, wave, is_parallelizable); the wave is null on or behind a cycle.
 
-    A recursive query walks the levels; levels above the number of a plan's tasks belong to cycles."""
-    spark = tasks.sparkSession
-    ids = tasks.select("plan_id", "task_id").distinct()
-    deps = tasks.select("plan_id", "task_id", F.explode("depends_on").alias("dep")).distinct()
-    limit = (tasks.groupBy("plan_id").count().agg(F.max("count")).first()[0] or 0) + 1
-    ids.createOrReplaceTempView("quill_tasks")
-    deps.createOrReplaceTempView("quill_deps")
-    walked = spark.sql(f"""
-        WITH RECURSIVE walk(plan_id, task_id, level) MAX RECURSION LEVEL {limit + 1} AS (
-            SELECT plan_id, task_id, 0 FROM quill_tasks
-            UNION ALL
-            SELECT d.plan_id, d.task_id, w.level + 1 FROM walk w JOIN quill_deps d ON d.plan_id = w.plan_id AND d.dep = w.task_id WHERE w.level < {limit})
-        SELECT plan_id, task_id, max(level) AS level FROM walk GROUP BY plan_id, task_id""")
-    size = tasks.groupBy("plan_id").agg(F.count("*").alias("n"))
-    found = walked.join(size, "plan_id").select("plan_id", "task_id", F.when(F.col("level") < F.col("n"), F.col("level")).alias("wave"))
+    Kahn's rounds: each wave holds the tasks whose last dependency was in the wave before, and only
+    edges from later tasks are kept, one row for each. Dependencies on unknown tasks are ignored."""
+    key = ["plan_id", "task_id"]
+    ids = tasks.select(*key).distinct()
+    edges = tasks.select(*key, F.explode("depends_on").alias("dep")).distinct()
+    edges = _written(edges.join(ids.select("plan_id", F.col("task_id").alias("dep")), ["plan_id", "dep"], "left_semi"))
+    wave = 0
+    now = _written(ids.join(edges.select(*key).distinct(), key, "left_anti").withColumn("wave", F.lit(wave)))
+    found = now
+    while not edges.isEmpty():
+        rest = _written(edges.join(now.select("plan_id", F.col("task_id").alias("dep")), ["plan_id", "dep"], "left_anti"))
+        wave += 1
+        now = _written(edges.select(*key).distinct().join(rest.select(*key).distinct(), key, "left_anti").withColumn("wave", F.lit(wave)))
+        if now.isEmpty():
+            break
+        edges = rest
+        found = found.unionByName(now)
+        if wave % JOINED == 0:
+            found = _written(found)
+    stuck = edges.select(*key).distinct().withColumn("wave", F.lit(None).cast("int"))
+    found = found.unionByName(stuck)
     wide = found.groupBy("plan_id", "wave").agg(F.count("*").alias("width"))
     free = tasks.select("plan_id", "task_id", (F.size("depends_on") == 0).alias("free"))
     rows = found.join(wide, ["plan_id", "wave"], "left").join(free, ["plan_id", "task_id"])

@@ -92,3 +92,13 @@ def test_visible_text():
     page = "<html><head><title>T</title><style>x</style></head><body><nav>menu</nav><p>One <b>two</b></p><script>s</script><footer>f</footer></body></html>"
     assert web.visible_text(page) == ("T", "T\nOne\ntwo")
     assert web.visible_text(None) == ("No Title", "")
+
+
+def test_waves_keep_one_row_for_each_task(spark):
+    # 2 ** 21 paths, more than the rows that Spark allows a recursive query.
+    rows = [("p", f"{i}{x}", i, [f"{i - 1}a", f"{i - 1}b"] if i else []) for i in range(21) for x in "ab"]
+    rows += [("p", "loop", 50, ["loop", "0a"]), ("p", "behind", 51, ["loop"]), ("q", "x", 0, ["unknown"])]
+    tasks = spark.createDataFrame(rows, "plan_id string, task_id string, pos int, depends_on array<string>")
+    got = {(r["plan_id"], r["task_id"]): (r["wave"], r["is_parallelizable"]) for r in planning.waves(tasks).collect()}
+    want = {("p", f"{i}{x}"): (i, i == 0) for i in range(21) for x in "ab"}
+    assert got == want | {("p", "loop"): (None, False), ("p", "behind"): (None, False), ("q", "x"): (0, False)}
