@@ -29,7 +29,7 @@ def by_row(docs: DataFrame) -> DataFrame:
     if ids["n"] == ids["d"]:
         return docs.withColumn("quill_row", F.col("doc_id"))
     ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "text")
-    return materialize(ordered.withColumn("quill_row", F.monotonically_increasing_id()), "rows", large=True)
+    return materialize(ordered.withColumn("quill_row", F.monotonically_increasing_id()), "rows")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,9 +7,7 @@ session names in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 import numpy as np
@@ -25,7 +23,8 @@ ARROW_ROWS = 1000
 #: Bytes of text that the vectorised kernels work on at once (a single longer text is one slice).
 SLICE_BYTES = 2 << 20
 
-_MASK = 0xFFFFFFFFFFFFFFFF
+#: Spark's setting to remove the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def tune(spark: SparkSession) -> None:
@@ -46,26 +45,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str, large: bool = False) -> DataFrame:
+def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at replicated files, so a
-    lost executor costs a re-read and not a recomputation. After a ``large`` step, shuffle files that
-    no live plan refers to are released; callers pass ``df`` without keeping it."""
+    lost executor costs a re-read and not a recomputation. Shuffle files of the write go when it ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    schema = df.schema
-    del df
-    if large:
-        release(spark)
-    return spark.read.schema(schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files and broadcasts that no live plan refers to. The
-    gateway tells the JVM of dropped Python references about once a second."""
-    gc.collect()
-    time.sleep(1.2)
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 # --------------------------------------------------------------------------- Arrow text
@@ -87,9 +78,9 @@ def raw_text(col) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(offs: np.ndarray, most: int = SLICE_BYTES):
+def slices(offs: np.ndarray, most: int | None = None):
     """Row ranges (i, j) whose texts hold at most ``most`` bytes together (or one row)."""
-    i, n = 0, len(offs) - 1
+    i, n, most = 0, len(offs) - 1, most or SLICE_BYTES
     while i < n:
         j = int(np.searchsorted(offs, offs[i] + most, side="right")) - 1
         j = min(max(j, i + 1), n)

@@ -3,8 +3,11 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 
 from quillspark.llm import exact_dedup, jaccard_join, mixing, suffix_dedup
@@ -147,10 +150,60 @@ def test_contexts_of_one_anchor_are_not_mistaken(spark):
     rows = [(1, line + "pgobgffebasayeccexovdrvmeqmivnfbmsihczcujpodaktjpbtwwjyrfwzr"), (2, line + "uicdkrjlgwlxvejdsabrxaavlwncsgsbmpgttvdwyrujktjzfclfhmxciojd")]
     got = suffix_dedup.remove_repeats(table(spark, rows)).collect()
     assert {r["doc_id"]: bytes(r["kept"]).decode() for r in got} == {1: rows[0][1], 2: rows[1][1][len(line) :]}
-    rng = np.random.default_rng(3)
-    x = np.concatenate([np.broadcast_to(np.frombuffer(line.encode(), np.uint8), (200000, 53)), rng.integers(97, 123, (200000, 10)).astype(np.uint8)], 1)
-    at = np.arange(len(x)) * 63
-    assert len(np.unique(suffix_dedup.context_hash(x.ravel(), at, at + 63))) == len(np.unique(x, axis=0))
+
+
+def local_repeats(rows, monkeypatch, **bounds):
+    """The operator's tasks one after the other in this process, with small bounds."""
+    for name, value in bounds.items():
+        monkeypatch.setattr(suffix_dedup, name, value)
+    doc = np.array([suffix_dedup.NULL_ID if i is None else i for i, _ in rows], np.int64)
+    twin = np.array([zlib.crc32((t or "").encode()) for _, t in rows], np.int64)
+    once = list(dict.fromkeys(zip(doc.tolist(), twin.tolist(), [t for _, t in rows], strict=True)))
+    batches = [pa.record_batch([pa.array(c, k) for c, k in zip(zip(*once[i : i + 17], strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc", "twin", "t"]) for i in range(0, len(once), 17)]
+    sent = pa.Table.from_batches(list(suffix_dedup._send(iter(batches), 3)), suffix_dedup._SENT)
+    left = []
+    for b in range(3):
+        mine = sent.filter(pa.compute.equal(sent["bucket"], b))
+        left += suffix_dedup._sort_bucket(iter(mine.to_batches(2)), 3)
+    left = pa.Table.from_batches(left, suffix_dedup._LEFT)
+    single = left.filter(left["h"].is_valid()).sort_by([("h", "ascending"), ("doc", "ascending")]).select(["h", "doc", "twin", "at", "s"])
+    spans = pa.concat_tables([left.filter(left["spans"].is_valid()).select(["bucket", "spans"]), pa.Table.from_batches(list(suffix_dedup._sorted_strings(single.to_batches(5), 3)), pa.schema([("bucket", pa.int32()), ("spans", pa.binary())]))])
+    found = {}
+    for b in range(3):
+        mine = spans.filter(pa.compute.equal(spans["bucket"], b))
+        if mine.num_rows:
+            found |= {(r["doc"], r["twin"]): (r["lo"], r["hi"]) for r in suffix_dedup._merge_spans(mine).to_pylist()}
+    cover = [found.get((d, w), (None, None)) for d, w in zip(doc.tolist(), twin.tolist(), strict=True)]
+    batch = pa.record_batch([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.string()), pa.array([c[0] for c in cover], pa.binary()), pa.array([c[1] for c in cover], pa.binary())], names=["doc_id", "t", "lo", "hi"])
+    got = next(suffix_dedup._cut([batch])).to_pylist()
+    return sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got), key=repr), single.num_rows
+
+
+def test_repeats_with_small_bounds(monkeypatch):
+    """Hot keys, full buckets, keys that leave string by string, long texts in parts."""
+    line = "All rights reserved by the owners of this small site. "
+    rng = random.Random(12)
+    rows = corpus(6, 60) + [(500 + i, "".join(rng.choices("abc ", k=30)) + line + "".join(rng.choices("abc ", k=40))) for i in range(150)]
+    rows += [(700 + i, line * 3) for i in range(60)] + [(None, line + str(i)) for i in range(40)] + [(800, "-" * 400), (801, "-" * 300), (802, "xy" * 200 + "-" * 80)]
+    rng.shuffle(rows)
+    want = brute_repeats(rows)
+    assert local_repeats(rows, monkeypatch, FLUSH=200)[0] == want
+    assert local_repeats(rows, monkeypatch, OFTEN=3, PIECE=600, SUFFIXES=64)[0] == want
+    assert all(local_repeats([(i, t)], monkeypatch, LONG=k)[0] == brute_repeats([(i, t)]) for k in (1, 77) for i, t in rows[:3])
+    monkeypatch.setattr("quillspark.llm.common.SLICE_BYTES", 1)
+    assert local_repeats(rows, monkeypatch, LONG=90)[0] == want
+    got, single = local_repeats(rows, monkeypatch, KEY_MOST=400)
+    assert got == want and single > 0
+    got, single = local_repeats(rows, monkeypatch, KEY_MOST=4 << 20, BUCKET_MOST=5000)
+    assert got == want and single > 0
+
+
+def test_packing():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 500):
+        cols = [rng.integers(0, 1 << 32, n, dtype=np.uint32), rng.integers(-(1 << 62), 1 << 62, n), rng.integers(0, 9, n).astype(np.uint32)]
+        for a, b in zip(cols, suffix_dedup.unpack(suffix_dedup.pack(*cols), *(c.dtype for c in cols)), strict=True):
+            assert (a == b).all() and len(a) == len(b)
 
 
 def test_difference_cover_sort():
