@@ -46,7 +46,8 @@ LONG = 8 << 20
 #: What stands for a null id: no id is larger.
 NULL_ID = (1 << 63) - 1
 
-_DELTA = [[next(d for d in range(PERIOD) if (a + d) % PERIOD in COVER and (b + d) % PERIOD in COVER) for b in range(PERIOD)] for a in range(PERIOD)]
+#: For two residues, the first offset from 1 on that moves both into the cover.
+_DELTA = [[next(d for d in range(1, PERIOD + 1) if (a + d) % PERIOD in COVER and (b + d) % PERIOD in COVER) for b in range(PERIOD)] for a in range(PERIOD)]
 
 
 # --------------------------------------------------------------------------- suffix sorting
@@ -71,25 +72,23 @@ def dense(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def cover_ranks(w8: np.ndarray, depth: int = LENGTH) -> np.ndarray:
-    """For each position of the difference cover its rank by at least ``depth`` bytes (ties share a
-    rank); -1 elsewhere and after the end."""
+def cover_ranks(w8: np.ndarray) -> np.ndarray:
+    """For each position of the difference cover its rank by 49 bytes (ties share a rank); -1 elsewhere
+    and after the end."""
     n = len(w8)
     at = np.flatnonzero(np.isin(np.arange(n) % PERIOD, COVER))
-    rank = np.full(n + 8 * PERIOD * 8, -1, np.int64)
+    rank = np.full(n + 2 * LENGTH, -1, np.int64)
     rank[at] = dense(w8[at] >> np.uint64(8))
-    step = PERIOD
-    while step < depth:
+    for step in (PERIOD, 2 * PERIOD, 3 * PERIOD):  # 14, 28 and 49 bytes
         rank[at] = dense(rank[at] * (n + 2) + rank[at + step] + 1)
-        step *= 2
     return rank
 
 
-def sort_suffixes(x: np.ndarray, starts: np.ndarray, most: int = SUFFIXES):
+def sort_suffixes(x: np.ndarray, starts: np.ndarray, most: int | None = None):
     """The given suffixes in the order of their first ``LENGTH`` bytes, one range of first bytes at a
     time: (8-byte words, sorted starts) of each range. A range holds at most ``most`` suffixes or
     those that begin with the same two bytes."""
-    w8 = words8(x)
+    w8, most = words8(x), most or SUFFIXES
     rank = cover_ranks(w8)
     first = (w8[starts] >> np.uint64(48)).astype(np.int64)
     upto = np.cumsum(np.bincount(first, minlength=1 << 16))
@@ -99,8 +98,8 @@ def sort_suffixes(x: np.ndarray, starts: np.ndarray, most: int = SUFFIXES):
         high = max(int(np.searchsorted(upto, done + most, side="right")), low + 1)
         if upto[high - 1] > done:
             mine = starts[(first >= low) & (first < high)]
-            head = w8[mine] >> np.uint64(8)
-            order = np.argsort(head, kind="stable")
+            head = w8[mine]
+            order = np.argsort(head)
             yield w8, resolve(mine[order], head[order], rank)
         low = high
 
@@ -132,19 +131,17 @@ def resolve(starts: np.ndarray, head: np.ndarray, rank: np.ndarray) -> np.ndarra
 
 
 def repeats(x: np.ndarray, starts: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Which starts have a string that also starts in a smaller document; docs has the document of each start."""
-    again = np.zeros(len(starts), bool)
-    where = np.empty(len(x), np.int64)
-    where[starts] = np.arange(len(starts))
+    """The starts whose string also starts in a smaller document; docs has the document of each byte of x."""
+    out = [np.empty(0, np.int64)]
     for w8, order in sort_suffixes(x, starts):
         same = np.ones(max(len(order) - 1, 0), bool)
         for o in (*range(0, LENGTH - 7, 8), LENGTH - 8):
             same &= w8[order[1:] + o] == w8[order[:-1] + o]
         runs = np.flatnonzero(np.append(True, ~same))
-        nth = where[order]
-        low = np.repeat(np.minimum.reduceat(docs[nth], runs), np.diff(np.append(runs, len(order))))
-        again[nth] = docs[nth] > low
-    return again
+        d = docs[order]
+        low = np.repeat(np.minimum.reduceat(d, runs), np.diff(np.append(runs, len(order))))
+        out.append(order[d > low])
+    return np.concatenate(out)
 
 
 # --------------------------------------------------------------------------- contexts
@@ -222,9 +219,22 @@ def pieces(text_ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 
 def judged(x: Contexts) -> np.ndarray:
-    """Which strings of the contexts, one after the other, also start in a smaller document of them."""
-    lo = x.ends - x.n - (LENGTH - 1)
-    return repeats(x.text, ragged(lo, x.n), np.repeat(x.doc, x.n))
+    """Which strings of the contexts, one after the other, also start in a smaller document of them.
+
+    Strings whose hash stands in one document alone are left out; the suffixes of the others are sorted."""
+    lo = ragged(x.ends - x.n - (LENGTH - 1), x.n)
+    h = span_hash(prefix_hash(x.text), lo, lo + LENGTH)
+    order, starts, several = groups(h, np.repeat(x.doc, x.n))
+    again = np.zeros(len(lo), bool)
+    again[order] = np.repeat(several, np.diff(np.append(starts, len(order))))
+    if again.any():
+        y = chosen(x, again, True)
+        size = y.n + (LENGTH - 1)
+        starts = ragged(y.ends - size, y.n)
+        flags = np.zeros(len(y.text), bool)
+        flags[repeats(y.text, starts, np.repeat(dense(y.doc), size))] = True
+        again[again] = flags[starts]
+    return again
 
 
 def runs(x: Contexts, flags: np.ndarray, value: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -245,8 +255,9 @@ def spans(x: Contexts, again: np.ndarray) -> tuple[np.ndarray, ...]:
     return x.doc[of], x.twin[of], lo, lo + n + (LENGTH - 1)
 
 
-def survivors(x: Contexts, again: np.ndarray) -> Contexts:
-    of, nth, n = runs(x, again, False)
+def chosen(x: Contexts, flags: np.ndarray, value: bool) -> Contexts:
+    """The contexts cut to the strings whose flag has the value."""
+    of, nth, n = runs(x, flags, value)
     lo = (x.ends - x.n - (LENGTH - 1))[of] + nth
     return Contexts(x.tag[of], x.doc[of], x.twin[of], x.at[of] + nth, n, x.text[ragged(lo, n + (LENGTH - 1))])
 
@@ -258,14 +269,14 @@ def shrink(x: Contexts, found: list) -> Contexts:
         part = x.part(i, j)
         again = judged(part)
         found.append(spans(part, again))
-        left.append(survivors(part, again) if again.any() else part)
+        left.append(chosen(part, again, False) if again.any() else part)
     return Contexts.join(left)
 
 
 def groups(tag: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order by tag, starts of the groups in it, whether each group has several documents)."""
-    order = np.argsort(tag, kind="stable")
-    starts = np.flatnonzero(np.append(True, np.diff(tag[order]) != 0)) if len(tag) else np.empty(0, np.int64)
+    order = np.argsort(tag)
+    starts = np.flatnonzero(np.append(True, tag[order][1:] != tag[order][:-1])) if len(tag) else np.empty(0, np.int64)
     if not len(tag):
         return order, starts, np.empty(0, bool)
     d = doc[order]

@@ -1,193 +1,226 @@
 """Token-limited chunks of prose and tables, and the proofs that nothing was lost.
 
-Packing blocks into chunks depends on what was packed before, so a document is one group of
-``applyInPandas``; everything around it (headers, rows, titles, validation) is relational.
+Sections, segments, headers, rows and validation are relational. Only the cutting of a long block and
+the packing of one segment's fragments (or one table's rows) look at token counts as they go, in Python.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable
+from bisect import bisect_right
+from collections.abc import Callable, Iterator, Sequence
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as t
 from ..session import ship
 
 MAX_ROWS = 25
+KNOWN = ("OUTSIDE_TABLE", "INSIDE_TABLE", "PAGE_FURNITURE")
 _piece = re.compile(r"\w+|[^\w\s]")
-_sentence = re.compile(r"[.!?](?:\s+|$)")
-_blank = re.compile(r"\s+")
-_heading = re.compile(r"^\d+\.\s+\S")
+_ends = (re.compile(r"[.!?](?:\s+|$)"), re.compile(r"\s+"))
+Counter = Callable[[str], int]
 
 
 def approximate_tokens(text: str) -> int:
     return math.ceil(1.3 * len(_piece.findall(text))) + 2
 
 
-def is_heading(text: str) -> bool:
-    lines = text.strip().splitlines()
-    return len(lines) == 1 and _heading.match(lines[0]) is not None
+def greedy(n: int, fits: Callable[[int, int], bool]) -> Iterator[tuple[int, int]]:
+    """Ranges that cover 0..n, each taking one more as long as that fits; the first always does."""
+    begin = 0
+    for end in range(2, n + 1):
+        if end - begin > 1 and not fits(begin, end):
+            yield begin, end - 1
+            begin = end - 1
+    if begin < n:
+        yield begin, n
 
 
-def last_that_fits(fits: Callable[[int], bool], ends: list[int]) -> int | None:
-    """The last of ascending positions that fits, by bisection."""
-    lo, hi = 0, len(ends)
-    while lo < hi:
-        mid = (lo + hi) // 2
-        if fits(ends[mid]):
-            lo = mid + 1
-        else:
-            hi = mid
-    return ends[lo - 1] if lo else None
+# --------------------------------------------------------------------------- prose
 
 
-def split_block(text: str, limit: int, count: Callable[[str], int] = approximate_tokens) -> list[tuple[int, int]]:
-    """Spans of at most ``limit`` tokens that cover a text exactly (H14): cut after a sentence if one
-    fits, else after white space, else anywhere; a single character is always taken."""
+def split_block(text: str, limit: int, count: Counter = approximate_tokens) -> list[tuple[int, int]]:
+    """Spans of at most ``limit`` tokens that cover a text exactly (H14): each ends with the text, else
+    after its last sentence that fits, else after white space, else anywhere; one character always fits."""
     if limit <= 0:
         raise ValueError("limit must be positive")
-    kinds = [[m.end() for m in p.finditer(text)] for p in (_sentence, _blank)]
-    out, at = [], 0
-    while at < len(text):
-        fits = lambda end, at=at: count(text[at:end]) <= limit
-        end = len(text) if fits(len(text)) else None
-        for ends in kinds:
-            end = end or last_that_fits(fits, [e for e in ends if e > at])
-        end = end or last_that_fits(fits, range(at + 1, len(text) + 1)) or at + 1
-        out.append((at, end))
-        at = end
-    return out
-
-
-def pack_document(blocks: list[tuple[int, int, str, str]], limit: int, count: Callable[[str], int] = approximate_tokens) -> list[dict]:
-    """Chunks of (page, block number, classification, text) in order (K1)."""
-    out: list[dict] = []
-    section, page, text, spans = None, None, "", []
-
-    def flush() -> None:
-        nonlocal text, spans
-        if spans:
-            out.append({"page_number": page, "chunk_number": len(out) + 1, "text": text, "token_count": count(text), "section": section, "spans": spans})
-        text, spans = "", []
+    stops: list[Sequence[int]] = [[len(text)], *([m.end() for m in kind.finditer(text)] for kind in _ends), range(1, len(text) + 1)]
+    cuts = [0]
+    while cuts[-1] < len(text):
+        begin = cuts[-1]
+        for ends in stops:
+            after = bisect_right(ends, begin)
+            last = bisect_right(ends, limit, lo=after, key=lambda end: count(text[begin:end]))  # noqa: B023
+            if last > after:
+                cuts.append(ends[last - 1])
+                break
+        else:
+            cuts.append(begin + 1)
+    return list(pairwise(cuts))
+
+
+def pack(blocks: Sequence[tuple[int, str]], limit: int, count: Counter = approximate_tokens) -> list[tuple[str, list[tuple]]]:
+    """(text, spans) of the chunks of one segment's blocks (number, text) (E9). Blocks are joined by a
+    newline, which counts; fragments of one block stand side by side."""
+    parts = [(number, lo, hi, body[lo:hi]) for number, body in blocks for lo, hi in split_block(body, limit, count)]
 
-    for p, number, kind, body in blocks:
-        if p != page:
-            flush()
-            page = p
-        if kind == "PAGE_FURNITURE":
-            continue
-        if kind == "INSIDE_TABLE":
-            flush()
-            continue
-        if kind != "OUTSIDE_TABLE":
-            raise ValueError(f"block {number} on page {p}: {kind}")
-        if not body.strip():
-            continue
-        if is_heading(body):
-            flush()
-            section = body.strip()
-        for lo, hi in split_block(body, limit, count):
-            glue = "\n" if spans and spans[-1][0] != number else ""
-            if spans and count(text + glue + body[lo:hi]) > limit:
-                flush()
-                glue = ""
-            start = len(text) + len(glue)
-            text += glue + body[lo:hi]
-            spans.append((number, lo, hi, start, len(text)))
-    flush()
-    return out
-
-
-def text_chunks(blocks: DataFrame, limit: int) -> DataFrame:
-    """(document_id, page_number, chunk_number, chunk_id, text, token_count, section, spans) of blocks
-    (document_id, version, page_number, block_number, classification, text) (K1, E7-E9)."""
+    def joined(begin: int, end: int) -> tuple[str, list[tuple]]:
+        text, spans = "", []
+        for i in range(begin, end):
+            number, lo, hi, piece = parts[i]
+            if i > begin and parts[i - 1][0] != number:
+                text += "\n"
+            spans.append((number, lo, hi, len(text), len(text) + len(piece)))
+            text += piece
+        return text, spans
+
+    return [joined(*x) for x in greedy(len(parts), lambda begin, end: count(joined(begin, end)[0]) <= limit)]
+
+
+def segments(blocks: DataFrame) -> DataFrame:
+    """Usable blocks in reading order with ``place``, ``section`` and ``segment`` (E7, E8): a heading, a
+    block inside a table and a new page each begin a segment. Furniture and blank blocks are no part of any."""
+    doc = ["document_id", "version"]
+    reading = Window.partitionBy(*doc).orderBy("page_number", "y0", "x0", "block_number")
+    rows = blocks.where("classification <> 'PAGE_FURNITURE'").withColumn("place", F.row_number().over(reading))
+    blank = t.strip(F.col("text")) == ""
+    heading = (F.col("classification") == "OUTSIDE_TABLE") & t.is_heading(F.col("text"))
+    new = heading | (F.col("classification") == "INSIDE_TABLE") | F.coalesce(F.col("page_number") != F.lag("page_number").over(reading), F.lit(True))
+    upto = reading.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("section", F.last(F.when(heading, t.strip(F.col("text"))), ignorenulls=True).over(upto)).withColumn("segment", F.sum(new.cast("int")).over(upto))
+    return rows.where((F.col("classification") == "OUTSIDE_TABLE") & ~blank)
+
+
+def block_problems(blocks: DataFrame) -> DataFrame:
+    """(document_id, version, page_number, block_number, problem): blocks of which it isn't known whether they belong to a table."""
+    problem = F.when(F.col("classification") == "PARTIAL_OVERLAP", "partial overlap").otherwise("unknown classification")
+    bad = F.col("classification").isNull() | ~F.col("classification").isin(*KNOWN)
+    return blocks.where(bad).select("document_id", "version", "page_number", "block_number", problem.alias("problem"))
+
+
+def text_chunks(blocks: DataFrame, limit: int, count: Counter = approximate_tokens) -> DataFrame:
+    """(document_id, version, page_number, chunk_number, chunk_id, text, token_count, section, spans) of
+    blocks (document_id, version, page_number, block_number, x0, y0, classification, text) (K1, H3).
+
+    Documents with a block of ``block_problems`` have no chunks. ``count`` is the token counter of the
+    embedding model; it runs in Python workers."""
     if limit <= 0:
         raise ValueError("limit must be positive")
     ship(blocks.sparkSession)
 
     def run(key, df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["page_number", "block_number"])
-        found = pack_document(list(zip(df.page_number, df.block_number, df.classification, df.text, strict=True)), limit)
-        rows = [{"document_id": key[0], "version": key[1], **x, "spans": [dict(zip(("block_number", "source_start", "source_end", "start", "end"), map(int, s), strict=True)) for s in x["spans"]]} for x in found]
-        return pd.DataFrame(rows, columns=["document_id", "version", "page_number", "chunk_number", "text", "token_count", "section", "spans"])
+        df = df.sort_values("place")
+        found = pack(list(zip(df.block_number, df.text, strict=True)), limit, count)
+        names = ("block_number", "source_start", "source_end", "start", "end")
+        rows = [(*key[:2], df.page_number.iloc[0], key[2], i, text, count(text), df.section.iloc[0], [dict(zip(names, map(int, s), strict=True)) for s in spans]) for i, (text, spans) in enumerate(found)]
+        return pd.DataFrame(rows, columns=["document_id", "version", "page_number", "segment", "nth", "text", "token_count", "section", "spans"])
 
     kinds = dict(blocks.dtypes)
     span = "array<struct<block_number:int,source_start:int,source_end:int,start:int,end:int>>"
-    rows = blocks.select("document_id", "version", "page_number", "block_number", "classification", "text").groupBy("document_id", "version")
-    rows = rows.applyInPandas(run, f"document_id {kinds['document_id']}, version {kinds['version']}, page_number int, chunk_number int, text string, token_count int, section string, spans {span}")
-    name = F.concat(F.col("document_id").cast("string"), F.lit(":v"), F.col("version").cast("string"), F.lit(":p"), F.col("page_number").cast("string"), F.lit(":g"), F.col("chunk_number").cast("string"))
-    return rows.withColumn("chunk_id", name)
+    sound = blocks.join(block_problems(blocks).select("document_id", "version").distinct(), ["document_id", "version"], "left_anti")
+    usable = segments(sound).select("document_id", "version", "page_number", "block_number", "place", "segment", "section", "text")
+    rows = usable.groupBy("document_id", "version", "segment").applyInPandas(run, f"document_id {kinds['document_id']}, version {kinds['version']}, page_number int, segment bigint, nth int, text string, token_count int, section string, spans {span}")
+    rows = rows.withColumn("chunk_number", F.row_number().over(Window.partitionBy("document_id", "version").orderBy("segment", "nth")))
+    name = F.concat_ws("", F.col("document_id"), F.lit(":v"), F.col("version"), F.lit(":p"), F.col("page_number"), F.lit(":g"), F.col("chunk_number"))
+    return rows.drop("segment", "nth").withColumn("chunk_id", name)
 
 
 def text_problems(chunks: DataFrame, blocks: DataFrame, limit: int) -> DataFrame:
-    """(document_id, page_number, block_number, problem): what breaks the coverage of the blocks by
-    the chunks (K4, E12, G2); no row means that each usable block is covered once, in order,
+    """(document_id, version, page_number, block_number, problem): what breaks the coverage of the blocks
+    by the chunks (K4, E12, G2, D22); no row means that each usable block is covered once, in order,
     exactly, and no chunk is over the limit."""
-    key = ["document_id", "page_number", "block_number"]
-    parts = chunks.select("document_id", "page_number", "text", F.explode("spans").alias("s"))
-    parts = parts.select("document_id", "page_number", F.col("s.block_number").alias("block_number"), F.col("s.source_start").alias("lo"), F.col("s.source_end").alias("hi"), F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("part"))
+    key = ["document_id", "version", "page_number", "block_number"]
+    parts = chunks.select("document_id", "version", "page_number", "text", F.explode("spans").alias("s"))
+    bounds = (F.col("s.start") >= 0) & (F.col("s.start") < F.col("s.end")) & (F.col("s.end") <= F.length("text"))
+    parts = parts.select("document_id", "version", "page_number", F.col("s.block_number").alias("block_number"), F.col("s.source_start").alias("lo"), F.col("s.source_end").alias("hi"), F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("part"), bounds.alias("sound"))
     before = F.lag("hi", 1, 0).over(Window.partitionBy(*key).orderBy("lo"))
-    parts = parts.withColumn("gap", F.col("lo") != before)
-    source = blocks.where((F.col("classification") == "OUTSIDE_TABLE") & F.col("text").rlike(r"[^ \t\n\x0B\f\r\x1c-\x1f\x85\p{Z}]")).select(*key, F.col("text").alias("whole"))
+    parts = parts.withColumn("gap", (F.col("lo") != before) | ~F.col("sound"))
+    source = blocks.where((F.col("classification") == "OUTSIDE_TABLE") & (t.strip(F.col("text")) != "")).select(*key, F.col("text").alias("whole"))
     joined = parts.join(source, key, "full_outer")
     wrong = F.col("part") != F.substring("whole", F.col("lo") + 1, F.col("hi") - F.col("lo"))
     per = joined.groupBy(*key, "whole").agg(F.max("gap").alias("gap"), F.max("hi").alias("end"), F.max(wrong).alias("wrong"))
     problem = F.when(F.col("whole").isNull(), "unknown block").when(F.col("end").isNull(), "missing").when(F.col("gap"), "gap or overlap").when(F.col("wrong"), "other text").when(F.col("end") != F.length("whole"), "incomplete")
     out = per.select(*key, problem.alias("problem")).where("problem is not null")
-    over = chunks.where(F.col("token_count") > limit).where(F.length("text") > 1)
-    return out.unionByName(over.select("document_id", "page_number", F.lit(None).cast("int").alias("block_number"), F.lit("over the limit").alias("problem")))
+    over = chunks.where(F.col("token_count") > limit)
+    return out.unionByName(over.select(*key[:3], F.lit(None).cast("int").alias("block_number"), F.lit("over the limit").alias("problem")))
+
+
+# --------------------------------------------------------------------------- tables
+
+
+def part_rows(lines: list[str], title: str | None, notes: list[str], limit: int, most: int = MAX_ROWS, count: Counter = approximate_tokens) -> list[tuple[int, int, str, int]]:
+    """(first row, end, text, tokens) of the parts of a table (H12, H13). A row is never split; the notes
+    go with every part if that makes no more parts. Titles are measured as part 99 of 99."""
+    name = title or "Table"
 
+    def ranges(tail: list[str]) -> list[tuple[int, int]]:
+        return list(greedy(len(lines), lambda a, b: b - a <= most and count("\n".join([f"{name} (part 99 of 99)", *lines[a:b], *tail])) <= limit)) or [(0, 0)]
 
-def group_rows(lines: list[str], title: str | None, notes: list[str], limit: int, most: int = MAX_ROWS, count: Callable[[str], int] = approximate_tokens) -> tuple[list[tuple[int, int]], bool]:
-    """Row ranges that fit the budget, and whether the notes go with them (H13): notes are kept when
-    they don't need more parts. A row is never split."""
+    found, noted = ranges([]), ranges(notes)
+    tail = notes if len(noted) <= len(found) else []
+    found = noted if tail else found
+    many = len(found) > 1
+    texts = ["\n".join([name + (f" (part {k} of {len(found)})" if many else ""), *lines[a:b], *tail]) for k, (a, b) in enumerate(found, 1)]
+    return [(a, b, x, count(x)) for (a, b), x in zip(found, texts, strict=True)]
 
-    def parts(with_notes: list[str]) -> list[tuple[int, int]]:
-        out, at = [], 0
-        head = f"{title or 'Table'} (part 99 of 99)"
-        while at < len(lines):
-            end = at + 1
-            while end < len(lines) and end - at < most and count("\n".join([head, *lines[at : end + 1], *with_notes])) <= limit:
-                end += 1
-            out.append((at, end))
-            at = end
-        return out or [(0, 0)]
 
-    full, bare = parts(notes), parts([])
-    return (full, True) if notes and len(full) <= len(bare) else (bare, False)
+def rendered_tables(tables: DataFrame) -> DataFrame:
+    """Tables (.., rows, external) with ``names``, ``header_rows`` and ``lines`` (H9-H11): rows are arrays of
+    cells, external the names that the parser found outside, or null."""
+    head = t.detect_header(F.col("rows"), F.col("external"))
+    rows = tables.withColumn("h", head).withColumn("names", F.col("h.names")).withColumn("header_rows", F.col("h.consumed")).drop("h")
+    body = F.slice("rows", F.col("header_rows") + 1, F.greatest(F.size("rows") - F.col("header_rows"), F.lit(0)))
+    return rows.withColumn("lines", F.transform(body, lambda r: t.render_row(r, F.coalesce("names", F.array().cast("array<string>")))))
 
 
-def table_chunks(tables: DataFrame, limit: int, most: int = MAX_ROWS) -> DataFrame:
-    """(table_id, part_number, part_count, row_start, row_end, text, token_count, oversized) of tables
-    (table_id, title, notes, names, header_rows, lines): one row per part (K2, H12)."""
+def table_chunks(tables: DataFrame, limit: int, most: int = MAX_ROWS, count: Counter = approximate_tokens) -> DataFrame:
+    """The columns of ``rendered_tables`` (table_id, title, notes, rows, names, header_rows, lines) and
+    chunk_id, part_number, part_count, row_start, row_end, cells, text, token_count, oversized: one row per
+    part (K2). Rows count from the table's first, headers included; tables without rows have no part."""
+    if limit <= 0 or most <= 0:
+        raise ValueError("limits must be positive")
     ship(tables.sparkSession)
 
-    def run(batches):
-        for df in batches:
-            rows = []
-            for t in df.itertuples(index=False):
-                lines, notes = list(t.lines), list(t.notes) if t.notes is not None else []
-                groups, keep = group_rows(lines, t.title, notes, limit, most)
-                for k, (a, b) in enumerate(groups, 1):
-                    head = (t.title or "Table") + (f" (part {k} of {len(groups)})" if len(groups) > 1 else "")
-                    text = "\n".join([head, *lines[a:b], *(notes if keep else [])])
-                    n = approximate_tokens(text)
-                    rows.append((t.table_id, k, len(groups), t.header_rows + a, t.header_rows + b, text, n, n > limit))
-            yield pd.DataFrame(rows, columns=["table_id", "part_number", "part_count", "row_start", "row_end", "text", "token_count", "oversized"])
+    @F.pandas_udf("array<struct<a:int,b:int,text:string,token_count:int>>")
+    def parts(lines: pd.Series, titles: pd.Series, notes: pd.Series) -> pd.Series:
+        names = ("a", "b", "text", "token_count")
+        return pd.Series([[dict(zip(names, p, strict=True)) for p in part_rows(list(x), title, list(n) if n is not None else [], limit, most, count)] for x, title, n in zip(lines, titles, notes, strict=True)])
 
-    return tables.select("table_id", "title", "notes", "header_rows", "lines").mapInPandas(run, "table_id string, part_number int, part_count int, row_start int, row_end int, text string, token_count int, oversized boolean")
+    rows = tables.where(F.size("rows") > 0).withColumn("parts", parts("lines", "title", "notes"))
+    rows = rows.select("*", F.posexplode("parts").alias("k", "p")).withColumn("part_number", F.col("k") + 1).withColumn("part_count", F.size("parts"))
+    rows = rows.withColumn("row_start", F.col("header_rows") + F.col("p.a")).withColumn("row_end", F.col("header_rows") + F.col("p.b"))
+    rows = rows.withColumn("cells", F.slice("rows", F.col("row_start") + 1, F.col("row_end") - F.col("row_start")))
+    name = F.concat(F.col("table_id"), F.lit(":part"), F.col("part_number").cast("string"))
+    return rows.select(*tables.columns, name.alias("chunk_id"), "part_number", "part_count", "row_start", "row_end", "cells", F.col("p.text").alias("text"), F.col("p.token_count").alias("token_count"), (F.col("p.token_count") > limit).alias("oversized"))
 
 
 def table_problems(parts: DataFrame, tables: DataFrame) -> DataFrame:
-    """(table_id, problem): parts numbered from 1 without gaps, rows contiguous and complete (K5)."""
+    """(table_id, problem) (K5): parts numbered from 1 without gaps and counted, with one header, rows
+    contiguous and complete, cells as in the table, no table missing, empty or unknown."""
     w = Window.partitionBy("table_id").orderBy("part_number")
-    rows = parts.join(tables.select("table_id", "header_rows", (F.col("header_rows") + F.size("lines")).alias("end")), "table_id")
-    rows = rows.withColumn("before", F.lag("row_end").over(w)).withColumn("n", F.row_number().over(w))
-    bad = (F.col("row_start") != F.coalesce("before", "header_rows")) | (F.col("n") != F.col("part_number"))
-    per = rows.groupBy("table_id", "end").agg(F.max(bad).alias("bad"), F.max("row_end").alias("last"), F.count("*").alias("n"), F.max("part_count").alias("m"))
-    per = tables.select("table_id").join(per, "table_id", "left")
-    problem = F.when(F.col("last").isNull(), "missing").when(F.col("bad"), "rows out of order").when(F.col("last") != F.col("end"), "incomplete").when(F.col("n") != F.col("m"), "part count")
+    source = tables.select("table_id", F.col("rows").alias("whole"), F.lit(True).alias("known"))
+    rows = parts.select("table_id", "part_number", "part_count", "header_rows", "names", "row_start", "row_end", "cells").join(source, "table_id", "full_outer")
+    before = F.coalesce(F.lag("row_end").over(w), F.col("header_rows"))
+    bad = (F.col("part_number") != F.row_number().over(w)) | (F.col("part_count") != F.count("part_number").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    first = w.rowsBetween(Window.unboundedPreceding, 0)
+    header = (F.col("header_rows") != F.first("header_rows").over(first)) | ~F.col("names").eqNullSafe(F.first("names").over(first))
+    order = (F.col("row_start") != before) | (F.col("row_start") > F.col("row_end"))
+    same = F.col("cells").eqNullSafe(F.slice("whole", F.col("row_start") + 1, F.greatest(F.col("row_end") - F.col("row_start"), F.lit(0))))
+    rows = rows.withColumn("bad", bad).withColumn("header", header).withColumn("order", order).withColumn("other", ~same)
+    per = rows.groupBy("table_id").agg(F.max("known").alias("known"), F.max("part_number").alias("parts"), F.max("bad").alias("bad"), F.max("header").alias("header"), F.max("order").alias("order"), F.max("other").alias("other"), F.max("row_end").alias("last"), F.max(F.size("whole")).alias("size"))
+    problem = (
+        F.when(F.col("known").isNull(), "unknown table")
+        .when(F.col("size") == 0, "empty table")
+        .when(F.col("parts").isNull(), "missing")
+        .when(F.col("bad"), "part numbers")
+        .when(F.col("header"), "other header")
+        .when(F.col("order"), "rows out of order")
+        .when(F.col("other"), "other cells")
+        .when(F.col("last") != F.col("size"), "incomplete")
+    )
     return per.select("table_id", problem.alias("problem")).where("problem is not null")

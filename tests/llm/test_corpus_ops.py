@@ -216,6 +216,11 @@ def test_difference_cover_sort():
         raw = x.tobytes()
         keys = [raw[i : i + 50] for i in got.tolist()]
         assert sorted(got.tolist()) == starts.tolist() and keys == sorted(keys)
+        docs = np.arange(len(x)) // 250
+        first = {}
+        for i in starts.tolist():
+            first[raw[i : i + 50]] = min(first.get(raw[i : i + 50], 99), docs[i])
+        assert sorted(suffix_dedup.repeats(x, starts, docs).tolist()) == [i for i in starts.tolist() if first[raw[i : i + 50]] < docs[i]]
 
 
 def test_water_filling():
