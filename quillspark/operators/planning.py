@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, written
 
 #: Waves after which those found so far become one table.
 JOINED = 16
@@ -26,11 +26,6 @@ def plan_errors(tasks: DataFrame) -> DataFrame:
     return unknown.unionByName(twice)
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage: in the shared checkpoint folder, or on the executors where none is set."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-
 def waves(tasks: DataFrame) -> DataFrame:
     """(plan_id, task_id, wave, is_parallelizable); the wave is null on or behind a cycle.
 
@@ -39,20 +34,20 @@ def waves(tasks: DataFrame) -> DataFrame:
     key = ["plan_id", "task_id"]
     ids = tasks.select(*key).distinct()
     edges = tasks.select(*key, F.explode("depends_on").alias("dep")).distinct()
-    edges = _written(edges.join(ids.select("plan_id", F.col("task_id").alias("dep")), ["plan_id", "dep"], "left_semi"))
+    edges = written(edges.join(ids.select("plan_id", F.col("task_id").alias("dep")), ["plan_id", "dep"], "left_semi"))
     wave = 0
-    now = _written(ids.join(edges.select(*key).distinct(), key, "left_anti").withColumn("wave", F.lit(wave)))
+    now = written(ids.join(edges.select(*key).distinct(), key, "left_anti").withColumn("wave", F.lit(wave)))
     found = now
     while not edges.isEmpty():
-        rest = _written(edges.join(now.select("plan_id", F.col("task_id").alias("dep")), ["plan_id", "dep"], "left_anti"))
+        rest = written(edges.join(now.select("plan_id", F.col("task_id").alias("dep")), ["plan_id", "dep"], "left_anti"))
         wave += 1
-        now = _written(edges.select(*key).distinct().join(rest.select(*key).distinct(), key, "left_anti").withColumn("wave", F.lit(wave)))
+        now = written(edges.select(*key).distinct().join(rest.select(*key).distinct(), key, "left_anti").withColumn("wave", F.lit(wave)))
         if now.isEmpty():
             break
         edges = rest
         found = found.unionByName(now)
         if wave % JOINED == 0:
-            found = _written(found)
+            found = written(found)
     stuck = edges.select(*key).distinct().withColumn("wave", F.lit(None).cast("int"))
     found = found.unionByName(stuck)
     wide = found.groupBy("plan_id", "wave").agg(F.count("*").alias("width"))
@@ -85,7 +80,7 @@ def execute(tasks: DataFrame, run_task: Callable[[str, str], str]) -> DataFrame:
 
     A task that raises is ``failed`` with its message and does not stop the others."""
     ship(tasks.sparkSession)
-    planned = tasks.join(waves(tasks), ["plan_id", "task_id"]).persist()
+    planned = written(tasks.join(waves(tasks), ["plan_id", "task_id"]))
     done = tasks.sparkSession.createDataFrame([], "plan_id string, task_id string, status string, result string")
 
     def run(batches):
@@ -101,9 +96,7 @@ def execute(tasks: DataFrame, run_task: Callable[[str, str], str]) -> DataFrame:
     for (wave,) in planned.where("wave is not null").select("wave").distinct().orderBy("wave").collect():
         now = planned.where(F.col("wave") == wave)
         ready = now.select("plan_id", "task_id", "sub_query").join(contexts(now.join(tasks.select("plan_id", "task_id"), ["plan_id", "task_id"]), done), ["plan_id", "task_id"], "left")
-        new = ready.mapInPandas(run, done.schema).persist()
-        new.count()
-        done = done.unionByName(new)
+        done = done.unionByName(written(ready.mapInPandas(run, done.schema)))
     return done
 
 

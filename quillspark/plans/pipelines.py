@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import chunking, citations, layout, planning, retrieval
+from ..session import written
 from ..sources.models import LLM, LLMError, QuotaError, generate
 
 ANSWER_SYSTEM = "Answer from the numbered sources only and quote them word for word."
@@ -23,14 +24,29 @@ ANSWER_SCHEMA = {
 ANSWER_TYPE = "answerable boolean, answer string, citations array<struct<source:int,quote:string>>"
 
 
-def chunk_documents(blocks: DataFrame, tables: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    """(chunks, problems) of raw blocks (document_id, version, page_number, block_number, box, text) (K3):
-    classified, furniture marked, packed; documents with a problem keep no chunks."""
-    marked = layout.mark_furniture(layout.classify_blocks(blocks, tables)).persist()
-    overlapping = marked.where("classification = 'PARTIAL_OVERLAP'").select("document_id", "page_number", "block_number", F.lit("partial overlap").alias("problem"))
-    usable = marked.join(overlapping.select("document_id").distinct(), "document_id", "left_anti")
-    chunks = chunking.text_chunks(usable, limit).persist()
-    problems = overlapping.unionByName(chunking.text_problems(chunks, usable, limit))
+def chunk_documents(blocks: DataFrame, tables: DataFrame, limit: int, count: chunking.Counter = chunking.approximate_tokens) -> tuple[DataFrame, DataFrame]:
+    """(chunks, problems) of raw blocks (document_id, version, page_number, block_number, box, text) (K3, G1):
+    classified, furniture marked, packed. Where tables (document_id, page_number, table_number, box) bring
+    ``rows`` and ``external`` names, their parts follow, with the title and notes found beside them.
+    Documents with a problem keep no chunks."""
+    marked = written(layout.mark_furniture(layout.classify_blocks(blocks, tables)))
+    unknown = chunking.block_problems(marked)
+    sound = marked.join(unknown.select("document_id").distinct(), "document_id", "left_anti")
+    texts = written(chunking.text_chunks(sound, limit, count))
+    problems = unknown.unionByName(chunking.text_problems(texts, sound, limit))
+    shown = ["document_id", "version", "page_number", "chunk_id", "content_type", "section", "text", "token_count"]
+    chunks = texts.withColumn("content_type", F.lit("text")).select(*shown)
+    if "rows" in tables.columns:
+        key = ["document_id", "page_number", "table_number"]
+        named = tables.join(layout.find_titles(sound, tables).select(*key, "title"), key, "left").join(layout.find_notes(sound, tables), key, "left")
+        named = named.join(sound.select("document_id", "version").distinct(), "document_id")
+        name = F.concat_ws("", F.col("document_id"), F.lit(":v"), F.col("version"), F.lit(":p"), F.col("page_number"), F.lit(":t"), F.col("table_number"))
+        rendered = written(chunking.rendered_tables(named.withColumn("table_id", name)))
+        parts = written(chunking.table_chunks(rendered, limit, count=count))
+        bad = chunking.table_problems(parts, rendered).join(rendered.select("table_id", "document_id", "version", "page_number"), "table_id")
+        problems = problems.unionByName(bad.select("document_id", "version", "page_number", F.lit(None).cast("int").alias("block_number"), "problem"))
+        chunks = chunks.unionByName(parts.withColumn("content_type", F.lit("table")).withColumn("section", F.lit(None).cast("string")).select(*shown))
+    problems = written(problems)
     return chunks.join(problems.select("document_id").distinct(), "document_id", "left_anti"), problems
 
 
@@ -39,10 +55,10 @@ def answer(questions: DataFrame, chunks: DataFrame, encoder, make_llm: Callable[
     quotes checked against their sources (P2, P3)."""
     vectors = encoder.encode(chunks, "text").select("chunk_id", "vector")
     hits = retrieval.search(encoder.encode(questions, "question"), chunks, vectors, top_k)
-    sources = hits.join(chunks, "chunk_id").join(questions.select("question_id", "question"), "question_id").persist()
-    replies = generate(citations.render_sources(sources), make_llm, ANSWER_SYSTEM, ANSWER_SCHEMA, ANSWER_TYPE).persist()
+    sources = written(hits.join(chunks, "chunk_id").join(questions.select("question_id", "question"), "question_id"))
+    replies = written(generate(citations.render_sources(sources), make_llm, ANSWER_SYSTEM, ANSWER_SCHEMA, ANSWER_TYPE))
     quoted = replies.select("question_id", F.posexplode("reply.citations").alias("pos", "c")).select("question_id", "pos", F.col("c.source").alias("source"), F.col("c.quote").alias("quote"))
-    checked = citations.check_citations(quoted, sources.select("question_id", F.col("rank").alias("number"), "document_name", "page_number", "chunk_id", "content_type", "text")).persist()
+    checked = citations.check_citations(quoted, sources.select("question_id", F.col("rank").alias("number"), "document_name", "page_number", "chunk_id", "content_type", "text"))
     every = questions.select("question_id").join(replies.select("question_id", "reply.answerable", "reply.answer"), "question_id", "left")
     status = citations.answer_status(every, checked)
     listed = checked.where("verified").groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("pos", "source", "chunk_id", "quote"))).alias("citations"))

@@ -132,16 +132,17 @@ def k4_text_coverage(spark, d):
 
 
 def _part_tables(spark, d):
-    """Parts by brand as tables: header names and one row a part."""
+    """Parts by brand as tables: a row of names and one row a part."""
     p = t.table(spark, d, "part")
-    names = F.array(F.lit("Key"), F.lit("Name"), F.lit("Type"))
-    line = text.render_row(F.array(F.col("p_partkey").cast("string"), "p_name", "p_type"), names)
-    rows = p.groupBy("p_brand").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("l")))), lambda x: x["l"]).alias("lines"))
-    return rows.select(F.concat(F.lit("doc:v1:p1:"), "p_brand").alias("table_id"), F.concat(F.lit("Table 1. "), "p_brand").alias("title"), F.array(F.lit("Note: all parts")).alias("notes"), F.lit(1).alias("header_rows"), "lines")
+    row = F.struct("p_partkey", F.array(F.col("p_partkey").cast("string"), "p_name", "p_type").alias("r"))
+    body = F.transform(F.array_sort(F.collect_list(row)), lambda x: x["r"])
+    rows = p.groupBy("p_brand").agg(F.concat(F.array(F.array(F.lit("Key"), F.lit("Name"), F.lit("Type"))), body).alias("rows"))
+    rows = rows.select(F.concat(F.lit("doc:v1:p1:"), "p_brand").alias("table_id"), F.concat(F.lit("Table 1. "), "p_brand").alias("title"), F.array(F.lit("Note: all parts")).alias("notes"), "rows", F.lit(None).cast("array<string>").alias("external"))
+    return chunking.rendered_tables(rows)
 
 
 def k2_table_chunks(spark, d):
-    return chunking.table_chunks(_part_tables(spark, d), LIMIT)
+    return chunking.table_chunks(_part_tables(spark, d), LIMIT).select("table_id", "part_number", "part_count", "row_start", "row_end", "text", "token_count", "oversized")
 
 
 def k5_table_coverage(spark, d):

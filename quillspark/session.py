@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 
@@ -23,6 +23,17 @@ def get_session(master: str | None = None, app: str = "quillspark", **conf: str)
     return builder.getOrCreate()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage by files in the folder of ``spark.checkpoint.dir``, so a lost executor costs
+    a re-read. A temporary folder stands in only where none is set and the executors are local (tests)."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quill-"))
+    return df.checkpoint()
+
+
 def ship(spark: SparkSession) -> None:
     """Give the Python workers of a session this package, once, wherever the driver runs from."""
     sc = spark.sparkContext

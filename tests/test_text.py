@@ -56,17 +56,20 @@ def test_split_covers_exactly(limit):
     assert all(chunking.approximate_tokens(body[a:b]) <= limit for a, b in spans)
 
 
-def test_packing_flushes_at_headings_tables_and_pages():
-    blocks = [(1, 1, "OUTSIDE_TABLE", "intro"), (1, 2, "OUTSIDE_TABLE", "1. Scope"), (1, 3, "INSIDE_TABLE", "x"), (1, 4, "OUTSIDE_TABLE", "after"), (1, 5, "PAGE_FURNITURE", "9"), (2, 6, "OUTSIDE_TABLE", "next")]
-    got = [(c["page_number"], c["text"], c["section"]) for c in chunking.pack_document(blocks, 100)]
+def test_packing_flushes_at_headings_tables_and_pages(spark):
+    rows = [(1, 1, "OUTSIDE_TABLE", "intro"), (1, 2, "OUTSIDE_TABLE", "1. Scope"), (1, 3, "INSIDE_TABLE", "x"), (1, 4, "OUTSIDE_TABLE", "after"), (1, 5, "PAGE_FURNITURE", "9"), (2, 6, "OUTSIDE_TABLE", "next")]
+    blocks = spark.createDataFrame([("d", 1, p, n, 0.0, float(n), kind, body) for p, n, kind, body in rows], "document_id string, version int, page_number int, block_number int, x0 double, y0 double, classification string, text string")
+    got = [(c["page_number"], c["text"], c["section"]) for c in chunking.text_chunks(blocks, 100).orderBy("chunk_number").collect()]
     assert got == [(1, "intro", None), (1, "1. Scope", "1. Scope"), (1, "after", "1. Scope"), (2, "next", "1. Scope")]
-    with pytest.raises(ValueError):
-        chunking.pack_document([(1, 1, "PARTIAL_OVERLAP", "x")], 10)
+    partial = blocks.withColumn("classification", F.lit("PARTIAL_OVERLAP"))
+    assert chunking.text_chunks(partial, 10).count() == 0 and chunking.block_problems(partial).count() == 6
 
 
 def test_row_groups_keep_notes_only_for_free():
     lines = [f"Name: value {i}" for i in range(30)]
-    groups, keep = chunking.group_rows(lines, "Table 1", ["Note: n"], 10_000)
-    assert groups == [(0, 25), (25, 30)] and keep
-    groups, keep = chunking.group_rows(["one two three"], None, [], 1)
-    assert groups == [(0, 1)] and not keep
+    parts = chunking.part_rows(lines, "Table 1", ["Note: n"], 10_000)
+    assert [(a, b) for a, b, _, _ in parts] == [(0, 25), (25, 30)] and all(x.endswith("Note: n") for _, _, x, _ in parts)
+    parts = chunking.part_rows(["one two three"], None, ["Note: n"], 12)
+    assert [(a, b) for a, b, _, _ in parts] == [(0, 1)] and parts[0][2] == "Table\none two three\nNote: n"
+    parts = chunking.part_rows(["one two three", "four five six"], None, ["Note: " + "n " * 4], 25)
+    assert [(a, b) for a, b, _, _ in parts] == [(0, 2)] and "Note" not in parts[0][2]
