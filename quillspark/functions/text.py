@@ -136,6 +136,23 @@ def review_reason(warning: Column, known: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(table, key), warning)
 
 
+def short_id(c: Column) -> Column:
+    """An id without what stands before its first colon."""
+    return F.regexp_replace(c, "^[^:]*:", "")
+
+
+def processing_message(status: Column, document_type: Column, ocr_pages: Column, reasons: Column) -> Column:
+    """A sentence on how a file was processed (H34); reasons: "page n: why" in order, of which three are
+    told (F8). Unknown statuses are given as they are."""
+    n = ocr_pages.cast("string")
+    # The sentences.
+    ready = F.when(document_type == "scanned", F.concat(F.lit("Ready. Scanned document: read "), n, F.lit(" page(s) with OCR.")))
+    ready = ready.when(document_type == "mixed", F.concat(F.lit("Ready. Mixed document: OCR used on "), n, F.lit(" page(s) with scanned content."))).otherwise("Ready.")
+    told = F.array_join(F.slice(reasons, 1, 3), "; ")
+    review = F.concat(F.lit("Not searchable: "), F.when(F.coalesce(told, F.lit("")) == "", "some pages could not be read").otherwise(told), F.lit("."))
+    return F.when(status == "CHUNKED", ready).when(status == "NEEDS_REVIEW", review).when(status == "FAILED", "Processing failed; the file is not searchable.").otherwise(status)
+
+
 def sse_event(kind: Column, data: Column) -> Column:
     """One server-sent event."""
     return F.concat(F.lit("event: "), kind, F.lit("\ndata: "), data, F.lit("\n\n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
@@ -58,10 +58,11 @@ def classify_blocks(blocks: DataFrame, tables: DataFrame) -> DataFrame:
     return rows.withColumn("classification", kind).withColumn("table_number", F.col("best.table_number")).drop("best")
 
 
-def mark_furniture(blocks: DataFrame) -> DataFrame:
+def mark_furniture(blocks: DataFrame, page_counts: DataFrame | None = None) -> DataFrame:
     """blocks with headers and footers marked PAGE_FURNITURE (J9, E6, D10): among the first or last two
     text blocks of the page, at most 200 characters, and a bare page number or, digits aside, on at
-    least half of the pages and two."""
+    least half of the pages and two. ``page_counts`` (document_id, pages) counts blank pages too; without
+    it the pages are those that have blocks."""
     key = ["document_id", "page_number"]
     page = Window.partitionBy(*key)
     usable = blocks.where((F.col("classification") == "OUTSIDE_TABLE") & (text.strip(F.col("text")) != ""))
@@ -70,7 +71,7 @@ def mark_furniture(blocks: DataFrame) -> DataFrame:
     edges = usable.withColumn("a", F.row_number().over(page.orderBy(*order))).withColumn("b", F.row_number().over(page.orderBy(*back))).where((F.col("a") <= EDGE) | (F.col("b") <= EDGE))
     edges = edges.select(*key, "block_number", "text", text.furniture_key(F.col("text")).alias("norm"))
     seen = edges.groupBy("document_id", "norm").agg(F.countDistinct("page_number").alias("on_pages"))
-    pages = blocks.groupBy("document_id").agg(F.countDistinct("page_number").alias("pages"))
+    pages = page_counts if page_counts is not None else blocks.groupBy("document_id").agg(F.countDistinct("page_number").alias("pages"))
     rows = edges.join(seen, ["document_id", "norm"]).join(pages, "document_id")
     repeated = F.col("on_pages") >= F.greatest(F.lit(2), F.ceil(F.col("pages") / 2))
     rows = rows.where((F.length(text.strip(F.col("text"))) <= MAX_FURNITURE) & (text.is_page_number(F.col("text")) | repeated))
@@ -125,31 +126,58 @@ def merge_ocr(blocks: DataFrame, ocr: DataFrame) -> DataFrame:
 
 
 def page_text(blocks: DataFrame, kinds: DataFrame) -> DataFrame:
-    """(page key, text, method, character_count) in reading order."""
+    """(page key, text, method, character_count) in reading order (J6, F6). The kind of the page decides:
+    scans join their OCR blocks by an empty line; a mixed page adds its OCR blocks, if any, behind its
+    own text; kinds: document_id, page_number, page_type."""
     key = ["document_id", "page_number"]
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y0", "x0", "block_number", F.col("text").alias("t")))), lambda x: x["t"]), "\n")
-    texts = blocks.groupBy(*key).agg(joined.alias("text"), F.max((F.col("source") == "ocr")).alias("has_ocr"), F.max((F.col("source") == "text_layer")).alias("has_layer"))
+    ocr, body = F.col("source") == "ocr", text.strip(F.col("text"))
+    block = F.struct("y0", "x0", "block_number", F.col("text").alias("t"), body.alias("b"))
+
+    def joined(blocks: Column, field: str, glue: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(blocks), lambda x: x[field]), glue)
+
+    own, read = F.collect_list(F.when(~ocr, block)), F.collect_list(F.when(ocr, block))
+    texts = blocks.groupBy(*key).agg(own.alias("own"), read.alias("read"))
+    scan, layer = text.strip(joined(F.col("read"), "b", "\n\n")), text.strip(joined(F.col("own"), "t", "\n"))
+    mixed = F.when(F.size("read") > 0, F.concat(layer, F.lit("\n\n"), joined(F.col("read"), "b", "\n\n"))).otherwise(layer)
+    kind = F.col("page_type")
     rows = kinds.join(texts, key, "left")
-    method = F.when(F.col("has_ocr") & F.col("has_layer"), "embedded_text+ocr").when(F.col("has_ocr"), "ocr").when(F.col("has_layer"), "embedded_text").otherwise("none")
-    out = F.coalesce("text", F.lit(""))
+    out = F.coalesce(F.when(kind == "scanned", scan).when(kind == "mixed", mixed).otherwise(layer), F.lit(""))
+    method = F.when(kind == "scanned", "ocr").when(kind == "mixed", "embedded_text+ocr").when(kind == "blank", "none").otherwise("embedded_text")
     return rows.select(*key, out.alias("text"), method.alias("method"), F.length(out).alias("character_count"))
 
 
 def page_warnings(pages: DataFrame) -> DataFrame:
-    """pages (page_type, character_count, ocr_confidence, ocr_failed, empty_tables) with ``warnings``."""
+    """pages (document_id, page_number, page_type, character_count, ocr_confidence, ocr_failed,
+    empty_tables) with ``warnings`` (J7). The first page says so where no page of a document has text."""
     c = F.col
+    document = Window.partitionBy("document_id")
+    silent = (F.max("character_count").over(document) == 0) & (c("page_number") == F.min("page_number").over(document))
     found = F.array_compact(
         F.array(
             F.when(c("empty_tables") > 0, F.concat(F.lit("table_empty: "), c("empty_tables").cast("string"))),
             F.when(c("ocr_failed"), "ocr_failed"),
-            F.when((c("page_type") == "scanned") & c("ocr_confidence").isNull() & ~c("ocr_failed"), "ocr_no_text"),
-            F.when(c("ocr_confidence") < 0.5, "ocr_low_confidence"),
-            F.when((c("page_type") != "blank") & (c("character_count") < 20), "little_text"),
+            F.when((c("page_type") == "scanned") & c("ocr_confidence").isNull() & ~c("ocr_failed"), "ocr_found_no_text"),
+            F.when((c("page_type") == "scanned") & (c("ocr_confidence") < 0.5), F.concat(F.lit("low_ocr_confidence: "), F.format_number("ocr_confidence", 2))),
+            F.when((c("page_type") == "text") & (c("character_count") < 20), "little_or_no_extractable_text"),
+            F.when(silent, "no_text_in_document"),
         )
     )
     return pages.withColumn("warnings", found)
 
 
+def plain_confidence(blocks: DataFrame, tables: DataFrame, key: list[str]) -> DataFrame:
+    """Mean confidence of blocks and tables that have one, 4 decimals."""
+    rows = blocks.select(*key, "confidence").unionByName(tables.select(*key, "confidence"))
+    return rows.groupBy(*key).agg(F.round(F.avg("confidence"), 4).alias("confidence"))
+
+
+def table_extents(tables: DataFrame) -> DataFrame:
+    """tables (rows) with row_count and column_count, the cells of the widest row."""
+    wide = F.coalesce(F.array_max(F.transform("rows", lambda r: F.size(r))), F.lit(0))
+    return tables.withColumn("row_count", F.size("rows")).withColumn("column_count", wide)
+
+
 def review_gate(pages: DataFrame) -> DataFrame:
     """(document_id, status, pages_needing_review): any warning stops a document."""
     bad = F.collect_set(F.when(F.size("warnings") > 0, F.col("page_number")))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship, written
@@ -56,23 +56,30 @@ def waves(tasks: DataFrame) -> DataFrame:
     return rows.select("plan_id", "task_id", "wave", F.coalesce((F.col("width") > 1) & F.col("free"), F.lit(False)).alias("is_parallelizable"))
 
 
+# The formats of a task's context and of the results in the report's prompt.
+CONTEXT = "--- Prior Findings from Dependency Task [%s] ---\n%s"
+RESULT = "### Node [%s]\n**Task Target:** %s\n**Status:** %s\n**Findings & Sources:**\n%s\n"
+NO_OUTPUT, NO_TARGET, NO_STATUS, NO_FINDINGS = "No output returned.", "N/A", "completed", "No findings recorded."
+
+
+def _in_order(part: Column) -> Column:
+    """The parts of a group by ``pos``, an empty line between them."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", part.alias("part")))), lambda x: x["part"]), "\n\n")
+
+
 def contexts(tasks: DataFrame, results: DataFrame) -> DataFrame:
-    """(plan_id, task_id, context): the results of a task's dependencies in their order."""
+    """(plan_id, task_id, context): the results of a task's dependencies in their order.
+    Tasks without dependencies have no row."""
     deps = tasks.select("plan_id", "task_id", F.posexplode("depends_on").alias("pos", "dep"))
-    parents = tasks.select("plan_id", F.col("task_id").alias("dep"), F.col("sub_query").alias("dep_query"))
-    rows = deps.join(parents, ["plan_id", "dep"], "left").join(results.select("plan_id", F.col("task_id").alias("dep"), "result"), ["plan_id", "dep"], "left")
-    part = F.concat(F.lit("### "), F.col("dep"), F.lit(": "), F.coalesce("dep_query", F.lit("")), F.lit("\n"), F.coalesce("result", F.lit("No output returned.")))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", part.alias("part")))), lambda x: x["part"]), "\n\n")
-    return rows.groupBy("plan_id", "task_id").agg(joined.alias("context"))
+    rows = deps.join(results.select("plan_id", F.col("task_id").alias("dep"), "result"), ["plan_id", "dep"], "left")
+    part = F.format_string(CONTEXT, F.col("dep"), F.coalesce("result", F.lit(NO_OUTPUT)))
+    return rows.groupBy("plan_id", "task_id").agg(_in_order(part).alias("context"))
 
 
 def render_results(results: DataFrame) -> DataFrame:
     """(plan_id, prompt): all results in plan order with their defaults."""
-    part = F.concat(
-        F.lit("## "), F.col("task_id"), F.lit("\nQuery: "), F.coalesce("sub_query", F.lit("N/A")), F.lit("\nStatus: "), F.coalesce("status", F.lit("completed")), F.lit("\n"), F.coalesce("result", F.lit("No findings recorded."))
-    )
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", part.alias("part")))), lambda x: x["part"]), "\n\n")
-    return results.groupBy("plan_id").agg(joined.alias("prompt"))
+    part = F.format_string(RESULT, F.col("task_id"), F.coalesce("sub_query", F.lit(NO_TARGET)), F.coalesce("status", F.lit(NO_STATUS)), F.coalesce("result", F.lit(NO_FINDINGS)))
+    return results.groupBy("plan_id").agg(_in_order(part).alias("prompt"))
 
 
 def execute(tasks: DataFrame, run_task: Callable[[str, str], str]) -> DataFrame:

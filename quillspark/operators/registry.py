@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HANDLED = ("CHUNKED", "NEEDS_REVIEW")
+CHANGED = "File changed during processing; chunks were not saved. Rescan the file."
 
 
 def latest_versions(registry: DataFrame) -> DataFrame:
@@ -38,13 +39,14 @@ def searchable(registry: DataFrame, session_links: DataFrame | None = None, sess
 
 
 def latest_chunks(chunks: DataFrame, registry: DataFrame, session_links: DataFrame | None = None, session_id: str | None = None) -> DataFrame:
-    """The chunks of searchable documents with their positions in candidate order."""
+    """The chunks of searchable documents."""
     scope = searchable(registry, session_links, session_id).select("document_id", F.col("version").alias("document_version"), F.col("filename").alias("document_name"))
     return chunks.join(scope, ["document_id", "document_version"])
 
 
-def null_safe_same_scope(a: str, b: str) -> Column:
-    return F.col(a).eqNullSafe(F.col(b))
+def candidates(chunks: DataFrame, registry: DataFrame, session_links: DataFrame | None = None, session_id: str | None = None) -> DataFrame:
+    """``latest_chunks`` in candidate order (F1): names and chunk ids as binary strings."""
+    return latest_chunks(chunks, registry, session_links, session_id).orderBy("document_name", "page_number", "chunk_id")
 
 
 def register(arrivals: DataFrame) -> DataFrame:
@@ -52,7 +54,8 @@ def register(arrivals: DataFrame) -> DataFrame:
 
     An arrival whose checksum its scope has seen is a duplicate: ``already_registered`` when the
     newest registered version of the same key has it, ``duplicate_content`` otherwise (older versions
-    of the same key included). Others are registered with the next version of their key."""
+    of the same key included). Others are registered with the next version of their key. The version is
+    the new one, the one that has the bytes already, or null for a duplicate."""
     scope = [F.coalesce("session_id", F.lit("")), F.col("session_id").isNull()]
     seen = F.row_number().over(Window.partitionBy("checksum", *scope).orderBy("seq"))
     first = arrivals.withColumn("is_new", (seen == 1).cast("int"))
@@ -60,7 +63,7 @@ def register(arrivals: DataFrame) -> DataFrame:
     before = per_key.rowsBetween(Window.unboundedPreceding, -1)
     current = F.last(F.when(F.col("is_new") == 1, F.col("checksum")), ignorenulls=True).over(before)
     outcome = F.when(F.col("is_new") == 1, "registered").when(F.col("checksum") == current, "already_registered").otherwise("duplicate_content")
-    version = F.when(F.col("is_new") == 1, F.sum("is_new").over(per_key))
+    version = F.when(outcome != "duplicate_content", F.sum("is_new").over(per_key))
     return first.withColumn("outcome", outcome).withColumn("version", version.cast("int")).select("seq", "filename", "checksum", "session_id", "outcome", "version")
 
 
@@ -92,6 +95,29 @@ def removable_files(versions: DataFrame, inbox: DataFrame) -> DataFrame:
     return paths.unionByName(copies).where("path is not null").distinct()
 
 
+def end_session(session_id: str, registry: DataFrame, sessions: DataFrame, session_links: DataFrame, **tables: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Cascade of a session's end (B8): every version of each key that it uploaded, its links to reused
+    documents and its own row go; returns the tables left and how many rows each lost."""
+    mine = registry.where(F.col("session_id") == session_id).select("filename").distinct()
+    doomed = registry.join(mine, "filename", "left_semi").select("document_id")
+    other = F.col("session_id").isNull() | (F.col("session_id") != session_id)
+    kept, counts = delete_documents(doomed, documents=registry, **tables)
+    for name, rows in (("session_documents", session_links), ("sessions", sessions)):
+        kept[name] = rows.where(other)
+        counts = counts.unionByName(rows.where(~other).agg(F.count("*").alias("deleted"), F.lit(name).alias("name")))
+    return kept, counts
+
+
+def find_library_documents(paths: DataFrame, registry: DataFrame) -> DataFrame:
+    """paths (path, folder, name) with the library document whose current file each is (C19): in the
+    ``archive`` folder by the name of its archived file, in the ``inbox`` by its own name as long as it isn't
+    archived. Other folders and unknown names have none."""
+    newest = latest_versions(registry).where("session_id is null")
+    place = F.when(F.col("archive_path").isNotNull(), "archive").otherwise("inbox")
+    name = F.coalesce(F.element_at(F.split("archive_path", "/"), -1), F.col("filename"))
+    return paths.join(newest.select("document_id", "version", place.alias("folder"), name.alias("name")), ["folder", "name"], "left")
+
+
 def session_list(sessions: DataFrame, session_links: DataFrame) -> DataFrame:
     """Sessions with their number of documents, most recently active first."""
     found = sessions.join(session_links, "session_id", "left")
@@ -110,10 +136,44 @@ def library_copy(uploads: DataFrame, registry: DataFrame) -> DataFrame:
     return found.withColumn("route", F.when(F.col("library_id").isNotNull(), "REUSED").otherwise("PROCESS"))
 
 
-def missing_files(registry: DataFrame, listing: DataFrame) -> DataFrame:
-    """Library documents whose file the listing lacks (C7, S4); an empty listing reports nothing."""
-    there = listing.limit(1).select(F.lit(1).alias("any"))
-    return registry.where("session_id is null").join(listing, "filename", "left_anti").crossJoin(F.broadcast(there)).drop("any")
+def processed(documents: DataFrame) -> DataFrame:
+    """documents (document_id, checksum, parse_error, pages_needing_review, chunk_error, checksum_after)
+    with their final ``status`` and ``error`` (S11): a parse error fails a document, pages to review stop
+    it before chunking, then a chunk error or a file that changed meanwhile fails it."""
+    changed = F.when(~F.col("checksum").eqNullSafe(F.col("checksum_after")), CHANGED)
+    review = F.coalesce(F.size("pages_needing_review"), F.lit(0)) > 0
+    error = F.coalesce("parse_error", F.when(~review, F.coalesce(F.col("chunk_error"), changed)))
+    status = F.when(error.isNotNull(), "FAILED").when(review, "NEEDS_REVIEW").otherwise("CHUNKED")
+    return documents.select("*", status.alias("status"), error.alias("error"))
+
+
+def staged(registered: DataFrame, registry: DataFrame) -> DataFrame:
+    """What adding each file to the library does next (S9): registered are rows of ``register``,
+    registry has status and has_file. Duplicates stop; a CHUNKED document is skipped while its file is
+    there and else archived again; all others, NEEDS_REVIEW too, are processed."""
+    current = latest_versions(registry).select("filename", "version", "status", "has_file")
+    rows = registered.join(current.withColumnRenamed("version", "current"), "filename", "left")
+    chunked = (F.col("outcome") == "already_registered") & (F.col("status") == "CHUNKED")
+    action = F.when(F.col("outcome") == "duplicate_content", "DUPLICATE").when(chunked & F.col("has_file"), "SKIP").when(chunked, "ARCHIVE").otherwise("PROCESS")
+    return rows.withColumn("action", action).drop("current", "status", "has_file")
+
+
+def reprocess(registry: DataFrame, listing: DataFrame) -> DataFrame:
+    """The file that each newest version is processed from again, and whether it is (S10): of the archive,
+    the inbox and the path of registration the first that exists; listing has path and checksum."""
+    newest = latest_versions(registry)
+    paths = newest.select("document_id", F.posexplode(F.array("archive_path", "inbox_path", "source_path")).alias("nth", "path"))
+    first = paths.join(listing.withColumnRenamed("checksum", "found"), "path").groupBy("document_id").agg(F.min(F.struct("nth", "path", "found")).alias("f"))
+    rows = newest.join(first, "document_id", "left")
+    action = F.when(F.col("f").isNull(), "SKIPPED: source file not found").when(F.col("f.found") != F.col("checksum"), "SKIPPED: file differs").otherwise("PROCESS")
+    return rows.select("document_id", "filename", F.col("f.path").alias("path"), action.alias("action"))
+
+
+def missing_files(registry: DataFrame, listing: DataFrame | None) -> DataFrame:
+    """Library documents whose file the listing lacks (C7, S4). None stands for an absent archive folder
+    and reports nothing; an empty folder reports every document."""
+    library = registry.where("session_id is null")
+    return library.limit(0) if listing is None else library.join(listing, "filename", "left_anti")
 
 
 def needs_processing(registry: DataFrame) -> DataFrame:
@@ -135,7 +195,7 @@ def changed_during_processing(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def upsert_vectors(vectors: DataFrame, new: DataFrame) -> DataFrame:
-    """Latest vector of each (chunk_id, model) (B2)."""
+    """Latest vector of each (chunk_id, model) (B2); of equal times a new one wins."""
     newest = F.row_number().over(Window.partitionBy("chunk_id", "model").orderBy(F.desc("created_at")))
     return vectors.unionByName(new).withColumn("n", newest).where("n = 1").drop("n")
 

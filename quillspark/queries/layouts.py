@@ -77,8 +77,11 @@ def j5_merge_ocr(spark, d):
 
 
 def j6_page_text(spark, d):
-    b = t.blocks(spark, d).withColumn("source", F.when(F.col("document_id") % 5 == 0, "ocr").otherwise("text_layer"))
-    out = layout.page_text(b, b.select("document_id", "page_number").distinct())
+    """Even blocks from OCR; the kind of a page follows from its document."""
+    n = F.col("document_id") % 4
+    b = t.blocks(spark, d).withColumn("source", F.when((n == 0) | ((n == 1) & (F.col("block_number") % 2 == 0)), "ocr").otherwise("text_layer"))
+    kinds = b.select("document_id", "page_number", F.when(n == 0, "scanned").when(n == 1, "mixed").otherwise("text").alias("page_type")).distinct()
+    out = layout.page_text(b, kinds)
     return out.select("document_id", "page_number", F.md5("text").alias("text"), "method", "character_count")
 
 
@@ -162,7 +165,17 @@ def e7_sections(spark, d):
     return t.blocks(spark, d).select("document_id", "block_number", F.last(head, ignorenulls=True).over(w).alias("section"), F.sum(head.isNotNull().cast("int")).over(w).alias("segment"))
 
 
-QUERIES = {f.__name__: f for f in (j1_page_kinds, j2_document_types, d15_quality, j3_classify_blocks, j9_furniture, k6_titles, k6_notes, d12_confidence, j5_merge_ocr, j6_page_text, j8_review_gate, a9_ocr_points, e11_pieces, j10_ocr_layout, k1_text_chunks, k4_text_coverage, k2_table_chunks, k5_table_coverage, e7_sections)}
+def d13_plain_confidence(spark, d):
+    b = t.blocks(spark, d).select("document_id", F.when(F.col("block_number") % 5 > 0, F.col("block_number") % 7 / 8).alias("confidence"))
+    tables = _tables(spark, d).select("document_id", F.lit(0.5).alias("confidence"))
+    return layout.plain_confidence(b, tables, ["document_id"]).select("document_id", F.round("confidence", 3).alias("confidence"))
+
+
+def d21_table_extents(spark, d):
+    return layout.table_extents(_part_tables(spark, d)).select("table_id", "row_count", "column_count")
+
+
+QUERIES = {f.__name__: f for f in (j1_page_kinds, j2_document_types, d15_quality, j3_classify_blocks, j9_furniture, k6_titles, k6_notes, d12_confidence, j5_merge_ocr, j6_page_text, j8_review_gate, a9_ocr_points, e11_pieces, j10_ocr_layout, k1_text_chunks, k4_text_coverage, k2_table_chunks, k5_table_coverage, e7_sections, d13_plain_confidence, d21_table_extents)}
 
 TABLES = "tabs AS (SELECT document_id, page_number, 40.0::DOUBLE AS tx0, min(y0 - 1) AS ty0, 560.0::DOUBLE AS tx1, max(y1) AS ty1 FROM blocks WHERE document_id % 4 = 0 AND (block_number - 1) % 20 BETWEEN 3 AND 5 GROUP BY document_id, page_number)"
 CLASSED = f"""{t.BLOCKS_SQL}, {TABLES}, classed AS (SELECT b.*, CASE WHEN tx0 IS NULL THEN 'OUTSIDE_TABLE' WHEN x0 >= tx0 AND y0 >= ty0 AND x1 <= tx1 AND y1 <= ty1 THEN 'INSIDE_TABLE'
@@ -196,9 +209,13 @@ ORACLES = {
     "d12_confidence": f"WITH {t.BLOCKS_SQL} SELECT document_id, round(round(sum(block_number % 7 / 10 * greatest(1, length(text))) / sum(greatest(1, length(text))), 4), 3) AS confidence FROM blocks GROUP BY document_id",
     "j5_merge_ocr": f"""WITH {CLASSED} SELECT document_id, page_number, 'text_layer' AS source, max(block_number) AS last, count(*) AS n, count(*) FILTER (classification = 'PARTIAL_OVERLAP') AS partial FROM classed GROUP BY ALL
         UNION ALL SELECT document_id, page_number, 'ocr', max(block_number) + CAST(count(*) AS INTEGER), count(*), 0 FROM classed WHERE document_id % 3 = 0 GROUP BY ALL""",
-    "j6_page_text": f"""WITH {t.BLOCKS_SQL}, p AS (SELECT document_id, page_number, string_agg(text, chr(10) ORDER BY y0, x0, block_number) AS x FROM blocks GROUP BY ALL)
-        SELECT document_id, page_number, md5(x) AS text, CASE WHEN document_id % 5 = 0 THEN 'ocr' ELSE 'embedded_text' END AS method, CAST(length(x) AS INTEGER) AS character_count FROM p""",
-    "j8_review_gate": """WITH w AS (SELECT user_id, event_id % 53 = 0 OR event_id % 97 = 0 OR (event_id % 4 = 0 AND event_id % 8 <> 0) OR (event_id % 8 = 0 AND event_id % 10 / 10 < 0.5) OR event_id % 500 < 20 AS bad FROM events)
+    "j6_page_text": f"""WITH {t.BLOCKS_SQL}, b AS (SELECT *, {STRIPPED} AS s, document_id % 4 = 0 OR (document_id % 4 = 1 AND block_number % 2 = 0) AS ocr FROM blocks),
+        j AS (SELECT document_id, page_number, string_agg(s, chr(10) || chr(10) ORDER BY y0, x0, block_number) FILTER (ocr) AS o, string_agg(text, chr(10) ORDER BY y0, x0, block_number) FILTER (NOT ocr) AS l FROM b GROUP BY ALL),
+        k AS (SELECT document_id, page_number, o, {STRIPPED.replace("text", "coalesce(l, '')")} AS l, {STRIPPED.replace("text", "o")} AS os FROM j),
+        x AS (SELECT *, coalesce(CASE document_id % 4 WHEN 0 THEN os WHEN 1 THEN l || coalesce(chr(10) || chr(10) || o, '') ELSE l END, '') AS x FROM k)
+        SELECT document_id, page_number, md5(x) AS text, CASE document_id % 4 WHEN 0 THEN 'ocr' WHEN 1 THEN 'embedded_text+ocr' ELSE 'embedded_text' END AS method, CAST(length(x) AS INTEGER) AS character_count FROM x""",
+    "j8_review_gate": """WITH w AS (SELECT user_id, event_id % 53 = 0 OR event_id % 97 = 0 OR (event_id % 4 = 0 AND event_id % 8 <> 0) OR (event_id % 8 = 0 AND event_id % 10 / 10 < 0.5) OR (event_id % 4 <> 0 AND event_id % 500 < 20)
+              OR (max(event_id % 500) OVER (PARTITION BY user_id) = 0 AND event_id = min(event_id) OVER (PARTITION BY user_id)) AS bad FROM events)
         SELECT user_id AS document_id, CASE WHEN bool_or(bad) THEN 'NEEDS_REVIEW' ELSE 'PROCESSING' END AS status, CAST(count(*) FILTER (bad) AS INTEGER) AS pages FROM w GROUP BY user_id""",
     "a9_ocr_points": "SELECT s_suppkey, round(s_suppkey % 40 * 50 * 72 / 200 + 36, 6) AS x0, round(s_suppkey % 40 * 50 * 72 / 200 + 56, 6) AS x1 FROM supplier WHERE s_suppkey % 40 * 50 * 72 / 200 + 46 BETWEEN 100 AND 400",
     "e11_pieces": """WITH s AS (SELECT s_nationkey, s_suppkey, s_suppkey * 7 % 400 AS x FROM supplier), g AS (SELECT *, CASE WHEN x - lag(x + 10) OVER (PARTITION BY s_nationkey ORDER BY x, s_suppkey) > 25 THEN 1 ELSE 0 END AS n FROM s)
@@ -208,4 +225,7 @@ ORACLES = {
     "k5_table_coverage": "SELECT 'doc:v1:p1:' || p_brand AS table_id, count(*) AS rows, 0::BIGINT AS problems FROM part GROUP BY p_brand",
     "e7_sections": f"""WITH {t.BLOCKS_SQL} SELECT document_id, block_number, last_value(CASE WHEN length(text) < 30 THEN text END IGNORE NULLS) OVER w AS section, CAST(sum(CASE WHEN length(text) < 30 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS segment
         FROM blocks WINDOW w AS (PARTITION BY document_id ORDER BY block_number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    "d13_plain_confidence": f"""WITH {CLASSED}, c AS (SELECT document_id, CASE WHEN block_number % 5 > 0 THEN block_number % 7 / 8 END AS c FROM blocks UNION ALL SELECT document_id, 0.5 FROM tabs)
+        SELECT document_id, round(round(avg(c), 4), 3) AS confidence FROM c GROUP BY document_id""",
+    "d21_table_extents": "SELECT 'doc:v1:p1:' || p_brand AS table_id, CAST(count(*) + 1 AS INTEGER) AS row_count, 3 AS column_count FROM part GROUP BY p_brand",
 }

@@ -48,7 +48,7 @@ def n3_execute(spark, d):
     def run(query: str, context: str) -> str:
         if query == "bad":
             raise RuntimeError("task failed")
-        return f"{query} after {context.count('###')}"
+        return f"{query} after {context.count('--- Prior')}"
 
     rows = [("p", "TASK_1", 0, "a", "DATA_RETRIEVAL", []), ("p", "TASK_2", 1, "bad", "DATA_RETRIEVAL", []), ("p", "TASK_3", 2, "c", "SYNTHESIS_COMPARISON", ["TASK_1", "TASK_2"])]
     return planning.execute(spark.createDataFrame(rows, "plan_id string, task_id string, pos int, sub_query string, task_type string, depends_on array<string>"), run)
@@ -89,10 +89,10 @@ ORACLES = {
         SELECT plan_id, task_id, wave, pos = 1 AND count(*) OVER (PARTITION BY plan_id, wave) > 1 AS is_parallelizable FROM w""",
     "c8_unknown_dependencies": f"WITH {TASKS} SELECT plan_id, '5 depends on unknown 999' AS error FROM tasks WHERE pos = 5",
     "n4_contexts": f"""WITH {TASKS}, x AS (SELECT plan_id, task_id, unnest(deps) AS dep, unnest(range(len(deps))) AS k FROM tasks)
-        SELECT x.plan_id, x.task_id, string_agg('### ' || dep || ': ' || p.sub_query || chr(10) || CASE WHEN p.pos % 4 <> 0 THEN 'result of ' || dep ELSE 'No output returned.' END, chr(10) || chr(10) ORDER BY k) AS context
+        SELECT x.plan_id, x.task_id, string_agg('--- Prior Findings from Dependency Task [' || dep || '] ---' || chr(10) || CASE WHEN p.pos % 4 <> 0 THEN 'result of ' || dep ELSE 'No output returned.' END, chr(10) || chr(10) ORDER BY k) AS context
         FROM x JOIN tasks p ON p.plan_id = x.plan_id AND p.task_id = x.dep GROUP BY ALL""",
-    "h29_synthesis_prompts": f"""WITH {TASKS} SELECT plan_id, string_agg('## ' || task_id || chr(10) || 'Query: ' || sub_query || chr(10) || 'Status: ' || CASE WHEN pos % 5 = 0 THEN 'failed' ELSE 'completed' END || chr(10)
-            || CASE WHEN pos % 4 <> 0 THEN 'result of ' || task_id ELSE 'No findings recorded.' END, chr(10) || chr(10) ORDER BY pos) AS prompt FROM tasks GROUP BY plan_id""",
+    "h29_synthesis_prompts": f"""WITH {TASKS} SELECT plan_id, string_agg('### Node [' || task_id || ']' || chr(10) || '**Task Target:** ' || sub_query || chr(10) || '**Status:** ' || CASE WHEN pos % 5 = 0 THEN 'failed' ELSE 'completed' END || chr(10)
+            || '**Findings & Sources:**' || chr(10) || CASE WHEN pos % 4 <> 0 THEN 'result of ' || task_id ELSE 'No findings recorded.' END || chr(10), chr(10) || chr(10) ORDER BY pos) AS prompt FROM tasks GROUP BY plan_id""",
     "n3_execute": "SELECT * FROM (VALUES ('p', 'TASK_1', 'completed', 'a after 0'), ('p', 'TASK_2', 'failed', 'task failed'), ('p', 'TASK_3', 'completed', 'c after 2')) t(plan_id, task_id, status, result)",
     "d19_token_usage": """SELECT coalesce(event_type, 'all') AS stage, CAST(sum(floor(value)) AS BIGINT) AS prompt, CAST(sum(event_id % 13) AS BIGINT) AS completion, CAST(sum(floor(value)) + sum(event_id % 13) AS BIGINT) AS total FROM events GROUP BY ROLLUP (event_type)""",
     "b12_sse_events": """WITH e AS (SELECT user_id AS stream_id, event_id AS seq, CASE WHEN event_id % 17 = 0 THEN 'close' ELSE event_type END AS event FROM events),

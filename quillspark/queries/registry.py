@@ -122,7 +122,52 @@ def d11_duplicate_texts(spark, d):
     return r.groupBy("checksum").agg(F.count("*").alias("copies"), F.min("document_id").alias("first_id")).where("copies > 1")
 
 
-QUERIES = {f.__name__: f for f in (a2_latest_versions, a3_document_versions, a3_latest_document, a1_latest_chunks, c4_session_scope, d1_searchable_library, b3_register, b4_current_status, b5_insert_missing, b6_delete_cascade, b7_removable_files, c3_session_list, c7_missing_files, c18_library_copy, c20_library_view, s3_needs_processing, s6_changed_files, s7_idle_sessions, b2_upsert_vectors, b10_archive_names, d5_session_keys, d11_duplicate_texts)}
+def f1_candidates(spark, d):
+    docs = t.registry(spark, d)
+    chunks = t.blocks(spark, d).join(docs.select("document_id", F.col("version").alias("document_version")), "document_id")
+    name = F.concat_ws(":", "document_id", "page_number", "block_number")
+    return ops.candidates(chunks.withColumn("chunk_id", name), docs).select("document_name", "page_number", "chunk_id")
+
+
+def b8_end_session(spark, d):
+    sessions = t.links(spark, d).select("session_id").distinct()
+    return ops.end_session("s10", t.registry(spark, d), sessions, t.links(spark, d), chunks=t.blocks(spark, d))[1]
+
+
+def _filed(spark, d):
+    """The registry with archived files for two of three documents."""
+    archived = F.when(F.col("document_id") % 3 > 0, F.concat(F.lit("archive/"), ops.archive_name(F.concat("filename", F.lit(".pdf")), "version")))
+    return t.registry(spark, d).withColumn("archive_path", archived)
+
+
+def c19_find_library(spark, d):
+    docs = t.registry(spark, d)
+    names = docs.select(F.lit("archive").alias("folder"), ops.archive_name(F.concat("filename", F.lit(".pdf")), "version").alias("name"))
+    names = names.unionByName(docs.select(F.lit("inbox").alias("folder"), F.col("filename").alias("name"))).distinct()
+    return ops.find_library_documents(names.withColumn("path", F.concat_ws("/", "folder", "name")), _filed(spark, d)).select("path", "document_id", "version")
+
+
+def s9_add_to_library(spark, d):
+    """Every file of the library added once more, those of other documents under one name too."""
+    docs = t.registry(spark, d).withColumn("has_file", F.col("document_id") % 4 > 0)
+    again = ops.latest_versions(docs).select("document_id", "filename", "version", F.when(F.col("document_id") % 5 == 0, "registered").when(F.col("document_id") % 3 == 0, "duplicate_content").otherwise("already_registered").alias("outcome"))
+    return ops.staged(again, docs).select("document_id", "filename", "outcome", "action")
+
+
+def s10_reprocess(spark, d):
+    docs = _filed(spark, d).withColumn("inbox_path", F.concat(F.lit("inbox/"), F.col("document_id").cast("string"))).withColumn("source_path", F.concat(F.lit("in/"), F.col("document_id").cast("string")))
+    listing = docs.where("document_id % 2 = 0 and archive_path is not null").select(F.col("archive_path").alias("path"), "checksum")
+    listing = listing.unionByName(docs.where("document_id % 5 > 0").select(F.col("source_path").alias("path"), F.when(F.col("document_id") % 7 == 1, "changed").otherwise(F.col("checksum")).alias("checksum")))
+    return ops.reprocess(docs, listing)
+
+
+def s11_process_documents(spark, d):
+    n = F.col("document_id")
+    docs = t.registry(spark, d).select("document_id", "checksum", F.when(n % 11 == 0, "not a PDF").alias("parse_error"), F.when(n % 7 == 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")).alias("pages_needing_review"), F.when(n % 5 == 0, "gap or overlap").alias("chunk_error"), F.when(n % 3 == 0, "other").otherwise(F.col("checksum")).alias("checksum_after"))
+    return ops.processed(docs).select("document_id", "status", "error")
+
+
+QUERIES = {f.__name__: f for f in (a2_latest_versions, a3_document_versions, a3_latest_document, a1_latest_chunks, c4_session_scope, d1_searchable_library, b3_register, b4_current_status, b5_insert_missing, b6_delete_cascade, b7_removable_files, c3_session_list, c7_missing_files, c18_library_copy, c20_library_view, s3_needs_processing, s6_changed_files, s7_idle_sessions, b2_upsert_vectors, b10_archive_names, d5_session_keys, d11_duplicate_texts, f1_candidates, b8_end_session, c19_find_library, s9_add_to_library, s10_reprocess, s11_process_documents)}
 
 ORACLES = {
     "a2_latest_versions": f"{LATEST} SELECT document_id, filename, version, status FROM latest",
@@ -135,7 +180,7 @@ ORACLES = {
         n AS (SELECT document_id AS seq, filename, checksum, CASE WHEN row_number() OVER (PARTITION BY checksum ORDER BY document_id) = 1 THEN 1 ELSE 0 END AS is_new FROM registry),
         p AS (SELECT *, (SELECT arg_max(b.checksum, b.seq) FROM n b WHERE b.filename = n.filename AND b.seq < n.seq AND b.is_new = 1) AS cur, sum(is_new) OVER (PARTITION BY filename ORDER BY seq) AS v FROM n)
         SELECT seq, filename, CASE WHEN is_new = 1 THEN 'registered' WHEN checksum = cur THEN 'already_registered' ELSE 'duplicate_content' END AS outcome,
-               CASE WHEN is_new = 1 THEN CAST(v AS INTEGER) END AS version FROM p""",
+               CASE WHEN is_new = 1 OR checksum = cur THEN CAST(v AS INTEGER) END AS version FROM p""",
     "b4_current_status": "SELECT user_id AS document_id, arg_max(event_type, event_id) AS status FROM events GROUP BY user_id",
     "b5_insert_missing": f"WITH {R} SELECT session_id, document_id FROM registry WHERE session_id IS NOT NULL",
     "b6_delete_cascade": f"""WITH {R}, {t.BLOCKS_SQL}, doomed AS (SELECT document_id FROM registry WHERE filename = 'src3')
@@ -159,4 +204,19 @@ ORACLES = {
     "b10_archive_names": f"WITH {R} SELECT document_id, filename || '.final.v' || version || '.pdf' AS archive_name, CASE WHEN session_id IS NULL THEN filename ELSE 'session:' || session_id || '/' || filename END AS registry_key FROM registry",
     "d5_session_keys": f"WITH {R} SELECT DISTINCT session_id, filename FROM registry WHERE session_id IS NOT NULL",
     "d11_duplicate_texts": "SELECT sha256(text) AS checksum, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY text HAVING count(*) > 1",
+    "f1_candidates": f"{LATEST}, {t.BLOCKS_SQL} SELECT l.filename AS document_name, b.page_number, b.document_id || ':' || b.page_number || ':' || b.block_number AS chunk_id FROM blocks b JOIN latest l USING (document_id) WHERE l.status = 'CHUNKED' AND l.session_id IS NULL",
+    "b8_end_session": f"""WITH {R}, {t.BLOCKS_SQL}, doomed AS (SELECT document_id FROM registry WHERE filename IN (SELECT filename FROM registry WHERE session_id = 's10'))
+        SELECT count(*) AS deleted, 'documents' AS name FROM registry WHERE document_id IN (FROM doomed)
+        UNION ALL SELECT count(*), 'chunks' FROM blocks WHERE document_id IN (FROM doomed)
+        UNION ALL SELECT count(*), 'session_documents' FROM registry WHERE session_id = 's10'
+        UNION ALL SELECT count(DISTINCT session_id), 'sessions' FROM registry WHERE session_id = 's10'""",
+    "c19_find_library": f"""{LATEST}, p AS (SELECT DISTINCT 'archive' AS folder, filename || '.v' || version || '.pdf' AS name FROM registry UNION SELECT 'inbox', filename FROM registry)
+        SELECT folder || '/' || name AS path, document_id, version FROM p LEFT JOIN (SELECT * FROM latest WHERE session_id IS NULL) l
+          ON CASE folder WHEN 'archive' THEN document_id % 3 > 0 AND name = filename || '.v' || version || '.pdf' ELSE document_id % 3 = 0 AND name = filename END""",
+    "s9_add_to_library": f"""{LATEST}, a AS (SELECT *, CASE WHEN document_id % 5 = 0 THEN 'registered' WHEN document_id % 3 = 0 THEN 'duplicate_content' ELSE 'already_registered' END AS outcome FROM latest)
+        SELECT document_id, filename, outcome, CASE outcome WHEN 'registered' THEN 'PROCESS' WHEN 'duplicate_content' THEN 'DUPLICATE' ELSE CASE WHEN status <> 'CHUNKED' THEN 'PROCESS' WHEN document_id % 4 > 0 THEN 'SKIP' ELSE 'ARCHIVE' END END AS action FROM a""",
+    "s10_reprocess": f"""{LATEST} SELECT document_id, filename, CASE WHEN document_id % 2 = 0 AND document_id % 3 > 0 THEN 'archive/' || filename || '.v' || version || '.pdf' WHEN document_id % 5 > 0 THEN 'in/' || document_id END AS path,
+        CASE WHEN document_id % 2 = 0 AND document_id % 3 > 0 THEN 'PROCESS' WHEN document_id % 5 = 0 THEN 'SKIPPED: source file not found' WHEN document_id % 7 = 1 THEN 'SKIPPED: file differs' ELSE 'PROCESS' END AS action FROM latest""",
+    "s11_process_documents": """SELECT doc_id AS document_id, CASE WHEN doc_id % 11 = 0 THEN 'FAILED' WHEN doc_id % 7 = 0 THEN 'NEEDS_REVIEW' WHEN doc_id % 5 = 0 OR doc_id % 3 = 0 THEN 'FAILED' ELSE 'CHUNKED' END AS status,
+        CASE WHEN doc_id % 11 = 0 THEN 'not a PDF' WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN 'gap or overlap' WHEN doc_id % 3 = 0 THEN 'File changed during processing; chunks were not saved. Rescan the file.' END AS error FROM documents""",
 }

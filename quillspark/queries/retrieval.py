@@ -33,6 +33,18 @@ def d8_corpus_stats(spark, d):
     return s.select("n", F.round("avg_length", 6).alias("avg_length"))
 
 
+def i3_unstable_vectors(spark, d):
+    """Stored vectors against a second encoding that moves every seventh one."""
+    v = _vectors(spark, d)
+    again = v.withColumn("vector", F.when(F.col("chunk_id") % 7 == 0, F.transform("vector", lambda x: x + F.lit(0.5).cast("float"))).otherwise(F.col("vector")))
+    return ops.unstable_vectors(v, again).select("chunk_id", F.round("difference", 3).alias("difference"))
+
+
+def g7_indexed_versions(spark, d):
+    docs = t.registry(spark, d).select("document_id", F.col("filename").alias("document_name"), F.col("version").alias("document_version"))
+    return ops.indexed_versions(t.blocks(spark, d).join(docs, "document_id"))
+
+
 def l1_bm25(spark, d):
     s = ops.bm25(t.questions(spark, d), _chunks(spark, d))
     return s.select("question_id", "chunk_id", F.round("bm25_score", 6).alias("bm25_score"))
@@ -121,7 +133,7 @@ def b11_historical_flags(spark, d):
     return cache.store(e).select("event_id", F.coalesce("is_historical", F.lit(False)).alias("is_historical"))
 
 
-QUERIES = {f.__name__: f for f in (d6_postings, d8_corpus_stats, l1_bm25, c10_similarities, l2_vector_search, l2_hybrid_search, l2_bm25_search, l5_evaluation, l4_stale_vectors, l7_vector_health, a16_hashed_vectors, a17_tfidf, m1_raw_lookup, m2_scoped_lookup, b11_historical_flags)}
+QUERIES = {f.__name__: f for f in (i3_unstable_vectors, g7_indexed_versions, d6_postings, d8_corpus_stats, l1_bm25, c10_similarities, l2_vector_search, l2_hybrid_search, l2_bm25_search, l5_evaluation, l4_stale_vectors, l7_vector_health, a16_hashed_vectors, a17_tfidf, m1_raw_lookup, m2_scoped_lookup, b11_historical_flags)}
 
 DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
 TOK = f"tok AS (SELECT doc_id AS chunk_id, {TOKENS.format('text')} AS t FROM documents), post AS (SELECT chunk_id, len(t) AS length, term, count(*) AS tf FROM (SELECT chunk_id, t, unnest(t) AS term FROM tok) GROUP BY ALL)"
@@ -146,6 +158,8 @@ PROBE = f"""v AS (SELECT vec_id AS chunk_id, embedding AS e, label FROM embeddin
 CACHE = f"""e AS (SELECT vec_id AS id, embedding AS v, 'city' || CAST(label % 3 AS VARCHAR) AS loc, CASE WHEN vec_id % 2 = 0 THEN '2021' ELSE 'latest' END AS tf FROM embeddings),
     p AS (SELECT q.id AS query_id, c.id AS cache_id, c.loc AS cloc, q.loc AS qloc, c.tf AS ctf, q.tf AS qdef, round({DOT.format('q.v', 'c.v')}, 6) AS score FROM e q, e c WHERE q.id % 50 = 0)"""
 ORACLES = {
+    "i3_unstable_vectors": "SELECT vec_id AS chunk_id, 0.5::DOUBLE AS difference FROM embeddings WHERE vec_id % 7 = 0",
+    "g7_indexed_versions": f"WITH {t.REGISTRY_SQL} SELECT DISTINCT filename AS document_name, version AS document_version FROM registry",
     "d6_postings": f"WITH {TOK} SELECT term, count(*) AS df, sum(tf) AS tf FROM post GROUP BY term",
     "d8_corpus_stats": f"WITH {TOK} SELECT count(*) AS n, round(coalesce(nullif(avg(len(t)), 0), 1), 6) AS avg_length FROM tok",
     "l1_bm25": f"WITH {BM} SELECT question_id, chunk_id, bm25_score FROM kw",

@@ -92,6 +92,18 @@ def h30_metadata(spark, d):
     return p.select("n_nationkey", "metadata_json", back["n_name"].alias("n_name"))
 
 
+def h32_short_ids(spark, d):
+    return t.table(spark, d, "documents").select("doc_id", text.short_id(F.concat_ws(":", "source", F.col("doc_id").cast("string"), "lang")).alias("short_id"))
+
+
+def h34_messages(spark, d):
+    n = F.col("doc_id")
+    status = F.when(n % 5 == 0, "FAILED").when(n % 5 == 1, "NEEDS_REVIEW").when(n % 5 == 2, "PROCESSING").otherwise("CHUNKED")
+    kind = F.when(n % 3 == 0, "scanned").when(n % 3 == 1, "mixed").otherwise("digital")
+    reasons = F.transform(F.slice(F.sequence(F.lit(1), F.lit(6)), 1, (n % 6).cast("int")), lambda i: F.concat(F.lit("page "), i.cast("string"), F.lit(": why")))
+    return t.table(spark, d, "documents").select("doc_id", text.processing_message(status, kind, n % 9, reasons).alias("message"))
+
+
 def h33_review_reasons(spark, d):
     e = t.table(spark, d, "events").select(F.concat("event_type", F.lit(" (page "), F.col("user_id").cast("string"), F.lit("): detail")).alias("w"))
     known = {"click": "clicked", "view": "viewed", "table": "table problem"}
@@ -136,7 +148,7 @@ def a20_offline_search(spark, d):
     return web.offline_search(t.table(spark, d, "pages"), q)
 
 
-QUERIES = {f.__name__: f for f in (h1_tokenize, h2_token_counts, h4_furniture_keys, h5_line_kinds, h10_table_headers, h15_currency, h16_quotes, h17_contains_words, h20_relevance, h21_checksums, h25_truncate, h30_metadata, h33_review_reasons, h35_site_queries, p1_check_citations, e15_history, p4_rewrites, a21_scrape, a20_offline_search)}
+QUERIES = {f.__name__: f for f in (h1_tokenize, h2_token_counts, h4_furniture_keys, h5_line_kinds, h10_table_headers, h15_currency, h16_quotes, h17_contains_words, h20_relevance, h21_checksums, h25_truncate, h30_metadata, h32_short_ids, h33_review_reasons, h34_messages, h35_site_queries, p1_check_citations, e15_history, p4_rewrites, a21_scrape, a20_offline_search)}
 
 STRIPPED = STRIP.format("text")
 QUOTED = "text || '''s end'"
@@ -160,6 +172,10 @@ ORACLES = {
     "h21_checksums": "SELECT doc_id, sha256(text) AS checksum FROM documents",
     "h25_truncate": "SELECT doc_id, md5(CASE WHEN length(text) > 500 THEN substring(text, 1, 500) || chr(10) || '...[Content Truncated]' ELSE text END) AS content FROM documents",
     "h30_metadata": """SELECT n_nationkey, '{"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS metadata_json, n_name FROM nation""",
+    "h32_short_ids": "SELECT doc_id, doc_id || ':' || lang AS short_id FROM documents",
+    "h34_messages": """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Processing failed; the file is not searchable.'
+        WHEN 1 THEN 'Not searchable: ' || CASE doc_id % 6 WHEN 0 THEN 'some pages could not be read' WHEN 1 THEN 'page 1: why' WHEN 2 THEN 'page 1: why; page 2: why' ELSE 'page 1: why; page 2: why; page 3: why' END || '.'
+        WHEN 2 THEN 'PROCESSING' ELSE CASE doc_id % 3 WHEN 0 THEN 'Ready. Scanned document: read ' || doc_id % 9 || ' page(s) with OCR.' WHEN 1 THEN 'Ready. Mixed document: OCR used on ' || doc_id % 9 || ' page(s) with scanned content.' ELSE 'Ready.' END END AS message FROM documents""",
     "h33_review_reasons": """SELECT CASE event_type WHEN 'click' THEN 'clicked' WHEN 'view' THEN 'viewed' ELSE event_type || ' (page ' || user_id || '): detail' END AS reason, count(*) AS n FROM events GROUP BY 1""",
     "h35_site_queries": """SELECT page_id, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1) AS host,
         CASE WHEN page_id % 2 = 0 THEN 'site:' || regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1) || ' find this' ELSE 'find this' END AS query FROM pages""",

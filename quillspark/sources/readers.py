@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 BLOCK = "struct<block_number:int,bbox:array<double>,text:string,source:string,confidence:double,classification:string,table_number:int>"
 TABLE = "struct<table_number:int,page_number:int,bbox:array<double>,rows:array<array<string>>,header:struct<names:array<string>,external:boolean>,row_count:int,column_count:int,source:string>"
@@ -47,17 +48,29 @@ def files(spark: SparkSession, folder: str, glob: str = "*.pdf") -> DataFrame:
     return rows.withColumn("checksum", F.sha2("content", 256))
 
 
+def with_columns(df: DataFrame, wanted: str) -> DataFrame:
+    """``df`` with those columns of a DDL schema that it lacks, as nulls (A5)."""
+    have = {c.lower() for c in df.columns}
+    lacking = {f.name: F.lit(None).cast(f.dataType) for f in StructType.fromDDL(wanted) if f.name.lower() not in have}
+    return df.withColumns(lacking)
+
+
 def save_chunks(chunks: DataFrame, path: str) -> None:
-    """Replace the stored chunks of the versions that ``chunks`` holds, and no others (B1). Refuses an
-    empty set and repeated ids. Partitions are replaced whole when the job commits."""
-    found = chunks.agg(F.count("*").alias("n"), F.countDistinct("chunk_id").alias("ids")).first()
+    """Replace the stored chunks of one version of one document (B1). Refuses an empty set, repeated ids
+    and several versions. The partition is replaced whole when the job commits."""
+    one = F.countDistinct(F.struct("document_id", "document_version"))
+    found = chunks.agg(F.count("*").alias("n"), F.countDistinct("chunk_id").alias("ids"), one.alias("versions")).first()
     if not found["n"]:
         raise ValueError("no chunks to save")
     if found["n"] != found["ids"]:
         raise ValueError("chunk ids repeat")
+    if found["versions"] != 1:
+        raise ValueError("chunks of several document versions")
     chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_id", "document_version").parquet(path)
 
 
 def save_parse_results(parsed: DataFrame, path: str) -> None:
-    """One JSON record per document; Spark's committer makes the files appear at once."""
-    parsed.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    """One folder of JSON per document_id (B9); those of the documents in ``parsed`` are replaced whole
+    when the job commits, others stay."""
+    rows = parsed.withColumn("document", F.col("document_id"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", "false").partitionBy("document").json(path)

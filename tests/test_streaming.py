@@ -37,11 +37,13 @@ def test_readers(spark, tmp_path):
     blocks = readers.flat_blocks(readers.parse_results(spark, str(tmp_path / "p"))).collect()
     assert [(b["document_id"], b["x1"], b["text"]) for b in blocks] == [("d", 1.0, "x")]
     chunks = spark.createDataFrame([("c1", "d", 1, "t"), ("c2", "e", 1, "u")], "chunk_id string, document_id string, document_version int, text string")
-    readers.save_chunks(chunks, str(tmp_path / "chunks"))
-    readers.save_chunks(chunks.where("document_id = 'd'").withColumnRenamed("text", "t2").withColumnRenamed("t2", "text"), str(tmp_path / "chunks"))
+    for one in ("d", "e", "d"):
+        readers.save_chunks(chunks.where(f"document_id = '{one}'"), str(tmp_path / "chunks"))
     assert spark.read.parquet(str(tmp_path / "chunks")).count() == 2
-    with pytest.raises(ValueError):
-        readers.save_chunks(chunks.limit(0), str(tmp_path / "chunks"))
+    for bad in (chunks.limit(0), chunks, chunks.where("document_id = 'd'").union(chunks.where("document_id = 'd'"))):
+        with pytest.raises(ValueError):
+            readers.save_chunks(bad, str(tmp_path / "chunks"))
+    assert readers.with_columns(chunks, "text string, section string").columns[-1] == "section"
     assert get_ocr_engine("none") is None
     with pytest.raises(ValueError):
         get_ocr_engine("no such engine")
@@ -55,6 +57,24 @@ def test_answers_are_verified(spark):
     assert got == {1: "answered", 2: "unsupported"}
 
 
+def test_chat_turn(spark):
+    chunks = spark.createDataFrame([("c1", "doc", 1, "text", "The fee is 85 dollars.")], "chunk_id string, document_name string, page_number int, content_type string, text string")
+    make = lambda: ScriptedLLM({"Question: fee": {"answerable": True, "answer": "85", "citations": [{"source": 1, "quote": "The fee is 85"}]}, "User: how much?": {"question": "fee"}})
+    got = pipelines.chat_turn(spark, "how much?", [{"role": "user", "content": "hello"}], lambda q: chunks, HashedEncoder(), make)
+    assert (got["status"], got["answer"], got["asked"], got["searched_for"]) == ("answered", "85", "how much?", "fee")
+
+
+def test_chunks_of_text_and_tables(spark):
+    rows = [("d", 1, 1, 1, 0.0, 0.0, 10.0, 5.0, "Some text."), ("d", 1, 1, 2, 0.0, 6.0, 10.0, 8.0, "Table 1. Fees"), ("d", 1, 1, 3, 0.0, 10.0, 10.0, 20.0, "in the table")]
+    blocks = spark.createDataFrame(rows, "document_id string, version int, page_number int, block_number int, x0 double, y0 double, x1 double, y1 double, text string")
+    table = [("d", 1, 1, 0.0, 9.0, 10.0, 30.0, [["Name", "Fee"], ["One", "85"]], None)]
+    tables = spark.createDataFrame(table, "document_id string, page_number int, table_number int, x0 double, y0 double, x1 double, y1 double, rows array<array<string>>, external array<string>")
+    chunks, problems = pipelines.chunk_documents(blocks, tables, 100)
+    got = {r["content_type"]: (r["chunk_id"], r["text"]) for r in chunks.collect()}
+    assert got == {"text": ("d:v1:p1:g1", "Some text.\nTable 1. Fees"), "table": ("d:v1:p1:t1:part1", "Table 1. Fees\nName: One | Fee: 85")}
+    assert problems.count() == 0
+
+
 def test_research_events(spark):
     llm = ScriptedLLM([{"sub_tasks": [{"task_id": "A", "sub_query": "a"}, {"task_id": "B", "sub_query": "b", "depends_on": ["A"]}]}, {"title": "r"}])
     kinds = [k for k, _ in pipelines.research(spark, "query", llm, lambda q, c: f"{q}:{len(c) > 0}")]
