@@ -25,6 +25,8 @@ RADIUS = 24
 SIMILARITY = 0.75
 #: UTF-8 bytes of benchmark text held at once; a larger benchmark is handled in so many passes.
 BLOCK_BYTES = 4 << 20
+#: Windows of one text whose fingerprints are summed at once.
+RUN = 4096
 _FILTER_BITS = 22
 
 
@@ -39,6 +41,17 @@ def simhash(votes: np.ndarray) -> np.ndarray:
     return np.packbits(votes > 0, axis=1).view(np.uint64).ravel()
 
 
+def window_runs(places: np.ndarray, size: int, n: int):
+    """Ranges of the starts of all windows of ``size`` among n shingles that hold one of the ascending
+    places; at most RUN starts each, so that memory follows the window and not the text."""
+    lo = np.maximum(places - size + 1, 0)
+    hi = np.minimum(places, max(n - size, 0)) + 1
+    new = np.flatnonzero(lo[1:] > hi[:-1]) + 1
+    for a, b in zip(lo[np.append(0, new)].tolist(), hi[np.append(new - 1, len(hi) - 1)].tolist(), strict=True):
+        for x in range(a, b, RUN):
+            yield x, min(x + RUN, b)
+
+
 class Items:
     """The multi-index over one block of benchmark items."""
 
@@ -99,24 +112,23 @@ class Items:
 
     def leaks(self, s: np.ndarray, hits: np.ndarray, least: float) -> dict[int, tuple[float, int, int, int]]:
         """item: (similarity, first shingle, shingles, distance) of the best window of one row."""
-        starts: dict[int, set[int]] = defaultdict(set)
+        places: dict[int, list[int]] = defaultdict(list)
         for p in hits.tolist():
             for size in self.of_shingle[int(s[p])]:
-                last = max(len(s) - size, 0)
-                starts[size].update(range(max(p - size + 1, 0), min(p, last) + 1))
+                places[size].append(p)
         best: dict[int, tuple[float, int, int, int]] = {}
-        for size, found in starts.items():
-            at = np.array(sorted(found), np.int64)
-            ends = np.minimum(at + size, len(s))
-            lo, hi = int(at[0]), int(ends.max())
-            sums = np.zeros((hi - lo + 1, 64), np.int32)
-            np.cumsum(bit_votes(s[lo:hi]), axis=0, out=sums[1:])
-            fingers = simhash(sums[ends - lo] - sums[at - lo]).tolist()
-            for a, e, finger in zip(at.tolist(), ends.tolist(), fingers, strict=True):
-                for i in self.within(size, finger):
-                    sim = self.similarity(i, s[a:e])
-                    if sim >= least and (i not in best or sim > best[i][0]):
-                        best[i] = (sim, a, e - a, (int(self.fingers[i]) ^ finger).bit_count())
+        for size, held in places.items():
+            for lo, last in window_runs(np.array(held, np.int64), size, len(s)):
+                at = np.arange(lo, last)
+                ends = np.minimum(at + size, len(s))
+                sums = np.zeros((int(ends[-1]) - lo + 1, 64), np.int32)
+                np.cumsum(bit_votes(s[lo : ends[-1]]), axis=0, out=sums[1:])
+                fingers = simhash(sums[ends - lo] - sums[at - lo]).tolist()
+                for a, e, finger in zip(at.tolist(), ends.tolist(), fingers, strict=True):
+                    for i in self.within(size, finger):
+                        sim = self.similarity(i, s[a:e])
+                        if sim >= least and (i not in best or sim > best[i][0]):
+                            best[i] = (sim, a, e - a, (int(self.fingers[i]) ^ finger).bit_count())
         return best
 
     def scan(self, col, least: float):

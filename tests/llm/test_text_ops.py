@@ -278,3 +278,15 @@ def test_arrow_slices_have_the_same_words():
         h, w = word_hashes(data, offs)
         assert np.diff(w).tolist() == [len((t or "").split()) for t in col.to_pylist()]
         assert np.diff(shingles(h, w)[1]).tolist() == [max(1, n - 4) if n else 0 for n in np.diff(w).tolist()]
+
+
+def test_window_runs_are_all_windows_with_a_hit(monkeypatch):
+    monkeypatch.setattr(decontaminate, "RUN", 5)
+    rng = random.Random(11)
+    for _ in range(300):
+        n, size = rng.randrange(1, 40), rng.randrange(1, 45)
+        places = sorted(rng.sample(range(n), rng.randrange(1, n + 1)))
+        runs = list(decontaminate.window_runs(np.array(places), size, n))
+        got = [a for lo, hi in runs for a in range(lo, hi)]
+        assert got == [a for a in range(max(n - size, 0) + 1) if any(a <= p < a + size for p in places)]
+        assert all(0 < hi - lo <= 5 for lo, hi in runs)
