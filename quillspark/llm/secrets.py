@@ -35,7 +35,7 @@ _assign, _access = re.compile(ASSIGN, re.I | re.A), re.compile(ACCESS)
 _hex, _run = re.compile(r"[0-9a-f]{24,}"), re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _words = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _uuid = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-_named = re.compile(r"[A-Za-z]+\d{0,4}([_/-][A-Za-z]*\d{0,4})*=*")
+_named = re.compile(r"[A-Za-z]+\d{0,4}([_/-][A-Za-z]*\d{0,4})+=*")
 _has_hex = bytes(120 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
 _has_run = bytes(120 if i < 128 and re.match(r"[A-Za-z0-9+/_=-]", chr(i)) else 32 for i in range(256))
 
@@ -62,10 +62,11 @@ def base_spans(text: str, data: bytes | None = None) -> list[tuple[int, str, int
 
 
 def excluded(run: str) -> bool:
-    """Known digests and identifiers: hexadecimal of a digest's length, UUIDs, numbers, names of
-    letters with a few digits at the end of each part, and runs without a digit or without a letter."""
+    """Known digests and identifiers: hexadecimal of a digest's length, UUIDs, names of several parts of
+    letters with a few digits at the end of each, and runs without a letter. A single part, of letters
+    alone too, is left to its ratio."""
     bare = run.rstrip("=")
-    if _uuid.fullmatch(run) or _named.fullmatch(run) or not re.search(r"\d", bare) or not re.search(r"[A-Za-z]", bare):
+    if _uuid.fullmatch(run) or _named.fullmatch(run) or not re.search(r"[A-Za-z]", bare):
         return True
     return len(bare) in DIGESTS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", bare) is not None
 

@@ -59,6 +59,18 @@ def test_random_strings_and_what_is_excluded(spark):
     assert sorted(r)[1]["found"] == []
 
 
+@pytest.mark.parametrize("n", [20, 32, 64])
+def test_random_strings_of_each_alphabet_are_found(n):
+    rng = random.Random(n)
+    encoding = secrets._encoding(RANKS)
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    for alphabet in (lower, lower + lower.upper(), lower + lower.upper() + "0123456789"):
+        texts = ["a " + "".join(rng.choice(alphabet) for _ in range(n)) + " b" for _ in range(200)]
+        assert sum(secrets.random_spans(x, encoding) == [(2, "random", 2 + n)] for x in texts) >= 180
+    names = "internationalizationSettings responsibilitiesAndAccountability plainlongwordwithoutanydigits user_account_settings_2024 the-quick-brown-fox-jumps"
+    assert secrets.random_spans(names, encoding) == []
+
+
 PAGE = """<html><head><title>T</title></head><body class="has-sidebar"><header><a href=/>Site</a> Name</header><ul class="menu"><li><a>One</a></ul>
 <div id="content"><h1>Title &amp; more</h1><p>First   para <a href="#">link</a> text.</p><script>var a="</p>";</script><p class="cookie-notice">cookies<p>Last &eacute;</div>
 <div class="sidebar"><p>side side side</p></div><section id="comments"><p>I think this is a very long comment with a lot of text inside</p></section><form><p>q</p></form><footer>foot</footer></body></html>"""
