@@ -10,7 +10,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import tiktoken
@@ -35,6 +37,7 @@ _assign, _access = re.compile(ASSIGN, re.I | re.A), re.compile(ACCESS)
 _hex, _run = re.compile(r"[0-9a-f]{24,}"), re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _words = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _uuid = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+_known = re.compile(r"(?<![A-Za-z0-9])(?:" + _uuid.pattern + "|" + "|".join(f"[0-9a-f]{{{n}}}|[0-9A-F]{{{n}}}" for n in sorted(DIGESTS)) + r")(?![A-Za-z0-9])")
 _named = re.compile(r"[A-Za-z]+\d{0,4}([_/-][A-Za-z]*\d{0,4})+=*")
 _has_hex = bytes(120 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
 _has_run = bytes(120 if i < 128 and re.match(r"[A-Za-z0-9+/_=-]", chr(i)) else 32 for i in range(256))
@@ -71,16 +74,44 @@ def excluded(run: str) -> bool:
     return len(bare) in DIGESTS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", bare) is not None
 
 
+def dense(piece: str, encoding: tiktoken.Encoding, most: float) -> list[tuple[int, int]]:
+    """(start, end) of the parts of a piece that windows cover which take many tokens: the shortest windows
+    of MIN_CHARS or more that begin or end with each token. Windows that meet are one part."""
+    ends = [0, *accumulate(len(x) for x in encoding.decode_tokens_bytes(encoding.encode_ordinary(piece)))]
+    after = [bisect_left(ends, x + MIN_CHARS) for x in ends]
+    before = [bisect_right(ends, x - MIN_CHARS) - 1 for x in ends]
+    out: list[tuple[int, int]] = []
+    for i, j in sorted({(i, j) for i, j in enumerate(after) if j < len(ends)} | {(i, j) for j, i in enumerate(before) if i >= 0}):
+        start, end = ends[i], ends[j]
+        if end - start <= most * (j - i) and not excluded(piece[start:end].strip("/_-=+")):
+            if out and start <= out[-1][1]:
+                out[-1] = (out[-1][0], max(end, out[-1][1]))
+            else:
+                out.append((start, end))
+    return out
+
+
 def random_spans(text: str, encoding: tiktoken.Encoding, data: bytes | None = None, most: float = MAX_RATIO) -> list[tuple[int, str, int]]:
-    """(start, "random", end) of runs that take many tokens for their characters."""
+    """(start, "random", end) of runs that take many tokens for their characters, and of such windows in
+    runs that as a whole don't: a random key behind a longer readable part. Digests and UUIDs among the
+    parts of a run cut it."""
     data = text.encode("utf-8") if data is None else data
     if b"x" * MIN_CHARS not in data.translate(_has_run):
         return []
     out = []
     for m in _run.finditer(text):
         run = m[0]
-        if not excluded(run) and len(run) <= most * len(encoding.encode_ordinary(run)):
+        if excluded(run):
+            continue
+        if len(run) <= most * len(encoding.encode_ordinary(run)):
             out.append((m.start(), "random", m.end()))
+            continue
+        at = 0
+        for cut in [*_known.finditer(run), None]:
+            piece = run[at : cut.start() if cut else len(run)]
+            if len(piece) >= MIN_CHARS:
+                out += [(m.start() + at + s, "random", m.start() + at + e) for s, e in dense(piece, encoding, most)]
+            at = cut.end() if cut else at
     return out
 
 

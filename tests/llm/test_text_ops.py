@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +72,17 @@ def test_random_strings_of_each_alphabet_are_found(n):
     assert secrets.random_spans(names, encoding) == []
 
 
+def test_random_strings_behind_readable_parts_of_a_run_are_found():
+    encoding, rng = secrets._encoding(RANKS), random.Random(9)
+    for before in ("/services/internal/configuration/environment/", "DATABASE_CONNECTION_SETTING_VALUE=", "a-slug-of-readable-words-before-it-"):
+        keys = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(24)) for _ in range(200)]
+        found = [secrets.random_spans(before + k, encoding) for k in keys]
+        assert sum(any(s <= len(before) + 4 and e == len(before) + 24 for s, _, e in f) for f in found) >= 180
+    digest, uuid = "0123456789abcdef" * 4, "123e4567-e89b-12d3-a456-426614174000"
+    for run in (f"/objects/of/the/archive/{digest}/contents", f"/files/of/the/archive/{uuid}/contents", "/one/readable/path/to/the/pages-of-2024/index"):
+        assert secrets.random_spans(run, encoding) == []
+
+
 PAGE = """<html><head><title>T</title></head><body class="has-sidebar"><header><a href=/>Site</a> Name</header><ul class="menu"><li><a>One</a></ul>
 <div id="content"><h1>Title &amp; more</h1><p>First   para <a href="#">link</a> text.</p><script>var a="</p>";</script><p class="cookie-notice">cookies<p>Last &eacute;</div>
 <div class="sidebar"><p>side side side</p></div><section id="comments"><p>I think this is a very long comment with a lot of text inside</p></section><form><p>q</p></form><footer>foot</footer></body></html>"""
