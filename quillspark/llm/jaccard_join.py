@@ -38,6 +38,8 @@ HOT_TOKEN = 1 << 18
 TILE = 1024
 #: The same for super-tiles: from the first number of sets, grown up to the second with the tile.
 BLOCK_MIN, BLOCK_MAX, BLOCK_SHARE = 64, 1024, 32
+#: Most large tiles or super-tiles that are broadcast (12 bytes each); beyond it their rows are dealt by so many salts.
+BROADCAST_KEYS, SALTS = 50_000, 64
 
 
 def set_key(s: np.ndarray, salt: int) -> bytes:
@@ -158,6 +160,8 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, k: int = 5,
         count = classes.agg(F.count("*").alias("c"), F.countDistinct("uid").alias("u"), F.sum("n").alias("n")).first()
         if count["c"] == count["u"]:
             break  # no two classes share their 64-bit name
+    else:
+        raise RuntimeError("classes share their 64-bit names under every salt")
     total = int(count["n"] or 0)
 
     freq = np.zeros((FREQ_GROUPS, (1 << FREQ_BITS) // FREQ_GROUPS), np.uint8)
@@ -175,7 +179,7 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, k: int = 5,
 
     # ------------------------------------------------ bitmaps: plausible pairs hold super-tiles together
     large = members.groupBy("tile").count().where(F.col("count") > TILE).select("tile", F.ceil(F.col("count") / TILE).cast("int").alias("parts"))
-    pieces = _pieces(members.join(large, "tile", "left"), "tile", members)
+    pieces = _pieces(_with_parts(members, "tile", large), "tile", members)
     pieces = pieces.join(classes.select("uid", "n", "map"), "uid")
     groups = max(128, total >> 20)
     plain = pieces.withColumn("g", F.pmod("piece", F.lit(groups)).cast("int"))
@@ -196,7 +200,7 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, k: int = 5,
     tall = arrays.groupBy("root").count().where(F.col("count") > BLOCK_MIN)
     size = F.least(F.greatest(F.ceil(F.col("count") / BLOCK_SHARE), F.lit(BLOCK_MIN)), F.lit(BLOCK_MAX))
     tall = tall.select("root", F.ceil(F.col("count") / size).cast("int").alias("parts"))
-    blocks = _pieces(arrays.join(tall, "root", "left"), "root", arrays).withColumn("g", F.pmod("piece", F.lit(8 * groups)).cast("int"))
+    blocks = _pieces(_with_parts(arrays, "root", tall), "root", arrays).withColumn("g", F.pmod("piece", F.lit(8 * groups)).cast("int"))
     linked = blocks.select("g", "piece", "side", "pair", "uid", "copies", "arr").groupBy("g").applyInArrow(lambda t: _links(t, num, den), "a bigint, b bigint, uid bigint, links bigint")
     linked = materialize(linked, "links")
 
@@ -212,6 +216,19 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, k: int = 5,
     return out.unionByName(none)
 
 
+def _with_parts(rows: DataFrame, key: str, large: DataFrame) -> DataFrame:
+    """``rows`` with the number of ``parts`` of their key, null for keys that aren't large.
+
+    No task gathers the rows of one key: the large keys are counted and broadcast, and where they are
+    too many for that, rows are salted and each key is repeated for every salt."""
+    large = materialize(large, "large")
+    if large.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(large), key, "left")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int"))
+    keys = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(keys, [key, "salt"], "left").drop("salt")
+
+
 def _pieces(rows: DataFrame, key: str, like: DataFrame) -> DataFrame:
     """Deal the rows of a large key, which has a number of ``parts``, to all pairs of parts.
 

@@ -96,7 +96,7 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     want = brute_near(rows)
     key = lambda r: (r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"])
     assert sorted(map(key, jaccard_join.near_duplicates(table(spark, rows)).collect()), key=repr) == want
-    for name, value in (("TILE", 8), ("BLOCK_MIN", 8), ("HOT_TOKEN", 4)):  # tiles in pieces, hot tokens dealt out
+    for name, value in (("TILE", 8), ("BLOCK_MIN", 8), ("HOT_TOKEN", 4), ("BROADCAST_KEYS", 1)):  # tiles in pieces, hot tokens dealt out, keys of tiles salted
         monkeypatch.setattr(jaccard_join, name, value)
     assert sorted(map(key, jaccard_join.near_duplicates(table(spark, rows)).collect()), key=repr) == want
     assert jaccard_join.near_duplicates(table(spark, [])).count() == 0
