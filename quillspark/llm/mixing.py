@@ -18,7 +18,7 @@ from .common import materialize, tune
 
 #: Hash buckets a source is cut into to find where its fractional repetition ends.
 BUCKETS = 4096
-#: Most sources; their totals (not documents) are levelled on the driver, a few bytes each.
+#: Sources up to which their totals (not documents) are levelled on the driver, a few bytes each; beyond it by aggregates.
 MAX_SOURCES = 200_000
 #: Source totals up to this count are broadcast (under 1 MB); beyond it they are joined by shuffle.
 BROADCAST_SOURCES = 4_000
@@ -45,6 +45,42 @@ def water_fill(sizes: Sequence[int], weights: Sequence[float], max_epochs: float
     return target
 
 
+def level_sources(totals: DataFrame, weights: Sequence[float], max_epochs: int) -> DataFrame:
+    """(source, source_size, target, whole, rest) of sources (source, words), too many for the driver.
+
+    The targets of ``water_fill``: min(cap, level * weight). Each round clamps the sources below the
+    level and raises it, until no more are clamped; the driver sees one row for each weight and round."""
+    n = len(weights)
+    rows = materialize(totals.orderBy(F.col("source").asc_nulls_last()).withColumn("at", F.monotonically_increasing_id()), "mix")
+    part, within = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    first, seen = [], 0
+    for r in rows.groupBy(part.alias("part")).count().orderBy("part").collect():  # one row per partition
+        first.append((r["part"], seen))
+        seen += r["count"]
+    first = totals.sparkSession.createDataFrame(first, "part bigint, first bigint")
+    slot = ((within + F.col("first")) % n).cast("int")
+    rows = rows.withColumn("part", part).join(F.broadcast(first), "part").select("source", F.col("words").alias("source_size"), slot.alias("slot"))
+    weight = F.get(F.array(*map(F.lit, map(float, weights))), F.col("slot"))
+    cap = max_epochs * F.col("source_size")
+    rows = materialize(rows.select("*", weight.alias("weight"), cap.alias("cap")), "mix")
+    budget = rows.agg(F.sum("source_size")).first()[0]
+    level, clamped = 0.0, -1
+    while True:
+        full = F.col("cap") <= level * F.col("weight") if clamped >= 0 else F.lit(False)
+        found = rows.groupBy("slot").agg(F.count_if(full).alias("full"), F.count_if(~full).alias("free"), F.sum(F.when(full, F.col("cap"))).alias("taken")).collect()
+        free = sum(r["free"] * float(weights[r["slot"]]) for r in sorted(found, key=lambda r: r["slot"]))
+        now = sum(r["full"] for r in found)
+        if free <= 0 or now == clamped:
+            break
+        clamped = now
+        level = (budget - sum(r["taken"] or 0 for r in found)) / free
+    target = F.when(F.col("cap") <= level * F.col("weight"), F.col("cap").cast("double")).otherwise(level * F.col("weight"))
+    rows = rows.select("source", "source_size", target.alias("target"))
+    whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_epochs))).otherwise(0).cast("int")
+    rest = F.when(F.col("whole") < max_epochs, F.col("target") - F.col("whole") * F.col("source_size")).otherwise(0.0)
+    return rows.withColumn("whole", whole).withColumn("rest", rest)
+
+
 def mix_sources(
     docs: DataFrame,
     weights: Sequence[float] = (5.0, 2.0, 1.0),
@@ -83,15 +119,16 @@ def mix_sources(
     totals = cells.groupBy("source").agg(F.sum("words").alias("words"))
     found = totals.limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; name coarser sources to mix")
-    found.sort(key=lambda r: (r["source"] is None, r["source"] if r["source"] is not None else ""))
-    held = [r["words"] for r in found]
-    targets = water_fill(held, [weights[i % len(weights)] for i in range(len(found))], max_epochs)
-    plan = []
-    for r, size, target in zip(found, held, targets, strict=True):
-        whole = min(int(target // size), max_epochs) if size else 0
-        plan.append((r["source"], size, target, whole, target - whole * size if whole < max_epochs else 0.0))
-    plan = spark.createDataFrame(plan, f"source {kinds[source_col]}, source_size bigint, target double, whole int, rest double")
+        plan = materialize(level_sources(totals, weights, max_epochs), "mix")
+    else:
+        found.sort(key=lambda r: (r["source"] is None, r["source"] if r["source"] is not None else ""))
+        held = [r["words"] for r in found]
+        targets = water_fill(held, [weights[i % len(weights)] for i in range(len(found))], max_epochs)
+        plan = []
+        for r, size, target in zip(found, held, targets, strict=True):
+            whole = min(int(target // size), max_epochs) if size else 0
+            plan.append((r["source"], size, target, whole, target - whole * size if whole < max_epochs else 0.0))
+        plan = spark.createDataFrame(plan, f"source {kinds[source_col]}, source_size bigint, target double, whole int, rest double")
     small = F.broadcast if len(found) <= BROADCAST_SOURCES else (lambda x: x)
 
     # The bucket in which each source's running sum passes what is left, and the sum before it.

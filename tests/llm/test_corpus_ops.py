@@ -247,6 +247,22 @@ def test_mixing(spark):
     assert mixing.mix_sources(d.limit(0)).count() == 0
 
 
+def test_many_sources_are_levelled_by_aggregates(spark, monkeypatch):
+    rng = random.Random(6)
+    held = {f"s{i:03d}" if i else None: rng.choice([0, 1, 5, 40, 3000]) for i in range(120)}
+    names = [*sorted(s for s in held if s is not None), None]
+    want = mixing.water_fill([held[s] for s in names], [[5, 2, 1][i % 3] for i in range(len(names))], 3)
+    got = mixing.level_sources(spark.createDataFrame(list(held.items()), "source string, words bigint").repartition(7), (5.0, 2.0, 1.0), 3)
+    got = {r["source"]: r for r in got.collect()}
+    for s, target in zip(names, want, strict=True):
+        assert abs(got[s]["target"] - target) < 1e-6 and got[s]["source_size"] == held[s]
+        assert abs(got[s]["whole"] * held[s] + got[s]["rest"] - target) < 1e-6 and 0 <= got[s]["whole"] <= 3
+    d = spark.createDataFrame([(i, "w " * rng.randrange(1, 30), f"s{i % 9}") for i in range(300)], "doc_id bigint, text string, source string")
+    few = sorted(mixing.mix_sources(d).select("doc_id", "taken", "copies").collect())
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 3)
+    assert sorted(mixing.mix_sources(d).select("doc_id", "taken", "copies").collect()) == few
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(70)] + [(None, 3), (5, 5)]
