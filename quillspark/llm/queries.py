@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, mixing, secrets, suffix_dedup, token_count, toxicity
+from . import chat_format, decontaminate, exact_dedup, fill_middle, html_extract, jaccard_join, mixing, rolling, secrets, suffix_dedup, token_count, toxicity, trie_bpe
 
 RESPOND = {"type": "object", "required": ["prompt", "turn"], "additionalProperties": False, "properties": {"prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}}}
 
@@ -69,7 +69,28 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_decontamination, op3_html_extraction, op4_jaccard_join, op5_suffix_dedup, op6_token_counts, op7_exact_dedup, op8_toxicity, op9_secret_scan, op10_mixing)}
+def op11_rolling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    late = F.col("doc_id") + F.crc32(F.col("doc_id").cast("string")) % 4000
+    event_s = 60 * F.floor((late - F.pmod(late, F.lit(6))) / 6)
+    events = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", event_s.alias("event_s"), F.length("text").cast("bigint").alias("length"))
+    out = rolling.rolling_features(events)
+    return out.select(F.col("id").alias("doc_id"), "window_s", "event_s", "n_events", F.col("total").alias("sum_chars"), F.col("n_kinds").alias("n_langs"), F.col("p50").alias("median_chars"), F.col("p75").alias("high_chars"))
+
+
+def op12_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    out = trie_bpe.decode(trie_bpe.encode(_table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_decontamination, op3_html_extraction, op4_jaccard_join, op5_suffix_dedup, op6_token_counts, op7_exact_dedup, op8_toxicity, op9_secret_scan, op10_mixing, op11_rolling_windows, op12_trie_bpe, op13_fill_middle)}
 
 ORACLES: dict[str, str] = {
     "op7_exact_dedup": r"""
@@ -77,4 +98,24 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM n""",
+    "op11_rolling_windows": r"""
+        WITH c AS (SELECT doc_id, source, lang, length(text) AS v,
+                xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) AS h FROM documents),
+        e AS (SELECT *, CAST(60 * ((doc_id + h % 4000) // 6) AS BIGINT) AS event_s FROM c),
+        w AS (SELECT e.doc_id, w.window_s, e.event_s, count(x.event_s) AS n_events, coalesce(sum(x.v), 0) AS s, count(DISTINCT x.lang) AS n_langs,
+                list_sort(list(x.v) FILTER (x.v IS NOT NULL)) AS l
+            FROM e CROSS JOIN (VALUES (3600::BIGINT), (21600)) w(window_s)
+            LEFT JOIN e x ON x.source IS NOT DISTINCT FROM e.source AND x.event_s >= e.event_s - w.window_s AND x.event_s < e.event_s
+            GROUP BY e.doc_id, w.window_s, e.event_s)
+        SELECT doc_id, window_s, event_s, n_events, CAST(s AS BIGINT) AS sum_chars, n_langs, CAST(l[(len(l) + 1) // 2] AS BIGINT) AS median_chars, CAST(l[(75 * len(l) + 99) // 100] AS BIGINT) AS high_chars FROM w""",
+    "op13_fill_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents),
+        g AS (SELECT *, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+        k AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g),
+        p AS (SELECT *, substring(t, 1, a) AS x, substring(t, a + 1, b - a) AS y, substring(t, b + 1) AS z FROM k)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256, sha256(t) AS restored_sha256
+        FROM p""",
 }

@@ -65,4 +65,4 @@ def test_null_and_repeated_ids(spark):
 
 
 def test_registered_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11)) and corpus_pipeline.ORACLE_SQL is None
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14)) and corpus_pipeline.ORACLE_SQL is None
