@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import chunking, citations, layout, planning, retrieval
+from ..operators import chunking, citations, layout, planning, topk
 from ..session import written
 from ..sources.models import LLM, LLMError, QuotaError, generate
 
@@ -56,7 +56,7 @@ def answer(questions: DataFrame, chunks: DataFrame, encoder, make_llm: Callable[
     """(question_id, status, answer, citations): hybrid search, one call per question that has hits,
     quotes checked against their sources (P2, P3)."""
     vectors = encoder.encode(chunks, "text").select("chunk_id", "vector")
-    hits = retrieval.search(encoder.encode(questions, "question"), chunks, vectors, top_k)
+    hits = topk.search(encoder.encode(questions, "question"), chunks, vectors, top_k)
     sources = written(hits.join(chunks, "chunk_id").join(questions.select("question_id", "question"), "question_id"))
     replies = written(generate(citations.render_sources(sources), make_llm, ANSWER_SYSTEM, ANSWER_SCHEMA, ANSWER_TYPE))
     quoted = replies.select("question_id", F.posexplode("reply.citations").alias("pos", "c")).select("question_id", "pos", F.col("c.source").alias("source"), F.col("c.quote").alias("quote"))

@@ -8,7 +8,7 @@ from ..operators import citations, retrieval
 from ..plans import pipelines
 from ..sources import tables as t
 from .layouts import FURNITURE, LIMIT, SOLID, _tables
-from .retrieval import _probes, _vectors
+from .retrieval import _probes, _vectors, first_of_label
 
 
 def _cases(spark, d):
@@ -61,12 +61,8 @@ def h26_prompts(spark, d):
 
 def l6_category_hits(spark, d):
     """Vector hits of the probes by label as category: rank of the first other row of that label."""
-    q, v = _probes(spark, d), _vectors(spark, d)
-    s = retrieval.similarities(q, v)
-    ranked = retrieval.fuse(s, s.select("question_id", "chunk_id", F.lit(0.0).alias("bm25_score")), 1 << 30, "vector").where("chunk_id <> question_id")
-    rows = ranked.join(v.select("chunk_id", "label"), "chunk_id").join(q.select("question_id", "q_label"), "question_id").where("label = q_label")
-    first = rows.groupBy("question_id", F.col("q_label").alias("category")).agg(F.min("rank").alias("first"))
-    return first.groupBy("category").agg(F.count_if(F.col("first") <= 4).alias("hit_3"), F.count("*").alias("questions"))
+    first = first_of_label(spark, d).join(_probes(spark, d).select("question_id", F.col("q_label").alias("category")), "question_id")
+    return first.groupBy("category").agg(F.count_if(F.col("vector_rank") <= 4).alias("hit_3"), F.count("*").alias("questions"))
 
 
 def d17_score_gap(spark, d):

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
-from ..functions import vector
+from ..functions import text, vector
 from ..operators import retrieval as ops
 from ..operators import semantic_cache as cache
+from ..operators import topk
+from ..operators.index import ChunkIndex
+from ..session import shared_folder
 from ..sources import tables as t
 from .texts import TOKENS
 
@@ -56,36 +61,76 @@ def c10_similarities(spark, d):
 
 
 def l2_vector_search(spark, d):
-    s = ops.similarities(_probes(spark, d), _vectors(spark, d))
-    none = s.select("question_id", "chunk_id", F.lit(0.0).alias("bm25_score"))
-    return ops.fuse(s, none, 5, "vector").select("question_id", "chunk_id", "similarity", "rank")
+    return topk.vector_top(_probes(spark, d).withColumn("depth", F.lit(5)).drop("q_label"), _vectors(spark, d)).withColumnRenamed("vector_rank", "rank")
 
 
-def _hashed(spark, d):
-    chunks = _chunks(spark, d)
+def _index(spark, d, name="documents"):
+    """The index of a session's tables: made by the first query that asks for it, and brought up to date by others."""
+    where = hashlib.sha256(d.encode()).hexdigest()[:16]
+    return ChunkIndex(spark, f"{shared_folder(spark)}/index-{spark.sparkContext.applicationId}-{where}-{name}")
+
+
+def _searcher(spark, d, scope=None):
+    index, chunks, asked = _index(spark, d), _chunks(spark, d), t.questions(spark, d)
+    index.refresh(chunks)
     vectors = ops.hashed_vectors(chunks, "chunk_id", "text")
-    asked = t.questions(spark, d)
-    questions = asked.join(ops.hashed_vectors(asked, "question_id", "question"), "question_id")
-    return questions, chunks, vectors
+    return topk.Searcher(index, vectors, asked.join(ops.hashed_vectors(asked, "question_id", "question"), "question_id"), scope)
 
 
 def l2_hybrid_search(spark, d):
-    out = ops.search(*_hashed(spark, d))
+    out = _searcher(spark, d).search()
     return out.select("question_id", "chunk_id", F.round("score", 6).alias("score"), "similarity", "bm25_score", "vector_rank", "bm25_rank", "rank")
 
 
 def l2_bm25_search(spark, d):
-    out = ops.search(*_hashed(spark, d), mode="bm25")
-    return out.select("question_id", "chunk_id", "bm25_score", "rank")
+    return _searcher(spark, d).search(mode="bm25").select("question_id", "chunk_id", "bm25_score", "rank")
+
+
+def l3_session_search(spark, d):
+    """Hybrid search in the documents of one session, with the statistics of these."""
+    scope = t.links(spark, d).where("session_id = 's10'").select(F.col("document_id").alias("chunk_id"))
+    return _searcher(spark, d, scope).search().select("question_id", "chunk_id", F.round("score", 6).alias("score"), "vector_rank", "bm25_rank", "rank")
+
+
+def l3_refreshed_index(spark, d):
+    """Keyword hits of an index that knew other texts, rows that are gone, and not all rows, before it was refreshed."""
+    index, now = _index(spark, d, "refreshed"), _chunks(spark, d)
+    old = now.where("chunk_id % 10 <> 3").withColumn("text", F.when(F.col("chunk_id") % 7 == 0, F.concat(F.lit("stale words "), F.reverse("text"))).otherwise(F.col("text")))
+    index.refresh(old.unionByName(now.where("chunk_id % 5 = 0").withColumn("chunk_id", -1 - F.col("chunk_id"))))
+    index.refresh(now)
+    asked = t.questions(spark, d)
+    return index.view(asked).top(asked.select("question_id", F.lit(10).alias("depth")))
+
+
+def _metrics(first, questions, k=3):
+    """hit@1, hit@k and MRR of (question_id, first)."""
+    hit = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    mrr = F.round(F.sum(F.coalesce(1 / F.col("first"), F.lit(0.0))) / F.count("*"), 6)
+    return questions.join(first, "question_id", "left").agg(hit(F.col("first") == 1).alias("hit_1"), hit(F.col("first") <= k).alias("hit_k"), mrr.alias("mrr"), F.count("*").alias("questions"))
+
+
+def first_of_label(spark, d):
+    """(question_id, chunk_id, similarity, vector_rank): the nearest row of each probe's label but itself, with its
+    rank among all rows."""
+    q, v = _probes(spark, d).withColumnRenamed("q_label", "label"), _vectors(spark, d)
+    near = topk.vector_top(q.withColumn("depth", F.lit(1)), v).select("question_id", "chunk_id", "similarity")
+    return topk.vector_ranks(near, q, v)
 
 
 def l5_evaluation(spark, d):
     """Vector ranking of all rows for each probe; rows with the probe's label are relevant."""
-    q, v = _probes(spark, d), _vectors(spark, d)
-    s = ops.similarities(q, v)
-    ranked = ops.fuse(s, s.select("question_id", "chunk_id", F.lit(0.0).alias("bm25_score")), 1 << 30, "vector").where("chunk_id <> question_id")
-    relevant = v.join(q.select("question_id", "q_label"), F.col("label") == F.col("q_label")).select("question_id", "chunk_id")
-    return ops.hit_metrics(ranked, relevant, q)
+    first = first_of_label(spark, d).select("question_id", F.col("vector_rank").alias("first"))
+    return _metrics(first, _probes(spark, d).select("question_id"))
+
+
+def l5_modes(spark, d):
+    """Rank of the first relevant document over all of them, for each benchmark item in the three modes; a
+    document is relevant if it has the item's first two words."""
+    w = F.split("question", " ")
+    groups = F.array(F.array(F.get(w, F.lit(0)), F.get(w, F.lit(1))))
+    cases = ops.small(t.questions(spark, d).select("question_id", groups.alias("groups")))
+    relevant = _chunks(spark, d).join(cases, text.is_relevant(F.col("text"), F.col("groups"))).select("question_id", "chunk_id")
+    return _searcher(spark, d).first_relevant(relevant)
 
 
 def l4_stale_vectors(spark, d):
@@ -133,7 +178,7 @@ def b11_historical_flags(spark, d):
     return cache.store(e).select("event_id", F.coalesce("is_historical", F.lit(False)).alias("is_historical"))
 
 
-QUERIES = {f.__name__: f for f in (i3_unstable_vectors, g7_indexed_versions, d6_postings, d8_corpus_stats, l1_bm25, c10_similarities, l2_vector_search, l2_hybrid_search, l2_bm25_search, l5_evaluation, l4_stale_vectors, l7_vector_health, a16_hashed_vectors, a17_tfidf, m1_raw_lookup, m2_scoped_lookup, b11_historical_flags)}
+QUERIES = {f.__name__: f for f in (i3_unstable_vectors, g7_indexed_versions, d6_postings, d8_corpus_stats, l1_bm25, c10_similarities, l2_vector_search, l2_hybrid_search, l2_bm25_search, l3_session_search, l3_refreshed_index, l5_evaluation, l5_modes, l4_stale_vectors, l7_vector_health, a16_hashed_vectors, a17_tfidf, m1_raw_lookup, m2_scoped_lookup, b11_historical_flags)}
 
 DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
 TOK = f"tok AS (SELECT doc_id AS chunk_id, {TOKENS.format('text')} AS t FROM documents), post AS (SELECT chunk_id, len(t) AS length, term, count(*) AS tf FROM (SELECT chunk_id, t, unnest(t) AS term FROM tok) GROUP BY ALL)"
@@ -148,11 +193,16 @@ def _slots(name: str, key: str, rows: str) -> str:
     {name} AS (SELECT {key}, slot, c / sqrt(sum(c * c) OVER (PARTITION BY {key})) AS v FROM {name}_c)"""
 
 
-HYBRID = f"""WITH {BM}, qtok AS (SELECT question_id, {TOKENS.format('question')} AS t FROM questions WHERE trim(question) <> ''), {_slots('dv', 'chunk_id', 'tok')}, {_slots('qv', 'question_id', 'qtok')},
+RANKED = f"""qtok AS (SELECT question_id, {TOKENS.format('question')} AS t FROM questions WHERE trim(question) <> ''), {_slots('dv', 'chunk_id', 'tok')}, {_slots('qv', 'question_id', 'qtok')},
     s AS (SELECT q.question_id, k.chunk_id, round(coalesce(sum(qv.v * dv.v), 0), 6) AS similarity FROM qtok q CROSS JOIN tok k LEFT JOIN qv ON qv.question_id = q.question_id LEFT JOIN dv ON dv.chunk_id = k.chunk_id AND dv.slot = qv.slot GROUP BY ALL),
     j AS (SELECT s.*, coalesce(bm25_score, 0) AS bm25_score FROM s LEFT JOIN kw USING (question_id, chunk_id)),
     r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY similarity DESC, chunk_id) AS vector_rank,
           CASE WHEN bm25_score > 0 THEN row_number() OVER (PARTITION BY question_id ORDER BY bm25_score DESC, chunk_id) END AS bm25_rank FROM j)"""
+HYBRID = f"WITH {BM}, {RANKED}"
+#: The same over the documents of one session.
+SESSION = f"""WITH {BM.replace("FROM documents)", "FROM documents WHERE doc_id % 30 = 10)", 1)}, {RANKED}"""
+TOP = """f AS (SELECT *, 1 / (60 + vector_rank) + coalesce(1 / (60 + bm25_rank), 0) AS score FROM r),
+        k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, similarity DESC, chunk_id) AS rank FROM f)"""
 PROBE = f"""v AS (SELECT vec_id AS chunk_id, embedding AS e, label FROM embeddings), q AS (SELECT chunk_id AS question_id, e AS qe, label AS ql FROM v WHERE chunk_id % 50 = 0),
     s AS (SELECT question_id, chunk_id, label, ql, round({DOT.format('qe', 'e')}, 6) AS similarity FROM v, q)"""
 CACHE = f"""e AS (SELECT vec_id AS id, embedding AS v, 'city' || CAST(label % 3 AS VARCHAR) AS loc, CASE WHEN vec_id % 2 = 0 THEN '2021' ELSE 'latest' END AS tf FROM embeddings),
@@ -165,11 +215,19 @@ ORACLES = {
     "l1_bm25": f"WITH {BM} SELECT question_id, chunk_id, bm25_score FROM kw",
     "c10_similarities": f"WITH {PROBE} SELECT question_id, chunk_id, similarity FROM s",
     "l2_vector_search": f"WITH {PROBE}, r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY similarity DESC, chunk_id) AS rank FROM s) SELECT question_id, chunk_id, similarity, rank FROM r WHERE rank <= 5",
-    "l2_hybrid_search": f"""{HYBRID}, f AS (SELECT *, 1 / (60 + vector_rank) + coalesce(1 / (60 + bm25_rank), 0) AS score FROM r),
-        k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, similarity DESC, chunk_id) AS rank FROM f)
+    "l2_hybrid_search": f"""{HYBRID}, {TOP}
         SELECT question_id, chunk_id, round(score, 6) AS score, similarity, bm25_score, vector_rank, bm25_rank, rank FROM k WHERE rank <= 5""",
     "l2_bm25_search": f"""{HYBRID}, k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY bm25_score DESC, similarity DESC, chunk_id) AS rank FROM r)
         SELECT question_id, chunk_id, bm25_score, rank FROM k WHERE rank <= 5""",
+    "l3_session_search": f"{SESSION}, {TOP} SELECT question_id, chunk_id, round(score, 6) AS score, vector_rank, bm25_rank, rank FROM k WHERE rank <= 5",
+    "l3_refreshed_index": f"WITH {BM}, k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY bm25_score DESC, chunk_id) AS bm25_rank FROM kw WHERE bm25_score > 0) SELECT * FROM k WHERE bm25_rank <= 10",
+    "l5_modes": f"""{HYBRID}, f AS (SELECT *, 1 / (60 + vector_rank) + coalesce(1 / (60 + bm25_rank), 0) AS score FROM r),
+        k AS (SELECT question_id, chunk_id, vector_rank AS "vector", row_number() OVER (PARTITION BY question_id ORDER BY score DESC, similarity DESC, chunk_id) AS hybrid,
+                row_number() OVER (PARTITION BY question_id ORDER BY bm25_score DESC, similarity DESC, chunk_id) AS bm25 FROM f),
+        rel AS (SELECT q.question_id, d.doc_id AS chunk_id FROM (SELECT question_id, string_split(question, ' ') AS w FROM questions) q JOIN documents d ON contains(d.text, w[1]) AND contains(d.text, w[2])),
+        m AS (SELECT question_id, min("vector") AS "vector", min(hybrid) AS hybrid, min(bm25) AS bm25 FROM k JOIN rel USING (question_id, chunk_id) GROUP BY question_id)
+        SELECT q.question_id, x.mode, CAST(CASE x.mode WHEN 'vector' THEN m."vector" WHEN 'hybrid' THEN m.hybrid ELSE m.bm25 END AS INTEGER) AS first
+        FROM qtok q CROSS JOIN (VALUES ('vector'), ('hybrid'), ('bm25')) x(mode) LEFT JOIN m USING (question_id)""",
     "l5_evaluation": f"""WITH {PROBE}, r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY similarity DESC, chunk_id) AS rank FROM s),
         f AS (SELECT question_id, min(rank) FILTER (label = ql AND chunk_id <> question_id) AS first FROM r GROUP BY question_id)
         SELECT count(*) FILTER (first = 1) AS hit_1, count(*) FILTER (first <= 3) AS hit_k, round(sum(coalesce(1 / first, 0)) / count(*), 6) AS mrr, count(*) AS questions FROM f""",

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 PACKAGE = Path(__file__).resolve().parent
 
@@ -34,6 +37,31 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, which ``spark.checkpoint.dir`` names. A temporary one stands
+    in only where none is set and the executors are local (tests)."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        found = "file://" + tempfile.mkdtemp(prefix="quill-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, computed once; a lost executor costs a re-read."""
+    path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def arrow_types(schema: str):
+    """The Arrow schema of a Spark schema string, for functions that make batches."""
+    return to_arrow_schema(StructType.fromDDL(schema))
+
+
 def ship(spark: SparkSession) -> None:
     """Give the Python workers of a session this package, once, wherever the driver runs from."""
     sc = spark.sparkContext

@@ -64,10 +64,8 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """question_id, question: the first eight words of each benchmark item."""
-    words = F.slice(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), 1, 8)
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.array_join(words, " ").alias("question"))
+    """question_id, question: the whole texts of the benchmark items."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
 
 
-QUESTIONS_SQL = r"""questions AS (
-    SELECT item_id AS question_id, array_to_string(regexp_extract_all(text, '[\p{L}\p{N}_]+')[1:8], ' ') AS question FROM benchmark)"""
+QUESTIONS_SQL = "questions AS (SELECT item_id AS question_id, text AS question FROM benchmark)"

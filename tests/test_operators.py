@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from quillspark.operators import citations, layout, ocr_layout, planning, registry, retrieval, semantic_cache, web
+from quillspark.operators import citations, layout, ocr_layout, planning, registry, retrieval, semantic_cache, topk, web
 
 
 def rows(df, *cols):
@@ -67,7 +67,7 @@ def test_hybrid_fusion_prefers_the_keyword_hit(spark):
     chunks = spark.createDataFrame([("a", "alpha beta"), ("b", "gamma"), ("c", "zeta")], "chunk_id string, text string")
     v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.9, 0.1]), ("c", [0.0, 1.0])], "chunk_id string, vector array<double>")
     q = spark.createDataFrame([(1, "zeta", [1.0, 0.0]), (2, "  ", [1.0, 0.0])], "question_id int, question string, vector array<double>")
-    hits = retrieval.search(q, chunks, v).collect()
+    hits = topk.search(q, chunks, v).collect()
     assert {h["question_id"] for h in hits} == {1}
     top = min(hits, key=lambda h: h["rank"])
     assert (top["chunk_id"], top["vector_rank"], top["bm25_rank"]) == ("c", 3, 1)
