@@ -2,10 +2,10 @@
 
 Every prefix of a word has one encoding, and that encoding without its last token is the encoding of
 a shorter prefix. So the last token is all the state that a prefix needs: it is the one token that
-ends the prefix and may follow the last token of what stands before it. Distinct words are put into
-a trie in sorted order, which is depth first, and each new node gets its last token from the nodes on
-the path to it. Words with a common beginning share these nodes; a word's encoding is read off from its
-node back to the root.
+ends the prefix and may follow the last token of what stands before it. The distinct words of a batch
+form a trie; sorted, they are its leaves in depth-first order, and what a word shares with the one before
+is the path that both have. The walk keeps the last tokens of the nodes on the current path, so each
+node's is found once for all words below it, and a word's encoding is read off along the path.
 
 Two tokens may stand side by side if merging their symbols never joins the two. Each token has one
 derivation by merges of rising rank, so only merges between the right edge of one and the left edge of
@@ -30,10 +30,12 @@ from tokenizers import Tokenizer
 from .common import raw_text, slices, tune
 from .token_count import byte_alphabet
 
-#: Words of more symbols are encoded along a chain of their own and not kept.
-LONG = 128
-#: Nodes of a worker's trie and compatible pairs; what is full is emptied, so memory is bounded.
-NODES, PAIRS = 1_000_000, 400_000
+#: Encodings of words of at most so many characters are kept for later batches.
+KEPT_CHARS = 48
+#: Words and pairs of tokens that a worker remembers; what is full is emptied, so memory is bounded.
+WORDS, PAIRS = 400_000, 300_000
+#: Bytes of texts whose words form one trie (or one longer text).
+BATCH_BYTES = 8 << 20
 
 # The normaliser and splitter of lower-case vocabularies with word ends, as their files state them.
 LOWER_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -45,17 +47,17 @@ LOWER_SPLITTER = {
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
     ],
 }
-#: The same splits of lower-case Latin-1 texts, and characters on whose classes engines differ.
-LATIN = re.compile(r"[a-zªµºß-öø-ÿ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\sa-zªµºß-öø-ÿ0-9]+")
-ODD = re.compile("[\x1c-\x1f²³¹¼½¾]")
+#: The same splits of lower-case texts whose characters are all in PLAIN and not in ODD, on whose classes engines differ.
+WESTERN = re.compile(r"[a-zªµºß-öø-ÿĀ-ſ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\sa-zªµºß-öø-ÿĀ-ſ0-9]+")
+PLAIN, ODD = re.compile("[\x00-ſ\u2000-\u206f€]*"), re.compile("[\x1c-\x1f²³¹¼½¾]")
 #: Characters whose properties have been the same for many versions of Unicode; others go by the library.
-SETTLED = re.compile("[\x00-ɏͰ-ͷ΄-ΊΌΎ-ΡΣ-ԯ -⁤₠-₹←-⏳ぁ-ゖ゠-ヿ一-鿌\U0001f300-\U0001f320\U0001f600-\U0001f64f]*")
+SETTLED = re.compile("[\x00-ɏͰ-ͷ΄-ΊΌΎ-ΡΣ-ԯ\u2000-\u2064₠-₹←-⏳ぁ-ゖ゠-ヿ一-鿌\U0001f300-\U0001f320\U0001f600-\U0001f64f]*")
 
 
 class TrieBpe:
-    """Encodes and decodes with a byte-level BPE file (the ``tokenizers`` JSON format), with or without
-    an end-of-word suffix. Files whose tokens have several derivations, or merges that come before
-    those of their parts, are refused, as are other decoders."""
+    """Encodes with a byte-level BPE file (the ``tokenizers`` JSON format), with or without an end-of-word
+    suffix. Files whose tokens have several derivations, or merges that come before those of their parts,
+    are refused."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -70,10 +72,7 @@ class TrieBpe:
         self.specials = sorted(vocab, key=len, reverse=True)
         self.special_ids = {t: array("i", [i]).tobytes() for t, i in vocab.items()}
         vocab = model["vocab"] | vocab
-        self.token = dict(sorted((i, t) for t, i in vocab.items()))
-        self.decoder = (spec.get("decoder") or {}).get("type")
-        if self.decoder not in (None, "ByteLevel"):
-            raise ValueError(f"unknown decoder {self.decoder!r}")
+        name = {i: t for t, i in vocab.items()}
 
         def symbols(token: str) -> str:
             """A token as one character for each byte, the last one of a word beyond 255."""
@@ -101,24 +100,40 @@ class TrieBpe:
         for t in edges:
             if t not in parts or parts[t][0] in whole and parts[t][1] in whole and self.crossing(*parts[t]) == self.rank[parts[t]]:
                 whole.add(t)
-                self.ids[symbols(self.token[t])] = t
-        # The same tokens backwards, as a trie: what ends a prefix is found by walking back from its end.
-        self.ending, self.ends = {}, array("i", [-1])
-        for token, t in self.ids.items():
-            node = 0
-            for c in reversed(token):
-                node = self.ending.setdefault(node << 9 | ord(c), len(self.ends))
-                if node == len(self.ends):
-                    self.ends.append(-1)
-            self.ends[node] = t
+                self.ids[symbols(name[t])] = t
+        self._automaton()
         self.plain = spec.get("normalizer") == LOWER_NORMALIZER and spec.get("pre_tokenizer") == LOWER_SPLITTER
         self.split = regex.compile(LOWER_PATTERN)
-        self.clear()
-
-    def clear(self) -> None:
-        self.child: dict[int, int] = {}
-        self.last, self.back = array("i", [-1]), array("i", [0])  # of each node: last token, node before it
         self.memo: dict[str, bytes] = {}
+        self.nodes = 0  # of all tries so far
+
+    def _automaton(self) -> None:
+        """Tokens as an automaton that reads a word once: each state's ``hit`` is the longest token that ends
+        there, as a state, and ``shorter`` leads from it to the next one."""
+        self.step, self.fail, self.token, self.size = {}, array("i", [0]), array("i", [-1]), array("i", [0])
+        made = []
+        for text, t in self.ids.items():
+            node = 0
+            for c in text:
+                key = node << 9 | ord(c)
+                below = self.step.get(key)
+                if below is None:
+                    below = self.step[key] = len(self.fail)
+                    self.fail.append(0)
+                    self.token.append(-1)
+                    self.size.append(self.size[node] + 1)
+                    made.append((self.size[below], node, ord(c), below))
+                node = below
+            self.token[node] = t
+        self.hit, self.shorter = array("i", bytes(4 * len(self.fail))), array("i", bytes(4 * len(self.fail)))
+        for size, above, c, node in sorted(made):
+            if size > 1:
+                at = self.fail[above]
+                while (to := self.step.get(at << 9 | c)) is None and at:
+                    at = self.fail[at]
+                self.fail[node] = to or 0
+            self.shorter[node] = self.hit[self.fail[node]]
+            self.hit[node] = node if self.token[node] >= 0 else self.shorter[node]
 
     def crossing(self, a: int, b: int) -> int | None:
         """The rank of the merge that joins the end of token a with the beginning of b; None if none does.
@@ -143,72 +158,54 @@ class TrieBpe:
             found = self.pairs[key] = self.crossing(a, b) is None
         return found
 
-    def last_token(self, codes: list[int], d: int, path: list[int] | range, last: array) -> tuple[int, int]:
-        """The last token of the prefix of d symbols, and the node before it."""
-        ending, ends, node, found = self.ending, self.ends, 0, []
-        for i in range(d - 1, -1, -1):
-            node = ending.get(node << 9 | codes[i])
-            if node is None:
-                break
-            if ends[node] >= 0:
-                found.append((ends[node], i))
-        for t, i in reversed(found):
-            if i == 0 or self.may_follow(last[path[i]], t):
-                return t, path[i]
-        raise ValueError("a symbol is not in the vocabulary")
-
-    def read_off(self, node: int, last: array, back: array) -> bytes:
-        out = array("i")
-        while node:
-            out.append(last[node])
-            node = back[node]
-        out.reverse()
-        return out.tobytes()
-
-    def symbols_of(self, word: str) -> list[int]:
-        """A code for each byte; the last one of a word lies beyond 255 where the vocabulary marks word ends."""
-        codes = list(word.encode("utf-8"))
-        codes[-1] += 256 * self.ended
-        return codes
-
-    def chain(self, word: str) -> bytes:
-        """The encoding of a long word: its prefixes form a chain of nodes."""
-        codes = array("H", self.symbols_of(word))
-        last, back = array("i", [-1]), array("i", [0])
-        path = range(len(codes) + 1)
-        for d in path[1:]:
-            t, before = self.last_token(codes, d, path, last)
-            last.append(t)
-            back.append(before)
-        return self.read_off(len(codes), last, back)
-
-    def insert(self, words: Iterable[str]) -> None:
-        """Put distinct words into the trie, depth first, and remember their encodings."""
-        if len(self.last) >= NODES:
-            self.clear()
-        child, last, back = self.child, self.last, self.back
-        for codes, word in sorted((self.symbols_of(w), w) for w in words):
-            path = [0]
-            for d, c in enumerate(codes, 1):
-                key = path[-1] << 9 | c
-                node = child.get(key)
-                if node is None:
-                    t, before = self.last_token(codes, d, path, last)
-                    node = child[key] = len(last)
-                    last.append(t)
-                    back.append(before)
-                path.append(node)
-            self.memo[word] = self.read_off(path[-1], last, back)
+    def walk(self, words: Iterable[str]) -> dict[str, bytes]:
+        """The encodings of distinct words, as 32-bit ids: a depth-first walk through their trie."""
+        step, fail, hit, shorter, token, size, pairs, made = self.step, self.fail, self.hit, self.shorter, self.token, self.size, self.pairs, {}
+        # Of each node on the path: its state, its last token, the depth before that.
+        state, last, back, shared = [0], [-1], [0], b""
+        for data, word in sorted((w.encode("utf-8"), w) for w in words):
+            codes = list(data)
+            codes[-1] += 256 * self.ended
+            # Where word ends are marked, a last byte is a symbol of its own, and paths part before it.
+            depth, most = 0, min(len(data), len(shared)) - self.ended
+            while depth < most and data[depth] == shared[depth]:
+                depth += 1
+            del state[depth + 1 :], last[depth + 1 :], back[depth + 1 :]
+            at = state[depth]
+            for d in range(depth, len(codes)):
+                c = codes[d]
+                while (to := step.get(at << 9 | c)) is None:
+                    at = fail[at]
+                at = to
+                found = hit[at]
+                while True:  # tokens that end here, longest first
+                    t, i = token[found], d + 1 - size[found]
+                    if i == 0:
+                        break
+                    fits = pairs.get(last[i] << 32 | t)
+                    if fits or fits is None and self.may_follow(last[i], t):
+                        break
+                    found = shorter[found]
+                state.append(at)
+                last.append(t)
+                back.append(i)
+            self.nodes += len(codes) - depth
+            shared, d, ids = data, len(codes), []
+            while d:
+                ids.append(last[d])
+                d = back[d]
+            ids.reverse()
+            made[word] = array("i", ids).tobytes()
+        return made
 
     def words(self, text: str) -> list[str]:
         """The words of a text without special tokens, normalised."""
-        if self.plain and SETTLED.fullmatch(text):
+        if self.plain and (text.isascii() or SETTLED.fullmatch(text)):
             if not text.isascii():
                 text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no form of its own at a word's end
             text = text.lower()
-            if text.isascii() or (text.isprintable() and max(text) < "Ā"):
-                return (LATIN if not ODD.search(text) else self.split).findall(text)
-            return self.split.findall(text)
+            western = (text.isascii() or PLAIN.fullmatch(text)) and not ODD.search(text)
+            return (WESTERN if western else self.split).findall(text)
         if self.library.normalizer is not None:
             text = self.library.normalizer.normalize_str(text)
         found = self.library.pre_tokenizer.pre_tokenize_str(text)
@@ -223,41 +220,62 @@ class TrieBpe:
     def encode_batch(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of each text as 32-bit integers; special tokens' strings stand for themselves."""
         split = [[(k % 2, p if k % 2 else self.words(p)) for k, p in enumerate(self.parts(t))] for t in texts]
-        memo, new, long = self.memo, set(), {}
+        new = set()
         for parts in split:
             for special, words in parts:
                 if not special:
                     new.update(words)
-        if len(self.last) < NODES:
-            new = new.difference(memo)
-        for w in [w for w in new if len(w) * 4 > LONG and len(w.encode()) > LONG]:
-            new.discard(w)
-            long[w] = self.chain(w)
-        self.insert(new)
-        get = {**self.memo, **long}.__getitem__ if long else self.memo.__getitem__
-        return [b"".join(self.special_ids[p] if special else b"".join(map(get, p)) for special, p in parts) for parts in split]
+        if len(self.memo) >= WORDS:
+            self.memo.clear()
+        made = self.walk(new.difference(self.memo))
+        self.memo.update(made)
+        get = self.memo.__getitem__
+        out = [b"".join(self.special_ids[p] if special else b"".join(map(get, p)) for special, p in parts) for parts in split]
+        for w in made:
+            if len(w) > KEPT_CHARS:
+                del self.memo[w]
+        return out
+
+
+class Decoder:
+    """Decodes with a byte-level BPE file: tokens joined by spaces where the file has no decoder, else the text
+    of their bytes. Other decoders are refused."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        kind = (spec.get("decoder") or {}).get("type")
+        if kind not in (None, "ByteLevel"):
+            raise ValueError(f"unknown decoder {kind!r}")
+        self.token: dict[int, str | bytes] = {i: t for t, i in spec["model"]["vocab"].items()}
+        if kind:
+            byte = {c: b for b, c in enumerate(byte_alphabet())}
+            self.token = {i: bytes(map(byte.__getitem__, t)) for i, t in self.token.items()}
+        self.token |= {t["id"]: t["content"].encode() if kind else t["content"] for t in spec.get("added_tokens") or []}
+        self.spaced = kind is None
 
     def decode(self, ids: Iterable[int]) -> str:
-        """Tokens joined by spaces where the file has no decoder, else the text of their bytes."""
         tokens = map(self.token.__getitem__, ids)
-        if self.decoder is None:
-            return " ".join(tokens)
-        return b"".join(t.encode() if t in self.special_ids else bytes(map(self.byte.__getitem__, t)) for t in tokens).decode("utf-8", "replace")
+        return " ".join(tokens) if self.spaced else b"".join(tokens).decode("utf-8", "replace")
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _model(path: str) -> TrieBpe:
     return TrieBpe(path)
 
 
+@lru_cache(1)
+def _decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids) of every row: the ids of the text's tokens in order.
 
     Null and empty texts, and texts of white space alone, have none. Null or repeated ids are carried
     through, one output row per input row; other columns are ignored whatever their names; an empty
-    table gives an empty table. Texts of any length are encoded whole: the words of about 2 MB of texts,
-    or of one longer text, go into the trie together; a word of more than ``LONG`` bytes has
-    a chain of its own. ``vocabulary`` is a path that every executor can read (an installed package's
+    table gives an empty table. Texts of any length are encoded whole; the words of ``BATCH_BYTES`` of
+    texts, or of one longer text, form one trie, and encodings are kept for the next. ``vocabulary`` is a path that every executor can read (an installed package's
     file). A special token's string in a text is that token."""
     tune(docs.sparkSession)
 
@@ -265,7 +283,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         model = _model(vocabulary)
         for b in batches:
             _, offs = raw_text(b.column(1))
-            for i, j in slices(offs):
+            for i, j in slices(offs, BATCH_BYTES):
                 made = model.encode_batch(t or "" for t in b.column(1).slice(i, j - i).to_pylist())
                 ends = np.cumsum([0, *(len(x) // 4 for x in made)])
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(made), np.int32)))
@@ -280,7 +298,7 @@ def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col:
     tune(encoded.sparkSession)
 
     def run(batches):
-        model = _model(vocabulary)
+        model = _decoder(vocabulary)
         for b in batches:
             texts = [model.decode(ids or ()) for ids in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])

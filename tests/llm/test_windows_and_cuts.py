@@ -86,16 +86,18 @@ def test_tokens_equal_the_library(spark, path):
     assert trie_bpe.decode(spark.createDataFrame([(1, None)], "doc_id bigint, ids array<int>"), path).first()["text"] == ""
 
 
-def test_the_trie_shares_prefixes_and_can_be_emptied():
+def test_words_share_the_nodes_of_their_prefixes():
     model = trie_bpe.TrieBpe(WORDS)
     words = ["internation", "international", "internationally", "internationals"]
     first = model.encode_batch(words)
-    assert len(model.last) - 1 < sum(map(len, words)) - 2 * len("internation")
-    nodes, trie_bpe.NODES = trie_bpe.NODES, 1
+    # "internatio" once; then n + end, n, a, l + end, l, l, y + end, s + end.
+    assert model.nodes == 10 + 8
+    assert model.encode_batch(words) == first and model.nodes == 18
+    kept, trie_bpe.WORDS = trie_bpe.WORDS, 1
     try:
-        assert model.encode_batch(words) == first and model.encode_batch([*words, "other"])[:4] == first
+        assert model.encode_batch([*words, "other"])[:4] == first and len(model.memo) == 5
     finally:
-        trie_bpe.NODES = nodes
+        trie_bpe.WORDS = kept
 
 
 def test_text_of_bytes_comes_back(spark):
