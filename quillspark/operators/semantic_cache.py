@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import vector
+from .angular import angular_join
 from .retrieval import small
 
 THRESHOLD, TOP, TTL = 0.90, 3, 86_400
@@ -33,11 +33,17 @@ def same_scope() -> Column:
 def candidates(stored: DataFrame, queries: DataFrame, scoped: bool) -> DataFrame:
     """The three nearest stored queries at or above the threshold (A19, F5). A given timeframe
     restricts the stored queries before the three are chosen (M2)."""
-    q = small(queries.select("query_id", F.col("vector").alias("q"), *(["q_timeframe", "q_locations", "q_indicators"] if scoped else [])))
-    on = (F.coalesce("q_timeframe", F.lit("")) == "") | (F.col("timeframe") == F.col("q_timeframe")) if scoped else F.lit(True)
-    pairs = stored.crossJoin(q).where(on).withColumn("score", F.round(vector.dot(F.col("q"), F.col("vector")), 6)).where(F.col("score") >= THRESHOLD)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "cache_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= TOP)
+    none = F.lit(None).cast("string")
+    asked = queries.select("query_id", *(["q_timeframe", "q_locations", "q_indicators"] if scoped else []))
+    near = angular_join(
+        stored.select(F.col("cache_id").alias("id"), "vector", F.col("timeframe").alias("scope")),
+        queries.select("query_id", "vector", (F.col("q_timeframe") if scoped else none).alias("scope")),
+        THRESHOLD,
+        TOP,
+    )
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    hits = near.withColumn("rank", rank).where(F.col("rank") <= TOP).withColumnRenamed("id", "cache_id")
+    return small(hits).join(stored, "cache_id").join(asked, "query_id")
 
 
 def lookup(stored: DataFrame, queries: DataFrame, now: Column, scoped: bool = True) -> DataFrame:

@@ -163,6 +163,14 @@ def _cache(spark, d):
     return stored, asked
 
 
+def a19_nearest_documents(spark, d):
+    """The three nearest documents at 0.9 or above of every document whose id is divisible by 50, itself included."""
+    chunks = _chunks(spark, d)
+    v = ops.hashed_vectors(chunks, "chunk_id", "text").select(F.col("chunk_id").alias("cache_id"), "vector", F.lit(None).cast("string").alias("timeframe"))
+    asked = v.where("cache_id % 50 = 0").select(F.col("cache_id").alias("query_id"), "vector")
+    return cache.candidates(v, asked, False).select("query_id", "cache_id", "score", "rank")
+
+
 def m1_raw_lookup(spark, d):
     return cache.lookup(*_cache(spark, d), F.lit(90_000.0), scoped=False)
 
@@ -178,7 +186,7 @@ def b11_historical_flags(spark, d):
     return cache.store(e).select("event_id", F.coalesce("is_historical", F.lit(False)).alias("is_historical"))
 
 
-QUERIES = {f.__name__: f for f in (i3_unstable_vectors, g7_indexed_versions, d6_postings, d8_corpus_stats, l1_bm25, c10_similarities, l2_vector_search, l2_hybrid_search, l2_bm25_search, l3_session_search, l3_refreshed_index, l5_evaluation, l5_modes, l4_stale_vectors, l7_vector_health, a16_hashed_vectors, a17_tfidf, m1_raw_lookup, m2_scoped_lookup, b11_historical_flags)}
+QUERIES = {f.__name__: f for f in (i3_unstable_vectors, g7_indexed_versions, d6_postings, d8_corpus_stats, l1_bm25, c10_similarities, l2_vector_search, l2_hybrid_search, l2_bm25_search, l3_session_search, l3_refreshed_index, l5_evaluation, l5_modes, l4_stale_vectors, l7_vector_health, a16_hashed_vectors, a17_tfidf, a19_nearest_documents, m1_raw_lookup, m2_scoped_lookup, b11_historical_flags)}
 
 DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
 TOK = f"tok AS (SELECT doc_id AS chunk_id, {TOKENS.format('text')} AS t FROM documents), post AS (SELECT chunk_id, len(t) AS length, term, count(*) AS tf FROM (SELECT chunk_id, t, unnest(t) AS term FROM tok) GROUP BY ALL)"
@@ -240,6 +248,10 @@ ORACLES = {
         c AS (SELECT chunk_id, term, count(*) AS tf FROM x GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM c GROUP BY term), n AS (SELECT count(*) AS n FROM benchmark),
         r AS (SELECT chunk_id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM c JOIN df USING (term), n)
         SELECT chunk_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY chunk_id)), 6) AS weight FROM r""",
+    "a19_nearest_documents": f"""WITH {TOK}, {_slots('dv', 'chunk_id', 'tok')},
+        s AS (SELECT q.chunk_id AS query_id, c.chunk_id AS cache_id, round(sum(q.v * c.v), 6) AS score FROM dv q JOIN dv c USING (slot) WHERE q.chunk_id % 50 = 0 GROUP BY ALL),
+        k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cache_id) AS rank FROM s WHERE score >= 0.9)
+        SELECT * FROM k WHERE rank <= 3""",
     "m1_raw_lookup": f"""WITH {CACHE}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cache_id) AS rank FROM p WHERE score >= 0.9)
         SELECT query_id, arg_min(cache_id, rank) AS cache_id, arg_min(score, rank) AS score FROM k WHERE rank <= 3 AND NOT (ctf = 'latest' AND 90000 - cache_id * 1000 > 86400) GROUP BY query_id""",
     "m2_scoped_lookup": f"""WITH {CACHE}, z AS (SELECT *, CASE WHEN query_id % 3 = 0 THEN '2021' ELSE qdef END AS qtf FROM p),
