@@ -33,9 +33,9 @@ from .token_count import byte_alphabet
 #: Encodings of words of at most so many characters are kept for later batches.
 KEPT_CHARS = 48
 #: Words and pairs of tokens that a worker remembers; what is full is emptied, so memory is bounded.
-WORDS, PAIRS = 400_000, 300_000
+WORDS, PAIRS = 300_000, 200_000
 #: Bytes of texts whose words form one trie (or one longer text).
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 # The normaliser and splitter of lower-case vocabularies with word ends, as their files state them.
 LOWER_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
