@@ -32,8 +32,9 @@ from .token_count import byte_alphabet
 
 #: Encodings of words of at most so many characters are kept for later batches.
 KEPT_CHARS = 48
-#: Words and pairs of tokens that a worker remembers; what is full is emptied, so memory is bounded.
-WORDS, PAIRS = 300_000, 200_000
+#: Words and pairs of tokens that a worker remembers. Of the words, half is forgotten when full: those not met since
+#: it was last full. The pairs are emptied. So memory is bounded.
+WORDS, PAIRS = 400_000, 200_000
 #: Bytes of texts whose words form one trie (or one longer text).
 BATCH_BYTES = 4 << 20
 
@@ -47,9 +48,10 @@ LOWER_SPLITTER = {
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
     ],
 }
-#: The same splits of lower-case texts whose characters are all in PLAIN and not in ODD, on whose classes engines differ.
+#: The same splits of texts whose characters are all in PLAIN, which is closed under lower case and has no characters to
+#: compose, and not in ODD, on whose classes engines differ.
 WESTERN = re.compile(r"[a-zªµºß-öø-ÿĀ-ſ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\sa-zªµºß-öø-ÿĀ-ſ0-9]+")
-PLAIN, ODD = re.compile("[\x00-ſ\u2000-\u206f€]*"), re.compile("[\x1c-\x1f²³¹¼½¾]")
+PLAIN, ODD = re.compile("[\x00-įı-ſ\u2000-\u206f€]*"), re.compile("[\x1c-\x1f²³¹¼½¾]")
 #: Characters whose properties have been the same for many versions of Unicode; others go by the library.
 SETTLED = re.compile("[\x00-ɏͰ-ͷ΄-ΊΌΎ-ΡΣ-ԯ\u2000-\u2064₠-₹←-⏳ぁ-ゖ゠-ヿ一-鿌\U0001f300-\U0001f320\U0001f600-\U0001f64f]*")
 
@@ -105,6 +107,7 @@ class TrieBpe:
         self.plain = spec.get("normalizer") == LOWER_NORMALIZER and spec.get("pre_tokenizer") == LOWER_SPLITTER
         self.split = regex.compile(LOWER_PATTERN)
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.nodes = 0  # of all tries so far
 
     def _automaton(self) -> None:
@@ -200,12 +203,11 @@ class TrieBpe:
 
     def words(self, text: str) -> list[str]:
         """The words of a text without special tokens, normalised."""
-        if self.plain and (text.isascii() or SETTLED.fullmatch(text)):
-            if not text.isascii():
-                text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no form of its own at a word's end
-            text = text.lower()
-            western = (text.isascii() or PLAIN.fullmatch(text)) and not ODD.search(text)
-            return (WESTERN if western else self.split).findall(text)
+        if self.plain and (text.isascii() or PLAIN.fullmatch(text)):
+            return (self.split if ODD.search(text) else WESTERN).findall(text.lower())
+        if self.plain and SETTLED.fullmatch(text):
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no form of its own at a word's end
+            return self.split.findall(text.lower())
         if self.library.normalizer is not None:
             text = self.library.normalizer.normalize_str(text)
         found = self.library.pre_tokenizer.pre_tokenize_str(text)
@@ -225,9 +227,12 @@ class TrieBpe:
             for special, words in parts:
                 if not special:
                     new.update(words)
-        if len(self.memo) >= WORDS:
-            self.memo.clear()
-        made = self.walk(new.difference(self.memo))
+        if len(self.memo) >= WORDS // 2:
+            self.memo, self.older = {}, self.memo
+        new.difference_update(self.memo)
+        met = new & self.older.keys()
+        self.memo.update((w, self.older[w]) for w in met)
+        made = self.walk(new - met)
         self.memo.update(made)
         get = self.memo.__getitem__
         out = [b"".join(self.special_ids[p] if special else b"".join(map(get, p)) for special, p in parts) for parts in split]
@@ -294,14 +299,16 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
 def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, ids, text) of every row of ids. Null counts as no ids, whose text is empty; ids that
-    the vocabulary lacks raise KeyError, as do null ids in a list TypeError."""
+    the vocabulary lacks, and null ids in a list, raise KeyError."""
     tune(encoded.sparkSession)
 
     def run(batches):
         model = _decoder(vocabulary)
         for b in batches:
-            texts = [model.decode(ids or ()) for ids in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+            lists = b.column(1)
+            ids, ends = lists.flatten().to_numpy(zero_copy_only=False).tolist(), np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()])
+            texts = [model.decode(ids[i:j]) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            yield pa.record_batch([b.column(0), lists, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     kind = dict(encoded.dtypes)[id_col]
     return encoded.select(id_col, ids_col).mapInArrow(run, f"doc_id {kind}, ids array<int>, text string")
