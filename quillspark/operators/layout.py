@@ -37,11 +37,13 @@ def page_kinds(pages: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def document_type(kinds: DataFrame) -> DataFrame:
-    """(document_id, document_type) from page kinds, blank pages ignored."""
-    seen = kinds.where("page_type <> 'blank'").groupBy("document_id").agg(F.collect_set("page_type").alias("k"))
-    every = kinds.select("document_id").distinct().join(seen, "document_id", "left")
-    one = F.when(F.size("k") == 1, F.get("k", F.lit(0)))
-    return every.select("document_id", F.when(F.col("k").isNull(), "blank").when(F.size("k") == 1, one).otherwise("mixed").alias("document_type"))
+    """(document_id, document_type) from page kinds, blank pages ignored (J2, D14): digital where all pages with
+    content have a text layer, or none has content; scanned where all are scans; else mixed."""
+    other, scans = F.count_if(~F.col("page_type").isin("text", "blank")), F.count_if(F.col("page_type") == "scanned")
+    texts = F.count_if(F.col("page_type") == "text")
+    per = kinds.groupBy("document_id").agg(other.alias("other"), scans.alias("scans"), texts.alias("texts"))
+    kind = F.when(F.col("other") == 0, "digital").when((F.col("scans") == F.col("other")) & (F.col("texts") == 0), "scanned").otherwise("mixed")
+    return per.select("document_id", kind.alias("document_type"))
 
 
 def classify_blocks(blocks: DataFrame, tables: DataFrame) -> DataFrame:

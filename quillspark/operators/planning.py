@@ -5,16 +5,19 @@ tasks: plan_id, task_id, pos, sub_query, task_type, depends_on array<string>.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship, written
+from ..session import ship, shared_folder, stored
 
-#: Waves after which those found so far become one table.
-JOINED = 16
+# The errors of a plan that can't be run.
+UNKNOWN = "Task '%s' depends on non-existent task '%s'."
+CIRCULAR = "Circular dependency detected in execution plan sub-tasks."
 
 
 def plan_errors(tasks: DataFrame) -> DataFrame:
@@ -26,34 +29,56 @@ def plan_errors(tasks: DataFrame) -> DataFrame:
     return unknown.unionByName(twice)
 
 
+def plan_failures(tasks: DataFrame) -> DataFrame:
+    """(plan_id, error) of the plans that can't be run, one error each: the first dependency on an unknown task
+    in the order of tasks and of their dependencies, else a circular dependency (N1)."""
+    deps = tasks.select("plan_id", "task_id", "pos", F.posexplode("depends_on").alias("nth", "dep"))
+    unknown = deps.join(tasks.select("plan_id", F.col("task_id").alias("dep")), ["plan_id", "dep"], "left_anti")
+    first = unknown.groupBy("plan_id").agg(F.min(F.struct("pos", "nth", "task_id", "dep")).alias("x"))
+    first = first.select("plan_id", F.format_string(UNKNOWN, "x.task_id", "x.dep").alias("error"))
+    stuck = waves(tasks).where("wave is null").select("plan_id").distinct().join(first, "plan_id", "left_anti")
+    return first.unionByName(stuck.withColumn("error", F.lit(CIRCULAR)))
+
+
 def waves(tasks: DataFrame) -> DataFrame:
     """(plan_id, task_id, wave, is_parallelizable); the wave is null on or behind a cycle.
 
-    Kahn's rounds: each wave holds the tasks whose last dependency was in the wave before, and only
-    edges from later tasks are kept, one row for each. Dependencies on unknown tasks are ignored."""
+    A task's wave is the greatest of ``base`` and of dep's wave + w over its open edges (dep, w). In each round
+    edges to tasks whose wave is known go into the base, and a task without open edges is known. Edges to a task with
+    one open edge skip it, which makes chains half as long: so the rounds of a chain or tree grow with the
+    logarithm of its depth, and no graph takes more than one for each wave. Dependencies on unknown tasks are ignored.
+    A round that finds no wave has cycles alone before it."""
     key = ["plan_id", "task_id"]
     ids = tasks.select(*key).distinct()
-    edges = tasks.select(*key, F.explode("depends_on").alias("dep")).distinct()
-    edges = written(edges.join(ids.select("plan_id", F.col("task_id").alias("dep")), ["plan_id", "dep"], "left_semi"))
-    wave = 0
-    now = written(ids.join(edges.select(*key).distinct(), key, "left_anti").withColumn("wave", F.lit(wave)))
-    found = now
-    while not edges.isEmpty():
-        rest = written(edges.join(now.select("plan_id", F.col("task_id").alias("dep")), ["plan_id", "dep"], "left_anti"))
-        wave += 1
-        now = written(edges.select(*key).distinct().join(rest.select(*key).distinct(), key, "left_anti").withColumn("wave", F.lit(wave)))
-        if now.isEmpty():
+    edges = tasks.select(*key, F.explode("depends_on").alias("dep"), F.lit(1).cast("bigint").alias("w")).distinct()
+    edges = stored(edges.join(ids.select("plan_id", F.col("task_id").alias("dep")), ["plan_id", "dep"], "left_semi").select(*key, "dep", "w"), "edges")
+    base = stored(edges.select(*key).distinct().withColumn("base", F.lit(0).cast("bigint")), "base")
+    most = base.count() + 1  # no path without a cycle is longer
+    fresh = stored(ids.join(base, key, "left_anti").withColumn("wave", F.lit(0).cast("bigint")), "wave")
+    found = [fresh]
+    while True:
+        known = fresh.select("plan_id", F.col("task_id").alias("dep"), "wave")
+        edges = stored(edges.join(known, ["plan_id", "dep"], "left"), "edges")
+        settled = edges.where("wave is not null").groupBy(*key).agg(F.max(F.col("wave") + F.col("w")).alias("least"))
+        open_ = edges.where("wave is null").select(*key, "dep", "w")
+        ends = open_.groupBy(*key).agg(F.count("*").alias("n"), F.first("dep").alias("to"), F.first("w").alias("by"))
+        base = stored(base.join(settled, key, "left").join(ends, key, "left").select(*key, F.greatest("base", F.coalesce("least", "base")).alias("base"), "n", "to", "by"), "base")
+        fresh = base.where("n is null").select(*key, F.col("base").alias("wave"))
+        if fresh.isEmpty():
             break
-        edges = rest
-        found = found.unionByName(now)
-        if wave % JOINED == 0:
-            found = written(found)
-    stuck = edges.select(*key).distinct().withColumn("wave", F.lit(None).cast("int"))
-    found = found.unionByName(stuck)
-    wide = found.groupBy("plan_id", "wave").agg(F.count("*").alias("width"))
+        found.append(fresh)
+        base = base.where("n is not null")
+        links = base.where("n = 1 and to <> task_id").select("plan_id", F.col("task_id").alias("dep"), "to", "by", F.col("base").alias("floor"))
+        edges = stored(open_.join(links, ["plan_id", "dep"], "left"), "edges")
+        over = edges.where("to is not null").groupBy(*key).agg(F.max(F.col("floor") + F.col("w")).alias("least"))
+        base = base.join(over, key, "left").select(*key, F.least(F.greatest("base", F.coalesce("least", "base")), F.lit(most)).alias("base"))
+        edges = edges.groupBy(*key, F.coalesce("to", "dep").alias("dep")).agg(F.least(F.max(F.col("w") + F.coalesce("by", F.lit(0))), F.lit(most)).alias("w"))
+    stuck = base.select(*key, F.lit(None).cast("bigint").alias("wave"))
+    rows = reduce(DataFrame.unionByName, [*found, stuck]).withColumn("wave", F.col("wave").cast("int"))
+    wide = rows.groupBy("plan_id", "wave").agg(F.count("*").alias("width"))
     free = tasks.select("plan_id", "task_id", (F.size("depends_on") == 0).alias("free"))
-    rows = found.join(wide, ["plan_id", "wave"], "left").join(free, ["plan_id", "task_id"])
-    return rows.select("plan_id", "task_id", "wave", F.coalesce((F.col("width") > 1) & F.col("free"), F.lit(False)).alias("is_parallelizable"))
+    rows = rows.join(wide, ["plan_id", "wave"], "left").join(free, key)
+    return rows.select(*key, "wave", F.coalesce((F.col("width") > 1) & F.col("free"), F.lit(False)).alias("is_parallelizable"))
 
 
 # The formats of a task's context and of the results in the report's prompt.
@@ -85,10 +110,12 @@ def render_results(results: DataFrame) -> DataFrame:
 def execute(tasks: DataFrame, run_task: Callable[[str, str], str]) -> DataFrame:
     """(plan_id, task_id, status, result): waves one after another, the tasks of a wave in parallel.
 
-    A task that raises is ``failed`` with its message and does not stop the others."""
-    ship(tasks.sparkSession)
-    planned = written(tasks.join(waves(tasks), ["plan_id", "task_id"]))
-    done = tasks.sparkSession.createDataFrame([], "plan_id string, task_id string, status string, result string")
+    A task that raises is ``failed`` with its message and does not stop the others. Each wave's results are appended to
+    a table in the shared folder, where the next one finds its contexts."""
+    spark = tasks.sparkSession
+    ship(spark)
+    schema, path = "plan_id string, task_id string, status string, result string", f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
+    planned = stored(tasks.join(waves(tasks).select("plan_id", "task_id", "wave"), ["plan_id", "task_id"]), "planned")
 
     def run(batches):
         for df in batches:
@@ -100,11 +127,12 @@ def execute(tasks: DataFrame, run_task: Callable[[str, str], str]) -> DataFrame:
                     rows.append((t.plan_id, t.task_id, "failed", str(e)))
             yield pd.DataFrame(rows, columns=["plan_id", "task_id", "status", "result"])
 
-    for (wave,) in planned.where("wave is not null").select("wave").distinct().orderBy("wave").collect():
+    for wave in range((planned.agg(F.max("wave")).first()[0] or 0) + 1):
         now = planned.where(F.col("wave") == wave)
-        ready = now.select("plan_id", "task_id", "sub_query").join(contexts(now.join(tasks.select("plan_id", "task_id"), ["plan_id", "task_id"]), done), ["plan_id", "task_id"], "left")
-        done = done.unionByName(written(ready.mapInPandas(run, done.schema)))
-    return done
+        done = spark.read.schema(schema).parquet(path) if wave else spark.createDataFrame([], schema)
+        ready = now.select("plan_id", "task_id", "sub_query").join(contexts(now, done), ["plan_id", "task_id"], "left")
+        ready.mapInPandas(run, schema).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def token_usage(usage: DataFrame) -> DataFrame:

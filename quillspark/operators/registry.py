@@ -196,8 +196,9 @@ def changed_during_processing(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def upsert_vectors(vectors: DataFrame, new: DataFrame) -> DataFrame:
     """Latest vector of each (chunk_id, model) (B2); of equal times a new one wins."""
-    newest = F.row_number().over(Window.partitionBy("chunk_id", "model").orderBy(F.desc("created_at")))
-    return vectors.unionByName(new).withColumn("n", newest).where("n = 1").drop("n")
+    both = vectors.withColumn("quill_new", F.lit(0)).unionByName(new.withColumn("quill_new", F.lit(1)))
+    newest = F.row_number().over(Window.partitionBy("chunk_id", "model").orderBy(F.desc("created_at"), F.desc("quill_new")))
+    return both.withColumn("quill_nth", newest).where("quill_nth = 1").drop("quill_nth", "quill_new")
 
 
 def archive_name(filename: str | Column, version: str | Column) -> Column:

@@ -120,12 +120,10 @@ def research(spark, query: str, llm: LLM, run_task: Callable[[str, str], str], c
         tasks = decompose(query, llm)
         yield "decomposition_complete", {"tasks": [t["task_id"] for t in tasks]}
         frame = spark.createDataFrame(tasks, "plan_id string, task_id string, pos int, sub_query string, task_type string, depends_on array<string>")
-        errors = planning.plan_errors(frame).collect()
+        errors = planning.plan_failures(frame).collect()
         if errors:
-            raise ValueError("; ".join(e["error"] for e in errors))
+            raise ValueError(errors[0]["error"])
         plan = planning.waves(frame).collect()
-        if any(r["wave"] is None for r in plan):
-            raise ValueError("circular dependency")
         yield "plan_complete", {"waves": {r["task_id"]: r["wave"] for r in plan}}
         done = planning.execute(frame, run_task)
         results = frame.join(done, ["plan_id", "task_id"], "left")

@@ -101,13 +101,11 @@ def a9_ocr_points(spark, d):
 
 
 def e11_pieces(spark, d):
-    """Gaps of over 25 points between neighbours start a new piece (rows of suppliers by nation)."""
-    from pyspark.sql import Window
-
-    s = t.table(spark, d, "supplier").select("s_nationkey", "s_suppkey", (F.col("s_suppkey") * 7 % 400).cast("double").alias("x0"))
-    w = Window.partitionBy("s_nationkey").orderBy("x0", "s_suppkey")
-    gap = F.col("x0") - F.lag(F.col("x0") + 10).over(w)
-    return s.withColumn("new", F.when(gap > 25, 1).otherwise(0)).withColumn("piece", F.sum("new").over(w)).select("s_nationkey", "s_suppkey", "piece")
+    """Suppliers of a nation as segments of one line, 10 points wide and high: a gap of over 2.5 heights begins a new piece."""
+    x = (F.col("s_suppkey") * 7 % 400).cast("double")
+    line = t.table(spark, d, "supplier").select(F.col("s_nationkey").alias("document_id"), F.lit(1).alias("page_number"), F.lit(1).alias("line"), F.lit(5.0).alias("mid"), x.alias("x0"), F.lit(0.0).alias("y0"), (x + 10).alias("x1"), F.lit(10.0).alias("y1"), F.concat(F.lit(" "), F.col("s_suppkey").cast("string")).alias("text"), F.lit(0.5).alias("confidence"))
+    out = ocr_layout.pieces(line)
+    return out.select("document_id", "piece", "x0", "x1", F.size("segments").alias("segments"), "weight", "chars")
 
 
 def j10_ocr_layout(spark, d):
@@ -157,12 +155,12 @@ def k5_table_coverage(spark, d):
 
 
 def e7_sections(spark, d):
-    """Sections carried forward over a document's lines; short lines stand for headings."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("document_id").orderBy("block_number").rowsBetween(Window.unboundedPreceding, 0)
-    head = F.when(F.length("text") < 30, F.col("text"))
-    return t.blocks(spark, d).select("document_id", "block_number", F.last(head, ignorenulls=True).over(w).alias("section"), F.sum(head.isNotNull().cast("int")).over(w).alias("segment"))
+    """Sections and segments of the blocks outside of tables; short lines stand for headings, every ninth is in a table."""
+    n = F.col("block_number")
+    kind = F.when(n % 31 == 0, "PAGE_FURNITURE").when(n % 9 == 0, "INSIDE_TABLE").otherwise("OUTSIDE_TABLE")
+    short = (F.length("text") < 30) & (text.strip(F.col("text")) != "")
+    b = t.blocks(spark, d).withColumn("classification", kind).withColumn("version", F.lit(1)).withColumn("text", F.when(short, F.concat(F.lit("1. "), "text")).otherwise(F.col("text")))
+    return chunking.segments(b).select("document_id", "block_number", "section", "segment", "place")
 
 
 def d13_plain_confidence(spark, d):
@@ -195,7 +193,8 @@ KINDS = """kinds AS (SELECT user_id AS document_id, CAST(event_id AS INTEGER) AS
       round(CASE WHEN event_id % 3 = 0 THEN event_id % 10 * 60 / 800 ELSE 0 END, 3) AS image_coverage FROM events)"""
 ORACLES = {
     "j1_page_kinds": f"WITH {KINDS} SELECT * FROM kinds",
-    "j2_document_types": f"""WITH {KINDS} SELECT document_id, CASE count(DISTINCT page_type) FILTER (page_type <> 'blank') WHEN 0 THEN 'blank' WHEN 1 THEN min(page_type) FILTER (page_type <> 'blank') ELSE 'mixed' END AS document_type FROM kinds GROUP BY document_id""",
+    "j2_document_types": f"""WITH {KINDS} SELECT document_id, CASE WHEN count(*) FILTER (page_type NOT IN ('text', 'blank')) = 0 THEN 'digital'
+        WHEN count(*) FILTER (page_type NOT IN ('scanned', 'blank')) = 0 THEN 'scanned' ELSE 'mixed' END AS document_type FROM kinds GROUP BY document_id""",
     "d15_quality": f"WITH {KINDS} SELECT document_id, count(*) AS total_pages, string_agg(DISTINCT page_type, ',' ORDER BY page_type) AS kinds, CAST(count(*) AS INTEGER) AS pages FROM kinds GROUP BY document_id",
     "j3_classify_blocks": f"WITH {CLASSED} SELECT document_id, page_number, block_number, classification, CASE WHEN classification <> 'OUTSIDE_TABLE' THEN 1 END AS table_number FROM classed",
     "j9_furniture": f"WITH {FURNITURE} SELECT * FROM furn",
@@ -218,13 +217,21 @@ ORACLES = {
               OR (max(event_id % 500) OVER (PARTITION BY user_id) = 0 AND event_id = min(event_id) OVER (PARTITION BY user_id)) AS bad FROM events)
         SELECT user_id AS document_id, CASE WHEN bool_or(bad) THEN 'NEEDS_REVIEW' ELSE 'PROCESSING' END AS status, CAST(count(*) FILTER (bad) AS INTEGER) AS pages FROM w GROUP BY user_id""",
     "a9_ocr_points": "SELECT s_suppkey, round(s_suppkey % 40 * 50 * 72 / 200 + 36, 6) AS x0, round(s_suppkey % 40 * 50 * 72 / 200 + 56, 6) AS x1 FROM supplier WHERE s_suppkey % 40 * 50 * 72 / 200 + 46 BETWEEN 100 AND 400",
-    "e11_pieces": """WITH s AS (SELECT s_nationkey, s_suppkey, s_suppkey * 7 % 400 AS x FROM supplier), g AS (SELECT *, CASE WHEN x - lag(x + 10) OVER (PARTITION BY s_nationkey ORDER BY x, s_suppkey) > 25 THEN 1 ELSE 0 END AS n FROM s)
-        SELECT s_nationkey, s_suppkey, CAST(sum(n) OVER (PARTITION BY s_nationkey ORDER BY x, s_suppkey) AS BIGINT) AS piece FROM g""",
+    "e11_pieces": """WITH s AS (SELECT s_nationkey AS document_id, s_suppkey AS k, (s_suppkey * 7 % 400)::DOUBLE AS x0 FROM supplier),
+        g AS (SELECT *, CASE WHEN x0 - lag(x0 + 10) OVER w > 25 THEN 1 ELSE 0 END AS new FROM s WINDOW w AS (PARTITION BY document_id ORDER BY x0, ' ' || k)),
+        p AS (SELECT *, CAST(sum(new) OVER (PARTITION BY document_id ORDER BY x0, ' ' || k ROWS UNBOUNDED PRECEDING) AS INTEGER) AS piece FROM g)
+        SELECT document_id, piece, min(x0) AS x0, max(x0 + 10) AS x1, CAST(count(*) AS INTEGER) AS segments, CAST(sum(length(' ' || k)) AS BIGINT) AS weight, CAST(sum(length(' ' || k)) AS BIGINT) AS chars FROM p GROUP BY document_id, piece""",
     "k4_text_coverage": f"""WITH {FURNITURE} SELECT document_id, sum(length(text))::BIGINT AS characters, count(*) AS blocks, 0::BIGINT AS problems FROM classed c
         WHERE classification = 'OUTSIDE_TABLE' AND {SOLID} AND NOT EXISTS (FROM furn f WHERE f.document_id = c.document_id AND f.page_number = c.page_number AND f.block_number = c.block_number) GROUP BY document_id""",
     "k5_table_coverage": "SELECT 'doc:v1:p1:' || p_brand AS table_id, count(*) AS rows, 0::BIGINT AS problems FROM part GROUP BY p_brand",
-    "e7_sections": f"""WITH {t.BLOCKS_SQL} SELECT document_id, block_number, last_value(CASE WHEN length(text) < 30 THEN text END IGNORE NULLS) OVER w AS section, CAST(sum(CASE WHEN length(text) < 30 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS segment
-        FROM blocks WINDOW w AS (PARTITION BY document_id ORDER BY block_number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    "e7_sections": rf"""WITH {t.BLOCKS_SQL}, b AS (SELECT *, CASE WHEN block_number % 9 = 0 THEN 'IN' ELSE 'OUT' END AS kind, CASE WHEN length(text) < 30 AND {SOLID} THEN '1. ' || text ELSE text END AS t
+            FROM blocks WHERE block_number % 31 <> 0),
+        h AS (SELECT document_id, page_number, block_number, kind, regexp_matches(t, '[^{S}]') AS solid, regexp_replace(t, '^[{S}]+|[{S}]+$', '', 'g') AS s FROM b),
+        k AS (SELECT *, kind = 'OUT' AND regexp_matches(s, '^{ND}+\.[{S}]+[^{S}]') AS head, row_number() OVER w AS place, lag(page_number) OVER w AS last FROM h WINDOW w AS (PARTITION BY document_id ORDER BY block_number)),
+        r AS (SELECT document_id, block_number, place, solid, kind, last_value(CASE WHEN head THEN s END IGNORE NULLS) OVER w AS section,
+                CAST(sum(CASE WHEN head OR kind = 'IN' OR last IS DISTINCT FROM page_number THEN 1 ELSE 0 END) OVER w AS BIGINT) AS segment
+            FROM k WINDOW w AS (PARTITION BY document_id ORDER BY block_number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+        SELECT document_id, block_number, section, segment, place FROM r WHERE kind = 'OUT' AND solid""",
     "d13_plain_confidence": f"""WITH {CLASSED}, c AS (SELECT document_id, CASE WHEN block_number % 5 > 0 THEN block_number % 7 / 8 END AS c FROM blocks UNION ALL SELECT document_id, 0.5 FROM tabs)
         SELECT document_id, round(round(avg(c), 4), 3) AS confidence FROM c GROUP BY document_id""",
     "d21_table_extents": "SELECT 'doc:v1:p1:' || p_brand AS table_id, CAST(count(*) + 1 AS INTEGER) AS row_count, 3 AS column_count FROM part GROUP BY p_brand",

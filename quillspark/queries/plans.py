@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import planning
+from ..plans import flows
+from ..session import shared_folder, stored
 from ..sources import tables as t
-from ..streaming import files
+from ..sources.models import HashedEncoder
+from ..streaming import files, registration, watching
+from . import registry, retrieval
 
 
 def _tasks(spark, d):
@@ -43,15 +49,84 @@ def h29_synthesis_prompts(spark, d):
 
 
 def n3_execute(spark, d):
-    """A small plan with a failing task, run wave by wave."""
+    """All plans wave by wave; tasks of one priority fail."""
 
     def run(query: str, context: str) -> str:
-        if query == "bad":
+        if query == "5-LOW":
             raise RuntimeError("task failed")
-        return f"{query} after {context.count('--- Prior')}"
+        return f"{query} after {context.count('--- Prior')} with {context.count('task failed')} failed"
+
+    return planning.execute(_tasks(spark, d), run)
+
+
+def n1_plan_failures(spark, d):
+    """Plans of which some have an unknown dependency, some a cycle through a leaf and the root, some both."""
+    tasks, n = _tasks(spark, d), F.col("plan_id").cast("bigint")
+    deps = F.when((n % 3 == 1) & (F.col("pos") % 4 == 0), F.concat("depends_on", F.array(F.lit("x"), F.lit("y")))).when((n % 2 == 0) & (F.col("pos") == 1), F.array(F.lit("2"))).otherwise(F.col("depends_on"))
+    return planning.plan_failures(tasks.withColumn("depends_on", deps))
+
+
+def e13_chain_waves(spark, d):
+    """All events of a user as one chain, each depending on the one before it."""
+    from pyspark.sql import Window
 
-    rows = [("p", "TASK_1", 0, "a", "DATA_RETRIEVAL", []), ("p", "TASK_2", 1, "bad", "DATA_RETRIEVAL", []), ("p", "TASK_3", 2, "c", "SYNTHESIS_COMPARISON", ["TASK_1", "TASK_2"])]
-    return planning.execute(spark.createDataFrame(rows, "plan_id string, task_id string, pos int, sub_query string, task_type string, depends_on array<string>"), run)
+    e = t.table(spark, d, "events").select(F.col("user_id").cast("string").alias("plan_id"), F.col("event_id").cast("string").alias("task_id"), F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("string").alias("before"))
+    deps = F.when(F.col("before").isNull(), F.array().cast("array<string>")).otherwise(F.array("before"))
+    return planning.waves(e.select("plan_id", "task_id", deps.alias("depends_on"))).select("plan_id", "task_id", "wave")
+
+
+def p6_evaluation(spark, d):
+    """Benchmark items as cases, the last ones first. The model fails on some and is out of quota on others, the first of which ends
+    the evaluation."""
+    from ..sources.models import LLMError, QuotaError
+
+    def ask(question: str) -> tuple[str, str]:
+        n = len(question)
+        if n % 37 == 36:
+            raise QuotaError("quota")
+        if n % 5 == 0:
+            raise LLMError(f"error at {n}")
+        return ("answered", f"{n} characters") if n % 2 else ("not_found", "")
+
+    cases = t.table(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), (-F.col("item_id")).alias("pos"), F.col("text").alias("question"))
+    results = flows.evaluate(cases, ask, first=2)
+    again = flows.redo(cases, results).withColumn("redo", F.lit(True))
+    return results.join(again, "case_id", "full_outer").select("case_id", "nth", "status", "answer", F.coalesce("redo", F.lit(False)).alias("redo"))
+
+
+def a13_listing_changes(spark, d):
+    """Documents as files, before and after every 7th went, every 11th changed, every 13th moved, and every 5th was new."""
+    docs = t.table(spark, d, "documents").select(F.col("doc_id").alias("i"), F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").alias("size"), F.col("doc_id").alias("modified"))
+    before = docs.where("i % 5 <> 0").drop("i")
+    moved = F.when((F.col("i") % 13 == 0) & (F.col("i") % 5 != 0), F.concat(F.lit("m"), "path")).otherwise(F.col("path"))
+    after = docs.where("i % 7 <> 0").select(moved.alias("path"), "size", F.when((F.col("i") % 11 == 0) & (F.col("i") % 13 != 0), -F.col("i")).otherwise(F.col("modified")).alias("modified"))
+    return watching.listing_changes(before, after)
+
+
+def s2_register_stream(spark, d):
+    """The arrivals of ``b3_register`` as a stream with state, stopped and started again between three parts of them."""
+    docs = stored(t.registry(spark, d).select(F.col("document_id").alias("seq"), "filename", "checksum", F.lit(None).cast("string").alias("session_id")), "arrivals")
+    where = f"{shared_folder(spark)}/registered-{uuid.uuid4().hex}"
+    cuts = docs.agg(F.percentile_approx("seq", [0.3, 0.7]).alias("c")).first()["c"] or [0, 0]
+    for part in (docs.where(F.col("seq") <= cuts[0]), docs.where((F.col("seq") > cuts[0]) & (F.col("seq") <= cuts[1])), docs.where(F.col("seq") > cuts[1])):
+        part.write.mode("append").parquet(f"{where}/in")
+        rows = registration.register_stream(spark.readStream.schema(registration.ARRIVAL).parquet(f"{where}/in"))
+        run = rows.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/at").trigger(availableNow=True).start()
+        run.awaitTermination()
+    return spark.read.parquet(f"{where}/out").select("seq", "filename", "outcome", "version")
+
+
+def l4_incremental_vectors(spark, d):
+    """A store that had the documents of two thirds of all ids, a quarter with other texts, brought up to date; by which batch each
+    document's current vector was made."""
+    docs = t.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    store = flows.VectorStore(spark, f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}")
+    encoder = HashedEncoder()
+    store.update(docs.where("chunk_id % 3 <> 0").withColumn("text", F.when(F.col("chunk_id") % 4 == 0, F.concat("text", F.lit(" old"))).otherwise(F.col("text"))), encoder, 0)
+    for epoch in (1, 1, 2):  # a replay, and a run that finds nothing to do
+        store.update(docs, encoder, epoch)
+    made = store.current(docs, encoder.name).join(store.read(encoder.name).select("chunk_id", "epoch", "dims"), "chunk_id")
+    return made.select("chunk_id", "epoch", "dims", F.size(F.filter("vector", lambda x: x > 0)).alias("slots"))
 
 
 def d19_token_usage(spark, d):
@@ -79,7 +154,7 @@ def d20_status_summary(spark, d):
     return t.registry(spark, d).groupBy("status").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (n1_waves, c8_unknown_dependencies, n4_contexts, h29_synthesis_prompts, n3_execute, d19_token_usage, b12_sse_events, s1_debounce, s7_last_activity, d20_status_summary)}
+QUERIES = {f.__name__: f for f in (n1_waves, c8_unknown_dependencies, n4_contexts, h29_synthesis_prompts, n3_execute, n1_plan_failures, e13_chain_waves, p6_evaluation, a13_listing_changes, s2_register_stream, l4_incremental_vectors, d19_token_usage, b12_sse_events, s1_debounce, s7_last_activity, d20_status_summary)}
 
 TASKS = """tasks AS (SELECT CAST(o_custkey AS VARCHAR) AS plan_id, CAST(pos AS INTEGER) AS pos, CAST(pos AS VARCHAR) AS task_id, o_orderpriority AS sub_query,
       CASE WHEN pos = 1 THEN [] WHEN pos % 3 = 0 THEN [CAST(pos // 2 AS VARCHAR), '1'] ELSE [CAST(pos // 2 AS VARCHAR)] END AS deps
@@ -93,7 +168,23 @@ ORACLES = {
         FROM x JOIN tasks p ON p.plan_id = x.plan_id AND p.task_id = x.dep GROUP BY ALL""",
     "h29_synthesis_prompts": f"""WITH {TASKS} SELECT plan_id, string_agg('### Node [' || task_id || ']' || chr(10) || '**Task Target:** ' || sub_query || chr(10) || '**Status:** ' || CASE WHEN pos % 5 = 0 THEN 'failed' ELSE 'completed' END || chr(10)
             || '**Findings & Sources:**' || chr(10) || CASE WHEN pos % 4 <> 0 THEN 'result of ' || task_id ELSE 'No findings recorded.' END || chr(10), chr(10) || chr(10) ORDER BY pos) AS prompt FROM tasks GROUP BY plan_id""",
-    "n3_execute": "SELECT * FROM (VALUES ('p', 'TASK_1', 'completed', 'a after 0'), ('p', 'TASK_2', 'failed', 'task failed'), ('p', 'TASK_3', 'completed', 'c after 2')) t(plan_id, task_id, status, result)",
+    "n3_execute": f"""WITH {TASKS}, x AS (SELECT plan_id, task_id, unnest(deps) AS dep FROM tasks),
+        f AS (SELECT x.plan_id, x.task_id, count(*) FILTER (p.sub_query = '5-LOW') AS failed FROM x JOIN tasks p ON p.plan_id = x.plan_id AND p.task_id = x.dep GROUP BY ALL)
+        SELECT plan_id, task_id, CASE WHEN sub_query = '5-LOW' THEN 'failed' ELSE 'completed' END AS status,
+               CASE WHEN sub_query = '5-LOW' THEN 'task failed' ELSE sub_query || ' after ' || len(deps) || ' with ' || coalesce(failed, 0) || ' failed' END AS result FROM tasks LEFT JOIN f USING (plan_id, task_id)""",
+    "n1_plan_failures": f"""WITH {TASKS}, c AS (SELECT plan_id, CAST(plan_id AS BIGINT) AS n, max(pos) AS m FROM tasks GROUP BY plan_id)
+        SELECT plan_id, CASE WHEN n % 2 = 0 AND m = 1 THEN 'Task ''1'' depends on non-existent task ''2''.' WHEN n % 3 = 1 AND m >= 4 THEN 'Task ''4'' depends on non-existent task ''x''.'
+               ELSE 'Circular dependency detected in execution plan sub-tasks.' END AS error FROM c WHERE n % 2 = 0 OR (n % 3 = 1 AND m >= 4)""",
+    "e13_chain_waves": "SELECT CAST(user_id AS VARCHAR) AS plan_id, CAST(event_id AS VARCHAR) AS task_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id) - 1 AS INTEGER) AS wave FROM events",
+    "p6_evaluation": """WITH c AS (SELECT item_id AS case_id, length(text) AS n, row_number() OVER (ORDER BY -item_id) - 1 AS k FROM benchmark), q AS (SELECT coalesce(min(k) FILTER (n % 37 = 36), 1 << 40) AS e FROM c)
+        SELECT case_id, CASE WHEN k < e THEN k END AS nth, CASE WHEN k >= e THEN NULL WHEN n % 5 = 0 THEN 'error' WHEN n % 2 = 1 THEN 'answered' ELSE 'not_found' END AS status,
+               CASE WHEN k >= e THEN NULL WHEN n % 5 = 0 THEN 'error at ' || n WHEN n % 2 = 1 THEN n || ' characters' ELSE '' END AS answer, k >= e OR n % 5 = 0 AS redo FROM c, q""",
+    "a13_listing_changes": """WITH d AS (SELECT doc_id AS i, 'f' || doc_id AS path FROM documents)
+        SELECT CASE WHEN i % 5 = 0 THEN 'created' WHEN i % 7 = 0 THEN 'deleted' WHEN i % 13 = 0 THEN 'moved' ELSE 'modified' END AS kind, path, CASE WHEN i % 5 <> 0 AND i % 7 <> 0 AND i % 13 = 0 THEN 'm' || path END AS moved_to
+        FROM d WHERE (i % 5 = 0 AND i % 7 <> 0) OR (i % 5 <> 0 AND (i % 7 = 0 OR i % 13 = 0 OR i % 11 = 0))""",
+    "s2_register_stream": registry.ORACLES["b3_register"],
+    "l4_incremental_vectors": f"""WITH {retrieval.TOK}, {retrieval._slots('dv', 'chunk_id', 'tok')}
+        SELECT tok.chunk_id, CAST(CASE WHEN tok.chunk_id % 3 <> 0 AND tok.chunk_id % 4 <> 0 THEN 0 ELSE 1 END AS BIGINT) AS epoch, 64 AS dims, CAST(count(dv.slot) AS INTEGER) AS slots FROM tok LEFT JOIN dv USING (chunk_id) GROUP BY tok.chunk_id""",
     "d19_token_usage": """SELECT coalesce(event_type, 'all') AS stage, CAST(sum(floor(value)) AS BIGINT) AS prompt, CAST(sum(event_id % 13) AS BIGINT) AS completion, CAST(sum(floor(value)) + sum(event_id % 13) AS BIGINT) AS total FROM events GROUP BY ROLLUP (event_type)""",
     "b12_sse_events": """WITH e AS (SELECT user_id AS stream_id, event_id AS seq, CASE WHEN event_id % 17 = 0 THEN 'close' ELSE event_type END AS event FROM events),
         m AS (SELECT stream_id, min(seq) AS last FROM e WHERE event IN ('close', 'error') GROUP BY stream_id)

@@ -30,7 +30,12 @@ def a1_latest_chunks(spark, d):
 
 
 def c4_session_scope(spark, d):
-    return ops.searchable(t.registry(spark, d), t.links(spark, d), "s10").select("document_id", "filename", "version")
+    """Documents of one session that are the newest version of their name and chunked; names repeat 97 apart."""
+    from pyspark.sql import Window
+
+    name = F.concat("filename", F.lit("/"), (F.col("document_id") % 97).cast("string"))
+    reg = t.registry(spark, d).withColumn("filename", name).withColumn("version", F.row_number().over(Window.partitionBy("filename").orderBy("document_id")))
+    return ops.searchable(reg, t.links(spark, d), "s10").select("document_id", "filename", "version")
 
 
 def d1_searchable_library(spark, d):
@@ -81,7 +86,7 @@ def c18_library_copy(spark, d):
 
 def c20_library_view(spark, d):
     counts = t.blocks(spark, d).groupBy("document_id").agg(F.count("*").alias("chunks"))
-    kinds = t.registry(spark, d).where("document_id % 4 = 0").select("document_id", F.lit("text").alias("document_type"))
+    kinds = t.registry(spark, d).where("document_id % 4 = 0").select("document_id", F.lit("digital").alias("document_type"))
     return ops.library_view(t.registry(spark, d), counts, kinds)
 
 
@@ -174,7 +179,9 @@ ORACLES = {
     "a3_document_versions": f"WITH {R} SELECT document_id, version FROM registry WHERE filename = 'src3' ORDER BY version",
     "a3_latest_document": f"WITH {R} SELECT document_id, version, status FROM registry WHERE filename = 'src3' ORDER BY version DESC LIMIT 1",
     "a1_latest_chunks": f"{LATEST}, {t.BLOCKS_SQL} SELECT b.document_id, l.version AS document_version, l.filename AS document_name, b.page_number, b.block_number, b.text FROM blocks b JOIN latest l USING (document_id) WHERE l.status = 'CHUNKED' AND l.session_id IS NULL",
-    "c4_session_scope": f"{LATEST} SELECT document_id, filename, version FROM latest WHERE status = 'CHUNKED' AND document_id IN (SELECT document_id FROM registry WHERE session_id = 's10')",
+    "c4_session_scope": f"""WITH {R}, n AS (SELECT document_id, filename || '/' || document_id % 97 AS filename, status, session_id FROM registry),
+        v AS (SELECT *, row_number() OVER w AS version, max(document_id) OVER (PARTITION BY filename) AS newest FROM n WINDOW w AS (PARTITION BY filename ORDER BY document_id))
+        SELECT document_id, filename, version FROM v WHERE document_id = newest AND status = 'CHUNKED' AND session_id = 's10'""",
     "d1_searchable_library": f"WITH {R} SELECT document_id, filename, version FROM registry d WHERE status = 'CHUNKED' AND session_id IS NULL AND version = (SELECT max(version) FROM registry x WHERE x.filename = d.filename)",
     "b3_register": f"""WITH {R},
         n AS (SELECT document_id AS seq, filename, checksum, CASE WHEN row_number() OVER (PARTITION BY checksum ORDER BY document_id) = 1 THEN 1 ELSE 0 END AS is_new FROM registry),
@@ -196,7 +203,7 @@ ORACLES = {
     "c18_library_copy": f"""{LATEST}, lib AS (SELECT checksum, min(document_id) AS library_id FROM latest WHERE status = 'CHUNKED' AND session_id IS NULL GROUP BY checksum)
         SELECT r.document_id AS upload_id, library_id, CASE WHEN library_id IS NULL THEN 'PROCESS' ELSE 'REUSED' END AS route FROM registry r LEFT JOIN lib USING (checksum) WHERE r.session_id IS NOT NULL""",
     "c20_library_view": f"""{LATEST}, {t.BLOCKS_SQL}, n AS (SELECT document_id, count(*) AS chunks FROM blocks GROUP BY document_id)
-        SELECT filename, l.document_id, version, status, coalesce(chunks, 0) AS chunks, CASE WHEN l.document_id % 4 = 0 THEN 'text' ELSE '' END AS document_type FROM latest l LEFT JOIN n USING (document_id) WHERE session_id IS NULL""",
+        SELECT filename, l.document_id, version, status, coalesce(chunks, 0) AS chunks, CASE WHEN l.document_id % 4 = 0 THEN 'digital' ELSE '' END AS document_type FROM latest l LEFT JOIN n USING (document_id) WHERE session_id IS NULL""",
     "s3_needs_processing": f"{LATEST} SELECT document_id, filename, 'FAILED' AS status FROM latest WHERE document_id % 5 = 0",
     "s6_changed_files": "SELECT doc_id AS document_id FROM documents WHERE doc_id % 11 = 0",
     "s7_idle_sessions": "SELECT user_id AS session_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_active_at FROM events GROUP BY user_id HAVING max(ts) < TIMESTAMP '2024-02-01' - INTERVAL 24 HOUR",

@@ -32,7 +32,7 @@ def idle_stream(events: DataFrame, hours: int = 24, key: str = "session_id", ts:
     return out.select(key, "last_active_at")
 
 
-def watch(spark: SparkSession, folder: str, glob: str = "*.pdf") -> DataFrame:
+def watch(spark: SparkSession, folder: str, glob: str = "*.[pP][dD][fF]") -> DataFrame:
     """Arriving files with their bytes and checksums."""
     files = spark.readStream.format("binaryFile").option("pathGlobFilter", glob).schema("path string, modificationTime timestamp, length long, content binary").load(folder)
     return files.withColumn("checksum", F.sha2("content", 256))
