@@ -7,7 +7,6 @@ session names in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -16,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import shared_folder, ship
 
 #: Rows in an Arrow batch handed to Python. Texts are a few KB on average, so a batch is a few MB.
 ARROW_ROWS = 1000
@@ -36,20 +35,11 @@ def tune(spark: SparkSession) -> None:
 # --------------------------------------------------------------------------- shared tables
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quill-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at replicated files, so a
     lost executor costs a re-read and not a recomputation. Shuffle files of the write go when it ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:

@@ -34,7 +34,7 @@ from .token_count import byte_alphabet
 KEPT_CHARS = 48
 #: Words and pairs of tokens that a worker remembers. Of the words, half is forgotten when full: those not met since
 #: it was last full. The pairs are emptied. So memory is bounded.
-WORDS, PAIRS = 400_000, 200_000
+WORDS, PAIRS = 250_000, 200_000
 #: Bytes of texts whose words form one trie (or one longer text).
 BATCH_BYTES = 4 << 20
 
@@ -82,40 +82,40 @@ class TrieBpe:
             codes = [self.byte[c] for c in (token[: -len(suffix)] if end else token)]
             return "".join(map(chr, codes[:-1])) + chr(codes[-1] + 256 * end)
 
-        parts: dict[int, tuple[int, int]] = {}
-        self.rank: dict[tuple[int, int], int] = {}
-        edges: dict[int, tuple[list, list]] = {}
-        for c in self.byte:
-            for t in (c, c + suffix):
-                edges[vocab[t]] = ([(vocab[t], -1)], [(vocab[t], -1)])
+        # Of each token: the two that were merged into it, and the rank of that merge; -1 for a symbol.
+        top = max(vocab.values()) + 1
+        self.left, self.right, self.made = (array("i", [-1]) * top for _ in range(3))
+        self.rank: dict[int, int] = {}
+        known = {vocab[t] for c in self.byte for t in (c, c + suffix)}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             a, b, made = vocab[a], vocab[b], vocab[a + b]
-            if made in edges or a not in edges or b not in edges:
+            if made in known or a not in known or b not in known:
                 raise ValueError("a merge is not the only one of its token, or precedes those of its parts")
-            parts[made] = a, b
-            self.rank[a, b] = rank
-            # The pieces that stand at a token's left and right end while it is merged, and the ranks that made them.
-            edges[made] = [*edges[a][0], (made, rank)], [*edges[b][1], (made, rank)]
-        self.edges, self.pairs, self.ids = edges, {}, {}
+            known.add(made)
+            self.left[made], self.right[made], self.made[made] = a, b, rank
+            self.rank[a << 32 | b] = rank
+        self.pairs: dict[int, bool] = {}
+        ids: dict[str, int] = {}
         whole: set[int] = set()  # tokens whose symbols merge into them
-        for t in edges:
-            if t not in parts or parts[t][0] in whole and parts[t][1] in whole and self.crossing(*parts[t]) == self.rank[parts[t]]:
+        for t in sorted(known, key=self.made.__getitem__):
+            a, b = self.left[t], self.right[t]
+            if a < 0 or a in whole and b in whole and self.crossing(a, b) == self.made[t]:
                 whole.add(t)
-                self.ids[symbols(name[t])] = t
-        self._automaton()
+                ids[symbols(name[t])] = t
+        self._automaton(ids)
         self.plain = spec.get("normalizer") == LOWER_NORMALIZER and spec.get("pre_tokenizer") == LOWER_SPLITTER
         self.split = regex.compile(LOWER_PATTERN)
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.nodes = 0  # of all tries so far
 
-    def _automaton(self) -> None:
+    def _automaton(self, ids: dict[str, int]) -> None:
         """Tokens as an automaton that reads a word once: each state's ``hit`` is the longest token that ends
         there, as a state, and ``shorter`` leads from it to the next one."""
         self.step, self.fail, self.token, self.size = {}, array("i", [0]), array("i", [-1]), array("i", [0])
         made = []
-        for text, t in self.ids.items():
+        for text, t in ids.items():
             node = 0
             for c in text:
                 key = node << 9 | ord(c)
@@ -138,16 +138,21 @@ class TrieBpe:
             self.shorter[node] = self.hit[self.fail[node]]
             self.hit[node] = node if self.token[node] >= 0 else self.shorter[node]
 
+    def _edge(self, token: int, part: array) -> list[tuple[int, int, int]]:
+        """(piece, rank that made it, rank that used it) of the pieces that stand at one end of a token as it is merged."""
+        out, until = [], 1 << 40
+        while token >= 0:
+            out.append((token, self.made[token], until))
+            until, token = self.made[token], part[token]
+        return out
+
     def crossing(self, a: int, b: int) -> int | None:
-        """The rank of the merge that joins the end of token a with the beginning of b; None if none does.
+        """The rank of the first merge that joins the end of token a with the beginning of b; None if none does.
         A merge takes place if both pieces stand when its turn comes; of equal pairs the left one goes first."""
-        best = None
-        right, left = self.edges[a][1], self.edges[b][0]
-        for i, (x, x_from) in enumerate(right):
-            x_to = right[i + 1][1] if i + 1 < len(right) else 1 << 40
-            for j, (y, y_from) in enumerate(left):
-                q = self.rank.get((x, y))
-                y_to = left[j + 1][1] if j + 1 < len(left) else 1 << 40
+        best, left = None, self._edge(b, self.left)
+        for x, x_from, x_to in self._edge(a, self.right):
+            for y, y_from, y_to in left:
+                q = self.rank.get(x << 32 | y)
                 if q is not None and x_from < q < x_to and y_from < q <= y_to and (best is None or q < best):
                     best = q
         return best
