@@ -18,43 +18,62 @@ from quillspark.llm.toxicity import drop_toxic, train
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: documents that the fitted model finds toxic go."""
+    """Operator 8: documents that the fitted model finds toxic go. Null and empty texts are never toxic; repeated
+    rows and ids are judged one by one; other columns are kept as they are; an empty table stays empty, and
+    without labels to learn from nothing goes."""
     return drop_toxic(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-def by_row(docs: DataFrame) -> DataFrame:
-    """``docs`` with the column quill_row, which is unique, not null and in the order of doc_id (null
-    last): doc_id itself where it can be, else numbers that are written with the rows."""
+def by_row(docs: DataFrame) -> tuple[DataFrame, str, bool]:
+    """``docs`` with one more column, and its name, which no column of theirs has: doc_id where it is unique and
+    not null, as is returned too, else a number of its own for each row, written with the rows."""
+    name = "row"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
     ids = docs.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d")).first()
     if ids["n"] == ids["d"]:
-        return docs.withColumn("quill_row", F.col("doc_id"))
-    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "text")
-    return materialize(ordered.withColumn("quill_row", F.monotonically_increasing_id()), "rows")
+        return docs.withColumn(name, F.col("doc_id")), name, True
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name, False
+
+
+def one_of_each(docs: DataFrame, rows: DataFrame, name: str, unique: bool, classes: DataFrame) -> DataFrame:
+    """The row with the smallest doc_id of each class, null last, and of those that share it the one with the
+    smallest number. classes: member, class (the smallest member)."""
+    if unique:
+        kept = classes.where("member = class").select(F.col("member").alias(name))
+    else:
+        ids = rows.select(F.col(name).alias("member"), "doc_id").join(classes, "member")
+        first = ids.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "member")).alias("first"))
+        kept = first.select(F.col("first.member").alias(name))
+    return rows.join(kept, name, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: of equal texts the document with the smallest id stays. Null
-    ids come last; of rows that share the smallest id one stays."""
-    rows = by_row(docs)
-    kept = exact_dedup(rows, "quill_row").where("kept").select(F.col("doc_id").alias("quill_row"))
-    return rows.join(kept, "quill_row", "left_semi").select(*docs.columns)
+    """Operator 7: of equal texts the document with the smallest id stays; null counts as empty. Null
+    ids come last; of rows that share the smallest id one stays. Other columns are kept as they are, whatever
+    their names; an empty table stays empty."""
+    rows, name, unique = by_row(docs)
+    return one_of_each(docs, rows, name, unique, exact_dedup(rows, name).select(F.col("doc_id").alias("member"), F.col("keep_id").alias("class")))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: of each group of near copies the document with the smallest id stays, and
-    every document without words. Null ids come last; of rows that share the smallest id one stays."""
-    rows = by_row(docs)
-    kept = near_duplicates(rows, id_col="quill_row").where("doc_id = component_id").select(F.col("doc_id").alias("quill_row"))
-    return rows.join(kept, "quill_row", "left_semi").select(*docs.columns)
+    every document without words, as those of null and empty texts. Null ids come last; of rows that share the smallest
+    id one stays. Other columns are kept as they are, whatever their names; an empty table stays empty."""
+    rows, name, unique = by_row(docs)
+    return one_of_each(docs, rows, name, unique, near_duplicates(rows, id_col=name).select(F.col("doc_id").alias("member"), F.col("component_id").alias("class")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: documents that hold a benchmark item go."""
+    """Operator 2: documents that hold a benchmark item go. Null and empty texts hold none; repeated rows and ids
+    are judged one by one; other columns are kept as they are; an empty table stays empty."""
     return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: how often the mix repeats each document that is left."""
+    """Operator 10: how often the mix repeats each document that is left. Null and empty texts have no words to
+    take; rows that share an id, null ids too, are taken together; other columns are left out; an empty table
+    stays empty."""
     return mix_sources(docs)
 
 
