@@ -2,6 +2,7 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -64,5 +65,27 @@ def test_null_and_repeated_ids(spark):
     assert [x[0] for x in run(stages["mixing"])] == sorted((x[0] for x in rows), key=repr)
 
 
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_of_odd_tables(spark, name):
+    """Columns with names that stages use, very long and empty texts, and tables without rows."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    long = " ".join(f"w{i % 5000}" for i in range(60_000))
+    rows = [(1, long, "keep me"), (2, long, "me too"), (3, None, ""), (3, "", None), (4, "one two three", "x")]
+    odd = spark.createDataFrame(rows, "doc_id bigint, text string, row string")
+    odd = odd.select("*", *(F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in docs.columns if c not in odd.columns), *(F.col("row").alias(c) for c in ("class", "member", "Row_", "quill_row", "size", "kept", "component_id", "h")))
+    stage = dict(corpus_pipeline.STAGES)[name]
+    empty = stage(spark, odd.limit(0), DIR)
+    assert empty.count() == 0
+    out = stage(spark, odd, DIR).collect()
+    if name == "mixing":
+        assert sorted(r["doc_id"] for r in out) == [1, 2, 3, 3, 4]
+        return
+    assert empty.columns == odd.columns and out[0].__fields__ == odd.columns
+    kept = [(r["doc_id"], r["row"]) for r in out]
+    assert all(r["class"] == r["row"] == r["quill_row"] == r["Row_"] for r in out)
+    want = {"exact_dedup": 3, "near_dedup": 4}.get(name, 5)
+    assert len(kept) == want and (1, "keep me") in kept and (4, "x") in kept and ((2, "me too") in kept) == (want == 5)
+
+
 def test_registered_queries():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14)) and corpus_pipeline.ORACLE_SQL is None
