@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import planning
-from ..plans import flows
+from ..plans import agents, flows
 from ..session import shared_folder, stored
 from ..sources import tables as t
-from ..sources.models import HashedEncoder
+from ..sources.models import HashedEncoder, LLMError, QuotaError
 from ..streaming import files, registration, watching
 from . import registry, retrieval
 
@@ -78,7 +79,6 @@ def e13_chain_waves(spark, d):
 def p6_evaluation(spark, d):
     """Benchmark items as cases, the last ones first. The model fails on some and is out of quota on others, the first of which ends
     the evaluation."""
-    from ..sources.models import LLMError, QuotaError
 
     def ask(question: str) -> tuple[str, str]:
         n = len(question)
@@ -129,6 +129,34 @@ def l4_incremental_vectors(spark, d):
     return made.select("chunk_id", "epoch", "dims", F.size(F.filter("vector", lambda x: x > 0)).alias("slots"))
 
 
+class _Clerk:
+    """A scripted model: looks a document up, then counts its source, then answers; some tasks fail, ask for a tool that isn't
+    there, or never end. It doesn't take the option ``think``."""
+
+    def reply(self, system, messages, options):
+        if "think" in options:
+            raise agents.UnsupportedOption("think")
+        n = int(messages[0]["content"].split()[-1])
+        last = messages[-1]
+        if n % 13 == 5:
+            raise LLMError(f"no answer to {n}")
+        call = lambda tool, **arguments: {"text": None, "calls": [{"id": f"c{len(messages)}", "name": tool, "arguments": arguments}]}
+        if last["role"] == "user" or n % 7 == 3:
+            return call("missing" if n % 11 == 4 else "document", id=n * 3)
+        if last["content"] == agents.NO_TOOL:
+            return {"text": last["content"]}
+        found = json.loads(last["content"])
+        return call("source", name=found["source"]) if "doc_id" in found else {"text": f"{found['source']} has {found['n']} documents"}
+
+
+def a23_agents(spark, d):
+    """An agent's answer to each benchmark item, over documents and their sources as tools."""
+    docs = t.table(spark, d, "documents")
+    tools = {"document": agents.table_tool(docs.select("doc_id", "source"), "doc_id", "id"), "source": agents.table_tool(docs.groupBy("source").agg(F.count("*").alias("n")), "source", "name")}
+    tasks = t.table(spark, d, "benchmark").select(F.col("item_id").alias("task_id"), F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("description"))
+    return agents.run_agents(tasks, _Clerk, tools, f"{shared_folder(spark)}/agents-{uuid.uuid4().hex}", {"think": True})
+
+
 def d19_token_usage(spark, d):
     u = t.table(spark, d, "events").select(F.col("event_type").alias("stage"), F.floor("value").alias("prompt"), (F.col("event_id") % 13).alias("completion"))
     return planning.token_usage(u)
@@ -154,7 +182,7 @@ def d20_status_summary(spark, d):
     return t.registry(spark, d).groupBy("status").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (n1_waves, c8_unknown_dependencies, n4_contexts, h29_synthesis_prompts, n3_execute, n1_plan_failures, e13_chain_waves, p6_evaluation, a13_listing_changes, s2_register_stream, l4_incremental_vectors, d19_token_usage, b12_sse_events, s1_debounce, s7_last_activity, d20_status_summary)}
+QUERIES = {f.__name__: f for f in (n1_waves, c8_unknown_dependencies, n4_contexts, h29_synthesis_prompts, n3_execute, n1_plan_failures, e13_chain_waves, p6_evaluation, a13_listing_changes, s2_register_stream, l4_incremental_vectors, a23_agents, d19_token_usage, b12_sse_events, s1_debounce, s7_last_activity, d20_status_summary)}
 
 TASKS = """tasks AS (SELECT CAST(o_custkey AS VARCHAR) AS plan_id, CAST(pos AS INTEGER) AS pos, CAST(pos AS VARCHAR) AS task_id, o_orderpriority AS sub_query,
       CASE WHEN pos = 1 THEN [] WHEN pos % 3 = 0 THEN [CAST(pos // 2 AS VARCHAR), '1'] ELSE [CAST(pos // 2 AS VARCHAR)] END AS deps
@@ -185,6 +213,11 @@ ORACLES = {
     "s2_register_stream": registry.ORACLES["b3_register"],
     "l4_incremental_vectors": f"""WITH {retrieval.TOK}, {retrieval._slots('dv', 'chunk_id', 'tok')}
         SELECT tok.chunk_id, CAST(CASE WHEN tok.chunk_id % 3 <> 0 AND tok.chunk_id % 4 <> 0 THEN 0 ELSE 1 END AS BIGINT) AS epoch, 64 AS dims, CAST(count(dv.slot) AS INTEGER) AS slots FROM tok LEFT JOIN dv USING (chunk_id) GROUP BY tok.chunk_id""",
+    "a23_agents": """WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY source), b AS (SELECT item_id AS i FROM benchmark),
+        r AS (SELECT b.i, d.doc_id, s.source, s.n, CASE WHEN b.i % 13 = 5 THEN 'error' WHEN b.i % 7 = 3 THEN 'max_iterations_reached' ELSE 'completed' END AS status, (b.i % 11 = 4 OR d.doc_id IS NULL) AS none
+            FROM b LEFT JOIN documents d ON d.doc_id = b.i * 3 LEFT JOIN s ON s.source = d.source)
+        SELECT i AS task_id, status, CAST(CASE WHEN status = 'completed' THEN CASE WHEN none THEN 2 ELSE 3 END END AS INTEGER) AS iterations,
+               CASE WHEN status = 'completed' THEN CASE WHEN none THEN 'Tool not found' ELSE source || ' has ' || n || ' documents' END END AS result, CASE WHEN status = 'error' THEN 'no answer to ' || i END AS error FROM r""",
     "d19_token_usage": """SELECT coalesce(event_type, 'all') AS stage, CAST(sum(floor(value)) AS BIGINT) AS prompt, CAST(sum(event_id % 13) AS BIGINT) AS completion, CAST(sum(floor(value)) + sum(event_id % 13) AS BIGINT) AS total FROM events GROUP BY ROLLUP (event_type)""",
     "b12_sse_events": """WITH e AS (SELECT user_id AS stream_id, event_id AS seq, CASE WHEN event_id % 17 = 0 THEN 'close' ELSE event_type END AS event FROM events),
         m AS (SELECT stream_id, min(seq) AS last FROM e WHERE event IN ('close', 'error') GROUP BY stream_id)
