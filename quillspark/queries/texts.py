@@ -152,6 +152,10 @@ QUERIES = {f.__name__: f for f in (h1_tokenize, h2_token_counts, h4_furniture_ke
 
 STRIPPED = STRIP.format("text")
 QUOTED = "text || '''s end'"
+#: A quote with white space collapsed, straight quotes, and no outer quotes or ellipsis at the end.
+_STRAIGHT = f"translate({COLLAPSE}, '“”‘’', concat(chr(34), chr(34), chr(39), chr(39)))"
+_OUTER = "concat('^[', chr(34), chr(39), ']+|[', chr(34), chr(39), ']+$')"
+NORMAL = Sql(STRIP.format(f"regexp_replace(regexp_replace(regexp_replace({_STRAIGHT}, {_OUTER}, '', 'g'), '[.][.][.]$', ''), '…$', '')"))
 ORACLES = {
     "h1_tokenize": f"SELECT doc_id, array_to_string({TOKENS.format('text')}, ' ') AS tokens FROM documents",
     "h2_token_counts": rf"SELECT doc_id, CAST(ceil(1.3 * len(regexp_extract_all(text, '[{W}]+|[^{W}{S}]')) + 2) AS INTEGER) AS tokens FROM documents",
@@ -168,6 +172,17 @@ ORACLES = {
     "h17_contains_words": rf"""WITH q AS (SELECT item_id, text, array_to_string(string_split(text, ' ')[1:4], ' ') AS w FROM benchmark)
         SELECT item_id, regexp_matches(text, '(^|[^{W}])' || regexp_escape(w) || '($|[^{W}])') AS whole,
                regexp_matches(text, '(^|[^{W}])' || regexp_escape(left(w, length(w) - 1)) || '($|[^{W}])') AS cut FROM q""",
+    "p1_check_citations": f"""WITH b AS (SELECT item_id AS i, text, string_split(text, ' ') AS w FROM benchmark),
+        c AS (SELECT i, 0 AS pos, 1 AS source, array_to_string(w[2:6], ' ') AS quote FROM b UNION ALL SELECT i, 1, 1, array_to_string(w[2:6], ' ') FROM b
+            UNION ALL SELECT i + 1, 2, 1, array_to_string(w[1:6], ' ') FROM b WHERE i + 1 IN (SELECT item_id FROM benchmark) UNION ALL SELECT i, 3, 7, array_to_string(w[2:6], ' ') FROM b),
+        n AS (SELECT c.*, {NORMAL.format('quote')} AS q, CASE WHEN source = 1 THEN {NORMAL.format('b.text')} END AS t FROM c JOIN b USING (i)),
+        v AS (SELECT *, CASE WHEN t IS NULL THEN 'no such source' WHEN q = '' OR NOT regexp_matches(t, '(^|[^{W}])' || regexp_escape(q) || '($|[^{W}])') THEN 'quote not in source' END AS reason FROM n),
+        k AS (SELECT *, row_number() OVER (PARTITION BY i, source, q, reason IS NULL ORDER BY pos) AS nth FROM v)
+        SELECT i AS question_id, pos, reason IS NULL AS verified, reason FROM k WHERE reason IS NOT NULL OR nth = 1""",
+    "a20_offline_search": f"""WITH {t.QUESTIONS_SQL}, p AS (SELECT DISTINCT page_id, url AS link, unnest({TOKENS.format("regexp_replace(html, '<[^>]*>', ' ', 'g')")}) AS term FROM pages),
+        q AS (SELECT DISTINCT question_id AS query_id, unnest({TOKENS.format('question')}) AS term FROM questions),
+        h AS (SELECT query_id, page_id, link, count(*) AS score FROM p JOIN q USING (term) GROUP BY ALL)
+        SELECT query_id, page_id, link, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id) AS rank FROM h) WHERE rank <= 5""",
     "h20_relevance": "SELECT doc_id, (contains(text, 'the') AND contains(text, 'that')) OR (contains(text, 'und') AND contains(text, 'die') AND contains(text, 'der')) AS relevant FROM documents",
     "h21_checksums": "SELECT doc_id, sha256(text) AS checksum FROM documents",
     "h25_truncate": "SELECT doc_id, md5(CASE WHEN length(text) > 500 THEN substring(text, 1, 500) || chr(10) || '...[Content Truncated]' ELSE text END) AS content FROM documents",
