@@ -13,7 +13,7 @@ from ..operators import topk
 from ..operators.index import ChunkIndex
 from ..session import shared_folder
 from ..sources import tables as t
-from .texts import TOKENS
+from .texts import STRIPPED, TOKENS, S, W
 
 
 def _chunks(spark, d):
@@ -144,6 +144,16 @@ def l7_vector_health(spark, d):
     return v.select("chunk_id", F.round(vector.norm(F.col("v")), 4).alias("norm"), F.array_join(vector.problems(F.col("v"), 64), ",").alias("problems"))
 
 
+def l7_check_vectors(spark, d):
+    """Vectors of documents, every 9th twice as long and every 17th missing, against a second encoding of every 50th that moves every
+    100th."""
+    docs = _chunks(spark, d)
+    v = ops.hashed_vectors(docs, "chunk_id", "text")
+    stored = v.where("chunk_id % 17 <> 0").withColumn("vector", F.when(F.col("chunk_id") % 9 == 0, F.transform("vector", lambda x: x * 2)).otherwise(F.col("vector")))
+    again = stored.where("chunk_id % 50 = 0").withColumn("vector", F.when(F.col("chunk_id") % 100 == 0, F.transform("vector", lambda x: x + 0.5)).otherwise(F.col("vector")))
+    return ops.check_vectors(docs, stored, again, 512, 64)
+
+
 def a16_hashed_vectors(spark, d):
     v = ops.hashed_vectors(_chunks(spark, d), "chunk_id", "text").withColumnRenamed("vector", "v")
     return v.select("chunk_id", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.array_max("v"), 6).alias("largest"))
@@ -186,7 +196,7 @@ def b11_historical_flags(spark, d):
     return cache.store(e).select("event_id", F.coalesce("is_historical", F.lit(False)).alias("is_historical"))
 
 
-QUERIES = {f.__name__: f for f in (i3_unstable_vectors, g7_indexed_versions, d6_postings, d8_corpus_stats, l1_bm25, c10_similarities, l2_vector_search, l2_hybrid_search, l2_bm25_search, l3_session_search, l3_refreshed_index, l5_evaluation, l5_modes, l4_stale_vectors, l7_vector_health, a16_hashed_vectors, a17_tfidf, a19_nearest_documents, m1_raw_lookup, m2_scoped_lookup, b11_historical_flags)}
+QUERIES = {f.__name__: f for f in (i3_unstable_vectors, g7_indexed_versions, d6_postings, d8_corpus_stats, l1_bm25, c10_similarities, l2_vector_search, l2_hybrid_search, l2_bm25_search, l3_session_search, l3_refreshed_index, l5_evaluation, l5_modes, l4_stale_vectors, l7_vector_health, l7_check_vectors, a16_hashed_vectors, a17_tfidf, a19_nearest_documents, m1_raw_lookup, m2_scoped_lookup, b11_historical_flags)}
 
 DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
 TOK = f"tok AS (SELECT doc_id AS chunk_id, {TOKENS.format('text')} AS t FROM documents), post AS (SELECT chunk_id, len(t) AS length, term, count(*) AS tf FROM (SELECT chunk_id, t, unnest(t) AS term FROM tok) GROUP BY ALL)"
@@ -242,6 +252,13 @@ ORACLES = {
     "l4_stale_vectors": "SELECT doc_id AS chunk_id FROM documents WHERE doc_id % 4 = 0 OR doc_id % 5 = 0",
     "l7_vector_health": f"""WITH v AS (SELECT vec_id AS chunk_id, CASE WHEN vec_id % 9 = 0 THEN list_transform(embedding, lambda x: x * 2) ELSE embedding END AS v FROM embeddings)
         SELECT chunk_id, round(sqrt({DOT.format('v', 'v')}), 4) AS norm, CASE WHEN chunk_id % 9 = 0 THEN 'norm' ELSE '' END AS problems FROM v""",
+    "l7_check_vectors": rf"""WITH {TOK}, x AS (SELECT doc_id AS chunk_id, text, CAST(ceil(1.3 * len(regexp_extract_all(text, '[{W}]+|[^{W}{S}]'))) + 2 AS INTEGER) AS n FROM documents),
+        g AS (SELECT chunk_id, min(chunk_id) OVER w AS first, count(*) OVER w AS k FROM x WINDOW w AS (PARTITION BY {STRIPPED}))
+        SELECT chunk_id, 'oversized' AS problem, CAST(n AS VARCHAR) AS detail FROM x WHERE n > 512
+        UNION ALL SELECT chunk_id, 'missing', '' FROM x WHERE chunk_id % 17 = 0
+        UNION ALL SELECT chunk_id, 'norm', '' FROM tok WHERE chunk_id % 17 <> 0 AND (chunk_id % 9 = 0 OR len(t) = 0)
+        UNION ALL SELECT chunk_id, 'unstable', '' FROM x WHERE chunk_id % 17 <> 0 AND chunk_id % 100 = 0
+        UNION ALL SELECT chunk_id, 'duplicate text', CAST(first AS VARCHAR) FROM g WHERE k > 1""",
     "a16_hashed_vectors": f"WITH {TOK}, {_slots('dv', 'chunk_id', 'tok')} SELECT tok.chunk_id, round(coalesce(max(v) FILTER (slot = 0), 0), 6) AS first, round(coalesce(max(v), 0), 6) AS largest FROM tok LEFT JOIN dv USING (chunk_id) GROUP BY tok.chunk_id",
     "a17_tfidf": r"""WITH w AS (SELECT item_id AS chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM benchmark),
         x AS (SELECT chunk_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM w),
