@@ -5,7 +5,7 @@ import __spark_entry__ as entry
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-PICK = ["a1_latest_chunks", "b3_register", "d6_postings", "h2_token_counts", "h17_contains_words", "j9_furniture", "k4_text_coverage", "l1_bm25", "l2_hybrid_search", "m2_scoped_lookup", "n1_waves", "s1_debounce"]
+PICK = ["a1_latest_chunks", "b3_register", "d6_postings", "h2_token_counts", "h17_contains_words", "j9_furniture", "k4_text_coverage", "l1_bm25", "l2_hybrid_search", "l3_session_search", "m2_scoped_lookup", "a13_listing_changes", "a20_offline_search", "c4_session_scope", "e7_sections", "e11_pieces", "j2_document_types", "n1_plan_failures", "p1_check_citations", "n1_waves", "s1_debounce"]
 
 
 def test_every_oracle_has_a_query():
