@@ -136,6 +136,31 @@ def library_copy(uploads: DataFrame, registry: DataFrame) -> DataFrame:
     return found.withColumn("route", F.when(F.col("library_id").isNotNull(), "REUSED").otherwise("PROCESS"))
 
 
+def route_uploads(uploads: DataFrame, registry: DataFrame) -> DataFrame:
+    """What happens to files uploaded into sessions (S8): uploads (seq, filename, checksum, session_id) with ``route`` and
+    ``document_id``. A searchable library document with the same bytes is ``REUSED``. Else the file is registered in its
+    session: bytes that the session has under another name, or as an older version, are a ``DUPLICATE``; a version that is CHUNKED or
+    NEEDS_REVIEW already keeps its status; all else is to ``PROCESS`` (the document is null until it is registered)."""
+    rows = library_copy(uploads, registry)
+    reused = rows.where("library_id is not null").select("seq", F.lit("REUSED").alias("route"), F.col("library_id").alias("document_id"))
+    held = registry.where("session_id is not null")
+    # What sessions hold came before all uploads, in the order of versions.
+    before = held.select((F.col("version").cast("bigint") - (1 << 40)).alias("seq"), "filename", "checksum", "session_id")
+    arrivals = before.unionByName(rows.where("library_id is null").select(F.col("seq").cast("bigint"), "filename", "checksum", "session_id"))
+    outcomes = register(arrivals).where(F.col("seq") > -(1 << 39))
+    known = held.select("session_id", "filename", "version", "status", "document_id")
+    found = outcomes.join(known, ["session_id", "filename", "version"], "left")
+    handled = F.col("status").isin(*HANDLED)
+    route = F.when(F.col("outcome") == "duplicate_content", "DUPLICATE").when((F.col("outcome") == "already_registered") & handled, F.col("status")).otherwise("PROCESS")
+    new = found.select("seq", route.alias("route"), F.when(F.col("outcome") == "already_registered", F.col("document_id")).alias("document_id"))
+    return uploads.join(reused.unionByName(new), "seq")
+
+
+def session_links(routed: DataFrame, links: DataFrame) -> DataFrame:
+    """Links (session_id, document_id) with those that uploads add: of documents that are REUSED or CHUNKED."""
+    return insert_missing(links, routed.where("route in ('REUSED', 'CHUNKED')").select("session_id", "document_id"), ["session_id", "document_id"])
+
+
 def processed(documents: DataFrame) -> DataFrame:
     """documents (document_id, checksum, parse_error, pages_needing_review, chunk_error, checksum_after)
     with their final ``status`` and ``error`` (S11): a parse error fails a document, pages to review stop

@@ -84,6 +84,29 @@ def c18_library_copy(spark, d):
     return ops.library_copy(uploads, t.registry(spark, d)).select("upload_id", "library_id", "route")
 
 
+def _session_registry(spark, d):
+    """Library rows as they are, and every 20th document in a session's registry under the name of its source."""
+    from pyspark.sql import Window
+
+    reg = t.registry(spark, d)
+    own = reg.where("document_id % 20 = 0").withColumn("version", F.row_number().over(Window.partitionBy("session_id", "filename").orderBy("document_id")))
+    return reg.where("session_id is null").unionByName(own)
+
+
+def s8_upload_routes(spark, d):
+    """Every session document uploaded to its session, and every 7th library document to session s1."""
+    reg = t.registry(spark, d)
+    session = F.coalesce("session_id", F.lit("s1"))
+    uploads = reg.where("session_id is not null or document_id % 7 = 1").select(F.col("document_id").alias("seq"), "filename", "checksum", session.alias("session_id"))
+    return ops.route_uploads(uploads, _session_registry(spark, d)).select("seq", "session_id", "filename", "route", "document_id")
+
+
+def s8_session_links(spark, d):
+    """The links of all sessions after the uploads of ``s8_upload_routes``, by session."""
+    links = t.links(spark, d).where("document_id % 20 = 0 and document_id % 40 = 0")
+    return ops.session_links(s8_upload_routes(spark, d), links).groupBy("session_id").agg(F.count("*").alias("documents"), F.min("document_id").alias("first"), F.max("document_id").alias("last"))
+
+
 def c20_library_view(spark, d):
     counts = t.blocks(spark, d).groupBy("document_id").agg(F.count("*").alias("chunks"))
     kinds = t.registry(spark, d).where("document_id % 4 = 0").select("document_id", F.lit("digital").alias("document_type"))
@@ -172,8 +195,20 @@ def s11_process_documents(spark, d):
     return ops.processed(docs).select("document_id", "status", "error")
 
 
-QUERIES = {f.__name__: f for f in (a2_latest_versions, a3_document_versions, a3_latest_document, a1_latest_chunks, c4_session_scope, d1_searchable_library, b3_register, b4_current_status, b5_insert_missing, b6_delete_cascade, b7_removable_files, c3_session_list, c7_missing_files, c18_library_copy, c20_library_view, s3_needs_processing, s6_changed_files, s7_idle_sessions, b2_upsert_vectors, b10_archive_names, d5_session_keys, d11_duplicate_texts, f1_candidates, b8_end_session, c19_find_library, s9_add_to_library, s10_reprocess, s11_process_documents)}
-
+QUERIES = {f.__name__: f for f in (a2_latest_versions, a3_document_versions, a3_latest_document, a1_latest_chunks, c4_session_scope, d1_searchable_library, b3_register, b4_current_status, b5_insert_missing, b6_delete_cascade, b7_removable_files, c3_session_list, c7_missing_files, c18_library_copy, s8_upload_routes, s8_session_links, c20_library_view, s3_needs_processing, s6_changed_files, s7_idle_sessions, b2_upsert_vectors, b10_archive_names, d5_session_keys, d11_duplicate_texts, f1_candidates, b8_end_session, c19_find_library, s9_add_to_library, s10_reprocess, s11_process_documents)}
+
+ROUTES = f"""{LATEST},
+    up AS (SELECT document_id AS seq, filename, checksum, coalesce(session_id, 's1') AS session_id FROM registry WHERE session_id IS NOT NULL OR document_id % 7 = 1),
+    lib AS (SELECT checksum, min(document_id) AS library_id FROM latest WHERE status = 'CHUNKED' AND session_id IS NULL GROUP BY checksum),
+    held AS (SELECT *, row_number() OVER (PARTITION BY session_id, filename ORDER BY document_id) AS v FROM (SELECT * EXCLUDE (version) FROM registry WHERE document_id % 20 = 0)),
+    a AS (SELECT v - (1::BIGINT << 40) AS seq, filename, checksum, session_id FROM held UNION ALL SELECT seq, filename, checksum, session_id FROM up WHERE checksum NOT IN (SELECT checksum FROM lib)),
+    n AS (SELECT *, row_number() OVER (PARTITION BY checksum, session_id ORDER BY seq) = 1 AS is_new FROM a),
+    r AS (SELECT *, (SELECT arg_max(b.checksum, b.seq) FROM n b WHERE b.filename = n.filename AND b.session_id = n.session_id AND b.seq < n.seq AND b.is_new) AS cur,
+            sum(CASE WHEN is_new THEN 1 ELSE 0 END) OVER (PARTITION BY session_id, filename ORDER BY seq) AS v FROM n),
+    o AS (SELECT seq, filename, session_id, CASE WHEN is_new THEN 'registered' WHEN checksum = cur THEN 'already' ELSE 'duplicate' END AS outcome, v FROM r WHERE seq >= 0),
+    routed AS (SELECT o.seq, o.session_id, o.filename, CASE WHEN outcome = 'duplicate' THEN 'DUPLICATE' WHEN outcome = 'already' AND h.status IS NOT NULL THEN h.status ELSE 'PROCESS' END AS route,
+            CASE WHEN outcome = 'already' THEN h.document_id END AS document_id FROM o LEFT JOIN held h ON h.session_id = o.session_id AND h.filename = o.filename AND h.v = o.v
+        UNION ALL SELECT seq, session_id, filename, 'REUSED', library_id FROM up JOIN lib USING (checksum))"""
 ORACLES = {
     "a2_latest_versions": f"{LATEST} SELECT document_id, filename, version, status FROM latest",
     "a3_document_versions": f"WITH {R} SELECT document_id, version FROM registry WHERE filename = 'src3' ORDER BY version",
@@ -204,6 +239,9 @@ ORACLES = {
         SELECT r.document_id AS upload_id, library_id, CASE WHEN library_id IS NULL THEN 'PROCESS' ELSE 'REUSED' END AS route FROM registry r LEFT JOIN lib USING (checksum) WHERE r.session_id IS NOT NULL""",
     "c20_library_view": f"""{LATEST}, {t.BLOCKS_SQL}, n AS (SELECT document_id, count(*) AS chunks FROM blocks GROUP BY document_id)
         SELECT filename, l.document_id, version, status, coalesce(chunks, 0) AS chunks, CASE WHEN l.document_id % 4 = 0 THEN 'digital' ELSE '' END AS document_type FROM latest l LEFT JOIN n USING (document_id) WHERE session_id IS NULL""",
+    "s8_upload_routes": f"{ROUTES} SELECT seq, session_id, filename, route, document_id FROM routed",
+    "s8_session_links": f"""{ROUTES}, k AS (SELECT session_id, document_id FROM registry WHERE document_id % 40 = 0 UNION SELECT session_id, document_id FROM routed WHERE route IN ('REUSED', 'CHUNKED'))
+        SELECT session_id, count(*) AS documents, min(document_id) AS first, max(document_id) AS last FROM k GROUP BY session_id""",
     "s3_needs_processing": f"{LATEST} SELECT document_id, filename, 'FAILED' AS status FROM latest WHERE document_id % 5 = 0",
     "s6_changed_files": "SELECT doc_id AS document_id FROM documents WHERE doc_id % 11 = 0",
     "s7_idle_sessions": "SELECT user_id AS session_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_active_at FROM events GROUP BY user_id HAVING max(ts) < TIMESTAMP '2024-02-01' - INTERVAL 24 HOUR",
