@@ -11,7 +11,7 @@ from ..operators import retrieval as ops
 from ..operators import semantic_cache as cache
 from ..operators import topk
 from ..operators.index import ChunkIndex
-from ..session import shared_folder
+from ..session import shared_folder, stored
 from ..sources import tables as t
 from .texts import STRIPPED, TOKENS, S, W
 
@@ -73,7 +73,7 @@ def _index(spark, d, name="documents"):
 def _searcher(spark, d, scope=None):
     index, chunks, asked = _index(spark, d), _chunks(spark, d), t.questions(spark, d)
     index.refresh(chunks)
-    vectors = ops.hashed_vectors(chunks, "chunk_id", "text")
+    vectors = stored(ops.hashed_vectors(chunks, "chunk_id", "text"), "vectors")  # made once, as a vector store would have them
     return topk.Searcher(index, vectors, asked.join(ops.hashed_vectors(asked, "question_id", "question"), "question_id"), scope)
 
 
@@ -148,10 +148,10 @@ def l7_check_vectors(spark, d):
     """Vectors of documents, every 9th twice as long and every 17th missing, against a second encoding of every 50th that moves every
     100th."""
     docs = _chunks(spark, d)
-    v = ops.hashed_vectors(docs, "chunk_id", "text")
-    stored = v.where("chunk_id % 17 <> 0").withColumn("vector", F.when(F.col("chunk_id") % 9 == 0, F.transform("vector", lambda x: x * 2)).otherwise(F.col("vector")))
-    again = stored.where("chunk_id % 50 = 0").withColumn("vector", F.when(F.col("chunk_id") % 100 == 0, F.transform("vector", lambda x: x + 0.5)).otherwise(F.col("vector")))
-    return ops.check_vectors(docs, stored, again, 512, 64)
+    v = stored(ops.hashed_vectors(docs, "chunk_id", "text"), "vectors")
+    held = v.where("chunk_id % 17 <> 0").withColumn("vector", F.when(F.col("chunk_id") % 9 == 0, F.transform("vector", lambda x: x * 2)).otherwise(F.col("vector")))
+    again = held.where("chunk_id % 50 = 0").withColumn("vector", F.when(F.col("chunk_id") % 100 == 0, F.transform("vector", lambda x: x + 0.5)).otherwise(F.col("vector")))
+    return ops.check_vectors(docs, held, again, 512, 64)
 
 
 def a16_hashed_vectors(spark, d):
@@ -176,7 +176,7 @@ def _cache(spark, d):
 def a19_nearest_documents(spark, d):
     """The three nearest documents at 0.9 or above of every document whose id is divisible by 50, itself included."""
     chunks = _chunks(spark, d)
-    v = ops.hashed_vectors(chunks, "chunk_id", "text").select(F.col("chunk_id").alias("cache_id"), "vector", F.lit(None).cast("string").alias("timeframe"))
+    v = stored(ops.hashed_vectors(chunks, "chunk_id", "text"), "vectors").select(F.col("chunk_id").alias("cache_id"), "vector", F.lit(None).cast("string").alias("timeframe"))
     asked = v.where("cache_id % 50 = 0").select(F.col("cache_id").alias("query_id"), "vector")
     return cache.candidates(v, asked, False).select("query_id", "cache_id", "score", "rank")
 
