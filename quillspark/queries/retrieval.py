@@ -11,13 +11,13 @@ from ..operators import retrieval as ops
 from ..operators import semantic_cache as cache
 from ..operators import topk
 from ..operators.index import ChunkIndex
-from ..session import shared_folder, stored
+from ..session import shared_folder, spread, stored
 from ..sources import tables as t
 from .texts import STRIPPED, TOKENS, S, W
 
 
 def _chunks(spark, d):
-    return t.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return spread(t.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
 
 
 def _vectors(spark, d):

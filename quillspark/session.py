@@ -57,6 +57,13 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files make fewer partitions than there are, as one small file does; a table
+    that has enough of them isn't shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def arrow_types(schema: str):
     """The Arrow schema of a Spark schema string, for functions that make batches."""
     return to_arrow_schema(StructType.fromDDL(schema))
