@@ -118,15 +118,24 @@ def mean_confidence(segments: DataFrame, key: list[str]) -> DataFrame:
 
 
 def merge_ocr(blocks: DataFrame, ocr: DataFrame) -> DataFrame:
-    """OCR blocks numbered after a page's own ones; none of them is a partial overlap."""
+    """OCR blocks numbered after a page's own ones, from 0 where it has none; none of them is a partial overlap."""
     key = ["document_id", "page_number"]
     last = blocks.groupBy(*key).agg(F.max("block_number").alias("last"))
     nth = F.row_number().over(Window.partitionBy(*key).orderBy("block_number"))
-    more = ocr.join(last, key, "left").withColumn("block_number", (F.coalesce("last", F.lit(0)) + nth).cast("int")).drop("last")
+    more = ocr.join(last, key, "left").withColumn("block_number", (F.coalesce("last", F.lit(-1)) + nth).cast("int")).drop("last")
     more = more.withColumn("classification", F.when(F.col("classification") == "PARTIAL_OVERLAP", "OUTSIDE_TABLE").otherwise(F.col("classification")))
     return blocks.withColumn("source", F.lit("text_layer")).unionByName(more.withColumn("source", F.lit("ocr")), allowMissingColumns=True)
 
 
+def merge_ocr_tables(tables: DataFrame, ocr: DataFrame) -> DataFrame:
+    """Tables of OCR numbered after a page's own ones, in their order."""
+    key = ["document_id", "page_number"]
+    own = tables.groupBy(*key).agg(F.count("*").alias("own"))
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("table_number"))
+    more = ocr.join(own, key, "left").withColumn("table_number", (F.coalesce("own", F.lit(0)) + nth).cast("int")).drop("own")
+    return tables.withColumn("source", F.lit("text_layer")).unionByName(more.withColumn("source", F.lit("ocr")), allowMissingColumns=True)
+
+
 def page_text(blocks: DataFrame, kinds: DataFrame) -> DataFrame:
     """(page key, text, method, character_count) in reading order (J6, F6). The kind of the page decides:
     scans join their OCR blocks by an empty line; a mixed page adds its OCR blocks, if any, behind its
@@ -149,6 +158,38 @@ def page_text(blocks: DataFrame, kinds: DataFrame) -> DataFrame:
     return rows.select(*key, out.alias("text"), method.alias("method"), F.length(out).alias("character_count"))
 
 
+# The warnings of reading a page.
+NO_ROWS, EMPTY_ROW = "table_%d_has_no_extracted_rows", "table_%d_has_empty_row"
+TABLES_FAILED, OCR_DISABLED = "table_extraction_failed: %s", "ocr_disabled: page needs OCR (set DOCINTEL_OCR_ENGINE)"
+OCR_FAILED, OCR_EMPTY, OCR_UNSURE, LEAST_PAGE_CONFIDENCE = "ocr_failed (%s): %s", "ocr_found_no_text", "low_ocr_confidence: %s", 0.5
+
+
+def table_warnings(tables: DataFrame) -> DataFrame:
+    """(document_id, page_number, warnings) of tables (table_number, rows) without rows or with a row of blank cells."""
+    blank = F.exists("rows", lambda r: F.forall(r, lambda c: text.strip(F.coalesce(c, F.lit(""))) == ""))
+    found = F.when(F.coalesce(F.size("rows"), F.lit(0)) == 0, F.format_string(NO_ROWS, "table_number")).when(blank, F.format_string(EMPTY_ROW, "table_number"))
+    rows = tables.select("document_id", "page_number", "table_number", found.alias("w")).where("w is not null")
+    return rows.groupBy("document_id", "page_number").agg(F.transform(F.array_sort(F.collect_list(F.struct("table_number", "w"))), lambda x: x["w"]).alias("warnings"))
+
+
+def reading_warnings(pages: DataFrame, tables: DataFrame) -> DataFrame:
+    """(document_id, page_number, warnings) of all pages, in the order in which reading them finds out (J7): a failed search for
+    tables, tables, then OCR where the page needs it: disabled, failed, or for scans without text or unsure. pages:
+    document_id, page_number, page_type, table_error, ocr_engine (null: none), ocr_error, ocr_items, ocr_confidence."""
+    c, scan = F.col, F.col("page_type") == "scanned"
+    ocr = (
+        F.when(~c("page_type").isin("scanned", "mixed"), F.lit(None))
+        .when(c("ocr_engine").isNull(), OCR_DISABLED)
+        .when(c("ocr_error").isNotNull(), F.format_string(OCR_FAILED, "ocr_engine", "ocr_error"))
+        .when(scan & (c("ocr_items") == 0), OCR_EMPTY)
+        .when(scan & (c("ocr_confidence") < LEAST_PAGE_CONFIDENCE), F.format_string(OCR_UNSURE, F.format_number("ocr_confidence", 2)))
+    )
+    rows = pages.join(table_warnings(tables).withColumnRenamed("warnings", "of_tables"), ["document_id", "page_number"], "left")
+    failed = F.when(c("table_error").isNotNull() & c("page_type").isin("text", "mixed"), F.format_string(TABLES_FAILED, "table_error"))
+    parts = F.concat(F.array(failed), F.coalesce("of_tables", F.array().cast("array<string>")), F.array(ocr.cast("string")))
+    return rows.select("document_id", "page_number", F.array_compact(parts).alias("warnings"))
+
+
 def page_warnings(pages: DataFrame) -> DataFrame:
     """pages (document_id, page_number, page_type, character_count, ocr_confidence, ocr_failed,
     empty_tables) with ``warnings`` (J7). The first page says so where no page of a document has text."""

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The states of handled documents, and the error of a file that changed meanwhile.
 HANDLED = ("CHUNKED", "NEEDS_REVIEW")
 CHANGED = "File changed during processing; chunks were not saved. Rescan the file."
 

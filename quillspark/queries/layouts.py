@@ -76,6 +76,13 @@ def j5_merge_ocr(spark, d):
     return out.groupBy("document_id", "page_number", "source").agg(F.max("block_number").alias("last"), F.count("*").alias("n"), F.count_if(F.col("classification") == "PARTIAL_OVERLAP").alias("partial"))
 
 
+def j5_merge_tables(spark, d):
+    """Two tables found by OCR on each page of every sixth document."""
+    pages = t.blocks(spark, d).where("document_id % 6 = 0").select("document_id", "page_number").distinct()
+    found = pages.withColumn("table_number", F.explode(F.array(F.lit(4), F.lit(9))))
+    return layout.merge_ocr_tables(_tables(spark, d).select("document_id", "page_number", "table_number"), found)
+
+
 def j6_page_text(spark, d):
     """Even blocks from OCR; the kind of a page follows from its document."""
     n = F.col("document_id") % 4
@@ -85,6 +92,19 @@ def j6_page_text(spark, d):
     return out.select("document_id", "page_number", F.md5("text").alias("text"), "method", "character_count")
 
 
+def j7_reading_warnings(spark, d):
+    """Events as pages, of which some have tables, failures, or no engine for OCR."""
+    n = F.col("event_id")
+    e = t.table(spark, d, "events").withColumn("document_id", F.col("user_id")).withColumn("page_number", n.cast("int"))
+    kind = F.when(n % 3 == 0, "scanned").when(n % 3 == 1, "mixed").otherwise("text")
+    pages = e.select("document_id", "page_number", kind.alias("page_type"), F.when(n % 31 == 0, F.concat(F.lit("no lines at "), n.cast("string"))).alias("table_error"), F.when(n % 7 > 0, "engine").alias("ocr_engine"), F.when(n % 11 == 0, "no model").alias("ocr_error"), (n % 4).alias("ocr_items"), F.when(n % 5 > 0, n % 5 / 8).alias("ocr_confidence"))
+    cells = lambda *rows: F.array(*(F.array(*(F.lit(x).cast("string") for x in r)) for r in rows))
+    found = F.when(n % 10 == 0, F.array().cast("array<array<string>>")).when(n % 15 == 0, cells(["a", None], [" ", None])).otherwise(cells(["x", None]))
+    tables = e.where(n % 5 == 0).select("document_id", "page_number", F.explode(F.array(F.lit(1), F.lit(2))).alias("table_number"), found.alias("rows"))
+    out = layout.reading_warnings(pages, tables)
+    return out.select("document_id", "page_number", F.array_join("warnings", "; ").alias("warnings"))
+
+
 def j8_review_gate(spark, d):
     e = t.table(spark, d, "events")
     pages = e.select(F.col("user_id").alias("document_id"), F.col("event_id").cast("int").alias("page_number"), F.when(F.col("event_id") % 4 == 0, "scanned").otherwise("text").alias("page_type"), (F.col("event_id") % 500).cast("int").alias("character_count"), F.when(F.col("event_id") % 8 == 0, F.col("event_id") % 10 / 10.0).alias("ocr_confidence"), (F.col("event_id") % 97 == 0).alias("ocr_failed"), F.when(F.col("event_id") % 53 == 0, 1).otherwise(0).alias("empty_tables"))
@@ -173,7 +193,7 @@ def d21_table_extents(spark, d):
     return layout.table_extents(_part_tables(spark, d)).select("table_id", "row_count", "column_count")
 
 
-QUERIES = {f.__name__: f for f in (j1_page_kinds, j2_document_types, d15_quality, j3_classify_blocks, j9_furniture, k6_titles, k6_notes, d12_confidence, j5_merge_ocr, j6_page_text, j8_review_gate, a9_ocr_points, e11_pieces, j10_ocr_layout, k1_text_chunks, k4_text_coverage, k2_table_chunks, k5_table_coverage, e7_sections, d13_plain_confidence, d21_table_extents)}
+QUERIES = {f.__name__: f for f in (j1_page_kinds, j2_document_types, d15_quality, j3_classify_blocks, j9_furniture, k6_titles, k6_notes, d12_confidence, j5_merge_ocr, j5_merge_tables, j6_page_text, j7_reading_warnings, j8_review_gate, a9_ocr_points, e11_pieces, j10_ocr_layout, k1_text_chunks, k4_text_coverage, k2_table_chunks, k5_table_coverage, e7_sections, d13_plain_confidence, d21_table_extents)}
 
 TABLES = "tabs AS (SELECT document_id, page_number, 40.0::DOUBLE AS tx0, min(y0 - 1) AS ty0, 560.0::DOUBLE AS tx1, max(y1) AS ty1 FROM blocks WHERE document_id % 4 = 0 AND (block_number - 1) % 20 BETWEEN 3 AND 5 GROUP BY document_id, page_number)"
 CLASSED = f"""{t.BLOCKS_SQL}, {TABLES}, classed AS (SELECT b.*, CASE WHEN tx0 IS NULL THEN 'OUTSIDE_TABLE' WHEN x0 >= tx0 AND y0 >= ty0 AND x1 <= tx1 AND y1 <= ty1 THEN 'INSIDE_TABLE'
@@ -208,11 +228,20 @@ ORACLES = {
     "d12_confidence": f"WITH {t.BLOCKS_SQL} SELECT document_id, round(round(sum(block_number % 7 / 10 * greatest(1, length(text))) / sum(greatest(1, length(text))), 4), 3) AS confidence FROM blocks GROUP BY document_id",
     "j5_merge_ocr": f"""WITH {CLASSED} SELECT document_id, page_number, 'text_layer' AS source, max(block_number) AS last, count(*) AS n, count(*) FILTER (classification = 'PARTIAL_OVERLAP') AS partial FROM classed GROUP BY ALL
         UNION ALL SELECT document_id, page_number, 'ocr', max(block_number) + CAST(count(*) AS INTEGER), count(*), 0 FROM classed WHERE document_id % 3 = 0 GROUP BY ALL""",
+    "j5_merge_tables": f"""WITH {t.BLOCKS_SQL}, {TABLES}, p AS (SELECT DISTINCT document_id, page_number FROM blocks WHERE document_id % 6 = 0)
+        SELECT document_id, page_number, 1 AS table_number, 'text_layer' AS source FROM tabs
+        UNION ALL SELECT document_id, page_number, CAST(CASE WHEN tx0 IS NULL THEN 0 ELSE 1 END + k AS INTEGER), 'ocr' FROM p LEFT JOIN tabs USING (document_id, page_number), (VALUES (1), (2)) n(k)""",
     "j6_page_text": f"""WITH {t.BLOCKS_SQL}, b AS (SELECT *, {STRIPPED} AS s, document_id % 4 = 0 OR (document_id % 4 = 1 AND block_number % 2 = 0) AS ocr FROM blocks),
         j AS (SELECT document_id, page_number, string_agg(s, chr(10) || chr(10) ORDER BY y0, x0, block_number) FILTER (ocr) AS o, string_agg(text, chr(10) ORDER BY y0, x0, block_number) FILTER (NOT ocr) AS l FROM b GROUP BY ALL),
         k AS (SELECT document_id, page_number, o, {STRIPPED.replace("text", "coalesce(l, '')")} AS l, {STRIPPED.replace("text", "o")} AS os FROM j),
         x AS (SELECT *, coalesce(CASE document_id % 4 WHEN 0 THEN os WHEN 1 THEN l || coalesce(chr(10) || chr(10) || o, '') ELSE l END, '') AS x FROM k)
         SELECT document_id, page_number, md5(x) AS text, CASE document_id % 4 WHEN 0 THEN 'ocr' WHEN 1 THEN 'embedded_text+ocr' ELSE 'embedded_text' END AS method, CAST(length(x) AS INTEGER) AS character_count FROM x""",
+    "j7_reading_warnings": """WITH e AS (SELECT user_id AS document_id, event_id AS n, CASE event_id % 3 WHEN 0 THEN 'scanned' WHEN 1 THEN 'mixed' ELSE 'text' END AS kind FROM events),
+        w AS (SELECT *, CASE WHEN n % 31 = 0 AND kind <> 'scanned' THEN 'table_extraction_failed: no lines at ' || n END AS a,
+                CASE WHEN n % 10 = 0 THEN 'table_1_has_no_extracted_rows; table_2_has_no_extracted_rows' WHEN n % 15 = 0 THEN 'table_1_has_empty_row; table_2_has_empty_row' END AS b,
+                CASE WHEN kind = 'text' THEN NULL WHEN n % 7 = 0 THEN 'ocr_disabled: page needs OCR (set DOCINTEL_OCR_ENGINE)' WHEN n % 11 = 0 THEN 'ocr_failed (engine): no model'
+                     WHEN kind = 'scanned' AND n % 4 = 0 THEN 'ocr_found_no_text' WHEN kind = 'scanned' AND n % 5 > 0 AND n % 5 / 8 < 0.5 THEN 'low_ocr_confidence: ' || printf('%.2f', n % 5 / 8) END AS c FROM e)
+        SELECT document_id, CAST(n AS INTEGER) AS page_number, concat_ws('; ', a, b, c) AS warnings FROM w""",
     "j8_review_gate": """WITH w AS (SELECT user_id, event_id % 53 = 0 OR event_id % 97 = 0 OR (event_id % 4 = 0 AND event_id % 8 <> 0) OR (event_id % 8 = 0 AND event_id % 10 / 10 < 0.5) OR (event_id % 4 <> 0 AND event_id % 500 < 20)
               OR (max(event_id % 500) OVER (PARTITION BY user_id) = 0 AND event_id = min(event_id) OVER (PARTITION BY user_id)) AS bad FROM events)
         SELECT user_id AS document_id, CASE WHEN bool_or(bad) THEN 'NEEDS_REVIEW' ELSE 'PROCESSING' END AS status, CAST(count(*) FILTER (bad) AS INTEGER) AS pages FROM w GROUP BY user_id""",

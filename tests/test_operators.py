@@ -103,3 +103,12 @@ def test_waves_keep_one_row_for_each_task(spark):
     got = {(r["plan_id"], r["task_id"]): (r["wave"], r["is_parallelizable"]) for r in planning.waves(tasks).collect()}
     want = {("p", f"{i}{x}"): (i, i == 0) for i in range(21) for x in "ab"}
     assert got == want | {("p", "loop"): (None, False), ("p", "behind"): (None, False), ("q", "x"): (0, False)}
+
+
+def test_ocr_numbers_follow_a_pages_own(spark):
+    own = spark.createDataFrame([("d", 1, 0, "OUTSIDE_TABLE"), ("d", 1, 3, "OUTSIDE_TABLE")], "document_id string, page_number int, block_number int, classification string")
+    ocr = spark.createDataFrame([("d", 1, 0, "PARTIAL_OVERLAP"), ("d", 2, 5, "OUTSIDE_TABLE"), ("d", 2, 7, "INSIDE_TABLE")], own.schema)
+    got = sorted((r["page_number"], r["block_number"], r["classification"]) for r in layout.merge_ocr(own, ocr).where("source = 'ocr'").collect())
+    assert got == [(1, 4, "OUTSIDE_TABLE"), (2, 0, "OUTSIDE_TABLE"), (2, 1, "INSIDE_TABLE")]
+    kinds = spark.createDataFrame([("a", "text"), ("a", "blank"), ("b", "blank"), ("c", "scanned"), ("c", "blank"), ("e", "mixed"), ("f", "text"), ("f", "scanned")], "document_id string, page_type string")
+    assert dict(map(tuple, layout.document_type(kinds).collect())) == {"a": "digital", "b": "digital", "c": "scanned", "e": "mixed", "f": "mixed"}
