@@ -85,6 +85,25 @@ def vector_top(questions: DataFrame, vectors: DataFrame) -> DataFrame:
     return hits.where("vector_rank <= depth").drop("depth")
 
 
+def similarities(questions: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(question_id, chunk_id, similarity) of all pairs (C10), to 6 decimals: a stated query set against all rows, in blocks."""
+    spark = questions.sparkSession
+    ship(spark)
+    schema = f"question_id {dict(questions.dtypes)['question_id']}, chunk_id {dict(vectors.dtypes)['chunk_id']}, similarity double"
+    types = arrow_types(schema)
+    parts = [spark.createDataFrame([], schema)]
+    for rows in _question_blocks(questions.select("question_id", "vector"), -(-questions.count() // BLOCK_QUESTIONS)):
+        ids, matrix = pa.array([r["question_id"] for r in rows], types.field(0).type), np.array([r["vector"] for r in rows], float)
+
+        def run(batches, ids=ids, matrix=matrix):
+            for names, scores, _ in _products(batches, matrix):
+                q, k = np.divmod(np.arange(scores.size), scores.shape[1])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), names.take(pa.array(k)), pa.array(scores.ravel())], schema=types)
+
+        parts.append(vectors.select("chunk_id", "vector").mapInArrow(run, schema))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def vector_ranks(candidates: DataFrame, questions: DataFrame, vectors: DataFrame) -> DataFrame:
     """candidates (question_id, chunk_id, similarity) with ``vector_rank`` among all vectors, by counting."""
     ship(questions.sparkSession)

@@ -56,7 +56,7 @@ def l1_bm25(spark, d):
 
 
 def c10_similarities(spark, d):
-    s = ops.similarities(_probes(spark, d), _vectors(spark, d))
+    s = topk.similarities(_probes(spark, d), _vectors(spark, d))
     return s.select("question_id", "chunk_id", F.round("similarity", 6).alias("similarity"))
 
 
@@ -102,13 +102,6 @@ def l3_refreshed_index(spark, d):
     return index.view(asked).top(asked.select("question_id", F.lit(10).alias("depth")))
 
 
-def _metrics(first, questions, k=3):
-    """hit@1, hit@k and MRR of (question_id, first)."""
-    hit = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
-    mrr = F.round(F.sum(F.coalesce(1 / F.col("first"), F.lit(0.0))) / F.count("*"), 6)
-    return questions.join(first, "question_id", "left").agg(hit(F.col("first") == 1).alias("hit_1"), hit(F.col("first") <= k).alias("hit_k"), mrr.alias("mrr"), F.count("*").alias("questions"))
-
-
 def first_of_label(spark, d):
     """(question_id, chunk_id, similarity, vector_rank): the nearest row of each probe's label but itself, with its
     rank among all rows."""
@@ -120,7 +113,7 @@ def first_of_label(spark, d):
 def l5_evaluation(spark, d):
     """Vector ranking of all rows for each probe; rows with the probe's label are relevant."""
     first = first_of_label(spark, d).select("question_id", F.col("vector_rank").alias("first"))
-    return _metrics(first, _probes(spark, d).select("question_id"))
+    return ops.hit_metrics(first, _probes(spark, d))
 
 
 def l5_modes(spark, d):
