@@ -96,6 +96,12 @@ def segments(blocks: DataFrame) -> DataFrame:
     return rows.where((F.col("classification") == "OUTSIDE_TABLE") & ~blank)
 
 
+def oversized_counts(chunks: DataFrame, limit: int) -> DataFrame:
+    """(document_id, chunks, oversized): how many chunks a document has, and of how many the tokens exceed the limit."""
+    tokens = t.approximate_tokens(F.coalesce("text", F.lit("")))
+    return chunks.groupBy("document_id").agg(F.count("*").alias("chunks"), F.count_if(tokens > limit).alias("oversized"))
+
+
 def block_problems(blocks: DataFrame) -> DataFrame:
     """(document_id, version, page_number, block_number, problem): blocks of which it isn't known whether they belong to a table."""
     problem = F.when(F.col("classification") == "PARTIAL_OVERLAP", "partial overlap").otherwise("unknown classification")

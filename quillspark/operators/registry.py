@@ -6,6 +6,8 @@ version, status, session_id (null: the shared library).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,6 +121,15 @@ def find_library_documents(paths: DataFrame, registry: DataFrame) -> DataFrame:
     return paths.join(newest.select("document_id", "version", place.alias("folder"), name.alias("name")), ["folder", "name"], "left")
 
 
+def existing(asked: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
+    """asked with ``found``: whether any row has the same key, nulls being equal (F7). Keys are made distinct before
+    they are joined, so many rows of one key cost no more than one."""
+    known = rows.select(*(F.col(k).alias(f"known_{i}") for i, k in enumerate(key))).distinct()
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"known_{i}")) for i, k in enumerate(key)))
+    out = asked.join(known.withColumn("known", F.lit(True)), same, "left")
+    return out.select(*asked.columns, F.coalesce("known", F.lit(False)).alias("found"))
+
+
 def session_list(sessions: DataFrame, session_links: DataFrame) -> DataFrame:
     """Sessions with their number of documents, most recently active first."""
     found = sessions.join(session_links, "session_id", "left")

@@ -183,6 +183,11 @@ def e7_sections(spark, d):
     return chunking.segments(b).select("document_id", "block_number", "section", "segment", "place")
 
 
+def d22_oversized(spark, d):
+    """Lines as chunks of at most 40 tokens."""
+    return chunking.oversized_counts(t.blocks(spark, d), 40)
+
+
 def d13_plain_confidence(spark, d):
     b = t.blocks(spark, d).select("document_id", F.when(F.col("block_number") % 5 > 0, F.col("block_number") % 7 / 8).alias("confidence"))
     tables = _tables(spark, d).select("document_id", F.lit(0.5).alias("confidence"))
@@ -193,7 +198,7 @@ def d21_table_extents(spark, d):
     return layout.table_extents(_part_tables(spark, d)).select("table_id", "row_count", "column_count")
 
 
-QUERIES = {f.__name__: f for f in (j1_page_kinds, j2_document_types, d15_quality, j3_classify_blocks, j9_furniture, k6_titles, k6_notes, d12_confidence, j5_merge_ocr, j5_merge_tables, j6_page_text, j7_reading_warnings, j8_review_gate, a9_ocr_points, e11_pieces, j10_ocr_layout, k1_text_chunks, k4_text_coverage, k2_table_chunks, k5_table_coverage, e7_sections, d13_plain_confidence, d21_table_extents)}
+QUERIES = {f.__name__: f for f in (j1_page_kinds, j2_document_types, d15_quality, j3_classify_blocks, j9_furniture, k6_titles, k6_notes, d12_confidence, j5_merge_ocr, j5_merge_tables, j6_page_text, j7_reading_warnings, j8_review_gate, a9_ocr_points, e11_pieces, j10_ocr_layout, k1_text_chunks, k4_text_coverage, k2_table_chunks, k5_table_coverage, e7_sections, d13_plain_confidence, d22_oversized, d21_table_extents)}
 
 TABLES = "tabs AS (SELECT document_id, page_number, 40.0::DOUBLE AS tx0, min(y0 - 1) AS ty0, 560.0::DOUBLE AS tx1, max(y1) AS ty1 FROM blocks WHERE document_id % 4 = 0 AND (block_number - 1) % 20 BETWEEN 3 AND 5 GROUP BY document_id, page_number)"
 CLASSED = f"""{t.BLOCKS_SQL}, {TABLES}, classed AS (SELECT b.*, CASE WHEN tx0 IS NULL THEN 'OUTSIDE_TABLE' WHEN x0 >= tx0 AND y0 >= ty0 AND x1 <= tx1 AND y1 <= ty1 THEN 'INSIDE_TABLE'
@@ -261,6 +266,7 @@ ORACLES = {
                 CAST(sum(CASE WHEN head OR kind = 'IN' OR last IS DISTINCT FROM page_number THEN 1 ELSE 0 END) OVER w AS BIGINT) AS segment
             FROM k WINDOW w AS (PARTITION BY document_id ORDER BY block_number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
         SELECT document_id, block_number, section, segment, place FROM r WHERE kind = 'OUT' AND solid""",
+    "d22_oversized": rf"WITH {t.BLOCKS_SQL} SELECT document_id, count(*) AS chunks, count(*) FILTER (ceil(1.3 * len(regexp_extract_all(text, '[{W}]+|[^{W}{S}]'))) + 2 > 40) AS oversized FROM blocks GROUP BY document_id",
     "d13_plain_confidence": f"""WITH {CLASSED}, c AS (SELECT document_id, CASE WHEN block_number % 5 > 0 THEN block_number % 7 / 8 END AS c FROM blocks UNION ALL SELECT document_id, 0.5 FROM tabs)
         SELECT document_id, round(round(avg(c), 4), 3) AS confidence FROM c GROUP BY document_id""",
     "d21_table_extents": "SELECT 'doc:v1:p1:' || p_brand AS table_id, CAST(count(*) + 1 AS INTEGER) AS row_count, 3 AS column_count FROM part GROUP BY p_brand",

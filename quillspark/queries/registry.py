@@ -107,6 +107,16 @@ def s8_session_links(spark, d):
     return ops.session_links(s8_upload_routes(spark, d), links).groupBy("session_id").agg(F.count("*").alias("documents"), F.min("document_id").alias("first"), F.max("document_id").alias("last"))
 
 
+def f7_known_contents(spark, d):
+    """For each document, whether its session, or the library, has a document with the bytes of the one before it."""
+    from pyspark.sql import Window
+
+    reg = t.registry(spark, d)
+    before = F.lag("checksum").over(Window.partitionBy("filename").orderBy("document_id"))
+    asked = reg.select("document_id", "session_id", before.alias("checksum"))
+    return ops.existing(asked, reg, ["checksum", "session_id"]).select("document_id", "found")
+
+
 def c20_library_view(spark, d):
     counts = t.blocks(spark, d).groupBy("document_id").agg(F.count("*").alias("chunks"))
     kinds = t.registry(spark, d).where("document_id % 4 = 0").select("document_id", F.lit("digital").alias("document_type"))
@@ -195,7 +205,7 @@ def s11_process_documents(spark, d):
     return ops.processed(docs).select("document_id", "status", "error")
 
 
-QUERIES = {f.__name__: f for f in (a2_latest_versions, a3_document_versions, a3_latest_document, a1_latest_chunks, c4_session_scope, d1_searchable_library, b3_register, b4_current_status, b5_insert_missing, b6_delete_cascade, b7_removable_files, c3_session_list, c7_missing_files, c18_library_copy, s8_upload_routes, s8_session_links, c20_library_view, s3_needs_processing, s6_changed_files, s7_idle_sessions, b2_upsert_vectors, b10_archive_names, d5_session_keys, d11_duplicate_texts, f1_candidates, b8_end_session, c19_find_library, s9_add_to_library, s10_reprocess, s11_process_documents)}
+QUERIES = {f.__name__: f for f in (a2_latest_versions, a3_document_versions, a3_latest_document, a1_latest_chunks, c4_session_scope, d1_searchable_library, b3_register, b4_current_status, b5_insert_missing, b6_delete_cascade, b7_removable_files, c3_session_list, c7_missing_files, c18_library_copy, s8_upload_routes, s8_session_links, f7_known_contents, c20_library_view, s3_needs_processing, s6_changed_files, s7_idle_sessions, b2_upsert_vectors, b10_archive_names, d5_session_keys, d11_duplicate_texts, f1_candidates, b8_end_session, c19_find_library, s9_add_to_library, s10_reprocess, s11_process_documents)}
 
 ROUTES = f"""{LATEST},
     up AS (SELECT document_id AS seq, filename, checksum, coalesce(session_id, 's1') AS session_id FROM registry WHERE session_id IS NOT NULL OR document_id % 7 = 1),
@@ -239,6 +249,8 @@ ORACLES = {
         SELECT r.document_id AS upload_id, library_id, CASE WHEN library_id IS NULL THEN 'PROCESS' ELSE 'REUSED' END AS route FROM registry r LEFT JOIN lib USING (checksum) WHERE r.session_id IS NOT NULL""",
     "c20_library_view": f"""{LATEST}, {t.BLOCKS_SQL}, n AS (SELECT document_id, count(*) AS chunks FROM blocks GROUP BY document_id)
         SELECT filename, l.document_id, version, status, coalesce(chunks, 0) AS chunks, CASE WHEN l.document_id % 4 = 0 THEN 'digital' ELSE '' END AS document_type FROM latest l LEFT JOIN n USING (document_id) WHERE session_id IS NULL""",
+    "f7_known_contents": f"""WITH {R}, a AS (SELECT document_id, session_id, lag(checksum) OVER (PARTITION BY filename ORDER BY document_id) AS c FROM registry)
+        SELECT document_id, EXISTS (SELECT 1 FROM registry r WHERE r.checksum IS NOT DISTINCT FROM a.c AND r.session_id IS NOT DISTINCT FROM a.session_id) AS found FROM a""",
     "s8_upload_routes": f"{ROUTES} SELECT seq, session_id, filename, route, document_id FROM routed",
     "s8_session_links": f"""{ROUTES}, k AS (SELECT session_id, document_id FROM registry WHERE document_id % 40 = 0 UNION SELECT session_id, document_id FROM routed WHERE route IN ('REUSED', 'CHUNKED'))
         SELECT session_id, count(*) AS documents, min(document_id) AS first, max(document_id) AS last FROM k GROUP BY session_id""",
