@@ -82,3 +82,11 @@ def test_research_events(spark):
     assert [k for k, _ in pipelines.research(spark, "q", llm, None, cached=lambda q: "x")] == ["init", "cache_hit", "close"]
     out, redo = pipelines.evaluate_answers([{"id": "1", "question": "q"}, {"id": "2", "question": "q"}], lambda q: (_ for _ in ()).throw(QuotaError("stop")))
     assert (out, redo) == ([], ["1", "2"])
+
+
+def test_a_corrupt_parse_result_is_a_row_of_nulls(spark, tmp_path):
+    (tmp_path / "good.json").write_text(json.dumps({"document_id": "d", "document_version": 1, "pages": []}))
+    (tmp_path / "bad.json").write_text("{ no json")
+    rows = readers.parse_results(spark, str(tmp_path))
+    assert sorted(((r["document_id"], r["pages"]) for r in rows.collect()), key=repr) == [("d", []), (None, None)]
+    assert readers.flat_blocks(rows).count() == 0
