@@ -44,7 +44,7 @@ def chunk_documents(blocks: DataFrame, tables: DataFrame, limit: int, count: chu
         named = named.join(sound.select("document_id", "version").distinct(), "document_id")
         name = F.concat_ws("", F.col("document_id"), F.lit(":v"), F.col("version"), F.lit(":p"), F.col("page_number"), F.lit(":t"), F.col("table_number"))
         rendered = written(chunking.rendered_tables(named.withColumn("table_id", name)))
-        parts = written(chunking.table_chunks(rendered, limit, count=count))
+        parts = written(chunking.table_chunks(rendered, limit, count=count).select("document_id", "version", "page_number", "chunk_id", "text", "token_count", *chunking.CHECKED))
         bad = chunking.table_problems(parts, rendered).join(rendered.select("table_id", "document_id", "version", "page_number"), "table_id")
         problems = problems.unionByName(bad.select("document_id", "version", "page_number", F.lit(None).cast("int").alias("block_number"), "problem"))
         chunks = chunks.unionByName(parts.withColumn("content_type", F.lit("table")).withColumn("section", F.lit(None).cast("string")).select(*shown))

@@ -73,3 +73,40 @@ def test_row_groups_keep_notes_only_for_free():
     assert [(a, b) for a, b, _, _ in parts] == [(0, 1)] and parts[0][2] == "Table\none two three\nNote: n"
     parts = chunking.part_rows(["one two three", "four five six"], None, ["Note: " + "n " * 4], 25)
     assert [(a, b) for a, b, _, _ in parts] == [(0, 2)] and "Note" not in parts[0][2]
+
+
+def test_long_blocks_are_measured_in_stretches():
+    """A text of n characters is not counted anew from each cut to its end."""
+    seen = []
+
+    def count(x):
+        seen.append(len(x))
+        return chunking.approximate_tokens(x)
+
+    body = "Some words of a sentence go on. " * 2000
+    spans = chunking.split_block(body, 60, count)
+    assert spans == chunking.split_block(body, 60) and "".join(body[a:b] for a, b in spans) == body
+    assert sum(seen) < 60 * len(body)
+
+
+def test_packing_counts_cut_words_and_neighbours():
+    blocks = [(1, "ab cd. " * 30), (1, "joined to it"), (2, ""), (3, "é_x" * 400), (4, " \n ")]
+    for limit in (5, 30, 90):
+        found = chunking.pack(blocks, limit)
+        assert all(tokens == chunking.approximate_tokens(x) <= limit for x, _, tokens in found)
+        assert "".join(dict(blocks[1:] if n > 1 else [(1, blocks[0][1])])[n][a:b] for _, spans, _ in chunking.pack(blocks[:1] + blocks[2:], limit) for n, a, b, *_ in spans) == blocks[0][1] + blocks[3][1] + blocks[4][1]
+
+
+def test_parts_of_a_table_do_not_carry_it(spark):
+    rows = [["Key", "Name"], *([str(k), f"part {k}"] for k in range(60))]
+    t = spark.createDataFrame([("t", None, None, rows, None)], "table_id string, title string, notes array<string>, rows array<array<string>>, external array<string>")
+    tables = chunking.rendered_tables(t)
+    parts = chunking.table_chunks(tables, 60).select(*chunking.CHECKED)
+    made = [x for x in parts._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Generate posexplode" in x]
+    assert len(made) == 1 and "rows#" not in made[0] and "parts#" not in made[0]
+    assert parts.count() > 2 and chunking.table_problems(parts, tables).count() == 0
+    second = F.col("part_number") == 2
+    for name, value in (("cells", F.slice("cells", 2, 99)), ("cells", F.reverse("cells")), ("cells", F.lit(None).cast("array<array<string>>"))):
+        wrong = parts.withColumn(name, F.when(second, value).otherwise(F.col(name)))
+        assert [tuple(r) for r in chunking.table_problems(wrong, tables).collect()] == [("t", "other cells")]
+    assert [r["problem"] for r in chunking.table_problems(parts.where(~second), tables).collect()] == ["part numbers"]
