@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, text
 from ..operators import chunking, layout, ocr_layout
+from ..session import written
 from ..sources import tables as t
 from .texts import COLLAPSE, ND, STRIPPED, S, W
 
@@ -145,9 +146,10 @@ def k1_text_chunks(spark, d):
 
 def k4_text_coverage(spark, d):
     """Characters and blocks covered by each document's chunks; must be those of its usable blocks."""
-    chunks = chunking.text_chunks(_versioned(spark, d), LIMIT)
+    blocks = written(_versioned(spark, d))
+    chunks = written(chunking.text_chunks(blocks, LIMIT))
     spans = chunks.select("document_id", F.explode("spans").alias("s"))
-    problems = chunking.text_problems(chunks, _versioned(spark, d), LIMIT).groupBy("document_id").agg(F.count("*").alias("problems"))
+    problems = chunking.text_problems(chunks, blocks, LIMIT).groupBy("document_id").agg(F.count("*").alias("problems"))
     out = spans.groupBy("document_id").agg(F.sum(F.col("s.source_end") - F.col("s.source_start")).alias("characters"), F.countDistinct("s.block_number").alias("blocks"))
     return out.join(problems, "document_id", "left").select("document_id", "characters", "blocks", F.coalesce("problems", F.lit(0)).alias("problems"))
 
@@ -167,8 +169,8 @@ def k2_table_chunks(spark, d):
 
 
 def k5_table_coverage(spark, d):
-    tables = _part_tables(spark, d)
-    parts = chunking.table_chunks(tables, LIMIT)
+    tables = written(_part_tables(spark, d))
+    parts = written(chunking.table_chunks(tables, LIMIT).select(*chunking.CHECKED))
     bad = chunking.table_problems(parts, tables).groupBy("table_id").agg(F.count("*").alias("problems"))
     out = parts.groupBy("table_id").agg(F.sum(F.col("row_end") - F.col("row_start")).alias("rows"))
     return out.join(bad, "table_id", "left").select("table_id", "rows", F.coalesce("problems", F.lit(0)).alias("problems"))
