@@ -53,10 +53,10 @@ def p2_answer_status(spark, d):
 
 
 def h26_prompts(spark, d):
-    """An item and the one after it as the sources of each question."""
-    b = t.table(spark, d, "benchmark").select("item_id", "text", F.explode(F.array(F.lit(1), F.lit(2))).alias("rank"))
-    s = b.select((F.col("item_id") - F.col("rank") + 1).alias("question_id"), "rank", F.lit("bench").alias("document_name"), F.col("item_id").alias("page_number"), F.lit("text").alias("content_type"), "text")
-    return citations.render_sources(s.join(t.questions(spark, d), "question_id"))
+    """The four items of a question's block of ids as its sources, in their order."""
+    b = t.table(spark, d, "benchmark").select((F.floor(F.col("item_id") / 4) * 4).alias("first"), "item_id", "text")
+    s = b.select("first", (F.col("item_id") - F.col("first") + 1).cast("int").alias("rank"), F.lit("bench").alias("document_name"), F.col("item_id").alias("page_number"), F.lit("text").alias("content_type"), "text")
+    return citations.render_sources(s.join(t.questions(spark, d).withColumn("first", F.floor(F.col("question_id") / 4) * 4), "first"))
 
 
 def l6_category_hits(spark, d):
@@ -98,9 +98,9 @@ ORACLES = {
     "g5_missing_cases": "SELECT item_id AS case_id FROM benchmark WHERE item_id % 7 = 0",
     "p2_answer_status": """SELECT item_id AS question_id, CASE WHEN item_id % 6 = 0 THEN 'not_found' WHEN item_id % 4 = 0 THEN 'answered' ELSE 'unsupported' END AS status,
         CASE WHEN item_id % 6 = 0 THEN '' ELSE 'answer ' || item_id END AS answer FROM benchmark""",
-    "h26_prompts": f"""WITH {t.QUESTIONS_SQL}, s AS (SELECT item_id - k + 1 AS question_id, k, item_id, text FROM benchmark, (VALUES (1), (2)) r(k))
+    "h26_prompts": f"""WITH {t.QUESTIONS_SQL}, s AS (SELECT item_id // 4 AS block, item_id % 4 + 1 AS k, item_id, text FROM benchmark)
         SELECT question_id, 'Sources:' || chr(10) || chr(10) || string_agg('[' || k || '] bench, page ' || item_id || ' (text)' || chr(10) || trim(text), chr(10) || chr(10) ORDER BY k) || chr(10) || chr(10) || 'Question: ' || question AS prompt
-        FROM s JOIN questions USING (question_id) GROUP BY question_id, question""",
+        FROM s JOIN questions ON question_id // 4 = block GROUP BY question_id, question""",
     "l6_category_hits": f"""WITH {SIM}, r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY similarity DESC, chunk_id) AS rank FROM s),
         f AS (SELECT question_id, ql, min(rank) AS first FROM r WHERE label = ql AND chunk_id <> question_id GROUP BY ALL)
         SELECT ql AS category, count(*) FILTER (first <= 4) AS hit_3, count(*) AS questions FROM f GROUP BY ql""",
