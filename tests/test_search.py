@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,3 +172,20 @@ def test_angular_join_equals_all_pairs(spark, monkeypatch, tile):
     count = angular_join(left, right, 0.9, 3, counts=True).agg(F.sum("met"), F.sum("computed")).first()
     assert met > 1000 and count[0] < 0.5 * 600 * len(asked) and met <= count[1] < 2.5 * met
     assert angular_join(left.limit(0), right, 0.9, 3).count() == 0
+
+
+def test_dense_blocks_keep_the_first_by_score_and_id(spark):
+    """Many vectors near each query, more than a block, with ties: the first three are those of all pairs."""
+    rng = np.random.default_rng(5)
+    m = np.abs(rng.normal(size=(2500, 8))) + 3
+    m[1000:1040] = m[0]
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    v = spark.createDataFrame([(k, x.tolist(), str(k % 2)) for k, x in enumerate(m)], "id long, vector array<double>, scope string")
+    q = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector", F.when(F.col("id") % 200 == 0, F.lit("1")).alias("scope"))
+    got = {}
+    for r in angular_join(v, q, 0.9, 3).collect():
+        got.setdefault(r["query_id"], []).append((-r["score"], r["id"]))
+    score = np.round(m @ m.T, 6)
+    for k in range(0, 2500, 100):
+        want = sorted((-score[k, n], n) for n in range(2500) if score[k, n] >= 0.9 and (k % 200 or n % 2))
+        assert sorted(got[k])[:3] == want[:3] and len(got[k]) < len(want)
