@@ -104,6 +104,32 @@ def similarities(questions: DataFrame, vectors: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def label_extremes(questions: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(question_id, good, bad): the best similarity (6 decimals) of each question (question_id, vector, label) to another row
+    of its own label and to one of another label (D17). Tasks keep two numbers of each question, so no pair is shuffled."""
+    spark = questions.sparkSession
+    ship(spark)
+    schema = f"question_id {dict(questions.dtypes)['question_id']}, good double, bad double"
+    types = arrow_types(schema)
+    parts = [spark.createDataFrame([], schema)]
+    known = questions.where("label is not null")
+    for rows in _question_blocks(known.select("question_id", "vector", "label"), -(-known.count() // BLOCK_QUESTIONS)):
+        ids, labels, matrix = [r["question_id"] for r in rows], np.array([r["label"] for r in rows]), np.array([r["vector"] for r in rows], float)
+
+        def run(batches, ids=ids, labels=labels, matrix=matrix):
+            best = np.full((2, len(ids)), -np.inf)
+            for names, scores, own in _products(batches, matrix):
+                scores[np.array(ids)[:, None] == names.to_numpy(zero_copy_only=False)] = -np.inf
+                same = labels[:, None] == own
+                for k, part in enumerate((same, ~same)):
+                    best[k] = np.maximum(best[k], np.where(part, scores, -np.inf).max(axis=1, initial=-np.inf))
+            good, bad = ([x if np.isfinite(x) else None for x in b.tolist()] for b in best)
+            yield pa.RecordBatch.from_pydict({"question_id": ids, "good": good, "bad": bad}, types)
+
+        parts.append(vectors.where("label is not null").select("chunk_id", "vector", "label").mapInArrow(run, schema))
+    return reduce(DataFrame.unionByName, parts).groupBy("question_id").agg(F.max("good").alias("good"), F.max("bad").alias("bad"))
+
+
 def vector_ranks(candidates: DataFrame, questions: DataFrame, vectors: DataFrame) -> DataFrame:
     """candidates (question_id, chunk_id, similarity) with ``vector_rank`` among all vectors, by counting."""
     ship(questions.sparkSession)

@@ -67,9 +67,7 @@ def l6_category_hits(spark, d):
 
 def d17_score_gap(spark, d):
     """The best score of any wrong row, and the lowest top score of a right one."""
-    q, v = _probes(spark, d), _vectors(spark, d)
-    s = topk.similarities(q, v).where("chunk_id <> question_id").join(v.select("chunk_id", "label"), "chunk_id").join(q.select("question_id", "q_label"), "question_id")
-    top = s.groupBy("question_id").agg(F.max(F.when(F.col("label") == F.col("q_label"), F.round("similarity", 6))).alias("good"), F.max(F.when(F.col("label") != F.col("q_label"), F.round("similarity", 6))).alias("bad"))
+    top = topk.label_extremes(_probes(spark, d).withColumnRenamed("q_label", "label"), _vectors(spark, d))
     return top.agg(F.min("good").alias("lowest_right"), F.max("bad").alias("best_wrong"))
 
 

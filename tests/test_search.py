@@ -189,3 +189,10 @@ def test_dense_blocks_keep_the_first_by_score_and_id(spark):
     for k in range(0, 2500, 100):
         want = sorted((-score[k, n], n) for n in range(2500) if score[k, n] >= 0.9 and (k % 200 or n % 2))
         assert sorted(got[k])[:3] == want[:3] and len(got[k]) < len(want)
+
+
+def test_label_extremes_shuffle_no_pairs(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [0.6, 0.8], 0), (3, [0.8, 0.6], 1), (4, [0.0, 1.0], None)], "chunk_id long, vector array<double>, label int")
+    q = v.select(F.col("chunk_id").alias("question_id"), "vector", "label").where("chunk_id <> 2")
+    out = topk.label_extremes(q, v)
+    assert {tuple(r) for r in out.collect()} == {(1, 0.6, 0.8), (3, None, 0.96)}
