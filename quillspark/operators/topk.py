@@ -28,6 +28,8 @@ from .retrieval import MODES, RRF, small
 
 #: Questions, and candidates to be counted, that go to the tasks at once; vectors that are multiplied at once.
 BLOCK_QUESTIONS, BLOCK_CANDIDATES, BLOCK_VECTORS = 1000, 200_000, 2048
+#: Pairs that leave a task in one batch.
+BLOCK_PAIRS = 1 << 17
 
 
 def _question_blocks(rows: DataFrame, blocks: int) -> Iterator[list]:
@@ -37,11 +39,11 @@ def _question_blocks(rows: DataFrame, blocks: int) -> Iterator[list]:
             yield found
 
 
-def _products(batches, matrix: np.ndarray) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray | None]]:
+def _products(batches, matrix: np.ndarray, most: int = BLOCK_VECTORS) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray | None]]:
     """Ids, the rounded scores (questions x vectors) and labels, if any, of blocks of (chunk_id, vector, label) rows."""
     for whole in batches:
-        for at in range(0, whole.num_rows, BLOCK_VECTORS):
-            b = whole.slice(at, BLOCK_VECTORS)
+        for at in range(0, whole.num_rows, most):
+            b = whole.slice(at, most)
             v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
             yield b.column(0), np.round(matrix @ v.T, 6), b.column(2).to_numpy(zero_copy_only=False) if b.num_columns > 2 else None
 
@@ -96,7 +98,7 @@ def similarities(questions: DataFrame, vectors: DataFrame) -> DataFrame:
         ids, matrix = pa.array([r["question_id"] for r in rows], types.field(0).type), np.array([r["vector"] for r in rows], float)
 
         def run(batches, ids=ids, matrix=matrix):
-            for names, scores, _ in _products(batches, matrix):
+            for names, scores, _ in _products(batches, matrix, max(BLOCK_PAIRS // len(ids), 1)):
                 q, k = np.divmod(np.arange(scores.size), scores.shape[1])
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), names.take(pa.array(k)), pa.array(scores.ravel())], schema=types)
 

@@ -196,3 +196,10 @@ def test_label_extremes_shuffle_no_pairs(spark):
     q = v.select(F.col("chunk_id").alias("question_id"), "vector", "label").where("chunk_id <> 2")
     out = topk.label_extremes(q, v)
     assert {tuple(r) for r in out.collect()} == {(1, 0.6, 0.8), (3, None, 0.96)}
+
+
+def test_pairs_leave_in_bounded_batches():
+    """All pairs of a large Arrow batch are not made at once."""
+    b = pa.RecordBatch.from_pydict({"chunk_id": list(range(5000)), "vector": [[1.0, 0.0]] * 5000})
+    found = list(topk._products([b], np.ones((1000, 2)), topk.BLOCK_PAIRS // 1000))
+    assert max(s.size for _, s, _ in found) <= topk.BLOCK_PAIRS and sum(s.size for _, s, _ in found) == 5_000_000
