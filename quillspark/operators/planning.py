@@ -9,9 +9,13 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import ship, shared_folder, stored
 
@@ -19,6 +23,9 @@ from ..session import ship, shared_folder, stored
 UNKNOWN = "Task '%s' depends on non-existent task '%s'."
 CIRCULAR = "Circular dependency detected in execution plan sub-tasks."
 
+#: Tasks of the plans that a task solves by itself; longer plans are solved in rounds over all of them.
+MOST_TASKS = 10_000
+
 
 def plan_errors(tasks: DataFrame) -> DataFrame:
     """(plan_id, error): dependencies on unknown tasks (C8) and repeated task ids."""
@@ -32,16 +39,108 @@ def plan_errors(tasks: DataFrame) -> DataFrame:
 def plan_failures(tasks: DataFrame) -> DataFrame:
     """(plan_id, error) of the plans that can't be run, one error each: the first dependency on an unknown task
     in the order of tasks and of their dependencies, else a circular dependency (N1)."""
-    deps = tasks.select("plan_id", "task_id", "pos", F.posexplode("depends_on").alias("nth", "dep"))
-    unknown = deps.join(tasks.select("plan_id", F.col("task_id").alias("dep")), ["plan_id", "dep"], "left_anti")
+    few, many = _by_size(tasks.select("plan_id", "task_id", "pos", "depends_on"))
+    rows = _solved(few).groupBy("plan_id").agg(F.min(F.when(F.col("nth").isNotNull(), F.struct("pos", "nth", "task_id", "missing"))).alias("x"), F.bool_or(F.col("wave").isNull()).alias("stuck"))
+    error = F.when(F.col("x").isNotNull(), F.format_string(UNKNOWN, "x.task_id", "x.missing")).otherwise(CIRCULAR)
+    found = rows.where(F.col("x").isNotNull() | F.col("stuck")).select("plan_id", error.alias("error"))
+    if many is None:
+        return found
+    deps = many.select("plan_id", "task_id", "pos", F.posexplode("depends_on").alias("nth", "dep"))
+    unknown = deps.join(many.select("plan_id", F.col("task_id").alias("dep")), ["plan_id", "dep"], "left_anti")
     first = unknown.groupBy("plan_id").agg(F.min(F.struct("pos", "nth", "task_id", "dep")).alias("x"))
     first = first.select("plan_id", F.format_string(UNKNOWN, "x.task_id", "x.dep").alias("error"))
-    stuck = waves(tasks).where("wave is null").select("plan_id").distinct().join(first, "plan_id", "left_anti")
-    return first.unionByName(stuck.withColumn("error", F.lit(CIRCULAR)))
+    stuck = _waves_in_rounds(many).where("wave is null").select("plan_id").distinct().join(first, "plan_id", "left_anti")
+    return found.unionByName(first).unionByName(stuck.withColumn("error", F.lit(CIRCULAR)))
+
+
+def _by_size(tasks: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The tasks of plans that fit into a task, and those of longer plans, if there are any."""
+    long = stored(tasks.groupBy("plan_id").agg(F.count("*").alias("n")).where(F.col("n") > MOST_TASKS).select(F.col("plan_id").alias("long")), "long-plans")
+    if long.isEmpty():
+        return tasks, None
+    same = F.col("plan_id").eqNullSafe(F.col("long"))
+    return tasks.join(long, same, "left_anti"), tasks.join(long, same, "left_semi")
+
+
+def _levels(t: pa.Table) -> list[pa.Array]:
+    """wave, is_parallelizable, nth and missing of the tasks of whole plans: waves as in ``waves``, the place and name of the
+    first unknown dependency of each."""
+    n, deps = t.num_rows, t["depends_on"].combine_chunks()
+    plan = t["plan_id"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64)
+    named = pc.is_valid(t["plan_id"]).to_numpy()
+    owner, flat = pc.list_parent_indices(deps).to_numpy(), deps.flatten()
+    names = pa.concat_arrays([t["task_id"].combine_chunks(), flat]).dictionary_encode()
+    none = len(names.dictionary)
+    code = names.indices.fill_null(none).to_numpy().astype(np.int64)
+    nodes, node = np.unique(plan * (none + 1) + code[:n], return_inverse=True)
+    wanted = plan[owner] * (none + 1) + code[n:]
+    at = np.minimum(np.searchsorted(nodes, wanted), len(nodes) - 1)
+    known = (nodes[at] == wanted) & (code[n:] < none) & named[owner]
+    # Kahn's levels of all plans together: each round follows the edges of the tasks that it settles.
+    order = np.argsort(at[known], kind="stable")
+    to, ends = node[owner[known]][order], np.searchsorted(at[known][order], np.arange(len(nodes) + 1))
+    open_, level = np.bincount(to, minlength=len(nodes)), np.full(len(nodes), -1)
+    front, k = np.flatnonzero(open_ == 0), 0
+    while len(front):
+        level[front] = k
+        size = ends[front + 1] - ends[front]
+        edges = np.repeat(ends[front] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        hit, times = np.unique(to[edges], return_counts=True)
+        open_[hit] -= times
+        front, k = hit[open_[hit] == 0], k + 1
+    _, group, width = np.unique(nodes // (none + 1) * (k + 2) + level, return_inverse=True, return_counts=True)
+    free = pc.equal(pc.list_value_length(deps), 0).fill_null(False).to_numpy(zero_copy_only=False)
+    wave = level[node]
+    who, first = np.unique(owner[~known], return_index=True)
+    nth = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    place, name = np.full(n, -1), np.full(n, -1)
+    place[who], name[who] = nth[~known][first], np.flatnonzero(~known)[first]
+    return [pa.array(wave, pa.int32(), mask=wave < 0), pa.array((width[group][node] > 1) & free & (wave >= 0)), pa.array(place, pa.int32(), mask=place < 0), flat.take(pa.array(name, mask=name < 0))]
+
+
+def _solved(tasks: DataFrame) -> DataFrame:
+    """tasks, whose plans each fit into a task, with the columns of ``_levels``: one shuffle by plan, and batches of whole plans."""
+    ship(tasks.sparkSession)
+    schema = StructType([*tasks.schema.fields, *StructType.fromDDL("wave int, is_parallelizable boolean, nth int, missing string").fields])
+    names = [f.name for f in schema.fields]
+
+    def done(t: pa.Table, kinds: list):
+        if t.num_rows:
+            t = t.combine_chunks()
+            yield from pa.table([*t.columns, *(c.cast(k) for c, k in zip(_levels(t), kinds, strict=True))], names=names).combine_chunks().to_batches()
+
+    def run(batches):
+        kinds, held = [pa.int32(), pa.bool_(), pa.int32(), pa.string()], []
+        for b in batches:
+            # A plan may go on in the next batch: what the last one has is held back.
+            plans = b.column(names.index("plan_id")).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            if not len(plans):
+                continue
+            if held and held[-1].column(names.index("plan_id"))[-1] != b.column(names.index("plan_id"))[0]:
+                yield from done(pa.Table.from_batches(held), kinds)
+                held = []
+            cut = int(np.flatnonzero(np.diff(plans, prepend=-1))[-1])
+            if cut:
+                yield from done(pa.Table.from_batches([*held, b.slice(0, cut)]), kinds)
+                held = []
+            held.append(b.slice(cut))
+        if held:
+            yield from done(pa.Table.from_batches(held), kinds)
+
+    return tasks.repartition("plan_id").sortWithinPartitions("plan_id").mapInArrow(run, schema)
 
 
 def waves(tasks: DataFrame) -> DataFrame:
-    """(plan_id, task_id, wave, is_parallelizable); the wave is null on or behind a cycle.
+    """(plan_id, task_id, wave, is_parallelizable); the wave is null on or behind a cycle (N1, E13). Plans of at most
+    ``MOST_TASKS`` are solved whole, many in one task; longer ones in rounds."""
+    few, many = _by_size(tasks.select("plan_id", "task_id", "depends_on"))
+    cols = ["plan_id", "task_id", "wave", "is_parallelizable"]
+    rows = _solved(few).where("plan_id is not null and task_id is not null").select(*cols)
+    return rows if many is None else rows.unionByName(_waves_in_rounds(many).select(*cols))
+
+
+def _waves_in_rounds(tasks: DataFrame) -> DataFrame:
+    """``waves`` of plans of any size.
 
     A task's wave is the greatest of ``base`` and of dep's wave + w over its open edges (dep, w). In each round
     edges to tasks whose wave is known go into the base, and a task without open edges is known. Edges to a task with
@@ -115,7 +214,11 @@ def execute(tasks: DataFrame, run_task: Callable[[str, str], str]) -> DataFrame:
     spark = tasks.sparkSession
     ship(spark)
     schema, path = "plan_id string, task_id string, status string, result string", f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
-    planned = stored(tasks.join(waves(tasks).select("plan_id", "task_id", "wave"), ["plan_id", "task_id"]), "planned")
+    few, many = _by_size(tasks.select("plan_id", "task_id", "sub_query", "depends_on"))
+    rows = _solved(few).where("plan_id is not null and task_id is not null").select(*few.columns, "wave")
+    if many is not None:
+        rows = rows.unionByName(many.join(_waves_in_rounds(many).select("plan_id", "task_id", "wave"), ["plan_id", "task_id"]).select(*rows.columns))
+    planned = stored(rows, "planned")
 
     def run(batches):
         for df in batches:

@@ -143,3 +143,29 @@ def test_upper_case_suffixes_arrive(spark, tmp_path):
     seen = []
     files.ingest(files.watch(spark, str(tmp_path / "in")), lambda df, _: seen.extend(r["path"] for r in df.select("path").collect()), str(tmp_path / "cp")).awaitTermination(60)
     assert len(seen) == 1
+
+
+@pytest.mark.parametrize("most", [10_000, 6, 0])
+def test_short_plans_are_solved_without_rounds(spark, rounds, monkeypatch, most):
+    """Waves, failures and runs are the same whether a plan is solved whole or in rounds, also where plans are cut by batches."""
+    monkeypatch.setattr(planning, "MOST_TASKS", most)
+    rng = random.Random(8)
+    tasks = [(str(p), str(t), [str(d) for d in range(t if p % 4 else 9) if d != t and rng.random() < 0.3] + ["?"] * (p % 7 == 3 and t == 2)) for p in range(40) for t in range(1 + p % 9)]
+    df = spark.createDataFrame([(p, t, int(t), "q", d) for p, t, d in tasks], TASK)
+    plain = plain_waves(tasks)
+    with_batches = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert {(r["plan_id"], r["task_id"]): r["wave"] for r in planning.waves(df).collect()} == plain
+        assert ("edges" in rounds) == (most < 10_000)
+        unknown = {}
+        for p, t, ds in tasks:
+            for d in ds:
+                if (p, d) not in plain:
+                    unknown.setdefault(p, planning.UNKNOWN % (t, d))
+        errors = {p: planning.CIRCULAR for (p, _), w in plain.items() if w is None} | unknown
+        assert {r["plan_id"]: r["error"] for r in planning.plan_failures(df).collect()} == errors and len(set(errors.values())) > 1
+        run = planning.execute(df, lambda query, context: str(context.count("--- Prior")))
+        assert {(r["plan_id"], r["task_id"]): r["result"] for r in run.collect()} == {(p, t): str(len(ds)) for p, t, ds in tasks if plain[p, t] is not None}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", with_batches)
