@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.retrieval import stale_vectors
+from ..operators.retrieval import small
 from ..session import shared_folder, ship, stored
 from ..sources.models import Encoder, LLMError, QuotaError
 
@@ -101,8 +101,16 @@ class VectorStore:
     def update(self, chunks: DataFrame, encoder: Encoder, epoch: int) -> None:
         """Encode the chunks (chunk_id, text) that have no current vector. An epoch that runs again finds the
         store as it was before it, and writes the same partition anew."""
-        stale = stale_vectors(chunks.select("chunk_id", "text").dropDuplicates(["chunk_id"]), self.read(encoder.name, epoch), encoder.name)
-        made = encoder.encode(stale.select("chunk_id", "text", "text_sha256"), "text")
+        keyed = chunks.select("chunk_id", F.sha2("text", 256).alias("text_sha256"))
+        rows = chunks.select("chunk_id", "text")
+        if not keyed.groupBy("chunk_id").count().where("count > 1").isEmpty():
+            rows = stored(rows.dropDuplicates(["chunk_id"]), "distinct-chunks")
+            keyed = rows.select("chunk_id", F.sha2("text", 256).alias("text_sha256"))
+        held = self.read(encoder.name, epoch).select("chunk_id", "text_sha256")
+        if not held.isEmpty():  # ids and hashes say what is stale, so texts move at most once
+            stale = stored(keyed.join(held, ["chunk_id", "text_sha256"], "left_anti").select("chunk_id"), "stale")
+            rows = rows.join(small(stale), "chunk_id", "left_semi")
+        made = encoder.encode(rows.withColumn("text_sha256", F.sha2("text", 256)), "text")
         rows = made.select("chunk_id", "text_sha256", F.size("vector").alias("dims"), F.col("vector").cast("array<float>"), F.lit(encoder.name).alias("model"), F.lit(epoch).cast("bigint").alias("epoch"))
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "epoch").parquet(self.path)
 

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.retrieval import hashed_vectors
+from ..operators.retrieval import word_vector
 from ..session import ship
 
 
@@ -25,7 +25,7 @@ class Encoder(Protocol):
 
 
 class HashedEncoder:
-    """Hashed word counts with unit norm, by built-in functions alone."""
+    """Hashed word counts with unit norm."""
 
     name = "hashed-64"
 
@@ -33,8 +33,8 @@ class HashedEncoder:
         self.dims = dims
 
     def encode(self, rows: DataFrame, text_col: str = "text") -> DataFrame:
-        key = rows.columns[0]
-        return rows.join(hashed_vectors(rows, key, text_col, self.dims), key)
+        ship(rows.sparkSession)
+        return rows.withColumn("vector", word_vector(F.col(text_col), self.dims))
 
 
 class FunctionEncoder:

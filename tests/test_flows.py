@@ -169,3 +169,12 @@ def test_short_plans_are_solved_without_rounds(spark, rounds, monkeypatch, most)
         assert {(r["plan_id"], r["task_id"]): r["result"] for r in run.collect()} == {(p, t): str(len(ds)) for p, t, ds in tasks if plain[p, t] is not None}
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", with_batches)
+
+
+def test_encoding_shuffles_no_text(spark):
+    df = spark.createDataFrame([(1, "beta alpha beta The"), (2, None), (3, "\U0001d54f é")], "chunk_id long, text string")
+    made = HashedEncoder().encode(df)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {r["chunk_id"]: {k: round(x, 6) for k, x in enumerate(r["vector"]) if x} for r in made.collect()}
+    slot = lambda w: sum(map(ord, w)) % 64
+    assert got == {1: {slot("beta"): round(2 / 5**0.5, 6), slot("alpha"): round(1 / 5**0.5, 6)}, 2: {}, 3: {slot("\U0001d54f"): round(0.5**0.5, 6), slot("é"): round(0.5**0.5, 6)}}
