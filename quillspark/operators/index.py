@@ -48,6 +48,26 @@ def placed(wanted: np.ndarray, wanted_ids: list, scores: np.ndarray, ids: list)
     return np.bincount(at, minlength=len(wanted) + 1)
 
 
+#: How a block holds which chunks of its shard have a term, and how often: numbers one after another, as one value of a row.
+DOC, COUNT = np.dtype("<u2"), np.dtype("<i4")
+
+
+def _packed(values: np.ndarray, ends: np.ndarray, kind: np.dtype) -> pa.Array:
+    """Lists of numbers, of which number k stops before ``ends[k + 1]``, as binary values."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * kind.itemsize).astype(np.int32).tobytes()), pa.py_buffer(values.astype(kind).tobytes())])
+
+
+def _unpacked(column: pa.ChunkedArray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of binary values without nulls, and their ends."""
+    a = column.combine_chunks()
+    a = a if isinstance(a, pa.Array) else pa.concat_arrays(a.chunks)
+    if not len(a):
+        return np.empty(0, kind), np.zeros(1, np.int64)
+    ends = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1].astype(np.int64)
+    raw = np.frombuffer(a.buffers()[2], np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.empty(0, np.uint8)
+    return raw.view(kind), (ends - ends[0]) // kind.itemsize
+
+
 class ChunkIndex:
     """The index in a folder. Chunks are rows (chunk_id, text), with text_sha256 where it is known: an index
     that is up to date is then left without reading any text."""
@@ -74,7 +94,7 @@ class ChunkIndex:
 
     def blocks(self, segments: list[str]) -> DataFrame:
         """The rows of shards (bucket -1: ids, lengths and hashes of its chunks) and of terms."""
-        schema = f"shard bigint, term string, docs array<int>, counts array<int>, most int, least int, ids array<{self.id_type}>, lengths array<int>, hashes array<string>, segment string, bucket int"
+        schema = f"shard bigint, term string, docs binary, counts binary, most int, least int, ids array<{self.id_type}>, lengths array<int>, hashes array<string>, segment string, bucket int"
         return self._table("blocks", schema).where(F.col("segment").isin(segments))
 
     def chunks(self) -> DataFrame:
@@ -119,7 +139,7 @@ class ChunkIndex:
         """Shards and blocks of rows (chunk_id, tokens, hash): each task turns the batches that it reads into
         shards, so nothing is shuffled for it."""
         names = ["shard", "bucket", "term", "docs", "counts", "most", "least", "ids", "lengths", "hashes"]
-        kinds = [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.int32(), None, pa.list_(pa.int32()), pa.list_(pa.string())]
+        kinds = [pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), None, pa.list_(pa.int32()), pa.list_(pa.string())]
 
         def run(batches):
             shard = TaskContext.get().partitionId() << 32
@@ -133,7 +153,7 @@ class ChunkIndex:
                     pair, counts = np.unique(words.indices.to_numpy().astype(np.int64) * len(lengths) + doc, return_counts=True)
                     code, doc = np.divmod(pair, len(lengths))
                     first = np.flatnonzero(np.diff(code, prepend=-1))
-                    ends = pa.array(np.append(first, len(code)).astype(np.int32))
+                    ends = np.append(first, len(code))
                     most = np.maximum.reduceat(counts, first) if len(first) else first
                     least = np.minimum.reduceat(lengths[doc], first) if len(first) else first
                     m = len(first)
@@ -142,11 +162,11 @@ class ChunkIndex:
                     kinds[7] = ids.type
                     yield pa.record_batch([pa.array([shard]), pa.array([-1], pa.int32()), pa.nulls(1, kinds[2]), *(pa.nulls(1, k) for k in kinds[3:7]), ids, pa.array([lengths.tolist()], kinds[8]), hashes], names=names)
                     terms = words.dictionary.take(pa.array(code[first]))
-                    made = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (doc, counts)]
+                    made = [_packed(doc, ends, DOC), _packed(counts, ends, COUNT)]
                     yield pa.record_batch([pa.array([shard] * m, pa.int64()), pa.nulls(m, pa.int32()), terms, *made, pa.array(most, pa.int32()), pa.array(least, pa.int32()), *(pa.nulls(m, k) for k in kinds[7:])], names=names)
                     shard += 1
 
-        schema = f"shard bigint, bucket int, term string, docs array<int>, counts array<int>, most int, least int, ids array<{self.id_type}>, lengths array<int>, hashes array<string>"
+        schema = f"shard bigint, bucket int, term string, docs binary, counts binary, most int, least int, ids array<{self.id_type}>, lengths array<int>, hashes array<string>"
         return rows.mapInArrow(run, schema)
 
     def _append(self, blocks: DataFrame, name: str) -> None:
@@ -165,10 +185,10 @@ class ChunkIndex:
         moved = stored(moved.withColumn("to", (F.row_number().over(Window.partitionBy("home").orderBy("chunk_id")) - 1).cast("int")), "index-merge")
         heads = moved.groupBy("home").agg(F.array_sort(F.collect_list(F.struct("to", "chunk_id", "length", "text_sha256"))).alias("x"))
         heads = heads.select(F.col("home").alias("shard"), F.lit(-1).alias("bucket"), F.col("x.chunk_id").alias("ids"), F.col("x.length").alias("lengths"), F.col("x.text_sha256").alias("hashes"))
-        rows = self.blocks(segments).where("bucket >= 0").select("segment", "shard", "term", F.inline(F.arrays_zip(F.col("docs").alias("doc"), F.col("counts").alias("n"))))
+        rows = self.blocks(segments).where("bucket >= 0").select("segment", "shard", "term", "docs", "counts").mapInArrow(_entries, "segment string, shard bigint, term string, doc int, n int")
         rows = rows.join(moved.select("segment", "shard", "doc", "home", "to", "length"), ["segment", "shard", "doc"])
         rows = rows.groupBy("home", "term").agg(F.array_sort(F.collect_list(F.struct("to", "n"))).alias("x"), F.max("n").alias("most"), F.min("length").alias("least"))
-        rows = rows.select(F.col("home").alias("shard"), F.lit(None).cast("int").alias("bucket"), "term", F.col("x.to").alias("docs"), F.col("x.n").alias("counts"), "most", "least")
+        rows = rows.select(F.col("home").alias("shard"), F.lit(None).cast("int").alias("bucket"), "term", F.arrow_udf(_pack_docs, "binary")("x.to").alias("docs"), F.arrow_udf(_pack_counts, "binary")("x.n").alias("counts"), "most", "least")
         self._append(heads.unionByName(rows, allowMissingColumns=True), name)
         self._commit(name, True)
 
@@ -179,6 +199,28 @@ class ChunkIndex:
         return View(self, questions, scope, k1, b)
 
 
+def _entries(batches):
+    """One row for each chunk of each block."""
+    for b in batches:
+        t = pa.table(b)
+        (docs, ends), (counts, _) = _unpacked(t["docs"], DOC), _unpacked(t["counts"], COUNT)
+        rows = t.select(["segment", "shard", "term"]).take(pa.array(np.repeat(np.arange(len(ends) - 1), np.diff(ends))))
+        yield from rows.append_column("doc", pa.array(docs.astype(np.int32))).append_column("n", pa.array(counts.astype(np.int32))).combine_chunks().to_batches()
+
+
+def _pack_docs(lists: pa.Array) -> pa.Array:
+    return _pack(lists, DOC)
+
+
+def _pack_counts(lists: pa.Array) -> pa.Array:
+    return _pack(lists, COUNT)
+
+
+def _pack(lists: pa.Array, kind: np.dtype) -> pa.Array:
+    sizes = pc.list_value_length(lists).to_numpy()
+    return _packed(lists.flatten().to_numpy(), np.append(0, np.cumsum(sizes)), kind)
+
+
 class View:
     """The blocks of the asked terms in a scope, written once, with the scope's statistics."""
 
@@ -195,9 +237,9 @@ class View:
         asked = index.blocks(index.segments()).where(F.col("bucket").isin(hit)).select("segment", "shard", "term", "docs", "counts", "most", "least")
         asked = asked.join(small(wanted), "term", "left_semi")
         heads = self.live.groupBy("segment", "shard").agg(F.array_sort(F.collect_list(F.struct("doc", "chunk_id", "length"))).alias("x"))
-        heads = heads.select("segment", "shard", F.col("x.doc").alias("docs"), F.col("x.chunk_id").alias("ids"), F.col("x.length").alias("lengths"))
+        heads = heads.select("segment", "shard", F.col("x.doc").alias("here"), F.col("x.chunk_id").alias("ids"), F.col("x.length").alias("lengths"))
         self.blocks = stored(self._in_scope(asked, heads), "view-blocks")
-        df = self.blocks.where("term is not null").groupBy("term").agg(F.sum(F.size("docs")).alias("df"))
+        df = self.blocks.where("term is not null").groupBy("term").agg(F.sum(F.expr(f"length(docs) div {DOC.itemsize}")).alias("df"))
         idf = F.log(1 + (F.lit(self.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         groups = max(1, -(-questions.count() // QUESTIONS))
         terms = terms.join(df, "term").select("question_id", F.pmod(F.xxhash64("question_id"), F.lit(groups)).cast("int").alias("part"), "term", idf.alias("idf"))
@@ -218,20 +260,18 @@ class View:
             t = t.filter(pc.is_valid(t["term"]))
             if not head.num_rows:
                 return t.slice(0, 0)
-            here = head["docs"].combine_chunks().flatten()
-            docs = t["docs"].combine_chunks()
-            known = pc.is_in(docs.flatten(), value_set=here)
-            if t.num_rows and not pc.all(known).as_py():
-                owner = pc.list_parent_indices(docs).filter(known).to_numpy()
-                ends = pa.array(np.searchsorted(owner, np.arange(t.num_rows + 1)).astype(np.int32))
-                for name in ("docs", "counts"):
-                    part = pa.ListArray.from_arrays(ends, t[name].combine_chunks().flatten().filter(known))
-                    t = t.set_column(t.schema.get_field_index(name), name, part)
-                t = t.filter(pc.greater(pc.list_value_length(t["docs"]), 0))
+            here = head["here"].combine_chunks().flatten().to_numpy()
+            (docs, ends), (counts, _) = _unpacked(t["docs"], DOC), _unpacked(t["counts"], COUNT)
+            known = np.isin(docs, here)
+            if not known.all():
+                ends = np.append(0, np.cumsum(known))[ends]
+                for name, values, kind in (("docs", docs, DOC), ("counts", counts, COUNT)):
+                    t = t.set_column(t.schema.get_field_index(name), name, _packed(values[known], ends, kind))
+                t = t.filter(pa.array(np.diff(ends) > 0))
             return pa.concat_tables([head, t.cast(head.schema)])
 
-        schema = f"term string, segment string, shard bigint, docs array<int>, counts array<int>, most int, least int, ids array<{id_type}>, lengths array<int>"
-        both = both.select("term", "segment", "shard", "docs", "counts", "most", "least", "ids", "lengths")
+        schema = f"term string, segment string, shard bigint, docs binary, counts binary, most int, least int, here array<int>, ids array<{id_type}>, lengths array<int>"
+        both = both.select("term", "segment", "shard", "docs", "counts", "most", "least", "here", "ids", "lengths")
         return both.groupBy("segment", "shard").applyInArrow(run, schema)
 
     def _score(self, pairs: DataFrame, how: str) -> DataFrame:
@@ -244,16 +284,18 @@ class View:
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             out: list[tuple[list, list, list, list, list]] = []
             head = left.filter(pc.is_null(left["term"]))
-            docs_here = head["docs"].combine_chunks().flatten().to_numpy()
+            docs_here = head["here"].combine_chunks().flatten().to_numpy()
             ids = head["ids"].combine_chunks().flatten()
             lengths = head["lengths"].combine_chunks().flatten().to_numpy()
             slot = np.full(int(docs_here.max()) + 1, -1)
             slot[docs_here] = np.arange(len(docs_here))
             norm = k1 * (1 - b + b * lengths / average)
-            blocks = {}
-            for r in left.filter(pc.is_valid(left["term"])).select(["term", "docs", "counts", "most", "least"]).to_pylist():
-                at, tf = slot[r["docs"]], np.array(r["counts"], float)
-                blocks[r["term"]] = at, tf * (k1 + 1) / (tf + norm[at]), r["most"] * (k1 + 1) / (r["most"] + k1 * (1 - b + b * r["least"] / average))
+            own = left.filter(pc.is_valid(left["term"]))
+            (docs, ends), (counts, _) = _unpacked(own["docs"], DOC), _unpacked(own["counts"], COUNT)
+            places, most, least = slot[docs], own["most"].to_numpy(), own["least"].to_numpy()
+            weights = counts * (k1 + 1) / (counts + norm[places])
+            highest = most * (k1 + 1) / (most + k1 * (1 - b + b * least / average))
+            blocks = {term: (places[i:j], weights[i:j], top) for term, i, j, top in zip(own["term"].to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), highest.tolist(), strict=True)}
             names = ids.to_pylist()
             order = np.empty(len(names), np.int64)
             order[pc.array_sort_indices(ids).to_numpy()] = np.arange(len(names))

@@ -203,3 +203,24 @@ def test_pairs_leave_in_bounded_batches():
     b = pa.RecordBatch.from_pydict({"chunk_id": list(range(5000)), "vector": [[1.0, 0.0]] * 5000})
     found = list(topk._products([b], np.ones((1000, 2)), topk.BLOCK_PAIRS // 1000))
     assert max(s.size for _, s, _ in found) <= topk.BLOCK_PAIRS and sum(s.size for _, s, _ in found) == 5_000_000
+
+
+def test_blocks_hold_one_value_for_all_numbers():
+    docs, ends = np.array([1, 5, 1023, 0, 7]), np.array([0, 3, 3, 5])
+    packed = ix._packed(docs, ends, ix.DOC)
+    assert packed.type == pa.binary() and packed.nbytes < 40
+    for at, want in ((0, [1, 5, 1023, 0, 7]), (1, [0, 7]), (3, [])):
+        got, stops = ix._unpacked(pa.chunked_array([packed.slice(at)]), ix.DOC)
+        assert got.tolist() == want and stops.tolist() == [x - ends[at] for x in ends[at:]]
+    lists = pa.array([[2, 70_000], [], [3]], pa.list_(pa.int32()))
+    assert ix._unpacked(pa.chunked_array([ix._pack_counts(lists)]), ix.COUNT)[0].tolist() == [2, 70_000, 3]
+
+
+def test_merged_blocks_find_the_same(spark, tmp_path):
+    chunks = {1: "alpha beta", 2: "alpha alpha gamma", 3: "gamma", 4: ""}
+    index = ix.ChunkIndex(spark, f"file://{tmp_path}/index")
+    index.refresh(spark.createDataFrame(list(chunks.items()), "chunk_id bigint, text string"))
+    chunks |= {2: "beta alpha mu", 5: "mu mu"}
+    index.refresh(spark.createDataFrame(list(chunks.items()), "chunk_id bigint, text string"))
+    index.merge()
+    assert len(index.segments()) == 1 and hits(index, spark) == wanted(chunks)
