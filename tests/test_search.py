@@ -224,3 +224,35 @@ def test_merged_blocks_find_the_same(spark, tmp_path):
     index.refresh(spark.createDataFrame(list(chunks.items()), "chunk_id bigint, text string"))
     index.merge()
     assert len(index.segments()) == 1 and hits(index, spark) == wanted(chunks)
+
+
+def test_scores_shuffle_no_postings(spark):
+    from quillspark.operators import retrieval as ops
+
+    chunks = corpus(random.Random(3), 40)
+    del chunks["e"]  # a text that is null has no length, here and in SQL
+    q = spark.createDataFrame([(1, "alpha mu alpha"), (2, "unknown"), (3, "")], "question_id int, question string")
+    out = ops.bm25(q, frame(spark, chunks))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    want = {(1, c): s for c, s in plain_bm25(chunks, "alpha mu").items() if s}
+    got = {(r["question_id"], r["chunk_id"]): round(r["bm25_score"], 6) for r in out.collect()}
+    assert got == pytest.approx(want, abs=2e-6)
+
+
+def test_relevance_is_judged_once(spark, tmp_path):
+    chunks = {k: f"alpha {w}" for k, w in enumerate(WORDS)}
+    index = ix.ChunkIndex(spark, f"file://{tmp_path}/index")
+    rows = spark.createDataFrame(list(chunks.items()), "chunk_id bigint, text string")
+    index.refresh(rows)
+    judged = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def mu(text):
+        judged.add(1)
+        return "mu" in text
+
+    v = spark.createDataFrame([(k, [1.0, float(k)]) for k in chunks], "chunk_id bigint, vector array<double>")
+    q = spark.createDataFrame([(1, "alpha mu", [0.0, 1.0])], "question_id int, question string, vector array<double>")
+    first = topk.Searcher(index, v, q).first_relevant(rows.where(mu("text")).select(F.lit(1).alias("question_id"), "chunk_id"))
+    assert {r["mode"]: r["first"] for r in first.collect()} == {"vector": 1, "hybrid": 1, "bm25": 1}
+    assert judged.value == len(chunks)
