@@ -233,9 +233,10 @@ class Searcher:
         """(question_id, mode, first): the rank over all chunks of each question's first relevant one in each
         mode, null where none is (L5, E4). relevant: question_id, chunk_id."""
         key = ["question_id", "chunk_id"]
-        relevant = relevant.select(*key).distinct()
+        relevant = stored(relevant.select(*key).distinct(), "relevant")  # read once: it may come from a scan of all texts
         sims = relevant.join(self.vectors, "chunk_id").join(self.questions.select("question_id", F.col("vector").alias("q")), "question_id")
         sims = sims.select(*key, F.round(vector.dot(F.col("q"), F.col("vector")), 6).alias("similarity"))
+        sims = stored(sims, "relevant-similarities")
         nearest = sims.groupBy("question_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("chunk_id").alias("c"))).alias("x"))
         nearest = nearest.select("question_id", F.col("x.c").alias("chunk_id"), (-F.col("x.s")).alias("similarity"))
         near = stored(vector_ranks(nearest, self.questions, self.vectors), "nearest")
