@@ -198,6 +198,23 @@ def test_repeats_with_small_bounds(monkeypatch):
     assert got == want and single > 0
 
 
+def test_equal_contexts_are_sorted_once(monkeypatch):
+    rng = random.Random(21)
+    text, other = ("".join(rng.choices("abcdefgh ", k=600)) for _ in range(2))
+    rows = [(i, text) for i in range(40)] + [(50 + i, other[: 90 + i] + text[100:400]) for i in range(3)] + [(7, other), (None, text)]
+    rng.shuffle(rows)
+    seen, real = [], suffix_dedup.repeats
+    monkeypatch.setattr(suffix_dedup, "repeats", lambda x, starts, docs: seen.append(len(starts)) or real(x, starts, docs))
+    assert local_repeats(rows, monkeypatch)[0] == brute_repeats(rows)
+    assert sum(seen) < len(text)  # of about 45 copies of its strings
+
+
+def test_equal_hashes_of_different_contexts(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "span_hash", lambda c, starts, ends: np.zeros(len(starts), np.uint64))
+    rows = corpus(9, 40)
+    assert local_repeats(rows, monkeypatch)[0] == brute_repeats(rows)
+
+
 def test_packing():
     rng = np.random.default_rng(1)
     for n in (0, 1, 500):
