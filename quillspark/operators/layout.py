@@ -60,23 +60,34 @@ def classify_blocks(blocks: DataFrame, tables: DataFrame) -> DataFrame:
     return rows.withColumn("classification", kind).withColumn("table_number", F.col("best.table_number")).drop("best")
 
 
+def traits(blocks: DataFrame) -> DataFrame:
+    """blocks with what the rules need to know of ``text`` in its place, so that no join or window moves texts:
+    ``blank``, ``heading`` (its text, else null), ``bare`` (a page number alone), ``short`` and ``norm`` (the
+    digest of the text with digits aside). Blocks that have them are left as they are."""
+    if "blank" in blocks.columns:
+        return blocks
+    c, body = F.col("text"), text.strip(F.col("text"))
+    found = {"blank": body == "", "heading": F.when(text.is_heading(c), body), "bare": text.is_page_number(c), "short": F.length(body) <= MAX_FURNITURE, "norm": F.unhex(F.md5(text.furniture_key(c)))}
+    return blocks.withColumns(found).drop("text")
+
+
 def mark_furniture(blocks: DataFrame, page_counts: DataFrame | None = None) -> DataFrame:
     """blocks with headers and footers marked PAGE_FURNITURE (J9, E6, D10): among the first or last two
     text blocks of the page, at most 200 characters, and a bare page number or, digits aside, on at
-    least half of the pages and two. ``page_counts`` (document_id, pages) counts blank pages too; without
+    least half of the pages and two. blocks have ``text`` or its ``traits``. ``page_counts`` (document_id, pages) counts blank pages too; without
     it the pages are those that have blocks."""
     key = ["document_id", "page_number"]
     page = Window.partitionBy(*key)
-    usable = blocks.where((F.col("classification") == "OUTSIDE_TABLE") & (text.strip(F.col("text")) != ""))
+    usable = traits(blocks).where((F.col("classification") == "OUTSIDE_TABLE") & ~F.col("blank"))
     order = [F.asc("y0"), F.asc("x0"), F.asc("block_number")]
     back = [F.desc("y0"), F.desc("x0"), F.desc("block_number")]
     edges = usable.withColumn("a", F.row_number().over(page.orderBy(*order))).withColumn("b", F.row_number().over(page.orderBy(*back))).where((F.col("a") <= EDGE) | (F.col("b") <= EDGE))
-    edges = edges.select(*key, "block_number", "text", text.furniture_key(F.col("text")).alias("norm"))
+    edges = edges.select(*key, "block_number", "norm", "short", "bare")
     seen = edges.groupBy("document_id", "norm").agg(F.countDistinct("page_number").alias("on_pages"))
     pages = page_counts if page_counts is not None else blocks.groupBy("document_id").agg(F.countDistinct("page_number").alias("pages"))
     rows = edges.join(seen, ["document_id", "norm"]).join(pages, "document_id")
     repeated = F.col("on_pages") >= F.greatest(F.lit(2), F.ceil(F.col("pages") / 2))
-    rows = rows.where((F.length(text.strip(F.col("text"))) <= MAX_FURNITURE) & (text.is_page_number(F.col("text")) | repeated))
+    rows = rows.where(F.col("short") & (F.col("bare") | repeated))
     marked = rows.select(*key, "block_number", F.lit(True).alias("furniture"))
     out = blocks.join(marked, [*key, "block_number"], "left")
     return out.withColumn("classification", F.when(F.col("furniture"), "PAGE_FURNITURE").otherwise(F.col("classification"))).drop("furniture")

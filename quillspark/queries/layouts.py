@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, text
 from ..operators import chunking, layout, ocr_layout
-from ..session import written
+from ..session import stored, written
 from ..sources import tables as t
 from .texts import COLLAPSE, ND, STRIPPED, S, W
 
@@ -137,19 +137,25 @@ def j10_ocr_layout(spark, d):
 
 
 def _versioned(spark, d):
-    return layout.mark_furniture(_classified(spark, d)).where("classification <> 'PARTIAL_OVERLAP'").withColumn("version", F.lit(1))
+    """Marked blocks, without partial overlaps, that have traits, and the blocks with their texts."""
+    blocks = t.blocks(spark, d)
+    known = stored(layout.traits(blocks), "traits")
+    marked = layout.mark_furniture(layout.classify_blocks(known, _tables(spark, d)))
+    return marked.where("classification <> 'PARTIAL_OVERLAP'").withColumn("version", F.lit(1)), blocks
 
 
 def k1_text_chunks(spark, d):
-    return chunking.text_chunks(_versioned(spark, d), LIMIT).select("chunk_id", "document_id", "page_number", "chunk_number", "token_count", "section", "text")
+    marked, blocks = _versioned(spark, d)
+    return chunking.text_chunks(marked, LIMIT, texts=blocks).select("chunk_id", "document_id", "page_number", "chunk_number", "token_count", "section", "text")
 
 
 def k4_text_coverage(spark, d):
     """Characters and blocks covered by each document's chunks; must be those of its usable blocks."""
-    blocks = written(_versioned(spark, d))
-    chunks = written(chunking.text_chunks(blocks, LIMIT))
+    marked, texts = _versioned(spark, d)
+    blocks = stored(marked, "marked")
+    chunks = stored(chunking.text_chunks(blocks, LIMIT, texts=texts), "chunks")
     spans = chunks.select("document_id", F.explode("spans").alias("s"))
-    problems = chunking.text_problems(chunks, blocks, LIMIT).groupBy("document_id").agg(F.count("*").alias("problems"))
+    problems = chunking.text_problems(chunks, blocks, LIMIT, texts).groupBy("document_id").agg(F.count("*").alias("problems"))
     out = spans.groupBy("document_id").agg(F.sum(F.col("s.source_end") - F.col("s.source_start")).alias("characters"), F.countDistinct("s.block_number").alias("blocks"))
     return out.join(problems, "document_id", "left").select("document_id", "characters", "blocks", F.coalesce("problems", F.lit(0)).alias("problems"))
 

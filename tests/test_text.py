@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import text
-from quillspark.operators import chunking
+from quillspark.operators import chunking, layout
 
 
 def one(spark, expr, **cols):
@@ -110,3 +110,81 @@ def test_parts_of_a_table_do_not_carry_it(spark):
         wrong = parts.withColumn(name, F.when(second, value).otherwise(F.col(name)))
         assert [tuple(r) for r in chunking.table_problems(wrong, tables).collect()] == [("t", "other cells")]
     assert [r["problem"] for r in chunking.table_problems(parts.where(~second), tables).collect()] == ["part numbers"]
+
+
+BLOCKS = "document_id string, version int, page_number int, block_number int, x0 double, y0 double, classification string, text string"
+
+
+def _blocks(spark):
+    bodies = [(1, "1. Scope"), (1, "Ein Satz mit Umlauten: äöü. " * 12), (1, " \n"), (2, "short"), (2, "x y " * 75)]
+    return spark.createDataFrame([(d, 1, p, n, 0.0, float(n), "OUTSIDE_TABLE", body) for d in "ab" for n, (p, body) in enumerate(bodies, 1)], BLOCKS)
+
+
+def _shuffled(plan, found):
+    """The columns of each exchange of a plan."""
+    if "Exchange" in plan.nodeName():
+        found.append([plan.output().apply(i).name() for i in range(plan.output().size())])
+    for i in range(plan.children().size()):
+        _shuffled(plan.children().apply(i), found)
+    return found
+
+
+def test_texts_are_moved_once(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    for k, v in zip(before, ("false", "-1"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        found = _shuffled(chunking.text_chunks(_blocks(spark), 40)._jdf.queryExecution().executedPlan(), [])
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len([x for x in found if {"text", "texts", "parts", "buf"} & {*x}]) == 1 and len(found) > 1
+
+
+def test_problems_of_coverage_are_told_apart(spark):
+    blocks = _blocks(spark)
+    chunks = chunking.text_chunks(blocks, 40).persist()
+    assert chunking.text_problems(chunks, blocks, 40).count() == 0
+    of = [(r["chunk_id"], [(s["block_number"], s["source_end"]) for s in r["spans"]]) for r in chunks.where("document_id = 'a'").orderBy("chunk_number").collect()]
+    middle = next(c for c, spans in of if [n for n, _ in spans] == [2])
+    last, a_part = of[-1][0], F.element_at("spans", -1)
+    longer = F.concat(F.slice("spans", 1, F.size("spans") - 1), F.array(a_part.withField("source_end", a_part["source_end"] + 5)))
+    other = F.translate("text", "xS", "yT")
+
+    def problems(x):
+        return [(r["block_number"], r["problem"]) for r in chunking.text_problems(x, blocks, 40).where("document_id = 'a'").orderBy("block_number").collect()]
+
+    def only(chunk, **columns):
+        return chunks.withColumns({k: F.when(F.col("chunk_id") == chunk, v).otherwise(F.col(k)) for k, v in columns.items()})
+
+    assert problems(chunks.where(F.col("chunk_id") != middle)) == [(2, "gap or overlap")]
+    assert problems(only(last, text=other)) == [(5, "other text")]
+    assert problems(chunks.where(F.col("chunk_id") != last)) == [(5, "incomplete")]
+    assert problems(chunks.where(F.col("chunk_id") != last).withColumn("text", F.translate("text", "x", "y"))) == [(5, "other text")]
+    assert problems(only(last, spans=longer)) == [(5, "incomplete")]
+    assert problems(only(last, spans=longer, text=other)) == [(5, "other text")]
+    assert problems(only(last, spans=F.transform("spans", lambda s: s.withField("end", s["end"] + 1)))) == [(5, "gap or overlap")]
+    assert problems(only(last, spans=F.transform("spans", lambda s: s.withField("block_number", F.lit(9))))) == [(5, "incomplete"), (9, "unknown block")]
+    assert problems(chunks.where("page_number = 1")) == [(4, "missing"), (5, "missing")]
+    assert {r["problem"] for r in chunking.text_problems(chunks, blocks, 10).collect()} == {"over the limit"}
+    chunks.unpersist()
+
+
+def test_traits_stand_for_texts(spark):
+    blocks = _blocks(spark)
+    known, texts = layout.traits(blocks), blocks.select("document_id", "page_number", "block_number", "text")
+    rows = lambda x: sorted(map(str, x.select("chunk_id", "text", "section", "token_count", "spans").collect()))
+    chunks = chunking.text_chunks(known, 40, texts=texts)
+    assert rows(chunks) == rows(chunking.text_chunks(blocks, 40))
+    assert chunking.text_problems(chunks, known, 40, texts).count() == 0
+    assert {r["problem"] for r in chunking.text_problems(chunks.where("page_number = 1"), known, 40, texts).collect()} == {"missing"}
+    assert {r["problem"] for r in chunking.text_problems(chunks.where("chunk_number < 4"), known, 40, texts).collect()} >= {"incomplete"}
+    with pytest.raises(ValueError, match="texts apart"):
+        chunking.text_chunks(known, 40)
+
+
+def test_strip_knows_every_space(spark):
+    points = [*range(1, 0x3100), 0x180E, 0xFEFF, 0x200B]
+    d = spark.createDataFrame([(chr(i) + "a" + chr(i) + "b" + chr(i) * 2,) for i in points], "t string")
+    old = F.regexp_replace("t", rf"^[{text.S}]+|[{text.S}]+\z", "")
+    assert d.where(old != text.strip(F.col("t"))).count() == 0 and d.where(old != F.col("t")).count() == len(text.SPACES)
