@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import chunking, citations, layout, planning, topk
-from ..session import written
+from ..session import stored, written
 from ..sources.models import LLM, LLMError, QuotaError, generate
 
 ANSWER_SYSTEM = "Answer from the numbered sources only and quote them word for word."
@@ -31,15 +31,18 @@ def chunk_documents(blocks: DataFrame, tables: DataFrame, limit: int, count: chu
     classified, furniture marked, packed. Where tables (document_id, page_number, table_number, box) bring
     ``rows`` and ``external`` names, their parts follow, with the title and notes found beside them.
     Documents with a problem keep no chunks."""
-    marked = written(layout.mark_furniture(layout.classify_blocks(blocks, tables)))
+    # Rules look at what is known of the texts; the texts themselves are read again where they are packed and checked.
+    known = stored(layout.traits(blocks), "traits")
+    marked = stored(layout.mark_furniture(layout.classify_blocks(known, tables)), "marked")
     unknown = chunking.block_problems(marked)
     sound = marked.join(unknown.select("document_id").distinct(), "document_id", "left_anti")
-    texts = written(chunking.text_chunks(sound, limit, count))
-    problems = unknown.unionByName(chunking.text_problems(texts, sound, limit))
+    texts = stored(chunking.text_chunks(sound, limit, count, blocks), "chunks")
+    problems = unknown.unionByName(chunking.text_problems(texts, sound, limit, blocks))
     shown = ["document_id", "version", "page_number", "chunk_id", "content_type", "section", "text", "token_count"]
     chunks = texts.withColumn("content_type", F.lit("text")).select(*shown)
     if "rows" in tables.columns:
         key = ["document_id", "page_number", "table_number"]
+        sound = sound.join(blocks.select("document_id", "version", "page_number", "block_number", "text"), ["document_id", "version", "page_number", "block_number"])
         named = tables.join(layout.find_titles(sound, tables).select(*key, "title"), key, "left").join(layout.find_notes(sound, tables), key, "left")
         named = named.join(sound.select("document_id", "version").distinct(), "document_id")
         name = F.concat_ws("", F.col("document_id"), F.lit(":v"), F.col("version"), F.lit(":p"), F.col("page_number"), F.lit(":t"), F.col("table_number"))
